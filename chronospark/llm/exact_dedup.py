@@ -72,7 +72,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = identities(docs, id_col, text_col, block_bytes).select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "level", "name")
     rows = rows.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")))
     rows = saved(rows.select("id", "level", "name", "text_sha256"))
-    groups = rows.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that both sides of the join are dealt anew and a hot group can be split
+    groups = saved(rows.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
     out = rows.join(groups, ["level", "name"])
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
