@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, packing, tiff
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_tiff": tiff.op7_tiff,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL = {**exact_dedup.ORACLE}
