@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, tiff
+from . import bpe, exact_dedup, packing, quality, tiff
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_tiff": tiff.op7_tiff,
     "op8_packing": packing.op8_packing,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL = {**exact_dedup.ORACLE}
