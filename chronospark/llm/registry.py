@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality, tiff
+from . import bpe, exact_dedup, packing, quality, tiff, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_bpe": bpe.op2_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_tiff": tiff.op7_tiff,
