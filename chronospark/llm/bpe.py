@@ -7,8 +7,8 @@ two sides. That test runs for all pairs of a batch at once, descending the
 merge trees with array operations. Only words with an incompatible pair undergo
 exact merging.
 
-Words repeat, so results are kept by space-separated piece of text within a
-Python worker, in tables of bounded size.
+Words repeat, so each batch's pieces of text are grouped first, and the results
+of distinct ones are kept within a Python worker, in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
+from .textnum import PieceTable, Recent, utf8
 
 #: How byte-level BPE cuts text into words (a fixed value of the format).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,7 +42,7 @@ def byte_characters() -> dict[str, int]:
 class Codec:
     """Encodes and decodes texts with the vocabulary of a tokenizers file (byte-level BPE)."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         of = byte_characters()
@@ -84,9 +85,7 @@ class Codec:
         self.cut = regex.compile(WORD)
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.base = [vocab[bytes([b])] for b in range(256)]
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = PieceTable(self._learn, keep), Recent(keep)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens, whether BPE leaves their border: no merge across it has a rank under its limit."""
@@ -176,67 +175,43 @@ class Codec:
             proposed[w] = self.merged(raw[w])
         return [np.array(ids, "<u4").tobytes() for ids in proposed]
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pieces of text that can't affect each other."""
-        cut = [self.cut.findall(p) for p in pieces]
-        fresh = list({w for ws in cut for w in ws}.difference(self.words))
-        if len(self.words) + len(fresh) > self.keep:
-            self.words.clear()
-            fresh = list({w for ws in cut for w in ws})
-        self.words.update(zip(fresh, self.encode_words(fresh), strict=True))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in cut]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, special tokens' strings as their ids, as the tokenizers library gives them."""
-        parts: list[list[tuple[int, list[str]]]] = []
-        for text in texts:
-            own = []
-            for part in self.split.split(text) if self.split and any(t in text for t in self.special) else (text,):
-                if part in self.special:
-                    own.append((self.special[part], []))
-                elif part:
-                    # a space before a non-space begins a new piece: no word crosses it
-                    own.append((-1, part.split(" ") if _ODD_SPACE.search(part) is None else _SAFE_SPACE.split(part)))
-            parts.append(own)
-        for table, first in ((self.plain, True), (self.spaced, False)):
-            fresh: set[str] = set()
-            for own in parts:
-                for _, pieces in own:
-                    fresh.update(pieces[:1] if first else set(pieces[1:]).difference(table))
-            if len(table) + len(fresh) > self.keep:
-                table.clear()
-                for own in parts:
-                    for _, pieces in own:
-                        fresh.update(pieces[:1] if first else pieces[1:])
-            fresh_list = list(fresh)
-            table.update(zip(fresh_list, self._learn(fresh_list if first else [" " + p for p in fresh_list]), strict=True))
-        out = []
-        for own in parts:
-            found: list[bytes] = []
-            for special, pieces in own:
-                if special >= 0:
-                    found.append(special.to_bytes(4, "little"))
-                else:
-                    found.append(self.plain[pieces[0]])
-                    found.extend(map(self.spaced.__getitem__, pieces[1:]))
-            out.append(np.frombuffer(b"".join(found), "<u4"))
-        return out
+        cut = [self.cut.findall(p.decode()) for p in pieces]
+        kinds = list({w for ws in cut for w in ws})
+        ids = dict(zip(kinds, self.words.fill(kinds, self.encode_words), strict=True))
+        return [b"".join(map(ids.__getitem__, ws)) for ws in cut]
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column's texts in a row, and each text's borders in them, as the tokenizers library gives them: special tokens' strings are their ids, nulls are empty."""
+        raw, _ = utf8(column)
+        whole = raw.tobytes()
+        if not any(t.encode() in whole for t in self.special):
+            return self.pieces.encode(column)
+        parts, special, sizes = [], [], []
+        for text in texts_of(column):
+            own = [p for p in self.split.split(text) if p]
+            sizes.append(len(own))
+            parts += ["" if p in self.special else p for p in own]
+            special += [self.special.get(p, -1) for p in own]
+        ids, borders = self.pieces.encode(pa.array(parts, pa.string()))
+        named = np.array(special, np.int64)
+        at = np.flatnonzero(named >= 0)
+        ids = np.insert(ids, borders[at], named[at])
+        borders = borders + np.append(0, np.cumsum(named >= 0))
+        return ids, borders[np.append(0, np.cumsum(sizes))]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_ODD_SPACE = re.compile(r" (?!\S)")
-_SAFE_SPACE = re.compile(r" (?=\S)")
-
-
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec a vocabulary and Python worker."""
     return Codec(path)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256):
+def slices(batch: pa.RecordBatch, rows: int = 512):
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
@@ -258,11 +233,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         own = codec(vocabulary)
         for big in batches:
             for batch in slices(big):
-                found = own.encode(texts_of(batch.column(1)))
-                sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = np.concatenate([*found, np.empty(0, "<u4")]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(map(own.decode, found), pa.string())], ["id", "ids", "decoded"])
+                flat, borders = own.encode(batch.column(1))
+                ids = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                texts = [own.decode(flat[a:b]) for a, b in zip(borders.tolist(), borders[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

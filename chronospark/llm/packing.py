@@ -87,7 +87,7 @@ def _ids(vocabulary: str, text: str) -> np.ndarray:
     except Exception as e:  # its pattern gives up on extreme runs of white space
         if "tack" not in str(e):
             raise
-        return codec(vocabulary).encode([text])[0]
+        return codec(vocabulary).encode(pa.array([text]))[0]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,3 +130,110 @@ def distinct(values: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.nd
         fresh[starts[starts < len(out)]] = True
     kept = np.concatenate([[0], np.cumsum(fresh)])
     return out[fresh], kept[borders]
+
+
+#: Bytes that surely begin something other than white space.
+_SURE = np.zeros(256, bool)
+_SURE[[*range(33, 127), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+_LONG = 64
+
+
+def pieces(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of texts: each but a text's first begins at a space before a non-space."""
+    flag = np.zeros(len(raw), bool)
+    if len(raw):
+        flag[:-1] = (raw[:-1] == 32) & _SURE[raw[1:]]
+        ends = borders[1:] - 1
+        flag[ends[ends >= 0]] = False
+        begins = borders[:-1]
+        flag[begins[begins < borders[1:]]] = True
+    start = np.flatnonzero(flag)
+    return start, np.append(start[1:], len(raw))[: len(start)]
+
+
+def alike(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(representatives, group of each): pieces grouped by their bytes; those over _LONG bytes stand alone.
+
+    Groups come from hashes, and every piece is then compared with its
+    representative, eight bytes at a time, so that unlike pieces never share one.
+    """
+    size = end - start
+    key = spans(raw, start, end)
+    long = np.flatnonzero(size > _LONG)
+    key[long] = mix(long.astype(_U))
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    words = _eights(raw)
+    other = start[first][group]
+    unlike = size != size[first][group]
+    left = np.flatnonzero((size <= _LONG) & (other != start))
+    for at in range(0, _LONG, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        cover = np.minimum(size[left] - at, 8).astype(_U)
+        differ = (words[start[left] + at] ^ words[other[left] + at]) << ((_U(8) - cover) * _U(8))
+        unlike[left[differ != 0]] = True
+    odd = np.flatnonzero(unlike)
+    if len(odd):
+        group[odd] = len(first) + np.arange(len(odd))
+        first = np.append(first, odd)
+    return first, group
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one little-endian number."""
+    padded = np.frombuffer(raw.tobytes() + bytes(16 - len(raw) % 8), "<u8")
+    return np.lib.stride_tricks.as_strided(padded, (len(raw),), (1,))
+
+
+class Recent:
+    """Values by key, at most about keep of them: what wasn't used since half as many came is forgotten."""
+
+    def __init__(self, keep: int):
+        self.half, self.new, self.old = keep // 2, {}, {}
+
+    def fill(self, keys: list, make) -> list:
+        """The keys' values; make gives those of unknown keys, as a list."""
+        found = list(map(self.new.get, keys))
+        missing = []
+        for i, x in enumerate(found):
+            if x is None:
+                x = self.old.get(keys[i])
+                if x is None:
+                    missing.append(i)
+                else:
+                    found[i] = self.new[keys[i]] = x
+        if missing:
+            fresh = [keys[i] for i in missing]
+            for i, k, x in zip(missing, fresh, make(fresh), strict=True):
+                found[i] = x
+                if len(k) <= _LONG:
+                    self.new[k] = x
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        return found
+
+
+class PieceTable:
+    """Ids of pieces of text, learnt as they come; learn gives the ids of new pieces as little-endian 32-bit integers."""
+
+    def __init__(self, learn, keep: int = 600_000):
+        self.learn, self.known = learn, Recent(keep)
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column in a row, and each text's borders in them."""
+        raw, borders = utf8(column)
+        start, end = pieces(raw, borders)
+        if not len(start):
+            return np.empty(0, "<u4"), np.zeros(len(borders), np.int64)
+        first, group = alike(raw, start, end)
+        whole = raw.tobytes()
+        kinds = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        found = self.known.fill(kinds, self.learn)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        offset = np.cumsum(sizes) - sizes
+        count = sizes[group]
+        upto = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat(offset[group] - upto[:-1], count) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(start, borders)]
