@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality, tiff, toxicity
+from . import bpe, exact_dedup, lm, packing, quality, tiff, toxicity
 
 QUERIES = {
+    "op10_lm": lm.op10_lm,
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_bpe": bpe.op2_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
