@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, lm, packing, quality, tiff, toxicity
+from . import bpe, exact_dedup, jaccard, lm, packing, quality, substring_dedup, tiff, toxicity
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_jaccard": jaccard.op5_jaccard,
     "op10_lm": lm.op10_lm,
     "op1_toxicity": toxicity.op1_toxicity,

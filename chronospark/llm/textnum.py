@@ -237,3 +237,11 @@ class PieceTable:
         upto = np.append(0, np.cumsum(count))
         ids = flat[np.repeat(offset[group] - upto[:-1], count) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(start, borders)]
+
+
+def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run start:end of 64-bit values, in order."""
+    up, down = _powers(_BASE, len(values)), _powers(_INVERSE, len(values))
+    total = np.zeros(len(values) + 1, _U)
+    np.cumsum(mix(values) * up[:-1], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
