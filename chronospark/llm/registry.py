@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, lm, packing, quality, substring_dedup, tiff, toxicity
+from . import bpe, exact_dedup, jaccard, licenses, lm, packing, quality, substring_dedup, tiff, toxicity
 
 QUERIES = {
+    "op4_licenses": licenses.op4_licenses,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_jaccard": jaccard.op5_jaccard,
     "op10_lm": lm.op10_lm,
