@@ -12,6 +12,8 @@ members with matrix products; only links that join classes are put out.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -61,26 +63,50 @@ def fingerprints(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return mix((total[borders[1:]] - total[borders[:-1]]) ^ mix(np.diff(borders).astype(_U))).view(np.int64)
 
 
+#: (sets up to so many members, differences left in a group, partitions of a group, members a chosen subset must have)
+SCHEMES = [(63, 4, 8, 0), (255, 2, 5, 1), (1 << 62, 1, 3, 3)]
+
+
 def signatures(values: np.ndarray, borders: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of all signatures of a batch of sets."""
     size = np.diff(borders)
     rows, band = bands.pairs(size)
-    if not len(rows):
-        return np.empty(0, np.int64), np.empty(0, _U)
-    groups = bands.differ[band] // 2 + 1
-    base = np.append(0, np.cumsum(3 * groups))
-    count = size[rows]
+    out_rows, out = [np.empty(0, np.int64)], [np.empty(0, _U)]
+    low = 0
+    for high, spare, parts, least in SCHEMES:
+        some = (bands.high[band] > low) & (bands.high[band] <= high)
+        low = high
+        if some.any():
+            r, s = _enumerated(values, borders, rows[some], band[some], bands.differ[band[some]] // (spare + 1) + 1, spare, parts, least)
+            out_rows.append(r)
+            out.append(s)
+    return np.concatenate(out_rows), np.concatenate(out)
+
+
+def _enumerated(values, borders, rows, band, groups, spare, parts, least):
+    """Signatures of rows in bands: all subsets of parts - spare of each group's partitions, if they have at least least members."""
+    base = np.append(0, np.cumsum(parts * groups))
+    count = np.diff(borders)[rows]
     member = np.repeat(borders[rows] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     v = values[member]
-    part = (mix(v + _U(0x2545F4914F6CDD1D)) % np.repeat(3 * groups, count).astype(_U)).astype(np.int64)
+    part = (mix(v + _U(0x2545F4914F6CDD1D)) % np.repeat(parts * groups, count).astype(_U)).astype(np.int64)
+    place = np.repeat(base[:-1], count) + part
     held = np.zeros(base[-1], _U)
-    np.add.at(held, np.repeat(base[:-1], count) + part, mix(v ^ _U(0x9FB21C651E98DF25)))
-    three = held.reshape(-1, 3)
+    np.add.at(held, place, mix(v ^ _U(0x9FB21C651E98DF25)))
+    held = held.reshape(-1, parts)
+    many = np.bincount(place, minlength=base[-1]).reshape(-1, parts)
     at = np.repeat(np.arange(len(rows)), groups)
     group = np.arange(len(at)) - np.repeat(np.cumsum(groups) - groups, groups)
-    place = mix(band[at].astype(_U) * _U(1 << 32) + group.astype(_U))
-    made = [mix(mix(place + _U(i) + three[:, i]) ^ (three[:, j] + _U(j))) for i, j in ((0, 1), (0, 2), (1, 2))]
-    return np.tile(rows[at], 3), np.concatenate(made)
+    name = mix(band[at].astype(_U) * _U(1 << 32) + group.astype(_U))
+    out_rows, out = [], []
+    for n, subset in enumerate(combinations(range(parts), parts - spare)):
+        made = name + _U(n)
+        for p in subset:
+            made = mix(made) ^ held[:, p]
+        keep = many[:, subset].sum(axis=1) >= least
+        out_rows.append(rows[at[keep]])
+        out.append(mix(made[keep]))
+    return np.concatenate(out_rows), np.concatenate(out)
 
 
 def linked(values: list[np.ndarray], percent: int, first: int | None = None) -> np.ndarray:
