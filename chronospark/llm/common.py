@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,27 @@ def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_with(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """saved(df), and aggregates over its rows from the same job."""
+    seen = Observation()
+    out = saved(df.observe(seen, *[x.alias(k) for k, x in metrics.items()]))
+    return out, seen.get
+
+
+def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A filter of so many bits that says of a 64-bit key whether it may be among keys (a column key); its size is fixed."""
+    bit = F.pmod(F.col("key"), F.lit(bits))
+    words = keys.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(key, {bits}), 64) as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys % (64 * len(held))
+    return (held[bit // 64] >> (bit % 64)) & 1 == 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the least node reachable.
 
@@ -46,20 +68,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         m = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return pairs.join(m, "u")
 
-    def state(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-
+    state = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))}
     # an edge is kept as (larger, smaller)
     now = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = saved(now)
-    before = state(now)
-    while before[0]:
+    now, before = saved_with(now, **state)
+    while before["n"]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = least(large.where("u <> v").distinct())
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = saved(small.where("u <> v").distinct())
-        after = state(now)
+        small = least(large.where("u <> v"))
+        small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        now, after = saved_with(small.where("u <> v").distinct(), **state)
         if after == before:
             break
         before = after

@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import components, documents, saved
+from .common import components, documents, key_filter, may_hold, saved
 from .textnum import Words, distinct, mix, runs
 
 _U = np.uint64
+BITS = 1 << 24  # of the broadcast filter of candidate sets, 2 MB
 BLOCK = 96  # sets of a family that are compared side by side
 
 
@@ -216,19 +217,23 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = saved(families)
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
 
-    # one row of docs stands for each set of a family
-    chosen = sets.join(families, "set").groupBy("set", "family").agg(F.min(F.struct("id", "hash")).alias("row")).join(sizes, "family")
-    chosen = saved(chosen.select("set", "family", "blocks", F.col("row.id").alias("own_id"), F.col("row.hash").alias("own_hash")))
-    members = rows.join(chosen, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))).select("set", "family", "blocks", "text")
+    # a filter of fixed size spares other sets the way to the join; the join is exact
+    shared = spark.sparkContext.broadcast(key_filter(families.select(F.col("set").alias("key")), BITS))
 
     def with_members(batches):
+        seen: set[int] = set()
         for big in batches:
-            for batch in slices(big, 64):
-                values, borders = shingle_sets(batch.column(3), shingle)
-                data = pa.array([values[a:b].tobytes() for a, b in zip(borders.tolist(), borders[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], data], ["set", "family", "blocks", "data"])
+            for batch in slices(big):
+                values, borders = shingle_sets(batch.column(0), shingle)
+                prints = fingerprints(values, borders)
+                some = np.flatnonzero(may_hold(shared.value, prints) & (np.diff(borders) > 0)).tolist()
+                some = [i for i in some if (f := int(prints[i])) not in seen and not seen.add(f)]
+                if len(seen) > 200_000:
+                    seen.clear()
+                data = pa.array([values[borders[i] : borders[i + 1]].tobytes() for i in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(prints[some], pa.int64()), data], ["set", "data"])
 
-    members = members.mapInArrow(with_members, "set long, family long, blocks int, data binary")
+    members = rows.select("text").mapInArrow(with_members, "set long, data binary").join(families.join(sizes, "family"), "set")
     members = members.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     members = members.select("set", "data", "family", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
