@@ -28,7 +28,8 @@ def blocked(df: DataFrame, before: int, after: int, rows: int = 1 << 16) -> Data
     return dealt.withColumn("_halo", F.col("_block") != own)
 
 
-BLOCK_WINDOW: WindowSpec = Window.partitionBy("_block").orderBy("rid")
+def block_window() -> WindowSpec:
+    return Window.partitionBy("_block").orderBy("rid")
 
 
 @dataclass(frozen=True)
@@ -89,12 +90,12 @@ class WeightByMax:
         rows = self.rows(n)
         if rows is not None:
             dealt = blocked(df, rows - 1, 0)
-            return dealt.withColumn(name, absolute_max_weight(F.col(value), BLOCK_WINDOW, rows)).where("NOT _halo").drop("_block", "_halo")
+            return dealt.withColumn(name, absolute_max_weight(F.col(value), block_window(), rows)).where("NOT _halo").drop("_block", "_halo")
         # the greatest so far is the greatest of the blocks before, or of the block so far
         dealt = blocked(df, 0, 0).drop("_halo")
         tops = dealt.groupBy("_block").agg(F.max(F.abs(value)).alias("_top"))
         earlier = tops.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-        so_far = F.max(F.abs(value)).over(BLOCK_WINDOW.rowsBetween(Window.unboundedPreceding, 0))
+        so_far = F.max(F.abs(value)).over(block_window().rowsBetween(Window.unboundedPreceding, 0))
         out = dealt.join(earlier, "_block")
         return out.withColumn(name, F.abs(value) / F.nullif(F.greatest(so_far, "_before"), F.lit(0.0))).drop("_block", "_before")
 
@@ -128,9 +129,9 @@ class FixedForwardHorizon:
         last = df.agg(F.max_by("ts", "rid").alias("_last"))  # one row
         dealt = blocked(df, 0, h + self.shift_by)
         x = self.transformation_function(F.col("y")) if self.transformation_function else F.col("y")
-        value = forward(self.aggregate_function, x, BLOCK_WINDOW, h, self.shift_by)
+        value = forward(self.aggregate_function, x, block_window(), h, self.shift_by)
         value = self.post_aggregation_function(value) if self.post_aggregation_function else value
-        out = dealt.select("*", value.alias("_forward"), F.lead("ts", h).over(BLOCK_WINDOW).alias("_end")).where("NOT _halo").drop("_block", "_halo")
+        out = dealt.select("*", value.alias("_forward"), F.lead("ts", h).over(block_window()).alias("_end")).where("NOT _halo").drop("_block", "_halo")
         if self.truncate:
             out = out.where(F.col("rid") < n - h)
         out = out.crossJoin(F.broadcast(last)).withColumn("event_end", F.coalesce("_end", "_last")).withColumn("event_start", F.col("ts"))
@@ -153,7 +154,7 @@ class IdentityLabeler:
     def label(self, df: DataFrame, n: int) -> DataFrame:
         last = df.agg(F.max_by("ts", "rid").alias("_last"))  # one row
         dealt = blocked(df, 0, 1)
-        out = dealt.withColumn("_end", F.lead("ts", 1).over(BLOCK_WINDOW)).where("NOT _halo").drop("_block", "_halo").crossJoin(F.broadcast(last))
+        out = dealt.withColumn("_end", F.lead("ts", 1).over(block_window())).where("NOT _halo").drop("_block", "_halo").crossJoin(F.broadcast(last))
         out = out.withColumns({"event_start": F.col("ts"), "event_end": F.coalesce("_end", "_last"), "event_label": self.labeling_strategy(F.col("y")), "event_raw": F.col("y")})
         out = self.weighting_strategy.weigh(out, "y", "event_sample_weights", n)
         return self.weighting_strategy.weigh(out, "y", "event_test_sample_weights", n).drop("_end", "_last")
@@ -166,4 +167,4 @@ def create_events(df: DataFrame, n: int, labeler, event_filter=None) -> DataFram
     return df.join(kept.select("rid", *EVENT_COLUMNS), "rid", "left")
 
 
-__all__ = ["BLOCK_WINDOW", "EVENT_COLUMNS", "EveryNth", "FilterZero", "FixedForwardHorizon", "IdentityLabeler", "NoFilter", "NoWeighting", "WeightByMax", "WeightByMaxWithLookahead", "binarize_sign", "blocked", "create_events", "flip", "no_label"]
+__all__ = ["block_window", "EVENT_COLUMNS", "EveryNth", "FilterZero", "FixedForwardHorizon", "IdentityLabeler", "NoFilter", "NoWeighting", "WeightByMax", "WeightByMaxWithLookahead", "binarize_sign", "blocked", "create_events", "flip", "no_label"]
