@@ -6,12 +6,12 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
-DATA = "/root/testdata/sf0.001"
+from support import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -44,24 +44,3 @@ def duck():
     for path in Path(DATA).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
-
-
-def alike(got, want):
-    """Whether two pandas tables hold the same rows in any order."""
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-
-    def plain(x):
-        x = x[columns].copy()
-        for k in columns:
-            if x[k].dtype.kind in "fO":
-                try:
-                    x[k] = x[k].astype(float).round(6) + 0.0
-                except (TypeError, ValueError):
-                    pass
-        return x.sort_values(columns).reset_index(drop=True).astype(str)
-
-    a, b = plain(got), plain(want)
-    assert len(a) == len(b)
-    unlike = (a != b).any(axis=1)
-    assert not unlike.any(), f"{int(unlike.sum())} rows differ: {a[unlike].head(2).to_dict('records')} {b[unlike].head(2).to_dict('records')}"

@@ -1,7 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import pytest
-from conftest import DATA, alike
+from support import DATA, alike
 
 from chronospark.queries import ORACLE_SQL, QUERIES
 
