@@ -2,12 +2,20 @@
 
 A document is a set of word shingles. Sets whose sizes fall in a band can differ
 in at most k members if they are similar enough. The domain of members is cut
-into groups of three partitions each, so many groups that two such sets differ
-by at most one member in some group; there, two of its three partitions are
-alike. Each pair of partitions of each group is a signature: similar sets share
-at least one, whatever the data. Sets that share a signature are candidates, and
-every candidate family is compared exactly, in blocks, by counting common
-members with matrix products; only links that join classes are put out.
+into groups of partitions, so many groups that two such sets differ by at most
+d members in some group; there, all but d of its partitions are alike. Each
+choice of that many partitions of each group is a signature, so that similar
+sets share at least one. Sets that share a signature are candidates. Families of
+candidates are compared exactly, in blocks, by counting common members with
+matrix products; only links that join classes are put out.
+
+How many partitions a group has depends on the band (SCHEMES), so that a
+signature holds several members: one that holds hardly any is shared by unlike
+sets. In bands of sets of more than 63 members, choices with no member (over 255:
+with less than three) are therefore left out. Linked sets of such sizes agree in
+about two in five of their groups even at the threshold, 20 groups or more from
+256 members on, so the chance that every shared signature is left out is under
+1 in 10,000 there at the threshold itself and falls steeply above it.
 """
 
 from __future__ import annotations
@@ -45,10 +53,14 @@ class Bands:
         return np.searchsorted(self.high, size)
 
     def pairs(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, bands): each size's own band, and the next where a larger partner may be; bands of equal sets only are left out."""
+        """(rows, bands): each size's own band, and those after it where a larger partner may be; bands of equal sets only are left out."""
         own = self.of(size)
-        up = np.flatnonzero(100 * size >= self.percent * self.low[own + 1])
-        rows, bands = np.concatenate([np.arange(len(size)), up]), np.concatenate([own, own[up] + 1])
+        rows, bands, step = [np.arange(len(size))], [own], 1
+        while len(up := np.flatnonzero(100 * size >= self.percent * self.low[own + step])):
+            rows.append(up)
+            bands.append(own[up] + step)
+            step += 1
+        rows, bands = np.concatenate(rows), np.concatenate(bands)
         keep = (size[rows] > 0) & (self.differ[bands] > 0)
         return rows[keep], bands[keep]
 
@@ -152,8 +164,8 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row of docs.
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, hash_col: str | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id) for each row of docs; with hash_col, also xxhash64 of its text.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set has
     all runs of shingle words, or all words as one if they are fewer. Rows link
@@ -238,7 +250,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     members = members.select("set", "data", "family", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
-    def verify(key, found: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         found = found.drop_duplicates("set").sort_values(["own", "set"])
         values = [np.frombuffer(x, _U) for x in found["data"]]
         first = None if key[1] == key[2] else int((found["own"] == key[1]).sum())
@@ -256,14 +268,20 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written, so that a set with very many rows can be split in the last join
     named = saved(named.join(least, "root").select("set", "component_id"))
     out = sets.withColumn("set", F.when(F.col("n") > 0, F.col("set"))).join(named, "set", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    extra = [F.col("hash").alias(hash_col)] if hash_col else []
+    return out.select(F.col("id").alias(id_col), *extra, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the row of least id of each component, all columns as they were; rows that repeat its id stay with it."""
-    least = similar_classes(docs, id_col, text_col, shingle, percent)
-    keep = least.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs with the row of least id of each component, all columns as they were.
+
+    Rows that repeat its id and text stay with it. Rows with a null id stay only
+    if nothing with an id is in their component.
+    """
+    least = similar_classes(docs, id_col, text_col, shingle, percent, "_kept_hash")
+    keep = least.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id"), "_kept_hash").distinct()
+    own = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept_id")) & (own == F.col("_kept_hash")), "left_semi")
 
 
 def op5_jaccard(spark, sf_dir):

@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
 def _group_packer(names: list[str], capacity: int, exchange: float, r: int, last: bool):
     """Packs one group in round r; last: whatever its bound, it stays so."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="_group").sort_values(["length", *(c for c in names if c != "length")], ascending=False, kind="stable")
         length = rows["length"].to_numpy(np.int64)
         bins = best_fit_decreasing(length, capacity)

@@ -94,7 +94,7 @@ def fit(number: list[np.ndarray], value: list[np.ndarray], label: np.ndarray, si
     rate = np.clip(label.mean(), 0.01, 0.99)
     model["w0"] = float(np.log(rate / (1 - rate)))
     gw, gv = np.full(size, 1e-2, np.float32), np.full((size, rank), 1e-2, np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-200 * 128 // len(label)))):  # few rows are seen more often
         order = rng.permutation(len(label))
         for at in range(0, len(order), 128):
             rows = order[at : at + 128]
