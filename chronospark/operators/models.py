@@ -95,6 +95,13 @@ class LinearRegression(Block):
 
     ridge: float = 0.0
     name: str = "LinearRegression"
+    needs_target = True
+
+    def state_from(self, m) -> tuple:
+        return (solved(m.spread / max(m.n[0], 1.0), m.mean, m.n[0], self.ridge),)
+
+    def state_schema(self, k: int) -> str:
+        return "_beta array<double>"
 
     def process(self, frame, run, path):
         x = [c(f).cast("double") for f in frame.features]
@@ -116,6 +123,16 @@ class LinearRegression(Block):
         return frame.on(df).add({PREDICTION + self.name: value}, [])
 
 
+def solved(covariance: np.ndarray, mean: np.ndarray, n: float, ridge: float) -> list[float]:
+    """Intercept and slopes from the covariances and means of features and, last, target."""
+    k = len(mean) - 1
+    a = covariance[:k, :k] + ridge / max(n, 1.0) * np.eye(k)
+    # features of very different sizes are brought to one scale first
+    unit = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    beta = np.linalg.lstsq(a / unit[:, None] / unit, covariance[:k, k] / unit, rcond=1e-12)[0] / unit
+    return [float(mean[k] - beta @ mean[:k]), *beta.tolist()]
+
+
 def _solver(k: int, ridge: float):
     def solve(batches):
         for rows in batches:
@@ -126,11 +143,7 @@ def _solver(k: int, ridge: float):
                     for j in range(i, k + 1):
                         gram[i, j] = gram[j, i] = r[f"_{i}_{j}"] or 0.0
                 mean = np.array([r[f"_m_{i}"] for i in range(k + 1)], float)
-                a = gram[:k, :k] + ridge / max(r["_n"], 1.0) * np.eye(k)
-                # features of very different sizes are brought to one scale first
-                unit = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-                beta = np.linalg.lstsq(a / unit[:, None] / unit, gram[:k, k] / unit, rcond=1e-12)[0] / unit
-                out.append({"split_id": r["split_id"], "_beta": [mean[k] - beta @ mean[:k], *beta.tolist()]})
+                out.append({"split_id": r["split_id"], "_beta": solved(gram, mean, r["_n"], ridge)})
             yield pd.DataFrame(out, columns=["split_id", "_beta"])
 
     return solve

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,15 @@ class StandardScaler(Block):
     """By mean and population deviation; a deviation of 0 counts as 1."""
 
     name: str = "standard scaler"
+    needs_target = False
+
+    def state_from(self, m) -> tuple:
+        known = m.n > 0
+        deviation = np.sqrt(m.spread / np.maximum(m.n, 1))
+        return tuple(float(x) if ok else None for a, b, ok in zip(m.mean, deviation, known, strict=True) for x in (a, b))
+
+    def state_schema(self, k: int) -> str:
+        return ", ".join(f"_m_{i} double, _d_{i} double" for i in range(k))
 
     def process(self, frame, run, path):
         fit = lambda: _per_split(frame, {f"_{s}_{i}": fn(c(f)) for i, f in enumerate(frame.features) for s, fn in (("m", F.avg), ("d", F.stddev_pop))})
@@ -40,6 +50,13 @@ class MinMaxScaler(Block):
     feature_range: tuple = (0.0, 1.0)
     clip: bool = False
     name: str = "min-max scaler"
+    needs_target = False
+
+    def state_from(self, m) -> tuple:
+        return tuple(None if np.isnan(x) else float(x) for pair in zip(m.low, m.high, strict=True) for x in pair)
+
+    def state_schema(self, k: int) -> str:
+        return ", ".join(f"_l_{i} double, _h_{i} double" for i in range(k))
 
     def process(self, frame, run, path):
         low, high = map(float, self.feature_range)
@@ -57,6 +74,13 @@ class TurnPositive(Block):
     """Adds |minimum| + 1 of the train rows to columns whose minimum isn't positive."""
 
     name: str = "turn positive"
+    needs_target = False
+
+    def state_from(self, m) -> tuple:
+        return tuple(None if np.isnan(x) else float(x) for x in m.low)
+
+    def state_schema(self, k: int) -> str:
+        return ", ".join(f"_low_{i} double" for i in range(k))
 
     def process(self, frame, run, path):
         fit = lambda: _per_split(frame, {f"_low_{i}": F.min(c(f)) for i, f in enumerate(frame.features)})

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import c, prediction
 from ..operators.events import EVENT_COLUMNS, blocked, create_events
-from .blocks import Frame, Run, as_block, memory_of
+from .blocks import Frame, Run, Sequence, as_block, memory_of
+from .segments import fit_lean, lean_steps
 from .splits import plan_splits, tag_test_rows, tag_train_rows
 
 
@@ -79,11 +80,12 @@ def trim_initial(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(first_valid(df, columns))).where(F.col("rid") >= F.col("_first")).drop("_first")
 
 
-def train(card, df: DataFrame, splitter, features=(), events: DataFrame | None = None, for_deployment: bool = False, n: int | None = None) -> Trained:
+def train(card, df: DataFrame, splitter, features=(), events: DataFrame | None = None, for_deployment: bool = False, n: int | None = None, need_in_sample: bool = True) -> Trained:
     """Fits a pipeline on every split of df (rid, ts, y, features); for_deployment: on the last only.
 
     events: (rid, event columns), or made by the card's labeler. n, the number
-    of rows, is counted if not given.
+    of rows, is counted if not given. Without need_in_sample, no train row is
+    repeated for several splits where the pipeline allows it (see segments).
     """
     card = as_card(card)
     spine, features = _series(df, features)
@@ -101,6 +103,10 @@ def train(card, df: DataFrame, splitter, features=(), events: DataFrame | None =
     splits = plan_splits(splitter, n, gap_before=card.forward_horizon)
     if for_deployment:
         splits = splits[-1:]
+    steps = None if need_in_sample or "event_label" in rows.columns else lean_steps(card.pipeline, splits)
+    if steps:
+        path = lambda i: f"main/{i}" if len(steps) > 1 or isinstance(as_block(card.pipeline), Sequence) else "main"
+        return _all_rows(card, rows, spine, splits, features, fit_lean(steps, rows, features, splits, path), pre)
     return _all_rows(card, rows, spine, splits, features, Run(), pre)
 
 
@@ -108,7 +114,9 @@ def _all_rows(card, rows, spine, splits, features, run, pre) -> Trained:
     has_events = "event_label" in rows.columns
     memory = memory_of(card.pipeline)
     flag = lambda d, is_train: d.withColumns({"train": F.lit(is_train), **({"halo": F.lit(False)} if is_train else {})})
-    both = flag(tag_train_rows(rows, splits), True).unionByName(flag(tag_test_rows(rows, splits, memory), False))
+    both = flag(tag_test_rows(rows, splits, memory), False)
+    if run.fitting:
+        both = flag(tag_train_rows(rows, splits), True).unionByName(both)
     if has_events:
         # only rows with an event are seen, so windows count events; context is measured in rows before that
         both = both.dropna(subset=list(EVENT_COLUMNS)).withColumns({"raw_y": F.col("y"), "y": F.col("event_label"), "weight": F.col("event_sample_weights")})
@@ -134,7 +142,7 @@ def in_sample(trained: Trained) -> DataFrame:
 
 
 def train_backtest(card, df, splitter, features=(), **options) -> DataFrame:
-    return backtest(train(card, df, splitter, features, **options))
+    return backtest(train(card, df, splitter, features, need_in_sample=False, **options))
 
 
 def infer(trained: Trained, df: DataFrame, features=()) -> DataFrame:
