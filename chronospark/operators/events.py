@@ -12,26 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
+from ..functions.rows import block_window, blocked
 from ..functions.windows import absolute_max_weight, forward
 
 EVENT_COLUMNS = ("event_start", "event_end", "event_label", "event_raw", "event_sample_weights", "event_test_sample_weights")
 
 
-def blocked(df: DataFrame, before: int, after: int, rows: int = 1 << 16) -> DataFrame:
-    """df with _block and _halo: each row in its own block, and as context in the blocks that reach it."""
-    rows = max(rows, before + after + 1)
-    own = F.floor(F.col("rid") / rows)
-    reach = F.sequence(F.floor((F.col("rid") - after) / rows), F.floor((F.col("rid") + before) / rows))
-    dealt = df.withColumn("_block", F.explode(reach) if before or after else own)
-    return dealt.withColumn("_halo", F.col("_block") != own)
-
-
-def block_window() -> WindowSpec:
-    return Window.partitionBy("_block").orderBy("rid")
-
-
 @dataclass(frozen=True)
 class NoFilter:
     def keep(self) -> Column:
@@ -166,5 +153,3 @@ def create_events(df: DataFrame, n: int, labeler, event_filter=None) -> DataFram
     kept = labelled.where((event_filter or NoFilter()).keep()).dropna(subset=list(EVENT_COLUMNS))
     return df.join(kept.select("rid", *EVENT_COLUMNS), "rid", "left")
 
-
-__all__ = ["block_window", "EVENT_COLUMNS", "EveryNth", "FilterZero", "FixedForwardHorizon", "IdentityLabeler", "NoFilter", "NoWeighting", "WeightByMax", "WeightByMaxWithLookahead", "binarize_sign", "blocked", "create_events", "flip", "no_label"]

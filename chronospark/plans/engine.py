@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import c, prediction
-from ..operators.events import EVENT_COLUMNS, blocked, create_events
+from ..functions.rows import blocked
+from ..operators.events import EVENT_COLUMNS, create_events
 from .blocks import Frame, Run, Sequence, as_block, memory_of
 from .segments import fit_lean, lean_steps
 from .splits import plan_splits, tag_test_rows, tag_train_rows

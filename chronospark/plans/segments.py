@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.names import c
 from ..operators import columns as cols
 from ..operators import features as feat
-from ..operators.events import blocked
+from ..functions.rows import blocked
 from .blocks import Block, Frame, Identity, Run, Sequence, as_block, memory_of
 from .splits import Split
 

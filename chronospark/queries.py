@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import rows as rows_of
 from .functions import scalar
 from .functions.names import c
 from .operators import columns as col_ops
@@ -463,7 +464,7 @@ def preprocessing_scaler(spark, d):
 @query("trim_initial", f"WITH {E}, l AS (SELECT rid, lag(value, 4) OVER (ORDER BY rid) AS v FROM b) SELECT rid, round(v, 6) AS v FROM l WHERE rid >= (SELECT min(rid) FROM l WHERE v IS NOT NULL)")
 def trim_initial(spark, d):
     df = events_series(spark, d)
-    lagged = ev.blocked(df.select("rid", "value"), 4, 0).withColumn("v", F.lag("value", 4).over(ev.block_window())).where("NOT _halo")
+    lagged = rows_of.blocked(df.select("rid", "value"), 4, 0).withColumn("v", F.lag("value", 4).over(rows_of.block_window())).where("NOT _halo")
     return engine.trim_initial(lagged, ["v"]).select("rid", F.round("v", 6).alias("v"))
 
 

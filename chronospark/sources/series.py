@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.names import c
+from ..functions.rows import block_window, blocked
 from ..functions.scalar import nan_to_null
 
 
@@ -72,11 +73,12 @@ def shorten(df: DataFrame, rows: int) -> DataFrame:
 def with_target(df: DataFrame, column: str, ahead: int = 1) -> DataFrame:
     """df with y, the column's value ahead rows later; rows without one go.
 
-    The value comes by a join on rid, so that the whole series isn't one
-    window's partition.
+    The value comes from a window over blocks of rows, so that the whole series
+    isn't one window's partition.
     """
-    later = df.select((F.col("rid") - ahead).alias("rid"), c(column).cast("double").alias("y"))
-    return df.join(later, "rid")
+    w = block_window()
+    dealt = blocked(df, 0, ahead).withColumns({"y": F.lead(c(column).cast("double"), ahead).over(w), "_later": F.lead("rid", ahead).over(w)})
+    return dealt.where(~F.col("_halo") & F.col("_later").isNotNull()).drop("_block", "_halo", "_later")
 
 
 def require_columns(df: DataFrame, needed: list[str]) -> None:
@@ -119,6 +121,3 @@ def zeros_and_ones(spark: SparkSession, n: int = 1000, ones: float = 0.5, seed:
 def monotonous(spark: SparkSession, n: int = 1000) -> DataFrame:
     return _generated(spark, n, lambda i: i / n)
 
-
-def ordered(*by: str):
-    return Window.partitionBy(*by).orderBy("rid")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronospark.functions import names
+from chronospark.functions import rows as rows_of
 from chronospark.operators import composites as comp
 from chronospark.operators import events as ev
 from chronospark.operators import features as feat
@@ -97,8 +98,8 @@ def test_event_counts(sine):
 
 def test_blocks_of_rows_equal_one_window(spark):
     df = spark.range(500).select(F.col("id").alias("rid"), (F.col("id") * 7 % 31).cast("double").alias("v"))
-    dealt = ev.blocked(df, 9, 4, rows=50)
-    out = dealt.select("rid", "_halo", F.sum("v").over(ev.block_window().rowsBetween(-9, 4)).alias("s")).where("NOT _halo").orderBy("rid").toPandas()
+    dealt = rows_of.blocked(df, 9, 4, rows=50)
+    out = dealt.select("rid", "_halo", F.sum("v").over(rows_of.block_window().rowsBetween(-9, 4)).alias("s")).where("NOT _halo").orderBy("rid").toPandas()
     v = pd.Series([i * 7 % 31 for i in range(500)], dtype=float)
     want = [v[max(0, i - 9) : i + 5].sum() for i in range(500)]
     assert out["s"].tolist() == want
