@@ -286,3 +286,25 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op5_jaccard(spark, sf_dir):
     return similar_classes(documents(spark, sf_dir))
+
+
+ORACLE = {
+    "op5_jaccard": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents
+        ),
+        s AS (
+            SELECT doc_id, unnest(list_distinct(CASE
+                WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS shingle
+            FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON c.a = w.doc_id
+    """
+}

@@ -17,4 +17,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
 }
 
-ORACLE_SQL = {**exact_dedup.ORACLE}
+ORACLE_SQL = {**exact_dedup.ORACLE, **jaccard.ORACLE}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import documents
+from .common import documents, saved
 from .labelled import held_out, logistic, sample
 from .textnum import spans, utf8
 
@@ -242,10 +242,12 @@ def learn_lexicon(chosen: DataFrame, least: int = 4, entries: int = 400) -> list
         columns = ([k[0] for k in seen], [np.int64(np.uint64(k[1])).item() if k[1] < 1 << 63 else k[1] - (1 << 64) for k in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()])
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["size", "hash", "toxic", "clean"])
 
-    counts = chosen.mapInArrow(count, "size int, hash long, toxic long, clean long").groupBy("size", "hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    totals = F.broadcast(counts.where("size = -1").select(F.col("toxic").alias("all_toxic"), F.col("clean").alias("all_clean")))
-    odds = lambda n, total: F.log((F.col(n) + 0.5) / (F.col(total) - F.col(n) + 0.5))
-    found = counts.where("size >= 0").crossJoin(totals).where(F.col("toxic") >= least).withColumn("weight", odds("toxic", "all_toxic") - odds("clean", "all_clean"))
+    counts = saved(chosen.mapInArrow(count, "size int, hash long, toxic long, clean long").groupBy("size", "hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    totals = counts.where("size = -1").first()
+    if totals is None:
+        return []
+    odds = lambda n: F.log((F.col(n) + 0.5) / (F.lit(totals[n]) - F.col(n) + 0.5))
+    found = counts.where("size >= 0").where(F.col("toxic") >= least).withColumn("weight", odds("toxic") - odds("clean"))
     # far more often: the difference is several of its standard errors
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     found = found.where((F.col("weight") > 1.5) & (F.col("weight") > 2.5 * error)).orderBy(F.desc(F.col("weight") / error), "size", "hash").limit(entries)
