@@ -296,7 +296,7 @@ ORACLE = {
         ),
         s AS (
             SELECT doc_id, unnest(list_distinct(CASE
-                WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+                WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
                 WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS shingle
             FROM w
         ),
