@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import PREDICTION, PROBABILITY, c, prediction
@@ -56,6 +56,28 @@ class Concat(Block):
         return gather(frame, {n: merge([c(h) for h in holders[n]]) if len(holders[n]) > 1 else c(holders[n][0]) for n in order}, carry)
 
 
+def merge_tables(left: DataFrame, right: DataFrame, keep: str = "first", on: str = "rid") -> DataFrame:
+    """All rows of two tables by a column: columns of one, then those of both, of the first or last table that knows the value."""
+    both = [x for x in left.columns if x in right.columns and x != on]
+    b = right.select(on, *[c(x).alias(f"_r_{x}" if x in both else x) for x in right.columns if x != on])
+    joined = left.join(b, on, "full_outer")
+    order = (lambda x: (c(x), c(f"_r_{x}"))) if keep == "first" else (lambda x: (c(f"_r_{x}"), c(x)))
+    alone = [c(x) for x in (*left.columns, *right.columns) if x != on and x not in both]
+    return joined.select(on, *alone, *[F.coalesce(*order(x)).alias(x) for x in both])
+
+
+def mean_correlation(outs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean correlation (correlation) between each two of several prediction columns; pairs without variation don't count."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
+    known = lambda a, b: c(a).isNotNull() & c(b).isNotNull()
+
+    def corr(a: str, b: str) -> Column:
+        x, y = F.when(known(a, b), c(a)), F.when(known(a, b), c(b))
+        return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+    return outs.agg(*[corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]).select(mean_of([F.col(f"_{i}") for i in range(len(pairs))]).alias("correlation"))
+
+
 @dataclass(frozen=True)
 class TransformColumn(Block):
     """A pipeline on some columns; the others stay."""

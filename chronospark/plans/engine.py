@@ -59,6 +59,18 @@ def _series(df: DataFrame, features) -> tuple[DataFrame, tuple[str, ...]]:
     return df.select("rid", "ts", "y", *events, *[c(f) for f in features if f != "y"]), features
 
 
+def _place(spine: DataFrame):
+    """Looks up the row of a timestamp that a splitter's start or end names."""
+
+    def look_up(ts) -> int:
+        row = spine.where(F.col("ts") == F.lit(ts).cast("timestamp_ntz")).agg(F.min("rid").alias("rid")).first()
+        if row["rid"] is None:
+            raise ValueError(f"no row at {ts}")
+        return row["rid"]
+
+    return look_up
+
+
 def preprocess(df: DataFrame, features: tuple[str, ...], pipeline, run: Run) -> tuple[DataFrame, tuple[str, ...]]:
     """A pipeline fitted once on the whole series. Windows run over blocks of rows with enough context, not over one partition."""
     block = as_block(pipeline)
@@ -101,7 +113,7 @@ def train(card, df: DataFrame, splitter, features=(), events: DataFrame | None =
         rows, features = preprocess(rows, features, card.preprocessing, pre)
         if card.trim_initial_period_after_preprocessing:
             rows = trim_initial(rows, list(features))
-    splits = plan_splits(splitter, n, gap_before=card.forward_horizon)
+    splits = plan_splits(splitter, n, gap_before=card.forward_horizon, place=_place(spine))
     if for_deployment:
         splits = splits[-1:]
     steps = None if need_in_sample or "event_label" in rows.columns else lean_steps(card.pipeline, splits)

@@ -405,6 +405,42 @@ ORACLE_SQL["undersample"] = _SAMPLED.format(E=E, SPLITS=SPLITS, TRAIN=TRAIN, cou
 QUERIES["oversample"] = _sampled(comp.OverSampler())
 ORACLE_SQL["oversample"] = _SAMPLED.format(E=E, SPLITS=SPLITS, TRAIN=TRAIN, counts=_COUNTS, rows="SELECT t.*, unnest(range(0, CAST(floor(hi / k) AS BIGINT))) FROM train t JOIN n ON t.split_id = n.split_id AND t.cls = n.cls JOIN nm ON t.split_id = nm.split_id")
 
+
+
+@query("strategy_meta_labeling", f"WITH {E}, {SPLITS}, {_FORWARD} SELECT s.split_id, fw.rid, CASE WHEN fw.f IS NOT NULL THEN CASE WHEN fw.value > 50 THEN 2.0 ELSE -2.0 END END::DOUBLE AS p FROM fw JOIN splits s ON fw.rid >= s.te0 AND fw.rid < s.te1")
+def strategy_meta_labeling(spark, d):
+    df = events_series(spark, d)
+    events = ev.create_events(df, df.count(), _forward()).withColumn("event_strategy_label", F.when(F.col("value") > 50, 1.0).otherwise(-1.0))
+    out = engine.train_backtest([comp.StrategyMetaLabeling([mod.DummyRegressor(2)])], df, EXPANDING, ("value",), events=events)
+    return out.select("split_id", "rid", F.col("predictions_StrategyMetaLabeling").alias("p"))
+
+
+@query("ols_weighted_events", f"""WITH {E}, {SPLITS}, {_FORWARD}, g AS (SELECT rid, value, f, abs(f) / max(abs(f)) OVER (ORDER BY rid ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS k FROM fw WHERE f IS NOT NULL),
+q AS (SELECT s.split_id, sum(k) AS sw, sum(k * value) AS sx, sum(k * f) AS sy, sum(k * value * value) AS sxx, sum(k * value * f) AS sxy FROM g JOIN splits s ON g.rid >= s.tr0 AND g.rid < s.tr1 GROUP BY 1),
+st AS (SELECT split_id, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS m, sx, sy, sw FROM q)
+SELECT s.split_id, g.rid, round(st.m * g.value + (st.sy - st.m * st.sx) / st.sw, 4) AS p FROM g JOIN splits s ON g.rid >= s.te0 AND g.rid < s.te1 JOIN st ON s.split_id = st.split_id""")
+def ols_weighted_events(spark, d):
+    card = engine.PipelineCard([mod.LinearRegression()], labeler=_forward(weighting_strategy=ev.WeightByMax(100)))
+    out = engine.train_backtest(card, events_series(spark, d), EXPANDING, ("value",))
+    return out.where("predictions_LinearRegression IS NOT NULL").select("split_id", "rid", F.round("predictions_LinearRegression", 4).alias("p"))
+
+
+model("ols_with_gap", engine.PipelineCard([mod.LinearRegression()], forward_horizon=10), {"predictions_LinearRegression": "p"}, {"p": "m * value + c"}, _FIT, _STATE, digits=4, features=("value",), splits=splits_sql(0.4, 0.1, gap=10))
+
+
+@query("merge_tables", f"WITH {E} SELECT coalesce(x.rid, z.rid) AS rid, x.a, z.b, round(coalesce(x.v, z.v), 6) AS v FROM (SELECT rid, value AS a, value AS v FROM b WHERE rid < 60) x FULL JOIN (SELECT rid, cls AS b, value2 AS v FROM b WHERE rid BETWEEN 40 AND 99) z ON x.rid = z.rid")
+def merge_tables(spark, d):
+    df = events_series(spark, d)
+    left = df.where("rid < 60").select("rid", F.col("value").alias("a"), F.col("value").alias("v"))
+    right = df.where("rid BETWEEN 40 AND 99").select("rid", F.col("cls").alias("b"), F.col("value2").alias("v"))
+    return comp.merge_tables(left, right).withColumn("v", F.round("v", 6))
+
+
+@query("mean_correlation", f"WITH {E} SELECT round((corr(value, y) + corr(value, cls) + corr(y, cls)) / 3, 6) AS correlation FROM b")
+def mean_correlation(spark, d):
+    return comp.mean_correlation(events_series(spark, d), ["value", "y", "cls"]).select(F.round("correlation", 6).alias("correlation"))
+
+
 # --- the loop
 
 _PREDICTED = f"""WITH {D}, {SPLITS} {_TRAIN_LAG}, t AS (SELECT s.split_id, s.te0, b.*, lag(b.rev, 1) OVER (PARTITION BY s.split_id ORDER BY b.rid) AS l FROM b JOIN splits s ON b.rid >= greatest(s.te0 - 1, 0) AND b.rid < s.te1),

@@ -211,3 +211,11 @@ def test_pipelines_that_need_train_rows_are_not_lean(sine):
     assert lean_steps([feat.AddWindowFeatures(("x", None, "mean")), mod.LinearRegression()], splits) is None
     assert lean_steps([feat.AddLagsX(("x", 1)), mod.LinearRegression()], sliding) is None
     assert lean_steps([mod.LinearRegression()], sliding)
+
+
+def test_splitters_take_timestamps(sine):
+    ts = sine.where("rid = 300").first()["ts"]
+    out = engine.train_backtest([Identity()], sine, ExpandingWindowSplitter(100, 300, start=ts), ("x",))
+    assert out.agg(F.min("rid")).first()[0] == 400
+    with pytest.raises(ValueError):
+        engine.train([Identity()], sine, ExpandingWindowSplitter(100, 300, start="1999-01-01"), ("x",))
