@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def held_out(id_col: str, folds: int = 5, fold: int = 0) -> Column:
-    """Whether a row is kept from learning: crc32 of its id as text, modulo folds, is fold. A null id is held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
+def held_out(id_col: str, modulus: int = 5, remainder: int = 0) -> Column:
+    """Whether a row is kept from learning: crc32 of its id as text, modulo modulus, is remainder. A null id is held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
