@@ -111,13 +111,11 @@ def small_model():
     size = 60
     n = np.arange(size, 0, -1).astype(float)
     n[size - 2] = 0
-    of, fine = lm.classes(n, lm.OWN, lm.SHARED), lm.classes(n, lm.FINE_OWN, lm.FINE_SHARED)
-    fine[size - 2] = lm.FINE - 1
+    of, fine, near = lm.maps(n, size - 2)
     rng = np.random.default_rng(3)
     before, after = rng.integers(0, size - 2, 500), rng.integers(0, size - 3, 500)
-    slots = np.bincount(lm.slot(fine[before], after, size), minlength=lm.SLOTS)
-    steps = np.bincount(fine[before] * lm.CLASSES + of[after], minlength=lm.FINE * lm.CLASSES).reshape(lm.FINE, lm.CLASSES)
-    return lm.probabilities(of, fine, n, slots, steps), size
+    keys, times = np.unique(np.concatenate([near[before] * size + after, lm.NEAR * size + fine[before] * lm.CLASSES + of[after]]), return_counts=True)
+    return lm.probabilities(of, fine, near, n, keys, times), size
 
 
 def test_model_is_a_distribution_and_causal():
@@ -154,6 +152,6 @@ def test_gradients():
 
 
 def test_lookup():
-    keys = np.array([5, 5 + (1 << 20), 9, 1 << 60], np.uint64)
+    keys = np.array([5, 5 + (1 << 20), 9, 1 << 60], np.uint64)  # the first two meet in the table
     look = lm.Lookup(keys, np.array([1.0, 2.0, 3.0, 4.0]))
     assert look.get(np.array([5 + (1 << 20), 5, 9, 7, 1 << 60, 5 + (2 << 20)], np.uint64)).tolist() == [2, 1, 3, 0, 4, 0]
