@@ -81,7 +81,7 @@ def feature(name: str, pipeline, outputs: dict[str, str], exprs: dict[str, str],
 
     QUERIES[name] = query
     # adding 0 turns -0.0 into 0.0
-    out = ", ".join(f"round({k}, {digits}) + 0::DOUBLE AS {k}" if digits is not None else k for k in exprs)
+    out = ", ".join(f"round({k}, {digits}) + 0::DOUBLE AS {k}" if digits is not None else f"CAST({k} AS BIGINT) AS {k}" if cast else k for k in exprs)
     made = ", ".join(f"{x} AS {k}" for k, x in exprs.items())
     ORACLE_SQL[name] = f"""WITH {base}, {splits}{extra}, t AS (SELECT s.split_id, s.te0, b.* FROM b JOIN splits s ON b.rid >= greatest(s.te0 - {memory}, 0) AND b.rid < s.te1),
 r AS (SELECT t.split_id, t.rid, t.te0, {made} FROM t {joins} WINDOW w AS (PARTITION BY t.split_id ORDER BY t.rid))
