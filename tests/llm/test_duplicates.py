@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronospark.llm import common, exact_dedup, jaccard, licenses, substring_dedup
@@ -173,6 +174,47 @@ def test_repeated_passages_are_cut_but_for_the_first(spark):
     assert len(out[19]["text"]) < len(rows[19][1]) - 200
 
 
+def test_passages_inside_sentences_are_cut_whole(spark):
+    rng = random.Random(11)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, want, passages = [], {}, {}
+    for k in range(60):
+        passage = plain(rng.choice((25, 30, 51, 54, 57, 80)))
+        for i in range(3):
+            before, after = plain(rng.randint(3, 60)), plain(rng.randint(3, 60))
+            rows.append((3 * k + i, f"{before} {passage} {after}"))
+            want[3 * k + i] = rows[-1][1] if i == 0 else f"{before}  {after}"
+            passages[3 * k + i] = passage.split()
+    short = plain(24)
+    for i in (200, 201):
+        rows.append((i, f"{plain(40)} {short} {plain(40)}"))
+        want[i] = rows[-1][1]
+    out = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    unlike = 0
+    for r in out.collect():
+        # a paragraph with a few own words is alike as a whole
+        got, own = r["text"].split(), want[r["doc_id"]].split()
+        assert got == own or (r["doc_id"] % 3 and r["doc_id"] < 180 and not set(got) & set(passages[r["doc_id"]]) - set(own) and len(own) - len(got) <= 12)
+        unlike += got != own
+    assert unlike <= 12
+
+
+def test_winnowed_runs_of_shared_words():
+    rng = random.Random(12)
+    g = substring_dedup.GRAM
+    for _ in range(50):
+        shared = [f"w{rng.randrange(5)}" for _ in range(2 * g - 1 + rng.randrange(40))]
+        texts = [" ".join([f"{x}{i}" for i in range(rng.randrange(30))] + shared + [f"{x}{i}" for i in range(rng.randrange(30))]) for x in "ab"]
+        w = substring_dedup.Words(pa.array(texts))
+        places = []
+        for row in (0, 1):
+            at = substring_dedup.winnowed(w) - w.first[row]
+            lead = texts[row].split().index(shared[0])
+            places.append([int(x) - lead for x in at if lead <= x <= lead + len(shared) - g])
+        both = sorted(set(places[0]) & set(places[1]))
+        assert both[0] < g and both[-1] + g > len(shared) - g and all(b - a <= g for a, b in zip(both, both[1:]))
+
+
 def test_runs_to_cut():
     size, repeated = np.array([10, 3, 12, 8, 9, 2, 30]), np.array([1, 0, 1, 0, 0, 0, 1], bool)
     assert substring_dedup.runs_to_cut(size, repeated, 25) == [(0, 3), (6, 7)]
