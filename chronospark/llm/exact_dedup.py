@@ -79,10 +79,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of identical texts, all columns as they were."""
-    keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    left = docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return left.dropDuplicates([id_col])
+    """docs with one row of each group of identical texts, all columns as they were.
+
+    The row of largest id stays, a null id only where there is no other; of rows
+    that repeat it with that text any one does.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    own = identities(docs, id_col, text_col)
+    # one (id, hash) for each identity, so that ids that repeat with other texts and null ids stay apart
+    keep = own.groupBy("level", "name").agg(F.max("id").alias("_kept_id"), F.min("hash").alias("_kept_hash")).select("_kept_id", "_kept_hash")
+    own_hash = F.xxhash64(text(docs[text_col]).cast("binary"))
+    left = docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept_id")) & (own_hash == F.col("_kept_hash")), "left_semi")
+    return left.withColumn("_own_hash", F.xxhash64(text(F.col(text_col)).cast("binary"))).dropDuplicates([id_col, "_own_hash"]).drop("_own_hash")
 
 
 def op6_exact_dedup(spark, sf_dir):

@@ -64,6 +64,12 @@ def test_exact_edges(edges, empty):
     assert sorted(texts) == sorted({r["text"] or "" for r in edges.collect()})
 
 
+def test_exact_dedup_keeps_every_text_of_repeated_and_null_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, "b"), (5, "a1"), (5, "b1"), (5, "b1"), (6, "c"), (None, "c"), (4, "c"), (None, None), (None, "")]
+    kept = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == [("5", "a1"), ("5", "b1"), ("6", "c"), ("None", ""), ("None", "a"), ("None", "b")]
+
+
 def words_of(text, k):
     w = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text or "").split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
