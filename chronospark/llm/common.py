@@ -34,6 +34,14 @@ def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_parts(df: DataFrame, column: str, compression: str = "snappy") -> DataFrame:
+    """saved(df), in a folder for each value of a column of few values, so that readers of some values skip the others."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", compression).partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def saved_with(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     """saved(df), and aggregates over its rows from the same job."""
     seen = Observation()

@@ -1,53 +1,56 @@
 """Language-model scores from a causal self-attention model over subword ids.
 
-The vocabulary has classes: its most frequent ids have one each, and the others
-share the rest by a hash; finer maps of the same kind say what came before. The
-model's probability of an id is that of its class, given what came before, times
-that of the id within its class, given a finer class before. Both are counted
-over the whole training corpus, in tables bounded by the vocabulary (FINE x
-CLASSES and NEAR x ids). On top of the class's log-probability, attention over
-the last one to two blocks of tokens shifts the classes. Its weights are trained
-in numpy: every training document
-gives windows in proportion to its length, every partition trains from the same
-start, and the weights are averaged, weighted by windows.
-
-Scoring cuts a text into blocks. A window is a block and the one before it; the
-queries of a block's places attend to the window's earlier tokens under a mask,
-all windows of a batch at once, and each token is scored once. One query serves
-the next STRIDE tokens, which also see their own last token.
+A text is its words, lower-cased in A-Z, each after one space, and its end.
+Attention over the ids before a place says how much each of TOPICS kinds of text
+this may be, and a mixture of the kinds' transition tables gives the next id's
+probability. That is a proper distribution over ids.
+
+The tables are counted over all training ids. Ids have classes: the most
+frequent have one each, the others share the rest by a hash and have their
+frequency within it. How often two classes lie some ids apart is counted first;
+a factorisation of that matrix finds the kinds, and a kind's transitions are
+counted over the blocks that it fits best. All tables have fixed sizes.
+
+Attention is trained in numpy on every training id, in rounds: each round has
+its share of the documents, every partition goes on from the same weights, and
+the weights are averaged, weighted by ids.
+
+Scoring cuts a text into blocks. A window is a block and the BACK blocks before
+it; a query at each place attends under a mask to the window's groups of GROUP
+ids up to that place, many windows at once, and each id is scored once.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WORD, byte_characters, slices
-from .common import documents, saved
+from .common import documents, saved, saved_parts
 from .labelled import held_out
-from .textnum import PieceTable, Words, mix
+from .textnum import flat_polynomials, mix, runs_by_bytes
 
-BLOCK, STRIDE, DIM, INPUTS = 32, 4, 16, 4096
-SPAN = 64
-OWN, SHARED = 48, 16
-CLASSES = OWN + SHARED
-FINE_OWN, FINE_SHARED = 960, 64
-FINE = FINE_OWN + FINE_SHARED + 1  # the last is a text's begin
-NEAR_OWN, NEAR_SHARED = 480, 32
-NEAR = NEAR_OWN + NEAR_SHARED + 1  # as FINE, for ids within their class
-PRIOR = 5.0
-PARTS = 64  # pieces of the weights that are averaged side by side
+BLOCK, GROUP, BACK, DIM, TOPICS = 32, 4, 2, 16, 8
+KEYS = BLOCK // GROUP
+WIDE = (BACK + 1) * KEYS
+OWN, SHARED = 991, 32
+CLASSES = OWN + SHARED + 1  # the last is a text's begin
+LAGS = (23, 41)  # ids apart: too far for anything but the kind of text to tell
+SPAN = 32  # blocks at a time: their arrays stay in the cache
+STEP = 8 * SPAN  # blocks in a step of training
+ROUNDS = ((1, 0.01), (2, 0.006), (4, 0.004), (9, 0.002))  # sixteenths of the documents, and the rate, of each round
+PIECES = 64  # pieces of the weights that are averaged side by side
 
 
 class Subwords:
-    """Ids of texts by tiktoken, kept by space-separated piece."""
+    """Ids of texts' words by tiktoken, and the words' hashes from their ids."""
 
     def __init__(self, vocabulary: str):
         import tiktoken
@@ -56,37 +59,30 @@ class Subwords:
             spec = json.load(f)
         of, special = byte_characters(), {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        # ids that go over the border of two words aren't used, so that a space is always an id's first byte
+        ranks = {t: i for t, i in ranks.items() if b" " not in t[1:]}
         self.coder = tiktoken.Encoding("subwords", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
         self.begin = max(spec["model"]["vocab"].values()) + 1
         self.end, self.size = self.begin + 1, self.begin + 2
-        self.spaced = np.zeros(self.size, bool)
-        self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        self.pieces = PieceTable(self.learn)
-
-    def one(self, text: str) -> np.ndarray:
-        try:
-            return self.coder.encode_to_numpy(text)
-        except BaseException as e:  # its pattern gives up on extreme runs of white space; such a text goes in parts
-            if "tack" not in str(e) or len(text) < 1000:
-                raise
-            return np.concatenate([self.one(text[i : i + 500]) for i in range(0, len(text), 500)])
-
-    def learn(self, kinds: list[bytes]) -> list[bytes]:
-        """Pieces of one space each are encoded in a row: an id that begins with a space begins a piece."""
-        plain = [i for i, k in enumerate(kinds) if k[:1] == b" " and k.count(b" ") == 1]
-        out: list[bytes | None] = [None] * len(kinds)
-        ids = self.one(b"".join(kinds[i] for i in plain).decode()).astype("<u4")
-        at = np.flatnonzero(self.spaced[ids])
-        if len(at) == len(plain):
-            raw = ids.tobytes()
-            for i, a, b in zip(plain, (4 * at).tolist(), [*(4 * at[1:]).tolist(), len(raw)]):
-                out[i] = raw[a:b]
-        return [self.one(k.decode()).astype("<u4").tobytes() if x is None else x for k, x in zip(kinds, out, strict=True)]
+        own = [b""] * self.size
+        for t, i in ranks.items():
+            own[i] = t
+        #: of each id: whether it begins a word; its bytes but for that space, as a polynomial; how many these are
+        self.opens = np.array([t[:1] == b" " for t in own])
+        own = [t[1:] if t[:1] == b" " else t for t in own]
+        self.value, self.bytes = flat_polynomials(own), np.array([len(t) for t in own])
 
     def encode(self, column) -> list[np.ndarray]:
-        """The ids of each text."""
-        ids, borders = self.pieces.encode(column)
-        return [ids[a:b] for a, b in zip(borders.tolist(), borders[1:].tolist())]
+        """The ids of each text; nulls are empty."""
+        text = pc.ascii_lower(pc.ascii_trim_whitespace(column.fill_null("")))
+        text = pc.replace_substring_regex(text, "[\\t-\\r ]+", " ")
+        return [self.coder.encode_to_numpy(" " + t).astype("<u4", copy=False) if t else np.empty(0, "<u4") for t in text.to_pylist()]
+
+    def words(self, ids: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words that ids spell, and the texts' borders in them."""
+        start = np.flatnonzero(self.opens[ids])
+        end = np.append(start[1:], len(ids))[: len(start)]
+        return runs_by_bytes(self.value[ids], self.bytes[ids], start, end), np.searchsorted(start, borders)
 
 
 @functools.lru_cache(maxsize=2)
@@ -120,45 +116,81 @@ class Counts:
         return found
 
 
+class Lookup:
+    """Values by 64-bit key: a table by the key's low bits, and a sorted rest for keys that met there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(10, int(len(keys)).bit_length() + 2 * (len(keys) < 1_000_000))
+        self.low = np.uint64((1 << bits) - 1)
+        slot = (keys & self.low).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
+        self.key[slot[first]], self.value[slot[first]] = keys[first], values[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.more, self.worth = keys[rest], values[rest]
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, 0 where a key isn't held."""
+        slot = (keys & self.low).astype(np.int64)
+        value, same = self.value[slot], self.key[slot] == keys
+        out = np.where(same, value, self.value.dtype.type(0))
+        if len(self.more):
+            miss = np.flatnonzero(~same & (value > 0))
+            place = np.minimum(np.searchsorted(self.more, keys[miss]), len(self.more) - 1)
+            same = self.more[place] == keys[miss]
+            out[miss[same]] = self.worth[place[same]]
+        return out
+
+
+# --- ids of many texts as arrays
+
+
 def encoded(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """rows (id, hash, held_out, text) with ids, as bytes of 32-bit integers, in place of the text; written to be read several times."""
+    """rows (id, hash, held_out, part, text) with ids, as bytes of 32-bit integers, in place of the text; written to be read several times, by part."""
 
     def run(batches):
         coder = subwords(vocabulary)
         for big in batches:
             for batch in slices(big):
-                ids = pa.array([x.tobytes() for x in coder.encode(batch.column(3))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], ["id", "hash", "held_out", "ids"])
+                ids = pa.array([x.tobytes() for x in coder.encode(batch.column(4))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids], ["id", "hash", "held_out", "part", "ids"])
 
-    return saved(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, held_out boolean, ids binary"), "zstd")
+    return saved_parts(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, held_out boolean, part int, ids binary"), "part", "zstd")
 
 
-def sequences(column, begin: int, end: int) -> list[np.ndarray]:
-    a, b = begin.to_bytes(4, "little"), end.to_bytes(4, "little")
-    return [np.frombuffer(a + x + b, "<u4").astype(np.int64) for x in column.to_pylist()]
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of texts in a row, and each text's borders in them."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    ids = np.frombuffer(data, "<u4", (at[-1] - at[0]) // 4, at[0]) if at[-1] > at[0] else np.empty(0, "<u4")
+    return ids.astype(np.int64), (at - at[0]) // 4
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(key, n): how often each word occurs in texts, by the word's hash."""
+class Blocks:
+    """Texts cut into blocks of places: the class before each place, the id and class at it, whether it exists, and each block's number in its text."""
 
-    def run(batches):
-        words = Counts()
-
-        def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.uint64).view(np.int64)), pa.array(found[1].astype(np.int64))], ["key", "n"])
-
-        for big in batches:
-            for batch in slices(big):
-                words.add(Words(batch.column(0)).hash)
-                if words.held > words.most // 2:
-                    yield rows(words.take())
-        yield rows(words.take())
+    def __init__(self, ids: np.ndarray, borders: np.ndarray, t: dict, begin: int, end: int):
+        sizes = np.diff(borders) + 1
+        blocks = -(-sizes // BLOCK)
+        self.edge = np.append(0, np.cumsum(blocks))
+        first = np.append(0, np.cumsum(sizes))[:-1]
+        place = np.repeat(self.edge[:-1] * BLOCK - first, sizes) + np.arange(int(sizes.sum()))
+        n = int(self.edge[-1]) * BLOCK
+        self.came, self.id, self.live = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        self.came[place] = t["of"][np.insert(ids, borders[:-1], begin)]
+        self.id[place] = np.insert(ids, borders[1:], end)
+        self.live[place] = True
+        self.goes = t["of"][self.id]
+        self.order = np.arange(len(self)) - np.repeat(self.edge[:-1], blocks)
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def __len__(self) -> int:
+        return int(self.edge[-1])
 
 
-def summed(ids: DataFrame, keys, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, how often each comes) of keys under size; keys gives those of a list of sequences. At most size rows reach the driver."""
+def summed(ids: DataFrame, keys, size: int) -> np.ndarray:
+    """How often each key from 0 to size - 1 comes; keys gives those of a batch's column. At most size rows, in practice the few that occur, reach the driver."""
 
     def run(batches):
         total = np.zeros(size, np.int32)
@@ -169,258 +201,300 @@ def summed(ids: DataFrame, keys, size: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["key", "n"])
 
     found = ids.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    out = np.zeros(size)
+    out[found["key"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    return out
 
 
-def classes(n: np.ndarray, own: int, shared: int) -> np.ndarray:
-    """Each id's class: 0 to own - 1 for the most frequent ids, else one of the shared by a hash."""
-    of = own + (mix(np.arange(len(n), dtype=np.uint64)) % np.uint64(shared)).astype(np.int64)
-    top = np.argsort(-n, kind="stable")[:own]
-    of[top] = np.arange(len(top))
-    return of
-
+# --- counted tables
 
-def tables(ids: DataFrame, begin: int, end: int) -> dict:
-    """Classes and their log-probabilities from all sequences (a column ids)."""
-    size = end + 1
-    key, times = summed(ids, lambda column: np.concatenate(sequences(column, begin, end)), size)
-    n = np.zeros(size)
-    n[key] = times
-    n[begin] = 0
-    of, fine, near = maps(n, begin)
 
-    def keys(column):
-        flat = np.concatenate(sequences(column, begin, end))
-        go = flat[1:] != begin
-        before, after = flat[:-1][go], flat[1:][go]
-        return np.concatenate([near[before] * size + after, NEAR * size + fine[before] * CLASSES + of[after]])
+def count_words(ids: DataFrame, vocabulary: str) -> DataFrame:
+    """(kind, key, n): how often each word (kind 0, by its hash) and each id (kind 1) occurs in a column ids."""
 
-    return probabilities(of, fine, near, n, *summed(ids, keys, NEAR * size + FINE * CLASSES))
+    def run(batches):
+        coder = subwords(vocabulary)
+        words, single = Counts(), np.zeros(coder.size, np.int64)
 
+        def rows(kind, keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-def maps(n: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each id's class, and its finer and near class as what comes before."""
-    of, fine, near = classes(n, OWN, SHARED), classes(n, FINE_OWN, FINE_SHARED), classes(n, NEAR_OWN, NEAR_SHARED)
-    fine[begin], near[begin] = FINE - 1, NEAR - 1
-    return of, fine, near
+        for big in batches:
+            for batch in slices(big):
+                own, borders = flat(batch.column(0))
+                single += np.bincount(own, minlength=coder.size)
+                single[coder.end] += batch.num_rows
+                words.add(coder.words(own, borders)[0])
+                if words.held > words.most // 2:
+                    yield rows(0, *words.take())
+        yield rows(0, *words.take())
+        some = np.flatnonzero(single)
+        yield rows(1, some, single[some])
 
+    return ids.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
-def probabilities(of: np.ndarray, fine: np.ndarray, near: np.ndarray, n: np.ndarray, keys: np.ndarray, times: np.ndarray) -> dict:
-    """From counts n of ids, and of keys: near x ids, then fine x classes."""
-    size = len(of)
-    total = n + 0.1
-    in_class = np.bincount(of, total, CLASSES)
-    pair = keys < NEAR * size
-    steps = np.zeros(FINE * CLASSES)
-    steps[keys[~pair] - NEAR * size] = times[~pair]
-    before, after = keys[pair] // size, keys[pair] % size
-    norm = np.bincount(before * CLASSES + of[after], times[pair], NEAR * CLASSES).reshape(NEAR, CLASSES)
-    step = steps.reshape(FINE, CLASSES) + PRIOR * in_class / in_class.sum()
-    step /= step.sum(axis=1, keepdims=True)
-    return {
-        "of": of, "fine": fine, "near": near, "alone": (PRIOR * total / in_class[of]).astype(np.float32), "norm": (norm + PRIOR).astype(np.float32),
-        "pairs": Lookup(mix(keys[pair].astype(np.uint64)), times[pair].astype(np.float32)), "step": np.log(step, out=np.full(step.shape, -np.inf), where=step > 0).astype(np.float32),
-    }
 
+def classes(n: np.ndarray, begin: int) -> np.ndarray:
+    """Each id's class: 0 to OWN - 1 for the most frequent ids, else one of the shared by a hash; begin has the last."""
+    of = OWN + (mix(np.arange(len(n), dtype=np.uint64)) % np.uint64(SHARED)).astype(np.int64)
+    top = np.argsort(-n, kind="stable")[:OWN]
+    of[top] = np.arange(len(top))
+    of[begin] = CLASSES - 1
+    return of
 
-class Lookup:
-    """Values by 64-bit key: a table by the key's low bits, and a sorted rest for keys that met there."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(10, int(len(keys)).bit_length() + 2 * (len(keys) < 1_000_000))
-        self.low = np.uint64((1 << bits) - 1)
-        slot = (keys & self.low).astype(np.int64)
-        _, first = np.unique(slot, return_index=True)
-        self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
-        self.key[slot[first]], self.value[slot[first]] = keys[first], values[first]
-        rest = np.setdiff1d(np.arange(len(keys)), first)
-        rest = rest[np.argsort(keys[rest])]
-        self.more, self.worth = keys[rest], values[rest]
+def kinds(far: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Each kind's share of each class (TOPICS x CLASSES): far is nearly a sum over kinds of outer products of these, found by expectation maximisation."""
+    far = far + far.T
+    base = (far.sum(axis=0) + 0.1) / (far.sum() + 0.1 * len(far))
+    share = base * np.random.default_rng(3).uniform(0.5, 1.5, (TOPICS, len(far)))
+    share /= share.sum(axis=1, keepdims=True)
+    weight = np.full(TOPICS, 1 / TOPICS)
+    for _ in range(rounds if far.any() else 0):
+        made = (share * weight[:, None]).T @ share
+        gain = share * (share @ np.divide(far, made, out=np.zeros_like(far), where=far > 0)) * weight[:, None] + 1e-9
+        weight = gain.sum(axis=1) / gain.sum()
+        share = gain / gain.sum(axis=1, keepdims=True)
+    return 0.98 * share + 0.02 * base
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The values, 0 where a key isn't held."""
-        slot = (keys & self.low).astype(np.int64)
-        value, same = self.value[slot], self.key[slot] == keys
-        out = np.where(same, value, self.value.dtype.type(0))
-        if len(self.more):
-            miss = np.flatnonzero(~same & (value > 0))
-            place = np.minimum(np.searchsorted(self.more, keys[miss]), len(self.more) - 1)
-            same = self.more[place] == keys[miss]
-            out[miss[same]] = self.worth[place[same]]
-        return out
 
+def tables(ids: DataFrame, n: np.ndarray, begin: int, end: int) -> dict:
+    """Classes and their probabilities from all texts (a column ids); n: how often each id occurs."""
+    t = {"of": classes(n, begin)}
+    far_of = t["of"]
 
-SHAPES = {"e": (INPUTS, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "r": (2 * BLOCK,), "out": (DIM, CLASSES), "bias": (CLASSES,)}
+    def apart(column):
+        own, borders = flat(column)
+        kind, text = far_of[own], np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+        return np.concatenate([(kind[:-lag] * CLASSES + kind[lag:])[text[:-lag] == text[lag:]] for lag in LAGS])
 
+    log_share = np.log(kinds(summed(ids, apart, CLASSES * CLASSES).reshape(CLASSES, CLASSES))).T.astype(np.float32)
 
-def start_weights() -> dict:
-    rng = np.random.default_rng(11)
-    w = {k: (rng.standard_normal(s) * (0.3 if k == "e" else 1 / np.sqrt(DIM))).astype(np.float32) for k, s in SHAPES.items()}
-    return w | {"r": np.zeros(SHAPES["r"], np.float32), "bias": np.zeros(CLASSES, np.float32), "out": 0.05 * w["out"]}
+    def steps(column):
+        b = Blocks(*flat(column), {"of": far_of}, begin, end)
+        return ((b.came * CLASSES + b.goes) * TOPICS + np.repeat(fits(log_share, b), BLOCK))[b.live]
 
+    return t | probabilities(t["of"], n, summed(ids, steps, CLASSES * CLASSES * TOPICS), begin) | {"share": log_share}
 
-_QUERIES = np.arange(0, BLOCK, STRIDE)
-#: distance from a query to each place of its window; under 0 it is in the future
-_DISTANCE = (BLOCK + _QUERIES)[:, None] - np.arange(2 * BLOCK)[None, :]
-_MASK = np.where(_DISTANCE >= 0, 0.0, -1e9).astype(np.float32)
 
+def fits(log_share: np.ndarray, b: Blocks) -> np.ndarray:
+    """The kind that fits each block best, its neighbours counting half."""
+    own = log_share[b.goes]
+    own[~b.live] = 0
+    own = own.reshape(-1, BLOCK, TOPICS).sum(axis=1)
+    total = own.copy()
+    goes_on = b.order[1:] > 0
+    total[1:][goes_on] += 0.5 * own[:-1][goes_on]
+    total[:-1][goes_on] += 0.5 * own[1:][goes_on]
+    return total.argmax(axis=1)
 
-def attend(w: dict, x: np.ndarray, first: np.ndarray) -> tuple:
-    """What each query of each block (blocks x BLOCK x DIM) gathers from its window; first: blocks that have none before them."""
-    q, k, v = x[:, _QUERIES] @ w["q"], x @ w["k"], x @ w["v"]
 
-    def window(own: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.concatenate([own[:1], own[:-1]]), own], axis=1)
+def probabilities(of: np.ndarray, n: np.ndarray, counts: np.ndarray, begin: int) -> dict:
+    """step: the probability of each class after each class, by kind; within: the log probability of an id in its class.
 
-    wide_k, wide_v = window(k), window(v)
-    s = q @ wide_k.transpose(0, 2, 1) * np.float32(DIM**-0.5)
-    s += w["r"][np.maximum(_DISTANCE, 0)] + _MASK
-    s[first, :, :BLOCK] = -1e9
+    A kind's table leans on that of all kinds, and this on the classes alone, by
+    as much as there are unlike followers (Witten and Bell's rule).
+    """
+    counts = counts.reshape(CLASSES, CLASSES, TOPICS)
+    total = n + 0.1
+    total[begin] = 0
+    in_class = np.bincount(of, total, CLASSES)
+    every = counts.sum(axis=2)
+    lean = (every > 0).sum(axis=1, keepdims=True) + 1
+    whole = (every + lean * (in_class / in_class.sum())) / (every.sum(axis=1, keepdims=True) + lean)
+    lean = (counts > 0).sum(axis=1, keepdims=True) + 1
+    step = (counts + lean * whole[:, :, None]) / (counts.sum(axis=1, keepdims=True) + lean)
+    within = np.log(total / np.where(in_class > 0, in_class, 1)[of], out=np.full(len(of), -np.inf), where=total > 0)
+    return {"step": step.reshape(-1, TOPICS).astype(np.float32), "within": within}
+
+
+# --- attention
+
+SHAPES = {"e": (CLASSES, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "r": (WIDE,), "out": (DIM, TOPICS), "own": (DIM, TOPICS), "bias": (TOPICS,)}
+SCALE = np.float32(DIM**-0.5)
+_PLACE, _KEY = np.arange(BLOCK), np.arange(WIDE)
+#: the last place of each group of a window, from the block's begin on
+_LAST = (_KEY + 1) * GROUP - 1 - BACK * BLOCK
+#: how many groups back each key is from each place, and which keys a place may see
+_AGO = np.clip((_PLACE[:, None] - _LAST[None, :]) // GROUP, 0, WIDE - 1)
+_SEEN = np.where(_LAST[None, :] <= _PLACE[:, None], 0.0, -1e9).astype(np.float32)
+#: which keys a text's first blocks lack
+_LACK = np.array([np.where(_KEY < (BACK - order) * KEYS, -1e9, 0.0) for order in range(BACK)], np.float32)[:, None, :]
+
+
+def start_weights(log_share: np.ndarray) -> dict:
+    """Ids begin with what they say of each kind, and attention with their mean."""
+    rng = np.random.default_rng(11)
+    w = {k: (rng.standard_normal(s) / np.sqrt(DIM)).astype(np.float32) for k, s in SHAPES.items()}
+    w["e"] *= 0.3
+    w["e"][:, :TOPICS] = np.clip(log_share - np.log(np.exp(log_share).mean(axis=1, keepdims=True)), -4, 4)
+    eye = np.eye(DIM, TOPICS, dtype=np.float32)
+    return w | {"q": 0.1 * w["q"], "v": np.eye(DIM, dtype=np.float32), "out": 3 * eye, "own": 0.3 * eye, "r": np.zeros(WIDE, np.float32), "bias": np.zeros(TOPICS, np.float32)}
+
+
+def ready(w: dict) -> dict:
+    """Weights as attend uses them: a group's key and value come from its ids' mean."""
+    kv = np.tile(np.concatenate([w["k"], w["v"]], axis=1) / GROUP, (GROUP, 1))
+    return w | {"kv": kv, "scaled": w["q"] * SCALE, "mask": w["r"][_AGO] + _SEEN}
+
+
+def attend(w: dict, came: np.ndarray, order: np.ndarray) -> tuple:
+    """The kinds' weights at each place of blocks that follow each other (and what led there); order: each block's number in its text."""
+    n = len(order)
+    x = np.take(w["e"], came, axis=0)
+    q = (x @ w["scaled"]).reshape(n, BLOCK, DIM)
+    own = (x.reshape(-1, GROUP * DIM) @ w["kv"]).reshape(n, KEYS, 2 * DIM)
+    before = [np.concatenate([np.zeros_like(own[:b]), own[:-b]])[:n] for b in range(BACK, 0, -1)]
+    kv = np.concatenate([*before, own], axis=1)
+    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    s = q @ k.transpose(0, 2, 1)
+    s += w["mask"]
+    for early in range(BACK):
+        s[order == early] += _LACK[early]
     np.minimum(s, 30, out=s)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    return q, wide_k, wide_v, s, s @ wide_v
-
-
-def score_ids(w: dict, t: dict, sequences: list[np.ndarray], natural: bool = False) -> np.ndarray:
-    """The log10 probability of each sequence of ids after its first (begin)."""
-    sizes = np.array([len(s) - 1 for s in sequences])
-    blocks = -(-sizes // BLOCK)
-    begin = np.concatenate([[0], np.cumsum(blocks)])
-    n = int(begin[-1])
-    before, after = np.zeros(n * BLOCK, np.int64), np.zeros(n * BLOCK, np.int64)
-    live = np.zeros(n * BLOCK, bool)
-    for s, b in zip(sequences, (begin[:-1] * BLOCK).tolist(), strict=True):
-        before[b : b + len(s) - 1], after[b : b + len(s) - 1], live[b : b + len(s) - 1] = s[:-1], s[1:], True
-    out = np.zeros(n * BLOCK, np.float32)
-    first = np.zeros(n, bool)
-    first[begin[:-1][blocks > 0]] = True
-    of, fine = t["of"], t["fine"]
-    for a in range(0, n, SPAN):  # a few windows at a time stay in the cache; one block more for what comes before
-        lead = 1 if a and not first[a] else 0
-        z = min(n, a + SPAN)
-        x = w["e"][before[(a - lead) * BLOCK : z * BLOCK] % INPUTS].reshape(-1, BLOCK, DIM)
-        mark = first[a - lead : z].copy()
-        mark[0] = True
-        gathered = attend(w, x, np.flatnonzero(mark))[-1][lead:] @ w["o"]
-        u = np.tanh(np.repeat(gathered, STRIDE, axis=1).reshape(-1, DIM) + x[lead:].reshape(-1, DIM))
-        shift = u @ w["out"] + w["bias"]
-        came, goes = before[a * BLOCK : z * BLOCK], after[a * BLOCK : z * BLOCK]
-        row, aim = fine[came], of[goes]
-        # an id with a class of its own has all of it
-        some = np.flatnonzero(aim >= OWN)
-        close, id_, class_ = t["near"][came[some]], goes[some], aim[some]
-        within = np.zeros(len(aim), np.float32)
-        within[some] = np.log((t["pairs"].get(mix((close * len(of) + id_).astype(np.uint64))) + t["alone"][id_]) / t["norm"][close, class_])
-        shift += t["step"][row]
-        picked = shift[np.arange(len(aim)), aim] + within
-        np.exp(shift, out=shift)
-        out[a * BLOCK : z * BLOCK] = picked - np.log(shift.sum(axis=1))
-    out[~live] = 0
-    total = np.add.reduceat(np.append(out, 0).astype(np.float64), np.minimum(begin[:-1] * BLOCK, n * BLOCK))
-    total[blocks == 0] = 0
-    return total if natural else total / np.log(10)
-
-
-def gradients(w: dict, t: dict, window: np.ndarray) -> tuple[dict, float]:
-    """Of the mean loss over windows (n x 2 BLOCK + 1 ids), whose second blocks are predicted."""
-    n = len(window)
-    ids = window[:, :-1]
-    x = w["e"][ids % INPUTS]
-    xq, own = x[:, BLOCK + _QUERIES], x[:, BLOCK:]
-    q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
-    scale = np.float32(DIM**-0.5)
-    s = np.minimum(q @ k.transpose(0, 2, 1) * scale + w["r"][np.maximum(_DISTANCE, 0)] + _MASK, 30)
-    a = np.exp(s)
-    a /= a.sum(axis=2, keepdims=True)
-    c = a @ v
-    u = np.tanh(np.repeat(c @ w["o"], STRIDE, axis=1) + own)
-    row = t["fine"][ids[:, BLOCK:]]
-    aim = t["of"][window[:, BLOCK + 1 :]]
-    p = np.exp(u @ w["out"] + w["bias"] + t["step"][row])
-    p /= p.sum(axis=2, keepdims=True)
-    at = (np.arange(n)[:, None], np.arange(BLOCK)[None, :], aim)
-    loss = -float(np.log(p[at]).mean())
-    p[at] -= 1
-    p /= n * BLOCK
-    g = {"out": u.reshape(-1, DIM).T @ p.reshape(-1, CLASSES), "bias": p.sum(axis=(0, 1))}
-    du = (p @ w["out"].T) * (1 - u * u)
-    dh = du.reshape(n, len(_QUERIES), STRIDE, DIM).sum(axis=2)
-    g["o"] = c.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-    dc = dh @ w["o"].T
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-    g["r"] = np.bincount(np.maximum(_DISTANCE, 0).reshape(-1), ds.sum(axis=0).reshape(-1), 2 * BLOCK)
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dc
-    g["q"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-    g["k"], g["v"] = (x.reshape(-1, DIM).T @ d.reshape(-1, DIM) for d in (dk, dv))
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, BLOCK:] += du
-    dx[:, BLOCK + _QUERIES] += dq @ w["q"].T
-    g["e"] = np.column_stack([np.bincount((ids % INPUTS).reshape(-1), dx[..., j].reshape(-1), INPUTS) for j in range(DIM)])
+    # a place that sees no group yet gathers nothing: 1 stands for that
+    inverse = 1 / (1 + s.reshape(-1, WIDE) @ np.ones((WIDE, 1), np.float32))
+    c = (s @ v).reshape(-1, DIM)
+    c *= inverse
+    p = c @ w["out"]
+    p += x @ w["own"]
+    p += w["bias"]
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p @ np.ones((TOPICS, 1), np.float32)
+    return x, q, k, v, s, inverse, c, p
+
+
+def log_probabilities(w: dict, t: dict, b: Blocks) -> np.ndarray:
+    """The natural log probability of the id at each place; w: ready weights."""
+    out = np.zeros(len(b) * BLOCK)
+    for a in range(0, len(b), SPAN):
+        z, lead = min(len(b), a + SPAN), min(a, BACK)
+        order = np.minimum(b.order[a - lead : z], np.arange(z - a + lead) + (BACK if lead == BACK else 0))
+        p = attend(w, b.came[(a - lead) * BLOCK : z * BLOCK], order)[-1][lead * BLOCK :]
+        at = slice(a * BLOCK, z * BLOCK)
+        p *= np.take(t["step"], b.came[at] * CLASSES + b.goes[at], axis=0)
+        out[at] = np.log(p @ np.ones(TOPICS, np.float32))
+    out += t["within"][b.id]
+    out[~b.live] = 0
+    return out
+
+
+def gradients(w: dict, t: dict, came: np.ndarray, goes: np.ndarray, live: np.ndarray, order: np.ndarray) -> tuple[dict, float]:
+    """Of the loss summed over the live places of blocks that follow each other."""
+    n, r = len(order), ready(w)
+    x, q, k, v, s, inverse, c, p = attend(r, came, order)
+    right = np.take(t["step"], came * CLASSES + goes, axis=0) * p
+    total = right @ np.ones((TOPICS, 1), np.float32)
+    loss = -float(np.log(total[live]).sum())
+    dp = p - right / total
+    dp *= live[:, None]
+    g = {"out": c.T @ dp, "own": x.T @ dp, "bias": dp.sum(axis=0)}
+    dx, dc = dp @ w["own"].T, dp @ w["out"].T
+    meet = ((dc * c) @ np.ones((DIM, 1), np.float32)).reshape(n, BLOCK, 1)
+    dc = dc.reshape(n, BLOCK, DIM)
+    s *= inverse.reshape(n, BLOCK, 1)
+    dv = s.transpose(0, 2, 1) @ dc
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= meet
+    ds *= s
+    g["r"] = np.bincount(_AGO.reshape(-1), ds.sum(axis=0).reshape(-1), WIDE)
+    dq = (ds @ k).reshape(-1, DIM) * SCALE
+    wide = np.concatenate([ds.transpose(0, 2, 1) @ q, dv], axis=2)
+    own = wide[:, BACK * KEYS :].copy()
+    for back in range(1, min(BACK, n - 1) + 1):
+        own[:-back] += wide[back:, (BACK - back) * KEYS : (BACK - back + 1) * KEYS]
+    own = own.reshape(-1, 2 * DIM)
+    groups = x.reshape(-1, GROUP, DIM).mean(axis=1)
+    g["q"], g["k"], g["v"] = x.T @ dq, groups.T @ own[:, :DIM], groups.T @ own[:, DIM:]
+    dx += dq @ w["q"].T
+    dx += (own @ r["kv"].T).reshape(-1, DIM)
+    at = np.argsort(came.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(came[at], prepend=-1))
+    g["e"] = np.zeros((CLASSES, DIM), dx.dtype)
+    g["e"][came[at[first]]] = np.add.reduceat(np.take(dx, at, axis=0), first, axis=0)
     return g, loss
 
 
 class Trainer:
-    """Adam from given weights."""
+    """Adam from given weights, a step for each STEP blocks or what is left."""
 
-    def __init__(self, weights: dict, rate: float = 0.01):
+    def __init__(self, weights: dict, rate: float):
         self.w = {k: v.copy() for k, v in weights.items()}
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.s = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.rate, self.steps, self.windows = rate, 0, 0
-
-    def step(self, t: dict, window: np.ndarray) -> float:
-        g, loss = gradients(self.w, t, window)
-        self.steps, self.windows = self.steps + 1, self.windows + len(window)
+        self.rate, self.steps, self.seen, self.loss = rate, 0, 0, 0.0
+
+    def learn(self, t: dict, b: Blocks) -> None:
+        for a in range(0, len(b), STEP):
+            total: dict = {}
+            stop = min(len(b), a + STEP)
+            for y in range(a, stop, SPAN):
+                z = min(stop, y + SPAN)
+                at = slice(y * BLOCK, z * BLOCK)
+                # what lies before this part of the blocks isn't seen here
+                g, loss = gradients(self.w, t, b.came[at], b.goes[at], b.live[at], np.minimum(b.order[y:z], np.arange(z - y)))
+                self.loss += loss
+                total = {k: total[k] + x for k, x in g.items()} if total else g
+            n = int(b.live[a * BLOCK : stop * BLOCK].sum())
+            self.seen += n
+            self.step({k: x / n for k, x in total.items()})
+
+    def step(self, g: dict) -> None:
+        self.steps += 1
         fix = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for k, grad in g.items():
             grad = grad.astype(np.float32)
-            self.m[k] += 0.1 * (grad - self.m[k])
-            self.s[k] += 0.01 * (grad * grad - self.s[k])
+            self.m[k] += np.float32(0.1) * (grad - self.m[k])
+            self.s[k] += np.float32(0.01) * (grad * grad - self.s[k])
             self.w[k] -= np.float32(self.rate * fix) * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-6))
-        return loss
-
 
-def windows(ids: np.ndarray, every: int) -> list[np.ndarray]:
-    """Runs of 2 BLOCK + 1 ids: one of every so many ids, at a place fixed by the ids; a shorter sequence gives none."""
-    need = 2 * BLOCK + 1
-    if len(ids) < need:
-        return []
-    starts = [min(a + zlib.crc32(ids[a : a + 8].tobytes()) % every, len(ids) - need) for a in range(0, len(ids), every)]
-    return [ids[a : a + need] for a in starts]
 
+def train(ids: DataFrame, begin: int, end: int, model_tables: dict, rounds=ROUNDS) -> dict:
+    """Attention weights from all training texts (columns part, ids); each round's average is all that the driver receives.
 
-def train(ids: DataFrame, begin: int, end: int, model_tables: dict, every: int = 1024, rate: float = 0.01) -> dict:
-    """Attention weights from windows of all sequences (a column ids); the driver receives their average only."""
+    A text is in the round of its part, and all its ids are learnt from.
+    """
     shared = ids.sparkSession.sparkContext.broadcast(model_tables)
     sizes = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
+    weights = start_weights(model_tables["share"])
 
-    def run(batches):
-        own, held = Trainer(start_weights(), rate), []
-        for big in batches:
-            for batch in slices(big):
-                for x in sequences(batch.column(0), begin, end):
-                    held += windows(x, every)
-                while len(held) >= 64:
-                    own.step(shared.value, np.array(held[:64]))
-                    held = held[64:]
-        if len(held) > 8 or (held and not own.windows):
-            own.step(shared.value, np.array(held))
-        if own.windows:
-            flat = np.concatenate([own.w[k].reshape(-1) for k in SHAPES])
-            cut = np.array_split(flat, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([own.windows] * PARTS, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "windows", "weights"])
+    def one_round(start: dict, rate: float):
+        def run(batches):
+            own = Trainer(start, rate)
+            for big in batches:
+                for batch in slices(big):
+                    own.learn(shared.value, Blocks(*flat(batch.column(0)), shared.value, begin, end))
+            if own.seen:
+                cut = np.array_split(np.concatenate([own.w[k].reshape(-1) for k in SHAPES]), PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([own.seen] * PIECES, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["piece", "seen", "weights"])
 
-    def average(rows: pd.DataFrame) -> pd.DataFrame:
-        mean = np.average([np.frombuffer(b, np.float32) for b in rows["weights"]], axis=0, weights=rows["windows"])
-        return pd.DataFrame({"part": rows["part"][:1], "weights": [mean.astype(np.float32).tobytes()]})
+        return run
 
-    found = ids.mapInArrow(run, "part int, windows long, weights binary").groupBy("part").applyInPandas(average, "part int, weights binary").collect()
-    if not found:
-        return start_weights()
-    flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["part"])])
-    return {k: flat[a:b].reshape(SHAPES[k]) for k, a, b in zip(SHAPES, sizes, sizes[1:])}
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        mean = np.average([np.frombuffer(b, np.float32) for b in rows["weights"]], axis=0, weights=rows["seen"])
+        return pd.DataFrame({"piece": rows["piece"][:1], "weights": [mean.astype(np.float32).tobytes()]})
+
+    for part, (_, rate) in enumerate(rounds):
+        learnt = ids.where(F.col("part") == part).select("ids").mapInArrow(one_round(weights, rate), "piece int, seen long, weights binary")
+        found = learnt.groupBy("piece").applyInPandas(average, "piece int, weights binary").collect()
+        if found:
+            whole = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["piece"])])
+            weights = {k: whole[a:b].reshape(SHAPES[k]) for k, a, b in zip(SHAPES, sizes, sizes[1:])}
+    return weights
+
+
+def part_of(rounds=ROUNDS):
+    """The round that a row (id, hash) is in, by a hash."""
+    draw, out, upto = F.pmod(F.xxhash64("id", "hash"), F.lit(sum(n for n, _ in rounds))), F.lit(len(rounds) - 1), 0
+    cuts = []
+    for i, (n, _) in enumerate(rounds[:-1]):
+        upto += n
+        cuts.append((upto, i))
+    for upto, i in reversed(cuts):
+        out = F.when(draw < upto, i).otherwise(out)
+    return out
 
 
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, common_words: int = 1 << 17) -> DataFrame:
@@ -429,71 +503,67 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     Learns from rows whose crc32 of the id as text, modulo modulus, isn't remainder;
     the others, and null ids, are held out. base_score is the add-one unigram
     log10 probability of the text's words and its end; score is the model's, of
-    its subwords and its end. Null texts are empty: their end alone is scored.
-    Repeated rows each count and each get a row. Without training rows all words
-    are unknown and the model falls back to its start. Other columns play no part.
+    the same words' subwords and the end. Null texts are empty: their end alone
+    is scored. Repeated rows each count and each get a row. Without training rows
+    all words are unknown and the model falls back to its start. Other columns
+    play no part.
 
     Words are known by 64-bit hashes. The common_words most frequent are
     broadcast, a number that bounds their size; all others are joined.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), held_out(id_col, modulus, remainder).alias("held_out"), text.alias("text"))
+    rows = rows.select("id", "hash", "held_out", F.when(F.col("held_out"), -1).otherwise(part_of()).alias("part"), "text")
     id_kind = rows.schema["id"].dataType.simpleString()
     coder = subwords(vocabulary)
     begin, end = coder.begin, coder.end
-
-    ids = encoded(rows, vocabulary)
-    training = ids.where("NOT held_out").select("ids")
-    texts = training.count()
-    t = tables(training, begin, end)
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((t, train(training, begin, end, t)))
 
-    def run_model(batches):
-        t, weights = model.value
-        for big in batches:
-            for batch in slices(big):
-                score = score_ids(weights, t, sequences(batch.column(2), begin, end))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["id", "hash", "score"])
-
-    # copies of an id and its text have one score
-    scores = ids.select("id", "hash", "ids").mapInArrow(run_model, f"id {id_kind}, hash long, score double").groupBy("id", "hash").agg(F.max("score").alias("score"))
+    ids = encoded(rows, vocabulary)
+    training = ids.where("part >= 0")
+    counted = saved(count_words(training.select("ids"), vocabulary))
+    words = counted.where("kind = 0").select("key", "n")
+    single = counted.where("kind = 1").toPandas()
+    n = np.zeros(coder.size)
+    n[single["key"].to_numpy(np.int64)] = single["n"].to_numpy(np.float64)
+    texts = int(n[end])
+    t = tables(training.select("ids"), n, begin, end)
+    weights = train(training, begin, end, t)
 
-    words = saved(count_words(rows.where("NOT held_out").select("text")))
     row = words.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-    n_all, kinds = int(row["words"]) + texts, int(row["kinds"]) + (texts > 0)
+    n_all, unlike = int(row["words"]) + texts, int(row["kinds"]) + (texts > 0)
     common = words.orderBy(F.desc("n"), "key").limit(common_words).toPandas()
-    often = spark.sparkContext.broadcast((common["key"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)))
+    model = spark.sparkContext.broadcast((t, ready(weights), common["key"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)))
 
-    def run_words(batches):
-        lookup = Lookup(*often.value)
+    def run(batches):
+        t, weights, keys, logs = model.value
+        lookup = Lookup(keys, logs)
         for big in batches:
             for batch in slices(big):
-                found = Words(batch.column("text"))
-                value, n = lookup.get(found.hash), batch.num_rows
+                own, borders = flat(batch.column(4))
+                b = Blocks(own, borders, t, begin, end)
+                score = np.add.reduceat(log_probabilities(weights, t, b), b.edge[:-1] * BLOCK) / np.log(10)
+                hashes, first = coder.words(own, borders)
+                value, of = lookup.get(hashes), np.repeat(np.arange(batch.num_rows), np.diff(first))
                 rare = np.flatnonzero(value == 0)
-                cut = np.searchsorted(rare, found.first).astype(np.int32)
                 columns = [
-                    batch.column("row"), batch.column("id"), batch.column("hash"), batch.column("held_out"), pa.array(np.diff(found.first).astype(np.int64) + 1),
-                    pa.array(np.bincount(found.row, value > 0, n).astype(np.int64)), pa.array(np.bincount(found.row, value, n)),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(found.hash[rare].view(np.int64))),
+                    *batch.columns[:4], pa.array(np.diff(first).astype(np.int64) + 1), pa.array(np.bincount(of, value > 0, batch.num_rows).astype(np.int64)),
+                    pa.array(np.bincount(of, value, batch.num_rows)), pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(hashes[rare].view(np.int64))), pa.array(score),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "hash", "held_out", "n_tokens", "common", "common_log", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "hash", "held_out", "n_tokens", "common", "common_log", "rare", "score"])
 
-    schema = f"row long, id {id_kind}, hash long, held_out boolean, n_tokens long, common long, common_log double, rare array<long>"
-    found = saved(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run_words, schema))
+    schema = f"row long, id {id_kind}, hash long, held_out boolean, n_tokens long, common long, common_log double, rare array<long>, score double"
+    found = saved(ids.select(F.monotonically_increasing_id().alias("row"), "id", "hash", "held_out", "ids").mapInArrow(run, schema))
     rare = found.select("row", F.explode("rare").alias("key")).join(words, "key")
     rare = rare.groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1.0)).alias("log"))
     end_known, end_log = int(texts > 0), float(np.log10(texts + 1))
-    scores = scores.select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "score")
-    out = found.drop("rare").join(rare, "row", "left").join(scores, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")))
-    return out.select(
+    return found.drop("rare").join(rare, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("common") + F.coalesce("known", F.lit(0)) + end_known).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("common_log") + F.coalesce("log", F.lit(0.0)) + end_log - F.col("n_tokens") * float(np.log10(n_all + kinds + 1))).alias("base_score"),
+        (F.col("common_log") + F.coalesce("log", F.lit(0.0)) + end_log - F.col("n_tokens") * float(np.log10(n_all + unlike + 1))).alias("base_score"),
         "score",
     )
 
@@ -502,5 +572,3 @@ def op10_lm(spark, sf_dir):
     import public_tokenizers
 
     return score_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
-
-
