@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+#: Consecutive rows that a window's partition has, at least.
+BLOCK_ROWS = 1 << 16
+#: Blocks whose totals are gathered before they are put in order.
+GATHERED = 1 << 12
+
 
-def blocked(df: DataFrame, before: int, after: int, rows: int = 1 << 16) -> DataFrame:
-    """df with _block and _halo: each row in its own block of consecutive rids, and as context in the blocks that reach it."""
-    rows = max(rows, before + after + 1)
-    own = F.floor(F.col("rid") / rows)
-    reach = F.sequence(F.floor((F.col("rid") - after) / rows), F.floor((F.col("rid") + before) / rows))
+def blocked(df: DataFrame, before: int, after: int, rows: int | None = None, place: str = "rid") -> DataFrame:
+    """df with _block and _halo: each row in its own block of consecutive places, and as context in the blocks that reach it."""
+    rows = max(rows or BLOCK_ROWS, before + after + 1)
+    own = F.floor(F.col(place) / rows)
+    reach = F.sequence(F.floor((F.col(place) - after) / rows), F.floor((F.col(place) + before) / rows))
     dealt = df.withColumn("_block", F.explode(reach) if before or after else own)
     return dealt.withColumn("_halo", F.col("_block") != own)
 
 
 def block_window() -> WindowSpec:
     return Window.partitionBy("_block").orderBy("rid")
+
+
+def before_block(totals: DataFrame, fns: dict[str, tuple[Callable, Callable]], by: list[str]) -> DataFrame:
+    """totals (by, _block and columns, one row a block) with each column's aggregate over all earlier blocks of its group instead.
+
+    fns: {column: (aggregate, function of two columns that joins two aggregates)}. Blocks
+    are gathered GATHERED at a time first, so that no task orders all of them.
+    """
+    wide = totals.withColumn("_wide", F.floor(F.col("_block") / GATHERED))
+    outer = wide.groupBy(*by, "_wide").agg(*[fn(k).alias(k) for k, (fn, _) in fns.items()])
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = outer.select(*by, "_wide", *[fn(k).over(earlier(by, "_wide")).alias(f"_o_{k}") for k, (fn, _) in fns.items()])
+    inner = wide.select(*by, "_wide", "_block", *[fn(k).over(earlier([*by, "_wide"], "_block")).alias(f"_i_{k}") for k, (fn, _) in fns.items()])
+    known = lambda join, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(join(a, b))
+    return inner.join(outer, [*by, "_wide"]).select(*by, "_block", *[known(join, F.col(f"_o_{k}"), F.col(f"_i_{k}")).alias(k) for k, (_, join) in fns.items()])
+
+
+ADD = (F.sum, lambda a, b: a + b)
+TOP = (F.max, F.greatest)
+LOW = (F.min, F.least)
+
+
+def numbered(df: DataFrame, keep: Column, name: str) -> DataFrame:
+    """The rows of df that keep chooses, numbered from 0 in the order of rid; a block's rows meet, never all."""
+    kept = df.where(keep).withColumn("_block", F.floor(F.col("rid") / BLOCK_ROWS))
+    counts = kept.groupBy("_block").agg(F.count("*").alias("_n"))
+    return kept.join(before_block(counts, {"_n": ADD}, []), "_block").withColumn(name, F.coalesce("_n", F.lit(0)) + F.row_number().over(block_window()) - 1).drop("_block", "_n")

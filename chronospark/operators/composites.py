@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import PREDICTION, PROBABILITY, c, prediction
-from ..plans.blocks import Block, Frame, Run, as_block, chosen
+from ..plans.blocks import Block, Frame, Run, as_block, chosen, traverse
 
 
 def branch(frame: Frame, children: list, run: Run, path: str, inputs: list[list[str]] | None = None) -> tuple[Frame, list[dict[str, str]]]:
@@ -220,6 +220,7 @@ class StrategyMetaLabeling(Block):
     """The event's strategy label times the meta pipeline's prediction."""
 
     meta: object
+    primary_output_included: bool = False
     name: str = "StrategyMetaLabeling"
 
     def children(self):
@@ -229,7 +230,10 @@ class StrategyMetaLabeling(Block):
         carry = frame.carry
         frame, (_, out) = branch(frame, [self.meta], run, path)
         made = {PREDICTION + self.name: F.col("event_strategy_label") * c(out[prediction(list(out))])}
-        return gather(frame, made | {n: c(h) for n, h in out.items() if n.startswith(PROBABILITY)}, carry)
+        made |= {n: c(h) for n, h in out.items() if n.startswith(PROBABILITY)}
+        if self.primary_output_included:
+            made |= {n: c(h) for n, h in out.items() if n.startswith(PREDICTION) and n not in made}
+        return gather(frame, made, carry)
 
 
 @dataclass(frozen=True)
@@ -244,6 +248,14 @@ class TransformTarget(Block):
     def children(self):
         return [as_block(self.wrapped_pipeline)]
 
+    @property
+    def reach(self):
+        return sum(as_block(s).reach for s in self.y_pipeline)
+
+    @property
+    def unbounded(self):
+        return any(as_block(s).unbounded for s in self.y_pipeline)
+
     def process(self, frame, run, path):
         carry, steps = frame.carry, [as_block(s) for s in self.y_pipeline]
         tag = path.replace("/", "_").replace(":", "_")
@@ -262,7 +274,11 @@ class TransformTarget(Block):
 
 @dataclass(frozen=True)
 class SkipNA(Block):
-    """The pipeline sees only rows without a null feature; the others' results are null."""
+    """The pipeline sees only rows without a null feature; the others' results are null.
+
+    Where the pipeline looks back, known rows may lie any number of rows apart,
+    so a split's window isn't cut into blocks.
+    """
 
     pipeline: object
     name: str = "SkipNA"
@@ -270,43 +286,69 @@ class SkipNA(Block):
     def children(self):
         return [as_block(self.pipeline)]
 
+    @property
+    def unbounded(self):
+        return any(b.windowed for b in traverse(as_block(self.pipeline)))
+
     def process(self, frame, run, path):
         known = reduce(lambda a, b: a & b, [c(f).isNotNull() for f in frame.features])
         out = as_block(self.pipeline).process(frame.on(frame.df.where(known)), run, path + "s")
-        result = out.df.select("split_id", "train", "rid", *[c(f).alias(f"_r{i}") for i, f in enumerate(out.features)])
-        df = frame.df.join(result, ["split_id", "train", "rid"], "left")
+        key = [*frame.by, "rid"]
+        result = out.df.select(*key, *[c(f).alias(f"_r{i}") for i, f in enumerate(out.features)])
+        df = frame.df.join(result, key, "left")
         return frame.on(df).add({f: F.col(f"_r{i}") for i, f in enumerate(out.features)}, [])
 
 
+def drawn(frame: Frame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(train rows with their place _at, from 1, in a random order of their class; each class's size _n), by split and y.
+
+    The order is that of a hash of seed and rid. A class is cut by the hash's first
+    digits and its parts' sizes are summed up, so that no task orders a class.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}-"), F.col("rid").cast("string")).cast("binary"))
+    rows = frame.train_rows().withColumns({"_draw": key, "_part": F.substring(key, 1, 3)})
+    parts = rows.groupBy("split_id", "y", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("split_id", "y").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("split_id", F.col("y").alias("_y"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"), "_n")
+    at = F.row_number().over(Window.partitionBy("split_id", "y", "_part").orderBy("_draw", "rid"))
+    rows = rows.withColumn("_at", at).withColumnRenamed("split_id", "_s").join(parts.drop("_n"), (F.col("_s") == F.col("split_id")) & F.col("y").eqNullSafe(F.col("_y")) & (F.col("_part") == F.col("_p")))
+    rows = rows.withColumn("_at", F.col("_at") + F.col("_before")).drop("_s", "_y", "_p", "_part", "_draw", "_before")
+    return rows, parts.groupBy("split_id", "_y").agg(F.sum("_n").alias("_n"))
+
+
+def _sized(rows: DataFrame, sizes: DataFrame, goal: Callable) -> DataFrame:
+    """rows with _n, their class's size, and _goal, an aggregate of the sizes in their split."""
+    goals = sizes.groupBy("split_id").agg(goal("_n").alias("_goal"))
+    wide = sizes.join(goals, "split_id").withColumnRenamed("split_id", "_s")
+    return rows.join(wide, (F.col("split_id") == F.col("_s")) & F.col("y").eqNullSafe(F.col("_y"))).drop("_s", "_y")
+
+
 @dataclass(frozen=True)
 class UnderSampler:
-    """Keeps of each class the share that leaves all as large as the smallest, chosen by row number."""
+    """Leaves as many rows of each class as the smallest has, chosen at random without repeats."""
 
     seed: int = 1
 
     def sample(self, frame: Frame) -> Frame:
-        counts = frame.train_rows().groupBy("split_id", "y").agg(F.count("*").alias("_n"))
-        least = counts.groupBy("split_id").agg(F.min("_n").alias("_least"))
-        df = frame.train_rows().join(F.broadcast(counts), ["split_id", "y"]).join(F.broadcast(least), "split_id")
-        draw = F.pmod(F.col("rid") * 7919 + self.seed, F.lit(10007)) / 10007
-        return frame.on(df.where(draw < F.col("_least") / F.col("_n")).drop("_n", "_least"))
+        rows = _sized(*drawn(frame, self.seed), F.min)
+        return frame.on(rows.where("_at <= _goal").drop("_at", "_n", "_goal"))
 
 
 @dataclass(frozen=True)
 class OverSampler:
-    """Repeats each class's rows as often as they fit into the largest class."""
+    """Repeats rows until each class has as many as the largest: all equally often, and rows chosen at random once more."""
+
+    seed: int = 1
 
     def sample(self, frame: Frame) -> Frame:
-        counts = frame.train_rows().groupBy("split_id", "y").agg(F.count("*").alias("_n"))
-        most = counts.groupBy("split_id").agg(F.max("_n").alias("_most"))
-        df = frame.train_rows().join(F.broadcast(counts), ["split_id", "y"]).join(F.broadcast(most), "split_id")
-        times = F.floor(F.col("_most") / F.col("_n")).cast("int")
-        return frame.on(df.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy", "_n", "_most"))
+        rows = _sized(*drawn(frame, self.seed), F.max)
+        times = F.floor(F.col("_goal") / F.col("_n")) + F.when(F.col("_at") <= F.col("_goal") % F.col("_n"), 1).otherwise(0)
+        return frame.on(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_copy", "_at", "_n", "_goal"))
 
 
 @dataclass(frozen=True)
 class Sample(Block):
-    """The pipeline is fitted on sampled train rows and then applied to all rows. Counts of classes, a row a class and split, are broadcast."""
+    """The pipeline is fitted on sampled train rows and then applied to all rows."""
 
     sampler: object
     pipeline: object
@@ -315,6 +357,10 @@ class Sample(Block):
     def children(self):
         return [as_block(self.pipeline)]
 
+    @property
+    def unbounded(self):
+        return any(b.windowed for b in traverse(as_block(self.pipeline)))
+
     def process(self, frame, run, path):
         child = as_block(self.pipeline)
         if run.fitting:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rows import block_window, blocked
+from ..functions.rows import TOP, before_block, block_window, blocked
 from ..functions.windows import absolute_max_weight, forward
 
 EVENT_COLUMNS = ("event_start", "event_end", "event_label", "event_raw", "event_sample_weights", "event_test_sample_weights")
@@ -81,7 +81,7 @@ class WeightByMax:
         # the greatest so far is the greatest of the blocks before, or of the block so far
         dealt = blocked(df, 0, 0).drop("_halo")
         tops = dealt.groupBy("_block").agg(F.max(F.abs(value)).alias("_top"))
-        earlier = tops.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+        earlier = before_block(tops, {"_top": TOP}, []).withColumnRenamed("_top", "_before")
         so_far = F.max(F.abs(value)).over(block_window().rowsBetween(Window.unboundedPreceding, 0))
         out = dealt.join(earlier, "_block")
         return out.withColumn(name, F.abs(value) / F.nullif(F.greatest(so_far, "_before"), F.lit(0.0))).drop("_block", "_before")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.names import c
+from ..functions.rows import ADD, LOW, TOP, before_block
 from ..functions.windows import aggregate, correlation, last_known
-from ..plans.blocks import Block, chosen
+from ..plans.blocks import Block, Frame, chosen
 
 
 def _list(x) -> list:
@@ -44,6 +45,19 @@ class AddLagsX(Block):
         return frame.add(_cast(kept | made, self.output_dtype), [])
 
 
+#: Aggregates over all rows so far that are put together from blocks of rows, and what they need of each block.
+SO_FAR = {"sum": ("sum",), "mean": ("sum", "n"), "min": ("min",), "max": ("max",)}
+_TOTALS = {"sum": (F.sum, ADD), "n": (F.count, ADD), "min": (F.min, LOW), "max": (F.max, TOP)}
+
+
+def with_earlier(frame: Frame, totals: dict[str, tuple[Column, tuple]]) -> Frame:
+    """The frame with columns that aggregate the blocks before each row's: {name: (aggregate of a block's own rows, how aggregates join)}."""
+    by = list(frame.by)
+    found = frame.df.where("NOT _halo").groupBy(*by).agg(*[x.alias(k) for k, (x, _) in totals.items()])
+    earlier = before_block(found, {k: join for k, (_, join) in totals.items()}, [k for k in by if k != "_block"])
+    return frame.on(frame.df.join(earlier, by, "left"))
+
+
 @dataclass(frozen=True)
 class AddWindowFeatures(Block):
     """Aggregates over the last rows, as column~fn_window, or over all so far (window None), as column~fn_expanding."""
@@ -61,13 +75,35 @@ class AddWindowFeatures(Block):
     def memory(self):
         return max(w or 0 for _, w, _ in self._triples())
 
+    @property
+    def unbounded(self):
+        return any(w is None and not (isinstance(fn, str) and fn in SO_FAR) for _, w, fn in self._triples())
+
+    windowed = True
+
     def process(self, frame, run, path):
         made = {f: c(f) for f in frame.features} if self.keep_original else {}
+        every = frame.window.rowsBetween(Window.unboundedPreceding, 0)
+        so_far = sorted({(x, part) for patterns, w, fn in self._triples() if w is None and not self.unbounded for x in chosen(frame, patterns) for part in SO_FAR[fn]})
+        names = {k: f"_t_{i}" for i, k in enumerate(so_far)}
+        if names:
+            frame = with_earlier(frame, {names[x, part]: (_TOTALS[part][0](c(x)), _TOTALS[part][1]) for x, part in so_far})
+
+        def total(x: str, part: str) -> Column:
+            fn, (_, join) = _TOTALS[part]
+            own, earlier = fn(F.when(~F.col("_halo"), c(x))).over(every), F.col(names[x, part])
+            return F.when(earlier.isNull(), own).when(own.isNull(), earlier).otherwise(join(earlier, own))
+
         for patterns, window, fn in self._triples():
-            rows = frame.window.rowsBetween(Window.unboundedPreceding if window is None else 1 - window, 0)
             label = fn if isinstance(fn, str) else "transformed" if fn.__name__ == "<lambda>" else fn.__name__
             for x in chosen(frame, patterns):
-                made[f"{x}~{label}_{'expanding' if window is None else window}"] = aggregate(fn, c(x), rows)
+                if window is not None or self.unbounded:
+                    value = aggregate(fn, c(x), every if window is None else frame.window.rowsBetween(1 - window, 0))
+                elif fn == "mean":
+                    value = total(x, "sum") / F.nullif(total(x, "n"), F.lit(0))
+                else:
+                    value = total(x, fn)
+                made[f"{x}~{label}_{'expanding' if window is None else window}"] = value
         if self.fillna:
             made = {k: F.coalesce(v, F.lit(0.0)) for k, v in made.items()}
         return frame.add(_cast(made, self.output_dtype), [])
@@ -121,6 +157,10 @@ class Difference(Block):
     def memory(self):
         return self.rows_of_memory
 
+    @property
+    def reach(self):
+        return max(1, self.rows_of_memory)
+
     def process(self, frame, run, path):
         made = {}
         for f in frame.features:
@@ -130,7 +170,10 @@ class Difference(Block):
             made[f] = x
         frame = frame.add(made)
         if self.fill_0_with_last:
-            frame = frame.add({f: F.when(c(f).isNotNull(), last_known(F.nullif(c(f), F.lit(0.0)), frame.window)) for f in frame.features})
+            # the last change of a block before stands in where the own block has none so far
+            change = {f: F.nullif(c(f), F.lit(0.0)) for f in frame.features}
+            frame = with_earlier(frame, {f"_t_{i}": (F.max(F.when(x.isNotNull(), F.struct("rid", x.alias("x")))), TOP) for i, x in enumerate(change.values())})
+            frame = frame.add({f: F.when(c(f).isNotNull(), F.coalesce(last_known(x, frame.window), F.col(f"_t_{i}.x"))) for i, (f, x) in enumerate(change.items())})
         return frame
 
 
@@ -160,7 +203,7 @@ class MultiplyBy(Block):
 
 @dataclass(frozen=True)
 class AddFeatures(Block):
-    """Functions of one column, or of several at once, as columns~fn."""
+    """Functions of each of the columns chosen, as column~fn; of a tuple of columns, one function of all of them, as a-b~fn."""
 
     column_fn: object  # (columns, fn) or a list of such
     past_window_size: int = 0
@@ -175,6 +218,9 @@ class AddFeatures(Block):
         made = {}
         for patterns, fn in self.column_fn if isinstance(self.column_fn, list) else [self.column_fn]:
             label = "transformed" if getattr(fn, "__name__", "<lambda>") == "<lambda>" else fn.__name__
+            if isinstance(patterns, tuple):
+                made["-".join(patterns) + f"~{label}"] = fn(*[c(x) for x in patterns])
+                continue
             for x in chosen(frame, patterns):
                 made[f"{x}~{label}"] = fn(c(x))
         return frame.add(made, None if self.keep_original else [])
@@ -218,7 +264,7 @@ class AddHolidayFeatures(Block):
 
     labeling: "binary" (1 on holidays), "weekday_weekend_holiday" (0, 1 on
     weekends, 2 on holidays), "unique" (a number from 2 for each holiday by
-    name, 1 on weekends, 0 else), or "string" (the name).
+    name, 1 on weekends, 0 else), or "string" (the name, "1" on weekends, "0" else).
     """
 
     calendar: DataFrame
@@ -240,42 +286,6 @@ class AddHolidayFeatures(Block):
                 "binary": lambda h=h: F.when(h.isNotNull(), 1).otherwise(0),
                 "weekday_weekend_holiday": lambda h=h: F.when(h.isNotNull(), 2).otherwise(scalar.weekend(F.col("ts"))),
                 "unique": lambda code=code: F.coalesce(F.col(f"_n_{code}"), scalar.weekend(F.col("ts"))),
-                "string": lambda h=h: h,
+                "string": lambda h=h: F.coalesce(h, scalar.weekend(F.col("ts")).cast("string")),
             }[self.labeling]()
         return frame.on(df).add(made, None if self.keep_original else [])
-
-
-def exchange_calendar(sessions: DataFrame, code: str, first: str, last: str) -> DataFrame:
-    """(code, day, holiday) of all days from first to last without a session (a column day)."""
-    days = sessions.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
-    return days.join(sessions.select("day").distinct(), "day", "left_anti").select(F.lit(code).alias("code"), "day", F.lit("closed").alias("holiday"))
-
-
-#: Fixed days of a year by calendar: (month, day, name). Others follow Easter.
-FIXED_DAYS = {
-    "US": [(1, 1, "New Year"), (6, 19, "Juneteenth"), (7, 4, "Independence Day"), (11, 11, "Veterans Day"), (12, 25, "Christmas")],
-    "DE": [(1, 1, "New Year"), (5, 1, "Labour Day"), (10, 3, "German Unity"), (12, 25, "Christmas"), (12, 26, "Second Christmas Day")],
-    "GB": [(1, 1, "New Year"), (12, 25, "Christmas"), (12, 26, "Boxing Day")],
-}
-#: Days after Easter Sunday by calendar.
-EASTER_DAYS = {"US": [], "DE": [(-2, "Good Friday"), (1, "Easter Monday"), (39, "Ascension"), (50, "Whit Monday")], "GB": [(-2, "Good Friday"), (1, "Easter Monday")]}
-
-
-def easter(year: int):
-    """Easter Sunday of a Gregorian year, by the anonymous algorithm."""
-    import datetime
-
-    a, b, d = year % 19, year // 100, year % 100
-    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
-    k = (32 + 2 * (b % 4) + 2 * (d // 4) - h - d % 4) % 7
-    m = h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114
-    return datetime.date(year, m // 31, m % 31 + 1)
-
-
-def rule_calendar(spark, codes: list[str], years: range) -> DataFrame:
-    """(code, day, holiday) by rules; a user's own table serves for calendars without rules."""
-    import datetime
-
-    rows = [(code, datetime.date(y, m, d), name) for code in codes for y in years for m, d, name in FIXED_DAYS[code]]
-    rows += [(code, easter(y) + datetime.timedelta(days=n), name) for code in codes for y in years for n, name in EASTER_DAYS[code]]
-    return spark.createDataFrame(rows, "code string, day date, holiday string")

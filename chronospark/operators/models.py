@@ -7,12 +7,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Transformer
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import PREDICTION, PROBABILITY, c
 from ..plans.blocks import Block, Frame
+from ..sources.tables import saved
+from .scaling import keep_selected
 
 #: How much a class's rows weigh.
 CLASS_WEIGHTS = {"none": lambda own, other: F.lit(1.0), "balanced": lambda own, other: other / own, "balanced_sqrt": lambda own, other: F.sqrt(other / own)}
@@ -150,15 +154,33 @@ def _solver(k: int, ridge: float):
 
 
 def is_estimator(x) -> bool:
-    return isinstance(x, Estimator)
+    return isinstance(x, (Estimator, Transformer))
+
+
+def predicts(x) -> bool:
+    """Whether a pyspark.ml stage learns a label."""
+    return isinstance(x, Estimator) and x.hasParam("predictionCol") and x.hasParam("labelCol")
+
+
+def _linear_state(model) -> list[list[float]] | None:
+    """The rows (constant, slopes) of a linear model's scores, one a class beyond two; None for other models."""
+    if isinstance(model, LogisticRegressionModel):
+        if model.numClasses <= 2:
+            return [[float(model.intercept), *map(float, model.coefficients)]]
+        return [[float(a), *map(float, row)] for a, row in zip(model.interceptVector.toArray(), model.coefficientMatrix.toArray(), strict=True)]
+    if isinstance(model, LinearRegressionModel):
+        return [[float(model.intercept), *map(float, model.coefficients)]]
+    return None
 
 
 @dataclass(frozen=True)
 class FromMl(Block):
-    """A pyspark.ml regressor or classifier, fitted for each split: the one block whose jobs grow with the splits.
+    """A pyspark.ml regressor or classifier, fitted for each split: the one kind of block whose jobs grow with the splits.
 
-    Rows with a null feature have null predictions. Classes weigh as
-    class_weights says ("none", "balanced", "balanced_sqrt").
+    Linear and logistic models become a state of their coefficients, one row a
+    split, and predict by an expression. Other models' predictions are written
+    split by split and joined. Rows with a null feature have null predictions.
+    Classes weigh as class_weights says ("none", "balanced", "balanced_sqrt").
     """
 
     estimator: object
@@ -167,36 +189,115 @@ class FromMl(Block):
 
     def process(self, frame, run, path):
         from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
 
         label = self.name or type(self.estimator).__name__
         classifier = "Classifier" in type(self.estimator).__name__ or "LogisticRegression" in type(self.estimator).__name__
         safe = [f"_f{i}" for i in range(len(frame.features))]
-        plain = frame.df.select("split_id", "train", "rid", "y", weight_of(frame).alias("_w"), *[c(f).cast("double").alias(s) for f, s in zip(frame.features, safe, strict=True)]).dropna(subset=safe)
+        key = list(dict.fromkeys(["split_id", *frame.by, "rid"]))
+        plain = frame.df.select(*key, "train", "y", weight_of(frame).alias("_w"), *[c(f).cast("double").alias(s) for f, s in zip(frame.features, safe, strict=True)]).dropna(subset=safe)
         ready = VectorAssembler(inputCols=safe, outputCol="_x").transform(plain)
         if run.fitting:
             run.models[path] = {}
-            for row in frame.train_rows().select("split_id").distinct().collect():
-                rows = ready.where(F.col("train") & (F.col("split_id") == row["split_id"]) & F.col("y").isNotNull())
+            rows = ready.where("train AND y IS NOT NULL")
+            counts = rows.groupBy("split_id").agg(F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("one"), F.count("*").alias("n")).orderBy("split_id").collect()
+            for count in counts:
+                own_rows = rows.where(F.col("split_id") == count["split_id"])
                 if classifier and self.class_weights != "none":
-                    n = rows.agg(F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("one"), F.count("*").alias("n")).first()
-                    rows = rows.withColumn("_w", F.col("_w") * F.when(F.col("y") == 1, CLASS_WEIGHTS[self.class_weights](F.lit(n["one"]), F.lit(n["n"] - n["one"]))).otherwise(1.0))
+                    heavier = CLASS_WEIGHTS[self.class_weights](F.lit(count["one"]), F.lit(count["n"] - count["one"]))
+                    own_rows = own_rows.withColumn("_w", F.col("_w") * F.when(F.col("y") == 1, heavier).otherwise(1.0))
                 own = self.estimator.copy({self.estimator.featuresCol: "_x", self.estimator.labelCol: "y", self.estimator.predictionCol: "_p"})
                 own = own.copy({own.weightCol: "_w"}) if own.hasParam("weightCol") else own
-                run.models[path][row["split_id"]] = own.fit(rows)
+                run.models[path][count["split_id"]] = own.fit(own_rows)
+        models = run.models[path]
+        linear = {s: _linear_state(m) for s, m in models.items()}
+        if all(linear.values()):
+            return self._by_coefficients(frame, run, path, label, classifier, linear)
+        return self._by_transform(frame, ready, key, label, classifier, models)
+
+    def _by_coefficients(self, frame, run, path, label, classifier, linear):
+        spark = frame.df.sparkSession
+        df = run.joined(path, frame, lambda: spark.createDataFrame(list(linear.items()), "split_id long, _rows array<array<double>>"))
+        x = [c(f).cast("double") for f in frame.features]
+        known = reduce(lambda a, b: a & b, [v.isNotNull() for v in x])
+        scores = F.transform("_rows", lambda r: reduce(lambda a, b: a + b, [r[i + 1] * v for i, v in enumerate(x)], r[0]))
+        frame = frame.on(df.withColumn("_scores", F.when(known, scores)))
+        first = F.col("_scores")[0]
+        if not classifier:
+            return frame.add({PREDICTION + label: first}, [])
+        n = max(len(v) for v in linear.values())
+        if n == 1:
+            one = 1 / (1 + F.exp(-first))
+            return frame.add({PREDICTION + label: F.when(one > 0.5, 1.0).when(one <= 0.5, 0.0), f"{PROBABILITY}{label}_0": 1 - one, f"{PROBABILITY}{label}_1": one}, [])
+        top = F.array_max("_scores")
+        total = F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(s - top))
+        made = {PREDICTION + label: (F.array_position("_scores", top) - 1).cast("double")}
+        return frame.add(made | {f"{PROBABILITY}{label}_{k}": F.exp(F.col("_scores")[k] - top) / total for k in range(n)}, [])
+
+    def _by_transform(self, frame, ready, key, label, classifier, models):
+        from pyspark.ml.functions import vector_to_array
+
         found = []
-        for split_id, model in run.models[path].items():
+        for split_id, model in models.items():
             out = model.transform(ready.where(F.col("split_id") == split_id))
-            extra = [vector_to_array(model.getProbabilityCol()).alias("_pp")] if classifier else []
-            found.append(out.select("split_id", "train", "rid", "_p", *extra))
-        joined = frame.df.join(reduce(DataFrame.union, found), ["split_id", "train", "rid"], "left")
+            extra = [vector_to_array(F.col(model.getProbabilityCol())).alias("_pp")] if classifier else []
+            found.append(saved(out.select(*key, "_p", *extra)))
+        joined = frame.df.join(reduce(DataFrame.union, found), key, "left")
         made = {PREDICTION + label: F.col("_p")}
         if classifier:
-            n = next(iter(run.models[path].values())).numClasses
-            made |= {f"{PROBABILITY}{label}_{k}": F.col("_pp")[k] for k in range(n)}
+            made |= {f"{PROBABILITY}{label}_{k}": F.col("_pp")[k] for k in range(next(iter(models.values())).numClasses)}
         return frame.on(joined).add(made, [])
 
 
+@dataclass(frozen=True)
+class FromMlTransformation(Block):
+    """A pyspark.ml transformer, or an estimator of one (as PCA), fitted for each split on its train rows.
+
+    It sees the features as one vector. A stage that selects features keeps
+    those columns; the output of another has the features' names if it is as
+    wide, else name_0, name_1 and so on. Rows with a null feature have nulls.
+    inverse, a function of (fitted model, column), turns predictions back.
+    """
+
+    stage: object
+    inverse_function: object = None
+    output_dtype: str | None = None
+    name: str = ""
+
+    def process(self, frame, run, path):
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+
+        label = self.name or type(self.stage).__name__
+        safe = [f"_f{i}" for i in range(len(frame.features))]
+        key = list(dict.fromkeys(["split_id", *frame.by, "rid"]))
+        plain = frame.df.select(*key, "train", "y", *[c(f).cast("double").alias(s) for f, s in zip(frame.features, safe, strict=True)]).dropna(subset=safe)
+        ready = VectorAssembler(inputCols=safe, outputCol="_x").transform(plain)
+        into = lambda stage: stage.copy({getattr(stage, k): v for k, v in (("inputCol", "_x"), ("featuresCol", "_x"), ("labelCol", "y"), ("outputCol", "_o")) if stage.hasParam(k)})
+        if run.fitting:
+            run.models[path] = {}
+            for row in ready.where("train").select("split_id").distinct().orderBy("split_id").collect():
+                stage = into(self.stage)
+                own = ready.where(F.col("train") & (F.col("split_id") == row["split_id"]))
+                run.models[path][row["split_id"]] = stage.fit(own.where("y IS NOT NULL") if stage.hasParam("labelCol") else own) if isinstance(stage, Estimator) else stage
+        models = run.models[path]
+        if all(hasattr(m, "selectedFeatures") for m in models.values()):
+            rows = [(s, [frame.features[i] for i in sorted(m.selectedFeatures)]) for s, m in models.items()]
+            return keep_selected(frame, run.state(path, lambda: frame.df.sparkSession.createDataFrame(rows, "split_id long, selected array<string>")))
+        found = [saved(m.transform(ready.where(F.col("split_id") == s)).select(*key, vector_to_array("_o").alias("_o"))) for s, m in models.items()]
+        outputs = reduce(DataFrame.union, found)
+        # as wide as the widest split's
+        width = outputs.agg(F.max(F.size("_o"))).first()[0] or 0
+        names = list(frame.features) if width == len(frame.features) else [f"{label}_{i}" for i in range(width)]
+        value = lambda i: F.get("_o", F.lit(i)).cast(self.output_dtype or "double")
+        return frame.on(frame.df.join(outputs, key, "left")).add({n: value(i) for i, n in enumerate(names)}, [])
+
+    def inverse(self, frame, run, path, names):
+        if self.inverse_function is None:
+            raise ValueError(f"{self.name or type(self.stage).__name__} has no inverse")
+        back = lambda n: F.coalesce(*[F.when(F.col("split_id") == s, self.inverse_function(m, c(n))) for s, m in run.models[path].items()])
+        return frame.add({n: back(n) for n in names})
+
+
 def importances(run, path: str, features: list[str]) -> dict:
     """{split_id: [(feature, importance)]}, greatest first, of a fitted tree model."""
     return {s: sorted(zip(features, map(float, m.featureImportances.toArray()), strict=True), key=lambda x: -x[1]) for s, m in run.models[path].items()}

@@ -68,6 +68,12 @@ class MinMaxScaler(Block):
             made[f] = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low))) if self.clip else x
         return frame.on(df).add(made)
 
+    def inverse(self, frame, run, path, names):
+        low, high = map(float, self.feature_range)
+        df = frame.df.join(F.broadcast(run.states[path]), "split_id", "left")
+        span = F.col("_h_0") - F.col("_l_0")
+        return frame.on(df).add({n: (c(n) - low) / (high - low) * F.when(span == 0, 1.0).otherwise(span) + F.col("_l_0") for n in names})
+
 
 @dataclass(frozen=True)
 class TurnPositive(Block):

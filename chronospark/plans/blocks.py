@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.names import c, select
+from ..functions.rows import blocked
 
 #: Columns of a frame that aren't features.
-KEYS = ("split_id", "train", "halo", "rid", "ts", "y", "weight", "raw_y")
+KEYS = ("split_id", "train", "halo", "rid", "ts", "y", "weight", "raw_y", "_role", "_block", "_halo")
 
 
 @dataclass(frozen=True)
@@ -28,11 +29,11 @@ class Frame:
     df: DataFrame
     features: tuple[str, ...]
     carry: tuple[str, ...] = ()
-    by: tuple[str, ...] = ("split_id", "train")
+    by: tuple[str, ...] = ("split_id", "_role")
 
     @property
     def window(self) -> WindowSpec:
-        """Rows of one split, train and test rows apart, in order."""
+        """Rows of one split, train and test rows apart, in order; where the frame is cut into blocks, those of one block and their context."""
         return Window.partitionBy(*self.by).orderBy("rid")
 
     @property
@@ -83,8 +84,10 @@ class Run:
         self.states: dict[str, DataFrame] = {} if states is None else states
 
     def state(self, path: str, fit: Callable[[], DataFrame]) -> DataFrame:
+        """A block's state; it is fitted once, and as it has a row a split, a number planned on the driver, it is kept there."""
         if self.fitting:
-            self.states[path] = fit()
+            made = fit()
+            self.states[path] = made.sparkSession.createDataFrame(made.collect(), made.schema)
         return self.states[path]
 
     def joined(self, path: str, frame: Frame, fit: Callable[[], DataFrame]) -> DataFrame:
@@ -93,11 +96,26 @@ class Run:
 
 
 class Block:
-    """A step of a pipeline. memory: rows of context before a test window that its values need."""
+    """A step of a pipeline.
+
+    memory: rows of context before a test window that its values need. reach:
+    rows that its windows look back inside a window. unbounded: whether they
+    look back without a bound and can't be put together from blocks of rows.
+    windowed: whether they look back at all.
+    """
 
     memory = 0
+    unbounded = False
     name = ""
 
+    @property
+    def reach(self) -> int:
+        return self.memory
+
+    @property
+    def windowed(self) -> bool:
+        return self.reach > 0
+
     def process(self, frame: Frame, run: Run, path: str) -> Frame:
         raise NotImplementedError
 
@@ -134,14 +152,14 @@ class Identity(Block):
 def as_block(item) -> Block:
     """A block as it is; a list as a sequence; a callable of a frame's DataFrame as a function block."""
     from ..operators.features import ApplyFunction
-    from ..operators.models import FromMl, is_estimator
+    from ..operators.models import FromMl, FromMlTransformation, is_estimator, predicts
 
     if isinstance(item, Block):
         return item
     if isinstance(item, (list, tuple)):
         return Sequence(tuple(item))
     if is_estimator(item):
-        return FromMl(item)
+        return FromMl(item) if predicts(item) else FromMlTransformation(item)
     if callable(item):
         return ApplyFunction(item)
     raise TypeError(f"not a block: {item!r}")
@@ -167,11 +185,27 @@ def traverse(block: Block) -> Iterator[Block]:
         yield from traverse(child)
 
 
+def walk(block: Block, path: str) -> Iterator[tuple[str, Block]]:
+    """The blocks of a sequence and its steps, with the paths their states have."""
+    yield path, block
+    if isinstance(block, Sequence):
+        for i, step in enumerate(block.steps):
+            yield from walk(as_block(step), f"{path}/{i}")
+
+
 def memory_of(pipeline) -> int:
     """The most rows of context any block needs: the greatest, not the sum, so chained windows are cut at a test window's edge."""
     return max(b.memory for b in traverse(as_block(pipeline)))
 
 
+def cut(df: DataFrame, pipeline, place: str = "rid") -> DataFrame:
+    """df with _block and _halo so that a pipeline's windows find all rows they look back at in one block: chained windows add up."""
+    blocks = list(traverse(as_block(pipeline)))
+    if any(b.unbounded for b in blocks) or not any(b.windowed for b in blocks):
+        return df.withColumns({"_block": F.lit(0).cast("long"), "_halo": F.lit(False)})
+    return blocked(df, sum(b.reach for b in blocks), 0, place=place)
+
+
 def names_of(pipeline) -> str:
     return "->".join(b.name or type(b).__name__ for b in traverse(as_block(pipeline)) if not b.children())
 

@@ -8,14 +8,16 @@ A job runs when the caller acts on a result.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import c, prediction
-from ..functions.rows import blocked
+from ..functions.rows import numbered
 from ..operators.events import EVENT_COLUMNS, create_events
-from .blocks import Frame, Run, Sequence, as_block, memory_of
+from .blocks import Frame, Run, Sequence, as_block, cut, memory_of, walk
 from .segments import fit_lean, lean_steps
 from .splits import plan_splits, tag_test_rows, tag_train_rows
 
@@ -48,8 +50,29 @@ def as_card(x) -> PipelineCard:
     return x if isinstance(x, PipelineCard) else PipelineCard(x)
 
 
+def check_types(df: DataFrame, features=()) -> None:
+    """TypeError unless rid is a whole number and y and features are numbers; ValueError where one is missing."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    missing = [x for x in ("rid", "y", *features) if x not in kinds]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    if not isinstance(kinds["rid"], T.IntegralType):
+        raise TypeError(f"rid must be a whole number, not {kinds['rid'].simpleString()}")
+    for x in ("y", *features):
+        if not isinstance(kinds[x], (T.NumericType, T.BooleanType, T.StringType, T.NullType)) or (x == "y" and isinstance(kinds[x], (T.StringType, T.BooleanType))):
+            raise TypeError(f"{x} must be a number, not {kinds[x].simpleString()}")
+
+
+def check_types_multi_series(df: DataFrame) -> None:
+    """ValueError unless a table of several series has unique_id, ds and y."""
+    missing = [x for x in ("unique_id", "ds", "y") if x not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+
+
 def _series(df: DataFrame, features) -> tuple[DataFrame, tuple[str, ...]]:
     """Columns rid, ts, y and features; a series without features has a column of zeros."""
+    check_types(df, features)
     if "ts" not in df.columns:
         df = df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
     features = tuple(features)
@@ -74,7 +97,7 @@ def _place(spine: DataFrame):
 def preprocess(df: DataFrame, features: tuple[str, ...], pipeline, run: Run) -> tuple[DataFrame, tuple[str, ...]]:
     """A pipeline fitted once on the whole series. Windows run over blocks of rows with enough context, not over one partition."""
     block = as_block(pipeline)
-    dealt = blocked(df, memory_of(block), 0).withColumns({"split_id": F.lit(0).cast("long"), "train": ~F.col("_halo"), "halo": F.col("_halo")})
+    dealt = cut(df, block).withColumns({"split_id": F.lit(0).cast("long"), "train": ~F.col("_halo"), "halo": F.col("_halo")})
     out = block.process(Frame(dealt, features, ("_block", "_halo"), ("_block",)), run, "pre")
     done = out.df.where("NOT _halo").drop("_block", "_halo", "split_id", "train", "halo")
     return done, out.features
@@ -126,36 +149,65 @@ def train(card, df: DataFrame, splitter, features=(), events: DataFrame | None =
 def _all_rows(card, rows, spine, splits, features, run, pre) -> Trained:
     has_events = "event_label" in rows.columns
     memory = memory_of(card.pipeline)
-    flag = lambda d, is_train: d.withColumns({"train": F.lit(is_train), **({"halo": F.lit(False)} if is_train else {})})
+    rows = rows.withColumn("raw_y", F.col("y"))
+    if has_events:
+        # only rows with an event are seen, so windows count events; context is measured in rows before that
+        known = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in EVENT_COLUMNS])
+        rows = numbered(rows, known, "_place").withColumns({"y": F.col("event_label"), "weight": F.col("event_sample_weights")})
+    flag = lambda d, is_train: d.withColumns({"_role": F.lit(is_train), **({"halo": F.lit(False)} if is_train else {})})
     both = flag(tag_test_rows(rows, splits, memory), False)
     if run.fitting:
         both = flag(tag_train_rows(rows, splits), True).unionByName(both)
-    if has_events:
-        # only rows with an event are seen, so windows count events; context is measured in rows before that
-        both = both.dropna(subset=list(EVENT_COLUMNS)).withColumns({"raw_y": F.col("y"), "y": F.col("event_label"), "weight": F.col("event_sample_weights")})
-    out = as_block(card.pipeline).process(Frame(both, features), run, "main")
+    # a block's context rows are neither learnt from nor results
+    both = cut(both, card.pipeline, "_place" if has_events else "rid")
+    both = both.withColumns({"train": F.col("_role") & ~F.col("_halo"), "halo": F.col("halo") | F.col("_halo")})
+    out = as_block(card.pipeline).process(Frame(both, features, by=("split_id", "_role", "_block")), run, "main")
     return Trained(card, features, out.features, run, pre, out.df, splits, spine)
 
 
 def backtest(trained: Trained) -> DataFrame:
     """(split_id, rid, ts, y, predictions and probabilities) of all test rows; with events, null in rows without one."""
-    made = trained.rows.where("NOT train AND NOT halo").select("split_id", "rid", *[c(f) for f in trained.outputs])
-    spine = trained.spine.select("rid", "ts", "y")
+    outputs = [c(f) for f in trained.outputs]
+    made = trained.rows.where("NOT train AND NOT halo")
     if "event_label" in trained.spine.columns:
-        every = tag_test_rows(spine, trained.splits).drop("halo")
-        return every.join(made, ["split_id", "rid"], "left").select("split_id", "rid", "ts", "y", *[c(f) for f in trained.outputs])
-    return made.join(spine, "rid").select("split_id", "rid", "ts", "y", *[c(f) for f in trained.outputs])
+        every = tag_test_rows(trained.spine.select("rid", "ts", "y"), trained.splits).drop("halo")
+        return every.join(made.select("split_id", "rid", *outputs), ["split_id", "rid"], "left").select("split_id", "rid", "ts", "y", *outputs)
+    return made.select("split_id", "rid", "ts", F.col("raw_y").alias("y"), *outputs)
+
+
+def artifacts(trained: Trained) -> DataFrame:
+    """What was made along the way, by row: (split_id, rid, artifact, value array<string>, event columns if there are events).
+
+    A feature selector's columns are at the last row of each split's train
+    window, as selected_features_name; other rows, of split null, hold events only.
+    """
+    last = [(s.split_id, s.train[-1].end - 1) for s in trained.splits]
+    spark = trained.spine.sparkSession
+    ends = F.broadcast(spark.createDataFrame(last, "split_id long, rid long"))  # a row a split
+    found = []
+    for path, block in walk(as_block(trained.card.pipeline), "main"):
+        state = trained.run.states.get(path)
+        if state is not None and "selected" in state.columns:
+            found.append(state.join(ends, "split_id").select("split_id", "rid", F.lit(f"selected_features_{block.name}").alias("artifact"), F.col("selected").alias("value")))
+    kinds = "split_id long, rid long, artifact string, value array<string>"
+    made = reduce(DataFrame.union, found) if found else spark.createDataFrame([], kinds)
+    if "event_label" not in trained.spine.columns:
+        return made
+    events = trained.spine.where("event_label IS NOT NULL").select("rid", *[x for x in trained.spine.columns if x.startswith("event_")])
+    return events.join(made, "rid", "full_outer").select("split_id", "rid", "artifact", "value", *[x for x in events.columns if x != "rid"])
 
 
 def in_sample(trained: Trained) -> DataFrame:
     """Predictions of train rows; where splits overlap, the last split's."""
     whole = F.struct(*[c(f) for f in trained.outputs])
-    best = trained.rows.where("train").groupBy("rid").agg(F.max_by(whole, "split_id").alias("_row"), F.max("split_id").alias("split_id"))
-    return best.select("split_id", "rid", "_row.*").join(trained.spine.select("rid", "ts", "y"), "rid")
+    best = trained.rows.where("train").groupBy("rid").agg(F.max_by(whole, "split_id").alias("_row"), F.max("split_id").alias("split_id"), F.any_value("ts").alias("ts"), F.any_value("raw_y").alias("y"))
+    return best.select("split_id", "rid", "_row.*", "ts", "y")
 
 
-def train_backtest(card, df, splitter, features=(), **options) -> DataFrame:
-    return backtest(train(card, df, splitter, features, need_in_sample=False, **options))
+def train_backtest(card, df, splitter, features=(), return_artifacts: bool = False, **options):
+    """The results; with return_artifacts (results, artifacts)."""
+    trained = train(card, df, splitter, features, need_in_sample=False, **options)
+    return (backtest(trained), artifacts(trained)) if return_artifacts else backtest(trained)
 
 
 def infer(trained: Trained, df: DataFrame, features=()) -> DataFrame:
@@ -167,19 +219,21 @@ def infer(trained: Trained, df: DataFrame, features=()) -> DataFrame:
     use = Run({k: v.where(F.col("split_id") == last) for k, v in trained.run.states.items()})
     use.models = trained.run.models
     tagged = df.withColumns({"split_id": F.lit(last).cast("long"), "train": F.lit(False), "halo": F.lit(False)})
-    memory = memory_of(trained.card.pipeline)
-    dealt = blocked(tagged, memory, 0)
+    dealt = cut(tagged, trained.card.pipeline)
     out = as_block(trained.card.pipeline).process(Frame(dealt, own, ("_block", "_halo"), ("_block",)), use, "main")
     return out.df.where("NOT _halo").select("rid", "ts", *[c(f) for f in out.features])
 
 
-METRICS = ("n", "rmse", "mae", "r2", "accuracy")
+METRICS = ("n", "rmse", "mse", "mae", "mape", "smape", "r2", "accuracy", "residual_mean", "residual_sd")
 
 
 def score(results: DataFrame, by: list[str] = ("split_id",), events: DataFrame | None = None) -> DataFrame:
-    """n, rmse, mae, r2, accuracy by group, weighted; with events (rid, event_label, event_test_sample_weights) against their labels.
+    """METRICS by group, weighted; with events (rid, event_label, event_test_sample_weights) against their labels.
 
-    Rows without a prediction or a truth don't count. r2 and a weightless group's metrics are null where they would divide by zero.
+    Rows without a prediction or a truth don't count. r2 and a weightless group's
+    metrics are null where they would divide by zero; mape and smape leave out
+    rows whose truth, or whose truth and prediction, are 0. Residuals are truths
+    less predictions.
     """
     p = c(prediction([x for x in results.columns if x not in ("split_id", "rid", "ts", "y")]))
     w, y = F.lit(1.0), F.col("y")
@@ -190,9 +244,13 @@ def score(results: DataFrame, by: list[str] = ("split_id",), events: DataFrame |
     e, total = F.col("p") - F.col("y"), F.nullif(F.sum("w"), F.lit(0.0))
     spread = F.sum(F.col("w") * F.col("y") * F.col("y")) - F.sum(F.col("w") * F.col("y")) * F.sum(F.col("w") * F.col("y")) / total
     right = F.when(F.col("p") == F.col("y"), F.col("w")).otherwise(0.0)
+    share = lambda a, b: F.sum(F.when(b != 0, F.col("w") * a / F.nullif(b, F.lit(0.0)))) / F.nullif(F.sum(F.when(b != 0, F.col("w"))), F.lit(0.0))
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.sqrt(F.sum(F.col("w") * e * e) / total).alias("rmse"), (F.sum(F.col("w") * F.abs(e)) / total).alias("mae"),
         (1 - F.sum(F.col("w") * e * e) / F.nullif(spread, F.lit(0.0))).alias("r2"), (F.sum(right) / total).alias("accuracy"),
+        (F.sum(F.col("w") * e * e) / total).alias("mse"), share(F.abs(e), F.abs("y")).alias("mape"), share(2 * F.abs(e), F.abs("y") + F.abs("p")).alias("smape"),
+        (-F.sum(F.col("w") * e) / total).alias("residual_mean"),
+        F.sqrt(F.greatest(F.sum(F.col("w") * e * e) / total - F.pow(F.sum(F.col("w") * e) / total, 2), F.lit(0.0))).alias("residual_sd"),
     )
 
 

@@ -66,7 +66,7 @@ def lean_steps(pipeline, splits: list[Split]) -> list[Block] | None:
 
 def fit_lean(steps: list[Block], rows: DataFrame, features: tuple[str, ...], splits: list[Split], path: Callable[[int], str]) -> Run:
     """A run with the last step's state, from one pass over the rows; a row of moments a stretch reaches the driver."""
-    memory = max(b.memory for b in steps)
+    memory = sum(b.reach for b in steps)  # windows on windows add up
     first, end = min(s.train[0].start for s in splits), max(s.train[0].end for s in splits)
     borders = sorted({x for s in splits for x in (s.train[0].start, s.train[0].end)})
     inside = rows.where((F.col("rid") >= first) & (F.col("rid") < end))

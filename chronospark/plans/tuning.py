@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import is_dataclass, replace
+from dataclasses import dataclass, is_dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import nested
-from .blocks import Block, Identity, Sequence, as_block, traverse
+from ..functions.names import c, nested, prediction
+from .blocks import Block, Frame, Identity, Run, Sequence, as_block, cut, memory_of, traverse
 from .engine import as_card, score, train_backtest
+from .splits import plan_splits
 
 MARK = "¦"
 
@@ -64,3 +65,70 @@ def tune(card, df: DataFrame, splitter, features=(), metric: str = "rmse", candi
     order = F.col(metric).asc_nulls_last() if lower_is_better else F.col(metric).desc_nulls_last()
     best = table.orderBy(order, "candidate").first()
     return candidates[best["candidate"]], table
+
+
+#: Lower is better; of predictions p and truths y.
+LOSSES = {"rmse": lambda p, y: F.sqrt(F.avg((p - y) * (p - y))), "mae": lambda p, y: F.avg(F.abs(p - y)), "error rate": lambda p, y: F.avg(F.when(p == y, 0.0).otherwise(1.0))}
+#: More than the windows of an inner splitter, so that windows within windows have numbers of their own.
+_INNER = 1 << 20
+
+
+@dataclass(frozen=True)
+class Optimizer(Block):
+    """The pipeline with the parameters that did best inside each split's own train window.
+
+    splitter cuts every train window again; the candidates, or all combinations
+    that the pipeline's blocks ask to try, are fitted and scored on these windows,
+    all splits in one plan a candidate. A split's choice is its state. Test rows
+    have no part in it.
+    """
+
+    pipeline: object
+    splitter: object
+    candidates: tuple | None = None
+    loss: str = "rmse"
+    name: str = "optimizer"
+
+    def children(self):
+        return [as_block(self.pipeline)]
+
+    def tried(self) -> list[Block]:
+        params = grid(self.pipeline) if self.candidates is None else self.candidates
+        return [apply(self.pipeline, p) for p in params]
+
+    def _inner(self, frame: Frame) -> Frame:
+        """Train rows as rows of the windows within their split's window."""
+        rows = frame.train_rows()
+        ends = rows.groupBy("split_id").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).collect()  # a row a split
+        plan = [(r["split_id"], r["split_id"] * _INNER + s.split_id, *(r["a"] + x for x in (s.train[0].start, s.train[-1].end, s.test[0].start, s.test[-1].end))) for r in ends for s in plan_splits(self.splitter, r["z"] - r["a"] + 1)]
+        table = frame.df.sparkSession.createDataFrame(plan, "split_id long, _own long, _tr0 long, _tr1 long, _te0 long, _te1 long")
+        # a row a window, a number planned on the driver
+        wide = rows.drop("train", "halo", "_role", "_block", "_halo").join(F.broadcast(table), "split_id").withColumn("split_id", F.col("_own"))
+        memory, rid = memory_of(self.pipeline), F.col("rid")
+        learn = wide.where((rid >= F.col("_tr0")) & (rid < F.col("_tr1"))).withColumns({"_role": F.lit(True), "halo": F.lit(False)})
+        test = wide.where((rid >= F.col("_te0") - memory) & (rid < F.col("_te1"))).withColumns({"_role": F.lit(False), "halo": rid < F.col("_te0")})
+        both = cut(learn.unionByName(test).drop("_own", "_tr0", "_tr1", "_te0", "_te1"), self.pipeline)
+        both = both.withColumns({"train": F.col("_role") & ~F.col("_halo"), "halo": F.col("halo") | F.col("_halo")})
+        return Frame(both, frame.features, frame.carry, ("split_id", "_role", "_block"))
+
+    def _choice(self, frame: Frame) -> DataFrame:
+        inner, scores = self._inner(frame), []
+        for i, block in enumerate(self.tried()):
+            out = block.process(inner, Run(), "inner")
+            p, y = c(prediction(list(out.features))).cast("double"), F.col("y").cast("double")
+            tested = out.df.where("NOT train AND NOT halo").where(p.isNotNull() & y.isNotNull())
+            scores.append(tested.groupBy(F.floor(F.col("split_id") / _INNER).cast("long").alias("split_id")).agg(LOSSES[self.loss](p, y).alias("loss")).withColumn("candidate", F.lit(i)))
+        table = reduce(DataFrame.union, scores)
+        return table.groupBy("split_id").agg(F.min_by("candidate", F.struct("loss", "candidate")).alias("chosen"))
+
+    def process(self, frame, run, path):
+        chosen = run.state(path, lambda: self._choice(frame))
+        by_split = {r["split_id"]: r["chosen"] for r in chosen.collect()}  # a row a split
+        outs = []
+        for i, block in enumerate(self.tried()):
+            own = [s for s, k in by_split.items() if k == i]
+            if own:
+                outs.append(block.process(frame.on(frame.df.where(F.col("split_id").isin(own))), run, f"{path}o{i}"))
+        if not outs:
+            raise ValueError("no split has a choice")
+        return outs[0].on(reduce(lambda a, b: a.unionByName(b), [o.df.select(*outs[0].df.columns) for o in outs]))

@@ -8,6 +8,7 @@ otherwise, windows expand from 0.4 of the rows in steps of 0.1.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from .operators import models as mod
 from .operators import scaling as sc
 from .plans import engine
 from .plans import splits as sp
+from .plans import tuning
+from .sources import calendars
 from .sources import series as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,18 +208,51 @@ feature("datetime_features", [feat.AddDateTimeFeatures(tuple(scalar.DATE_PARTS),
 feature("take_log", [feat.TakeLog("10")], {"value": "r", "value2": "r2"}, {"r": "log10(value)", "r2": "CASE WHEN value2 > 0 THEN log10(value2) WHEN value2 = 0 THEN '-infinity'::DOUBLE END"})
 feature("multiply_by", [feat.MultiplyBy(2.5)], {"value": "r"}, {"r": "value * 2.5"})
 feature("add_features", [feat.AddFeatures(("value*", F.sqrt))], {"value~sqrt": "r"}, {"r": "sqrt(value)"}, features=("value",))
-feature("fill_na_inf", [feat.ApplyFunction(lambda df: df.withColumn("value_n", scalar.fill_na_inf(F.col("value_n"))))], {"value_n": "r"}, {"r": "coalesce(value_n, 0.0)"}, features=("value_n",), splitter=sp.ForwardSingleWindowSplitter(50), splits="splits AS (SELECT 0::BIGINT AS split_id, 0::BIGINT AS tr0, 50::BIGINT AS tr1, 50::BIGINT AS te0, count(*) AS te1 FROM b)")
-
-
-def _holidays(labeling):
-    return lambda spark, d: [feat.AddHolidayFeatures(feat.rule_calendar(spark, ["US"], range(1995, 2003)), ("US",), labeling, keep_original=False)]
-
-
-_HOLIDAY = "CASE WHEN (month(ts), day(ts)) IN ((1, 1), (6, 19), (7, 4), (11, 11), (12, 25)) THEN {h} ELSE {o} END"
-feature("holiday_binary", _holidays("binary"), {"holiday_US": "r"}, {"r": _HOLIDAY.format(h=1, o=0)}, digits=None, series=daily_series, base=D, features=("rev",), cast="long")
-feature("holiday_weekend", _holidays("weekday_weekend_holiday"), {"holiday_US": "r"}, {"r": _HOLIDAY.format(h=2, o="CASE WHEN isodow(ts) > 5 THEN 1 ELSE 0 END")}, digits=None, series=daily_series, base=D, features=("rev",), cast="long")
-feature("holiday_unique", _holidays("unique"), {"holiday_US": "r"}, {"r": "CASE WHEN month(ts) = 12 AND day(ts) = 25 THEN 2 WHEN month(ts) = 7 AND day(ts) = 4 THEN 3 WHEN month(ts) = 6 AND day(ts) = 19 THEN 4 WHEN month(ts) = 1 AND day(ts) = 1 THEN 5 WHEN month(ts) = 11 AND day(ts) = 11 THEN 6 WHEN isodow(ts) > 5 THEN 1 ELSE 0 END"}, digits=None, series=daily_series, base=D, features=("rev",), cast="long")
-feature("exchange_holidays", lambda spark, d: [feat.AddHolidayFeatures(feat.exchange_calendar(_table(spark, d, "orders").where("weekday(o_orderdate) < 5").select(F.to_date("o_orderdate").alias("day")), "X", "1995-01-01", "2002-01-01"), ("X",), "binary", keep_original=False)], {"holiday_X": "r"}, {"r": "CASE WHEN isodow(ts) > 5 THEN 1 ELSE 0 END"}, digits=None, series=daily_series, base=D, features=("rev",), cast="long")
+_ODD = "CASE WHEN rid % 5 = 0 THEN 'infinity'::DOUBLE WHEN rid % 5 = 1 THEN '-infinity'::DOUBLE WHEN rid % 5 = 2 THEN 'nan'::DOUBLE ELSE value_n END"
+
+
+def _odd(df):
+    odd = [F.lit(float(x)) for x in ("inf", "-inf", "nan")]
+    made = reduce(lambda a, i: a.when(F.col("rid") % 5 == i, odd[i]), (1, 2), F.when(F.col("rid") % 5 == 0, odd[0]))
+    return df.withColumn("value_n", scalar.fill_na_inf(made.otherwise(F.col("value_n"))))
+
+
+feature("fill_na_inf", [feat.ApplyFunction(_odd)], {"value_n": "r"}, {"r": f"CASE WHEN {_ODD} IS NULL OR isnan({_ODD}) OR isinf({_ODD}) THEN 0.0 ELSE {_ODD} END"}, features=("value_n",), splitter=sp.ForwardSingleWindowSplitter(50), splits="splits AS (SELECT 0::BIGINT AS split_id, 0::BIGINT AS tr0, 50::BIGINT AS tr1, 50::BIGINT AS te0, count(*) AS te1 FROM b)")
+
+
+def _holidays(labeling, *codes):
+    return lambda spark, d: [feat.AddHolidayFeatures(calendars.holidays(spark, codes, range(1995, 2003)), codes, labeling, keep_original=False)]
+
+
+# the same days by month, weekday and day; dates of Easter are stated
+_MD, _DOW = "(month(ts), day(ts))", "isodow(ts)"
+_US_NAMES = {
+    "Christmas Day": f"{_MD} = (12, 25)", "Independence Day": f"{_MD} = (7, 4)", "New Year's Day": f"{_MD} = (1, 1)", "Veterans Day": f"{_MD} = (11, 11)",
+    "Martin Luther King Jr. Day": f"month(ts) = 1 AND {_DOW} = 1 AND day(ts) BETWEEN 15 AND 21", "Washington's Birthday": f"month(ts) = 2 AND {_DOW} = 1 AND day(ts) BETWEEN 15 AND 21",
+    "Memorial Day": f"month(ts) = 5 AND {_DOW} = 1 AND day(ts) > 24", "Labor Day": f"month(ts) = 9 AND {_DOW} = 1 AND day(ts) < 8",
+    "Columbus Day": f"month(ts) = 10 AND {_DOW} = 1 AND day(ts) BETWEEN 8 AND 14", "Thanksgiving Day": f"month(ts) = 11 AND {_DOW} = 4 AND day(ts) BETWEEN 22 AND 28",
+    "Christmas Day (observed)": f"({_DOW} = 5 AND {_MD} = (12, 24) OR {_DOW} = 1 AND {_MD} = (12, 26))", "Independence Day (observed)": f"({_DOW} = 5 AND {_MD} = (7, 3) OR {_DOW} = 1 AND {_MD} = (7, 5))",
+    "New Year's Day (observed)": f"({_DOW} = 5 AND {_MD} = (12, 31) OR {_DOW} = 1 AND {_MD} = (1, 2))", "Veterans Day (observed)": f"({_DOW} = 5 AND {_MD} = (11, 10) OR {_DOW} = 1 AND {_MD} = (11, 12))",
+}
+_US = "(" + " OR ".join(_US_NAMES.values()) + ")"
+_WEEKEND = f"CASE WHEN {_DOW} > 5 THEN 1 ELSE 0 END"
+_EASTER = "(" + ", ".join(f"DATE '{d}'" for d in ("1995-04-16", "1996-04-07", "1997-03-30", "1998-04-12", "1999-04-04", "2000-04-23", "2001-04-15", "2002-03-31")) + ")"
+_AFTER = lambda *days: " OR ".join(f"CAST(ts AS DATE) - {n} IN {_EASTER}" for n in days)
+_DE = f"({_MD} IN ((1, 1), (5, 1), (10, 3), (12, 25), (12, 26)) OR {_AFTER(-2, 1, 39, 50)})"
+_MOVED = ", ".join(f"DATE '{d}'" for d in ("1995-01-02", "1995-05-08", "1998-12-28", "1999-12-27", "1999-12-28", "1999-12-31", "2000-01-03", "2002-06-03", "2002-06-04"))
+_GB = f"({_MD} IN ((1, 1), (12, 25), (12, 26)) OR {_AFTER(-2, 1)} OR CAST(ts AS DATE) IN ({_MOVED}) OR {_DOW} = 1 AND (month(ts) = 5 AND day(ts) < 8 AND year(ts) <> 1995 OR month(ts) = 5 AND day(ts) > 24 AND year(ts) <> 2002 OR month(ts) = 8 AND day(ts) > 24))"
+_CLOSED = f"""({_DOW} > 5 OR {_AFTER(-2)} OR ts BETWEEN '2001-09-11' AND '2001-09-14' OR {" OR ".join(x for k, x in _US_NAMES.items() if k not in ("Columbus Day", "Veterans Day", "Veterans Day (observed)", "New Year's Day (observed)", "Martin Luther King Jr. Day"))} OR {_DOW} = 1 AND {_MD} = (1, 2) OR year(ts) > 1997 AND {_US_NAMES["Martin Luther King Jr. Day"]})"""
+_DAILY = {"series": daily_series, "base": D, "features": ("rev",)}
+_NUMBER = "CASE " + " ".join(f"WHEN {_US_NAMES[k]} THEN {i}" for i, k in enumerate(sorted(_US_NAMES), 2)) + f" ELSE {_WEEKEND} END"
+_NAME = "CASE " + " ".join(f"""WHEN {x} THEN '{k.replace("'", "''")}'""" for k, x in _US_NAMES.items()) + f" ELSE CAST({_WEEKEND} AS VARCHAR) END"
+feature("holiday_binary", _holidays("binary", "US"), {"holiday_US": "r"}, {"r": f"CASE WHEN {_US} THEN 1 ELSE 0 END"}, digits=None, cast="long", **_DAILY)
+feature("holiday_weekend", _holidays("weekday_weekend_holiday", "US"), {"holiday_US": "r"}, {"r": f"CASE WHEN {_US} THEN 2 ELSE {_WEEKEND} END"}, digits=None, cast="long", **_DAILY)
+feature("holiday_de_gb", _holidays("weekday_weekend_holiday", "DE", "GB"), {"holiday_DE": "de", "holiday_GB": "gb"}, {"de": f"CASE WHEN {_DE} THEN 2 ELSE {_WEEKEND} END", "gb": f"CASE WHEN {_GB} THEN 2 ELSE {_WEEKEND} END"}, digits=None, cast="long", **_DAILY)
+feature("holiday_unique", _holidays("unique", "US"), {"holiday_US": "r"}, {"r": _NUMBER}, digits=None, cast="long", **_DAILY)
+feature("holiday_string", _holidays("string", "US"), {"holiday_US": "r"}, {"r": _NAME}, digits=None, **_DAILY)
+feature("exchange_holidays", lambda spark, d: [feat.AddHolidayFeatures(calendars.closed_days(spark, "NYSE", range(1995, 2003)), ("NYSE",), "binary", keep_original=False)], {"holiday_NYSE": "r"}, {"r": f"CASE WHEN {_CLOSED} THEN 1 ELSE 0 END"}, digits=None, cast="long", **_DAILY)
+_SESSIONS = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem"
+feature("exchange_sessions_table", lambda spark, d: [feat.AddHolidayFeatures(calendars.without_session(_table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day")), "X", "1995-01-01", "2002-01-01"), ("X",), "binary", keep_original=False)], {"holiday_X": "r"}, {"r": "CASE WHEN CAST(ts AS DATE) IN (SELECT day FROM sessions) THEN 0 ELSE 1 END"}, digits=None, cast="long", extra=f", sessions AS ({_SESSIONS})", **_DAILY)
 
 
 @query("weekend_flag", f"WITH {D} SELECT rid, CAST(isodow(ts) > 5 AS BIGINT) AS weekend FROM b")
@@ -339,37 +375,79 @@ _LAG_MODEL = [feat.AddLagsX(("rev", 1), keep_original=False), mod.LinearRegressi
 model("ols_on_lag", _LAG_MODEL, {"predictions_LinearRegression": "p"}, {"p": "m * lag(rev, 1) OVER w + c"}, _TRAIN_LAG, _STATE, memory=1, digits=1, series=daily_series, base=D, features=("rev",))
 
 
-@query("ols_two_features")
+@query("ols_two_features", f"""WITH {E}, {SPLITS} {TRAIN}, q AS (SELECT split_id, var_pop(value) AS a, var_pop(cls) AS d, covar_pop(value, cls) AS o, covar_pop(value, y) AS u, covar_pop(cls, y) AS v, avg(value) AS mx, avg(cls) AS mc, avg(y) AS my FROM train GROUP BY 1),
+st AS (SELECT split_id, (u * d - v * o) / (a * d - o * o) AS b1, (v * a - u * o) / (a * d - o * o) AS b2, mx, mc, my FROM q)
+SELECT s.split_id, b.rid, round(my + b1 * (b.value - mx) + b2 * (b.cls - mc), 4) AS p FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN st ON s.split_id = st.split_id""")
 def ols_two_features(spark, d):
     df = engine.train_backtest([mod.LinearRegression()], events_series(spark, d), EXPANDING, ("value", "cls"))
     return df.select("split_id", "rid", F.round("predictions_LinearRegression", 4).alias("p"))
 
 
-@query("random_classifier")
+_TESTED = f"WITH {E}, {SPLITS} SELECT s.split_id, b.rid, {{}} FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1"
+
+
+@query("random_classifier", _TESTED.format("TRUE AS valid"))
 def random_classifier(spark, d):
-    return engine.train_backtest([mod.RandomClassifier((0, 1))], events_series(spark, d), EXPANDING, ("value",))
+    """Random, so what is checked is that each row has one of the classes and probabilities that sum to 1."""
+    df = engine.train_backtest([mod.RandomClassifier((0, 1))], events_series(spark, d), EXPANDING, ("value",))
+    p = [F.col(f"probabilities_RandomClassifier_{k}") for k in (0, 1)]
+    return df.select("split_id", "rid", (F.col("predictions_RandomClassifier").isin(0.0, 1.0) & p[0].between(0, 1) & (F.abs(p[0] + p[1] - 1) < 1e-9)).alias("valid"))
 
 
-@query("random_binary_classifier")
+@query("random_binary_classifier", f"WITH {E}, {SPLITS} {TRAIN}, st AS (SELECT split_id, avg(CASE WHEN cls > 0 THEN 1.0 ELSE -1.0 END) / 2 + 0.5 AS center FROM train GROUP BY 1) SELECT s.split_id, count(*) AS n, round(any_value(st.center), 1) AS center, TRUE AS consistent FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN st ON s.split_id = st.split_id GROUP BY 1")
 def random_binary_classifier(spark, d):
+    """Random around a fitted center: the mean probability is near it, and the class follows the probability."""
     df = events_series(spark, d).withColumn("y", F.col("cls"))
-    return engine.train_backtest([mod.RandomBinaryClassifier()], df, EXPANDING, ("value",))
+    out = engine.train_backtest([mod.RandomBinaryClassifier()], df, EXPANDING, ("value",))
+    one, zero = F.col("probabilities_RandomBinaryClassifier_1"), F.col("probabilities_RandomBinaryClassifier_0")
+    consistent = F.bool_and((F.col("predictions_RandomBinaryClassifier") == (one >= 0.5).cast("double")) & (F.abs(one + zero - 1) < 1e-9))
+    return out.groupBy("split_id").agg(F.count("*").alias("n"), F.round(F.avg(one), 1).alias("center"), consistent.alias("consistent"))
 
 
-@query("gbt")
+@query("gbt", f"WITH {D}, {splits_sql(0.6, 0.3)} {TRAIN}, st AS (SELECT split_id, min(y) AS lo, max(y) AS hi FROM train GROUP BY 1) SELECT s.split_id, count(*) AS n, TRUE AS in_range FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN st ON s.split_id = st.split_id GROUP BY 1")
 def gbt(spark, d):
+    """Boosted trees predict within a margin around their train targets (SQL states the rows and that this holds)."""
     from pyspark.ml.regression import GBTRegressor
 
     lags = feat.AddLagsX(("rev", [1, 2]))
-    return engine.train_backtest([lags, GBTRegressor(maxIter=3, maxDepth=3, seed=1)], daily_series(spark, d), sp.ExpandingWindowSplitter(0.6, 0.3), ("rev",))
-
-
-@query("logistic")
+    df = daily_series(spark, d)
+    out = engine.train_backtest([lags, GBTRegressor(maxIter=3, maxDepth=3, seed=1)], df, sp.ExpandingWindowSplitter(0.6, 0.3), ("rev",))
+    ends = df.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    p, margin = F.col("predictions_GBTRegressor"), F.col("hi") - F.col("lo")
+    inside = p.isNull() | p.between(F.col("lo") - margin, F.col("hi") + margin)
+    return out.crossJoin(F.broadcast(ends)).groupBy("split_id").agg(F.count("*").alias("n"), F.bool_and(inside).alias("in_range"))
+
+
+def _newton(steps: int) -> str:
+    """Weighted logistic regression of cls on value by Newton's steps, one common table a step."""
+    out = ", w AS (SELECT split_id, sum(cls) AS one, count(*) - sum(cls) AS zero FROM train GROUP BY 1), tw AS MATERIALIZED (SELECT t.split_id, (t.value - 50) / 50 AS x, t.cls AS y, CASE WHEN t.cls = 1 THEN w.zero / w.one ELSE 1.0 END AS wt FROM train t JOIN w ON t.split_id = w.split_id), n0 AS (SELECT split_id, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM w)"
+    for k in range(steps):
+        out += f""", p{k} AS (SELECT tw.split_id, tw.x, tw.wt, tw.y, n.b0, n.b1, 1 / (1 + exp(-n.b0 - n.b1 * tw.x)) AS p FROM tw JOIN n{k} n ON tw.split_id = n.split_id),
+g{k} AS (SELECT split_id, any_value(b0) AS b0, any_value(b1) AS b1, sum(wt * (y - p)) AS g0, sum(wt * (y - p) * x) AS g1, sum(wt * p * (1 - p)) AS h, sum(wt * p * (1 - p) * x) AS i, sum(wt * p * (1 - p) * x * x) AS j FROM p{k} GROUP BY 1),
+n{k + 1} AS MATERIALIZED (SELECT split_id, b0 + (j * g0 - i * g1) / (h * j - i * i) AS b0, b1 + (h * g1 - i * g0) / (h * j - i * i) AS b1 FROM g{k})"""
+    return out
+
+
+@query("logistic", f"""WITH {E}, {splits_sql(0.6, 0.3)} {TRAIN} {_newton(6)}
+SELECT s.split_id, b.rid, round(1 / (1 + exp(-n6.b0 - n6.b1 * (b.value - 50) / 50)), 3) + 0::DOUBLE AS p1 FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN n6 ON s.split_id = n6.split_id""")
 def logistic(spark, d):
     from pyspark.ml.classification import LogisticRegression
 
     df = events_series(spark, d).withColumn("y", F.col("cls"))
-    return engine.train_backtest([mod.FromMl(LogisticRegression(maxIter=5), "balanced", "logistic")], df, sp.ExpandingWindowSplitter(0.6, 0.3), ("value",))
+    model = mod.FromMl(LogisticRegression(maxIter=100, tol=1e-10), "balanced", "logistic")
+    return engine.train_backtest([model], df, sp.ExpandingWindowSplitter(0.6, 0.3), ("value",)).select("split_id", "rid", F.round("probabilities_logistic_1", 3).alias("p1"))
+
+
+@query("pca", f"""WITH {E}, {SPLITS} {TRAIN}, q AS (SELECT split_id, var_samp(value) AS a, var_samp(cls * 30) AS d, covar_samp(value, cls * 30) AS o FROM train GROUP BY 1),
+l AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + o * o) AS top FROM q), v AS (SELECT split_id, o / sqrt(o * o + (top - a) * (top - a)) AS vx, (top - a) / sqrt(o * o + (top - a) * (top - a)) AS vy FROM l)
+SELECT s.split_id, b.rid, round(abs(v.vx * b.value + v.vy * b.cls * 30), 4) AS size FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN v ON s.split_id = v.split_id""")
+def pca(spark, d):
+    """The first component's absolute value, as its sign is free."""
+    from pyspark.ml.feature import PCA
+
+    df = events_series(spark, d).withColumn("cls30", F.col("cls") * 30)
+    out = engine.train_backtest([PCA(k=1)], df, EXPANDING, ("value", "cls30"))
+    return out.select("split_id", "rid", F.round(F.abs("PCA_0"), 4).alias("size"))
 
 
 _TWO = ([feat.MultiplyBy(2.0)], [feat.MultiplyBy(3.0), col_ops.SelectColumns(["value"])])
@@ -386,8 +464,6 @@ feature("model_residuals", [comp.ModelResiduals([mod.DummyRegressor(40)], [mod.L
 feature("transform_target_log", [comp.TransformTarget([mod.LinearRegression()], (feat.TakeLog(), sc.StandardScaler()))], {"predictions_LinearRegression": "p"}, {"p": "exp(m * rev + c)"}, extra=TRAIN + ", st AS (SELECT split_id, regr_slope(ln(y), rev) AS m, regr_intercept(ln(y), rev) AS c FROM train GROUP BY 1)", joins=_STATE, digits=1, series=daily_series, base=D, features=("rev",))
 feature("meta_labeling", [comp.MetaLabeling([mod.DummyRegressor(1)], [mod.LinearRegression()])], {"predictions_MetaLabeling": "p"}, {"p": "m * value + c"}, extra=TRAIN + ", st AS (SELECT split_id, regr_slope(hit, value) AS m, regr_intercept(hit, value) AS c FROM (SELECT split_id, value, CASE WHEN trunc(y) = 1 THEN 1.0 ELSE 0.0 END AS hit FROM train) GROUP BY 1)", joins=_STATE, digits=4, features=("value",))
 feature("skip_na", [comp.SkipNA([feat.AddLagsX(("value_n", 1), keep_original=False)])], {"value_n~lag_1": "r"}, {"r": "l"}, features=("value_n",), splitter=sp.ForwardSingleWindowSplitter(50), splits="splits AS (SELECT 0::BIGINT AS split_id, 0::BIGINT AS tr0, 50::BIGINT AS tr1, 50::BIGINT AS te0, count(*) AS te1 FROM b)", memory=1, extra=", b2 AS (SELECT rid, lag(value_n, 1) OVER (ORDER BY rid) AS l FROM b WHERE value_n IS NOT NULL AND rid >= 49)", joins="LEFT JOIN b2 ON t.rid = b2.rid")
-_DRAW = "((rid * 7919 + 1) % 10007) / 10007.0::DOUBLE"
-
 
 def _sampled(sampler):
     def run(spark, d):
@@ -398,14 +474,13 @@ def _sampled(sampler):
     return run
 
 
-_COUNTS = "n AS (SELECT split_id, cls, count(*) AS k FROM train GROUP BY 1, 2), nm AS (SELECT split_id, min(k) AS lo, max(k) AS hi FROM n GROUP BY 1)"
+_COUNTS = "n AS (SELECT split_id, cls, count(*) AS k FROM train GROUP BY 1, 2), nm AS (SELECT split_id, min(k) AS lo, max(k) AS hi FROM n GROUP BY 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY split_id, cls ORDER BY md5('1-' || rid), rid) AS at FROM train)"
 _SAMPLED = """WITH {E}, {SPLITS} {TRAIN}, {counts}, tr AS ({rows}), st AS (SELECT split_id, regr_slope(cls, value) AS m, regr_intercept(cls, value) AS c FROM tr GROUP BY 1)
 SELECT s.split_id, b.rid, round(st.m * b.value + st.c, 4) AS p FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN st ON s.split_id = st.split_id"""
 QUERIES["undersample"] = _sampled(comp.UnderSampler())
-ORACLE_SQL["undersample"] = _SAMPLED.format(E=E, SPLITS=SPLITS, TRAIN=TRAIN, counts=_COUNTS, rows=f"SELECT t.* FROM train t JOIN n ON t.split_id = n.split_id AND t.cls = n.cls JOIN nm ON t.split_id = nm.split_id WHERE {_DRAW} < lo / k::DOUBLE")
+ORACLE_SQL["undersample"] = _SAMPLED.format(E=E, SPLITS=SPLITS, TRAIN=TRAIN, counts=_COUNTS, rows="SELECT t.* FROM ranked t JOIN nm ON t.split_id = nm.split_id WHERE t.at <= nm.lo")
 QUERIES["oversample"] = _sampled(comp.OverSampler())
-ORACLE_SQL["oversample"] = _SAMPLED.format(E=E, SPLITS=SPLITS, TRAIN=TRAIN, counts=_COUNTS, rows="SELECT t.*, unnest(range(0, CAST(floor(hi / k) AS BIGINT))) FROM train t JOIN n ON t.split_id = n.split_id AND t.cls = n.cls JOIN nm ON t.split_id = nm.split_id")
-
+ORACLE_SQL["oversample"] = _SAMPLED.format(E=E, SPLITS=SPLITS, TRAIN=TRAIN, counts=_COUNTS, rows="SELECT t.*, unnest(range(0, nm.hi // n.k + CASE WHEN t.at <= nm.hi % n.k THEN 1 ELSE 0 END)) FROM ranked t JOIN n ON t.split_id = n.split_id AND t.cls = n.cls JOIN nm ON t.split_id = nm.split_id")
 
 
 @query("strategy_meta_labeling", f"WITH {E}, {SPLITS}, {_FORWARD} SELECT s.split_id, fw.rid, CASE WHEN fw.f IS NOT NULL THEN CASE WHEN fw.value > 50 THEN 2.0 ELSE -2.0 END END::DOUBLE AS p FROM fw JOIN splits s ON fw.rid >= s.te0 AND fw.rid < s.te1")
@@ -429,11 +504,11 @@ def ols_weighted_events(spark, d):
 model("ols_with_gap", engine.PipelineCard([mod.LinearRegression()], forward_horizon=10), {"predictions_LinearRegression": "p"}, {"p": "m * value + c"}, _FIT, _STATE, digits=4, features=("value",), splits=splits_sql(0.4, 0.1, gap=10))
 
 
-@query("merge_tables", f"WITH {E} SELECT coalesce(x.rid, z.rid) AS rid, x.a, z.b, round(coalesce(x.v, z.v), 6) AS v FROM (SELECT rid, value AS a, value AS v FROM b WHERE rid < 60) x FULL JOIN (SELECT rid, cls AS b, value2 AS v FROM b WHERE rid BETWEEN 40 AND 99) z ON x.rid = z.rid")
+@query("merge_tables", f"WITH {E} SELECT coalesce(x.rid, z.rid) AS rid, x.a, z.b, round(coalesce(x.v, z.v), 6) AS v FROM (SELECT rid, value AS a, value AS v FROM b WHERE value < 60) x FULL JOIN (SELECT rid, cls AS b, value2 AS v FROM b WHERE value > 40) z ON x.rid = z.rid")
 def merge_tables(spark, d):
     df = events_series(spark, d)
-    left = df.where("rid < 60").select("rid", F.col("value").alias("a"), F.col("value").alias("v"))
-    right = df.where("rid BETWEEN 40 AND 99").select("rid", F.col("cls").alias("b"), F.col("value2").alias("v"))
+    left = df.where("value < 60").select("rid", F.col("value").alias("a"), F.col("value").alias("v"))
+    right = df.where("value > 40").select("rid", F.col("cls").alias("b"), F.col("value2").alias("v"))
     return comp.merge_tables(left, right).withColumn("v", F.round("v", 6))
 
 
@@ -507,10 +582,86 @@ def trim_initial(spark, d):
 
 @query("grid_search", f"WITH {E}, {SPLITS}, g AS (SELECT c.k AS candidate, avg((b.y - c.v) * (b.y - c.v)) AS e, count(*) AS n FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1, (VALUES (0, 10.0), (1, 50.0), (2, 90.0)) c(k, v) GROUP BY 1) SELECT candidate, n, round(sqrt(e), 4) AS rmse FROM g")
 def grid_search(spark, d):
-    from .plans import tuning
-
     tries = [{"m¦predicted_value": v} for v in (10.0, 50.0, 90.0)]
     _, table = tuning.tune([mod.DummyRegressor(0, name="m")], events_series(spark, d), EXPANDING, ("value",), candidates=tries)
     return table.select("candidate", "n", F.round("rmse", 4).alias("rmse"))
 
 
+_INNER = "first AS (SELECT split_id, tr0 + CAST(floor(0.5::DOUBLE * (tr1 - tr0)) AS BIGINT) AS at, tr1 FROM splits)"
+_TRIED = (46.0, 48.0, 50.0, 52.0, 54.0)
+
+
+@query("optimizer_in_window", f"""WITH {E}, {SPLITS}, {_INNER}, g AS (SELECT f.split_id, c.v, avg((b.y - c.v) * (b.y - c.v)) AS e FROM first f JOIN b ON b.rid >= f.at AND b.rid < f.tr1, (VALUES {", ".join(f"({v})" for v in _TRIED)}) c(v) GROUP BY 1, 2),
+best AS (SELECT split_id, min_by(v, e)::DOUBLE AS v FROM g GROUP BY 1) SELECT s.split_id, b.rid, best.v AS p FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN best ON s.split_id = best.split_id""")
+def optimizer_in_window(spark, d):
+    tries = tuple({"m¦predicted_value": v} for v in _TRIED)
+    block = tuning.Optimizer([mod.DummyRegressor(0, name="m")], sp.ExpandingWindowSplitter(0.5, 0.25), tries)
+    return engine.train_backtest([block], events_series(spark, d), EXPANDING, ("value",)).select("split_id", "rid", F.col("predictions_m").alias("p"))
+
+
+@query("artifacts_selected", f"WITH {E}, {SPLITS} {TRAIN}, k AS (SELECT split_id, CASE WHEN coalesce(power(corr(value, y), 2), -1) >= coalesce(power(corr(cls, y), 2), -1) THEN 'value' ELSE 'cls' END AS best FROM train GROUP BY 1) SELECT s.split_id, s.tr1 - 1 AS rid, 'selected_features_k best' AS artifact, k.best FROM splits s JOIN k ON s.split_id = k.split_id")
+def artifacts_selected(spark, d):
+    _, made = engine.train_backtest([sc.SelectKBest(1), mod.DummyRegressor(1)], events_series(spark, d), EXPANDING, ("value", "cls"), return_artifacts=True)
+    return made.select("split_id", "rid", "artifact", F.col("value")[0].alias("best"))
+
+
+@query("all_metrics", f"{_PREDICTED} SELECT split_id, round(avg((y - p) * (y - p)) / 1e6, 2) AS mse, round(avg(abs(y - p) / abs(y)), 6) AS mape, round(avg(2 * abs(y - p) / (abs(y) + abs(p))), 6) AS smape, round(avg(y - p), 2) + 0::DOUBLE AS residual_mean, round(stddev_pop(y - p), 2) AS residual_sd FROM pr WHERE p IS NOT NULL GROUP BY 1")
+def all_metrics(spark, d):
+    scores = engine.score(engine.train_backtest(_LAG_MODEL, daily_series(spark, d), EXPANDING, ("rev",)))
+    return scores.select("split_id", F.round(F.col("mse") / 1e6, 2).alias("mse"), F.round("mape", 6).alias("mape"), F.round("smape", 6).alias("smape"), (F.round("residual_mean", 2) + 0.0).alias("residual_mean"), F.round("residual_sd", 2).alias("residual_sd"))
+
+
+# --- windows, columns and inverses that the queries above leave out
+
+
+@query("splits_gap_after", f"WITH {E}, c AS (SELECT count(*) AS n FROM b), w AS (SELECT n, CAST(floor(0.3::DOUBLE * n) AS BIGINT) AS a, CAST(floor(0.2::DOUBLE * n) AS BIGINT) AS k FROM c) SELECT 0::BIGINT AS split_id, t.s AS tr_start, t.e AS tr_end, a AS te_start, a + k AS te_end FROM w, LATERAL (VALUES (0::BIGINT, a - 5), (a + k + 20, n)) t(s, e)")
+def splits_gap_after(spark, d):
+    """A test window amid its train windows: 5 rows are left out before it and 20 after."""
+    n = events_series(spark, d).count()
+    a, k = int(0.3 * n), int(0.2 * n)
+
+    class Amid:
+        def splits(self, n, place=None):
+            return [sp.Split(0, (sp.Bounds(0, a), sp.Bounds(a + k, n)), (sp.Bounds(a, a + k),))]
+
+    return sp.splits_table(spark, sp.plan_splits(Amid(), n, gap_before=5, gap_after=20))
+
+
+@query("splits_overlapping", f"WITH {E}, {SPLITS.replace('least(n, f + (k + 1) * s)', 'n')} SELECT split_id, tr0 AS tr_start, tr1 AS tr_end, te0 AS te_start, te1 AS te_end FROM splits")
+def splits_overlapping(spark, d):
+    n = events_series(spark, d).count()
+    return sp.splits_table(spark, sp.plan_splits(sp.ExpandingWindowSplitter(0.4, 0.1, overlapping_test_sets=True), n))
+
+
+@query("only_probabilities", _TESTED.format("0.3::DOUBLE AS p0, 0.7::DOUBLE AS p1"))
+def only_probabilities(spark, d):
+    out = engine.train_backtest([mod.DummyClassifier(1, (0, 1), (0.3, 0.7)), col_ops.OnlyProbabilities()], events_series(spark, d), EXPANDING, ("value",))
+    return out.select("split_id", "rid", F.col("probabilities_DummyClassifier_0").alias("p0"), F.col("probabilities_DummyClassifier_1").alias("p1"))
+
+
+feature("only_predictions", [comp.Concat(([col_ops.SelectColumns(["value"])], [mod.LinearRegression()])), col_ops.OnlyPredictions()], {"predictions_LinearRegression": "p"}, {"p": "m * value + c"}, extra=_FIT, joins=_STATE, digits=4, features=("value",))
+feature("select_best", [comp.SelectBest((feat.MultiplyBy(2.0, "twice"), feat.MultiplyBy(3.0, "thrice")), "thrice")], {"value": "r"}, {"r": "value * 3"}, features=("value",))
+feature("add_features_of_two", [feat.AddFeatures((("value", "value2"), F.hypot))], {"value-value2~hypot": "r"}, {"r": "sqrt(value * value + value2 * value2)"}, features=("value", "value2"))
+feature("window_fillna", [feat.AddWindowFeatures(("value_n", 3, "max"), fillna=True, output_dtype="long")], {"value_n~max_3": "r"}, {"r": "trunc(coalesce(max(value_n) OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0.0))"}, 3, digits=None, cast="long", features=("value_n",))
+feature("expanding_extremes", [feat.AddWindowFeatures([("value", None, "min"), ("value", None, "max")])], {"value~min_expanding": "lo", "value~max_expanding": "hi"}, {"lo": "min(value) OVER w", "hi": "max(value) OVER w"})
+for _name, _step, _to in (("multiply", feat.MultiplyBy(2.5), "y * 2.5"), ("positive", sc.TurnPositive(), "y + 50"), ("minmax", sc.MinMaxScaler((0.0, 1.0)), "y / 7")):
+    # least squares go along with any shift and scale of the target, so the inverse must bring back the plain model
+    feature(f"transform_target_{_name}", [comp.TransformTarget([mod.LinearRegression()], (_step,))], {"predictions_LinearRegression": "p"}, {"p": "m * value + c"}, extra=_FIT, joins=_STATE, digits=4, features=("value",))
+
+
+@query("forward_shifted", f"WITH {E} SELECT rid, round(sum(y) OVER (ORDER BY rid ROWS BETWEEN 3 FOLLOWING AND 6 FOLLOWING), 6) AS label FROM b QUALIFY count(*) OVER (ORDER BY rid ROWS BETWEEN 3 FOLLOWING AND 6 FOLLOWING) = 4")
+def forward_shifted(spark, d):
+    labeler = ev.FixedForwardHorizon(4, aggregate_function="sum", shift_by=2, truncate=False)
+    return _with_events(spark, d, labeler).where("event_label IS NOT NULL").select("rid", F.round("event_label", 6).alias("label"))
+
+
+@query("backtest_from_timestamp", f"""WITH {D}, a AS (SELECT rid AS p, (SELECT count(*) FROM b) AS n FROM b WHERE ts = (SELECT ts FROM b WHERE rid = 100)),
+raw AS (SELECT k AS split_id, p + 200 + k * 300 AS te0, least(n, p + 500 + k * 300) AS te1, n FROM a, (SELECT unnest(range(0, 200)) AS k) WHERE p + 200 + k * 300 < n),
+last AS (SELECT max(split_id) AS kk, max_by(te1 - te0, split_id) AS len, any_value(n) AS n FROM raw),
+s AS (SELECT CASE WHEN kk > 0 AND len <= CAST(floor(0.1::DOUBLE * last.n) AS BIGINT) AND split_id = kk THEN kk - 1 ELSE split_id END AS split_id, te0, te1 FROM raw, last)
+SELECT s.split_id, b.rid, 1.0::DOUBLE AS p FROM b JOIN s ON b.rid >= s.te0 AND b.rid < s.te1""")
+def backtest_from_timestamp(spark, d):
+    df = daily_series(spark, d)
+    start = df.where("rid = 100").first()["ts"]
+    splitter = sp.ExpandingWindowSplitter(200, 300, start=str(start))
+    return engine.train_backtest([mod.DummyRegressor(1)], df, splitter, ("rev",)).select("split_id", "rid", F.col("predictions_DummyRegressor").alias("p"))

@@ -147,9 +147,17 @@ def test_in_sample_takes_the_last_split(sine):
 
 
 def test_holidays_and_dates(spark):
-    assert str(feat.easter(2024)) == "2024-03-31" and str(feat.easter(2019)) == "2019-04-21"
-    calendar = feat.rule_calendar(spark, ["DE"], range(2024, 2025))
-    assert calendar.where("day = '2024-12-25'").count() == 1 and calendar.where("day = '2024-04-01'").count() == 1
+    from chronospark.sources import calendars
+
+    assert str(calendars.easter(2024)) == "2024-03-31" and str(calendars.easter(2019)) == "2019-04-21"
+    days = lambda code, year: {str(r["day"]) for r in calendars.holidays(spark, code, range(year, year + 1)).collect()}
+    assert {"2024-12-25", "2024-04-01", "2024-05-09", "2024-10-03"} <= days("DE", 2024) and len(days("DE", 2024)) == 9
+    assert {"2021-12-31", "2021-06-18", "2021-06-19", "2021-07-05", "2021-11-25"} <= days("us", 2021)
+    assert {"2022-06-02", "2022-06-03", "2022-09-19", "2022-12-27", "2022-01-03"} <= days("GB", 2022) and "2022-05-30" not in days("GB", 2022)
+    closed = {str(r["day"]) for r in calendars.closed_days(spark, "all", range(2021, 2022)).where("code = 'NYSE' AND holiday <> 'weekend'").collect()}
+    assert closed == {"2021-01-01", "2021-01-18", "2021-02-15", "2021-04-02", "2021-05-31", "2021-07-05", "2021-09-06", "2021-11-25", "2021-12-24"}
+    with pytest.raises(ValueError):
+        calendars.holidays(spark, "XX", range(2021, 2022))
 
 
 def test_streaming(spark, tmp_path):
