@@ -24,20 +24,21 @@ from __future__ import annotations
 
 import functools
 import json
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WORD, byte_characters, slices
 from .common import documents, saved, saved_parts
 from .labelled import held_out
-from .textnum import flat_polynomials, mix, runs_by_bytes
+from .textnum import Words, flat_polynomials, mix, runs_by_bytes
 
-BLOCK, GROUP, BACK, DIM, TOPICS = 32, 4, 2, 16, 8
+BLOCK, GROUP, BACK, DIM, TOPICS = 32, 8, 2, 16, 8
 KEYS = BLOCK // GROUP
 WIDE = (BACK + 1) * KEYS
 OWN, SHARED = 991, 32
@@ -46,6 +47,7 @@ LAGS = (23, 41)  # ids apart: too far for anything but the kind of text to tell
 SPAN = 32  # blocks at a time: their arrays stay in the cache
 STEP = 8 * SPAN  # blocks in a step of training
 ROUNDS = ((1, 0.01), (2, 0.006), (4, 0.004), (9, 0.002))  # sixteenths of the documents, and the rate, of each round
+SLOTS, INLINE = 1 << 20, 6  # words whose ids a worker keeps, and the most ids of such a word
 PIECES = 64  # pieces of the weights that are averaged side by side
 
 
@@ -71,12 +73,54 @@ class Subwords:
         self.opens = np.array([t[:1] == b" " for t in own])
         own = [t[1:] if t[:1] == b" " else t for t in own]
         self.value, self.bytes = flat_polynomials(own), np.array([len(t) for t in own])
-
-    def encode(self, column) -> list[np.ndarray]:
-        """The ids of each text; nulls are empty."""
-        text = pc.ascii_lower(pc.ascii_trim_whitespace(column.fill_null("")))
-        text = pc.replace_substring_regex(text, "[\\t-\\r ]+", " ")
-        return [self.coder.encode_to_numpy(" " + t).astype("<u4", copy=False) if t else np.empty(0, "<u4") for t in text.to_pylist()]
+        self.key, self.ids, self.size_of = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, INLINE), "<u4"), np.zeros(SLOTS, np.uint8)
+
+    def apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each encoded on its own after a space, in a row, and the words' borders in them."""
+        text = b" ".join(words).decode()
+        if len(text.split()) == len(words):
+            ids = self.coder.encode_to_numpy(" " + text)
+            return ids, np.append(np.flatnonzero(self.opens[ids]), len(ids))
+        # white space of other alphabets inside a word would go together with its neighbours'
+        each = [self.coder.encode_to_numpy(" " + w.decode()) for w in words]
+        return np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the texts' borders in them; nulls are empty.
+
+        Words are known by their hash. A table of fixed size keeps ids of words
+        seen; a word takes the place of another that meets it there.
+        """
+        words = Words(column)
+        slot = (words.hash & np.uint64(SLOTS - 1)).astype(np.int64)
+        hit = self.key[slot] == words.hash
+        size = np.where(hit, self.size_of[slot], 0).astype(np.int64)
+        missing = np.flatnonzero(~hit)
+        if len(missing):
+            fresh, first, back = np.unique(words.hash[missing], return_index=True, return_inverse=True)
+            whole, at = words.text.tobytes(), missing[first]
+            ids, borders = self.apart([whole[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())])
+            fresh_size = np.diff(borders)
+            size[missing] = fresh_size[back]
+        place = np.append(0, np.cumsum(size))
+        out = np.zeros(int(place[-1]), "<u4")
+        known = np.flatnonzero(hit)
+        for j in range(INLINE):
+            known = known[size[known] > j]
+            out[place[known] + j] = self.ids[slot[known], j]
+        if len(missing):
+            n = size[missing]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(place[missing], n) + inside] = ids[np.repeat(borders[:-1][back], n) + inside]
+            # what is kept: one word a place
+            short = np.flatnonzero(fresh_size <= INLINE)
+            into, one = np.unique(slot[at[short]], return_index=True)
+            keep = short[one]
+            self.key[into], self.size_of[into] = fresh[keep], fresh_size[keep]
+            for j in range(INLINE):
+                has = np.flatnonzero(fresh_size[keep] > j)
+                self.ids[into[has], j] = ids[borders[:-1][keep[has]] + j]
+        return out, place[words.first]
 
     def words(self, ids: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of the words that ids spell, and the texts' borders in them."""
@@ -153,7 +197,8 @@ def encoded(rows: DataFrame, vocabulary: str) -> DataFrame:
         coder = subwords(vocabulary)
         for big in batches:
             for batch in slices(big):
-                ids = pa.array([x.tobytes() for x in coder.encode(batch.column(4))], pa.binary())
+                ids, borders = coder.encode(batch.column(4))
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((4 * borders).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids], ["id", "hash", "held_out", "part", "ids"])
 
     return saved_parts(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, held_out boolean, part int, ids binary"), "part", "zstd")
@@ -201,8 +246,8 @@ def summed(ids: DataFrame, keys, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["key", "n"])
 
     found = ids.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size)
-    out[found["key"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    out = np.zeros(size, np.float32)
+    out[found["key"].to_numpy(np.int64)] = found["n"].to_numpy(np.float32)
     return out
 
 
@@ -245,7 +290,7 @@ def classes(n: np.ndarray, begin: int) -> np.ndarray:
 
 def kinds(far: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Each kind's share of each class (TOPICS x CLASSES): far is nearly a sum over kinds of outer products of these, found by expectation maximisation."""
-    far = far + far.T
+    far = far.astype(np.float64) + far.T
     base = (far.sum(axis=0) + 0.1) / (far.sum() + 0.1 * len(far))
     share = base * np.random.default_rng(3).uniform(0.5, 1.5, (TOPICS, len(far)))
     share /= share.sum(axis=1, keepdims=True)
@@ -259,9 +304,8 @@ def kinds(far: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 
 def tables(ids: DataFrame, n: np.ndarray, begin: int, end: int) -> dict:
-    """Classes and their probabilities from all texts (a column ids); n: how often each id occurs."""
-    t = {"of": classes(n, begin)}
-    far_of = t["of"]
+    """Classes, kinds, and how often classes follow each other by kind, from all texts (a column ids); n: how often each id occurs."""
+    far_of = classes(n, begin)
 
     def apart(column):
         own, borders = flat(column)
@@ -274,7 +318,22 @@ def tables(ids: DataFrame, n: np.ndarray, begin: int, end: int) -> dict:
         b = Blocks(*flat(column), {"of": far_of}, begin, end)
         return ((b.came * CLASSES + b.goes) * TOPICS + np.repeat(fits(log_share, b), BLOCK))[b.live]
 
-    return t | probabilities(t["of"], n, summed(ids, steps, CLASSES * CLASSES * TOPICS), begin) | {"share": log_share}
+    counts = summed(ids, steps, CLASSES * CLASSES * TOPICS)
+    some = np.flatnonzero(counts)
+    return {"of": far_of, "n": n, "share": log_share, "keys": some.astype(np.int32), "times": counts[some], "begin": begin, "name": uuid.uuid4().hex}
+
+
+_BUILT: dict[str, dict] = {}
+
+
+def built(counted: dict) -> dict:
+    """The probabilities of counted tables; those counted last stay in a worker's memory, so that only counts that aren't 0 travel."""
+    if counted["name"] not in _BUILT:
+        counts = np.zeros(CLASSES * CLASSES * TOPICS, np.float32)
+        counts[counted["keys"]] = counted["times"]
+        _BUILT.clear()
+        _BUILT[counted["name"]] = {"of": counted["of"]} | probabilities(counted["of"], counted["n"], counts, counted["begin"])
+    return _BUILT[counted["name"]]
 
 
 def fits(log_share: np.ndarray, b: Blocks) -> np.ndarray:
@@ -299,13 +358,17 @@ def probabilities(of: np.ndarray, n: np.ndarray, counts: np.ndarray, begin: int)
     total = n + 0.1
     total[begin] = 0
     in_class = np.bincount(of, total, CLASSES)
-    every = counts.sum(axis=2)
-    lean = (every > 0).sum(axis=1, keepdims=True) + 1
-    whole = (every + lean * (in_class / in_class.sum())) / (every.sum(axis=1, keepdims=True) + lean)
-    lean = (counts > 0).sum(axis=1, keepdims=True) + 1
-    step = (counts + lean * whole[:, :, None]) / (counts.sum(axis=1, keepdims=True) + lean)
+
+    def leaning(own: np.ndarray, on: np.ndarray) -> np.ndarray:
+        unlike = (own > 0).sum(axis=1, keepdims=True, dtype=np.float32) + 1
+        return (own + unlike * on) / (own.sum(axis=1, keepdims=True) + unlike)
+
+    whole = leaning(counts.sum(axis=2), (in_class / in_class.sum()).astype(np.float32))
+    step = np.empty(counts.shape, np.float32)
+    for z in range(TOPICS):
+        step[:, :, z] = leaning(counts[:, :, z], whole)
     within = np.log(total / np.where(in_class > 0, in_class, 1)[of], out=np.full(len(of), -np.inf), where=total > 0)
-    return {"step": step.reshape(-1, TOPICS).astype(np.float32), "within": within}
+    return {"step": step.reshape(-1, TOPICS), "within": within}
 
 
 # --- attention
@@ -319,6 +382,7 @@ _LAST = (_KEY + 1) * GROUP - 1 - BACK * BLOCK
 _AGO = np.clip((_PLACE[:, None] - _LAST[None, :]) // GROUP, 0, WIDE - 1)
 _SEEN = np.where(_LAST[None, :] <= _PLACE[:, None], 0.0, -1e9).astype(np.float32)
 #: which keys a text's first blocks lack
+_SUM, _OVER, _ACROSS = (np.ones((k, 1), np.float32) for k in (TOPICS, WIDE, DIM))
 _LACK = np.array([np.where(_KEY < (BACK - order) * KEYS, -1e9, 0.0) for order in range(BACK)], np.float32)[:, None, :]
 
 
@@ -354,15 +418,15 @@ def attend(w: dict, came: np.ndarray, order: np.ndarray) -> tuple:
     np.minimum(s, 30, out=s)
     np.exp(s, out=s)
     # a place that sees no group yet gathers nothing: 1 stands for that
-    inverse = 1 / (1 + s.reshape(-1, WIDE) @ np.ones((WIDE, 1), np.float32))
+    inverse = 1 / (1 + s.reshape(-1, WIDE) @ _OVER)
     c = (s @ v).reshape(-1, DIM)
     c *= inverse
     p = c @ w["out"]
     p += x @ w["own"]
     p += w["bias"]
-    p -= p.max(axis=1, keepdims=True)
+    np.minimum(p, 60, out=p)
     np.exp(p, out=p)
-    p /= p @ np.ones((TOPICS, 1), np.float32)
+    p /= p @ _SUM
     return x, q, k, v, s, inverse, c, p
 
 
@@ -375,45 +439,50 @@ def log_probabilities(w: dict, t: dict, b: Blocks) -> np.ndarray:
         p = attend(w, b.came[(a - lead) * BLOCK : z * BLOCK], order)[-1][lead * BLOCK :]
         at = slice(a * BLOCK, z * BLOCK)
         p *= np.take(t["step"], b.came[at] * CLASSES + b.goes[at], axis=0)
-        out[at] = np.log(p @ np.ones(TOPICS, np.float32))
+        out[at] = np.log(p @ _SUM)[:, 0]
     out += t["within"][b.id]
     out[~b.live] = 0
     return out
 
 
 def gradients(w: dict, t: dict, came: np.ndarray, goes: np.ndarray, live: np.ndarray, order: np.ndarray) -> tuple[dict, float]:
-    """Of the loss summed over the live places of blocks that follow each other."""
-    n, r = len(order), ready(w)
-    x, q, k, v, s, inverse, c, p = attend(r, came, order)
+    """Of the loss summed over the live places of blocks that follow each other; w: ready weights."""
+    n = len(order)
+    x, q, k, v, s, inverse, c, p = attend(w, came, order)
     right = np.take(t["step"], came * CLASSES + goes, axis=0) * p
-    total = right @ np.ones((TOPICS, 1), np.float32)
+    total = right @ _SUM
     loss = -float(np.log(total[live]).sum())
-    dp = p - right / total
+    right /= total
+    dp = p
+    dp -= right
     dp *= live[:, None]
-    g = {"out": c.T @ dp, "own": x.T @ dp, "bias": dp.sum(axis=0)}
+    g = {"out": c.T @ dp, "own": x.T @ dp, "bias": np.ones(len(dp), dp.dtype) @ dp}
     dx, dc = dp @ w["own"].T, dp @ w["out"].T
-    meet = ((dc * c) @ np.ones((DIM, 1), np.float32)).reshape(n, BLOCK, 1)
+    meet = ((dc * c) @ _ACROSS).reshape(n, BLOCK, 1)
     dc = dc.reshape(n, BLOCK, DIM)
     s *= inverse.reshape(n, BLOCK, 1)
     dv = s.transpose(0, 2, 1) @ dc
     ds = dc @ v.transpose(0, 2, 1)
     ds -= meet
     ds *= s
-    g["r"] = np.bincount(_AGO.reshape(-1), ds.sum(axis=0).reshape(-1), WIDE)
-    dq = (ds @ k).reshape(-1, DIM) * SCALE
+    g["r"] = np.bincount(_AGO.reshape(-1), np.ones(n, ds.dtype) @ ds.reshape(n, -1), WIDE)
+    dq = (ds @ k).reshape(-1, DIM)
+    dq *= SCALE
     wide = np.concatenate([ds.transpose(0, 2, 1) @ q, dv], axis=2)
     own = wide[:, BACK * KEYS :].copy()
     for back in range(1, min(BACK, n - 1) + 1):
         own[:-back] += wide[back:, (BACK - back) * KEYS : (BACK - back + 1) * KEYS]
     own = own.reshape(-1, 2 * DIM)
-    groups = x.reshape(-1, GROUP, DIM).mean(axis=1)
-    g["q"], g["k"], g["v"] = x.T @ dq, groups.T @ own[:, :DIM], groups.T @ own[:, DIM:]
+    # every id of a group has the same share in its key and value
+    both = (x.reshape(-1, GROUP * DIM).T @ own).reshape(GROUP, DIM, 2 * DIM).sum(axis=0) / GROUP
+    g["q"], g["k"], g["v"] = x.T @ dq, both[:, :DIM], both[:, DIM:]
     dx += dq @ w["q"].T
-    dx += (own @ r["kv"].T).reshape(-1, DIM)
+    dx += (own @ w["kv"].T).reshape(-1, DIM)
     at = np.argsort(came.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.diff(came[at], prepend=-1))
+    kind = came[at]
+    first = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
     g["e"] = np.zeros((CLASSES, DIM), dx.dtype)
-    g["e"][came[at[first]]] = np.add.reduceat(np.take(dx, at, axis=0), first, axis=0)
+    g["e"][kind[first]] = np.add.reduceat(np.take(dx, at, axis=0), first, axis=0)
     return g, loss
 
 
@@ -429,12 +498,12 @@ class Trainer:
     def learn(self, t: dict, b: Blocks) -> None:
         for a in range(0, len(b), STEP):
             total: dict = {}
-            stop = min(len(b), a + STEP)
+            stop, w = min(len(b), a + STEP), ready(self.w)
             for y in range(a, stop, SPAN):
                 z = min(stop, y + SPAN)
                 at = slice(y * BLOCK, z * BLOCK)
                 # what lies before this part of the blocks isn't seen here
-                g, loss = gradients(self.w, t, b.came[at], b.goes[at], b.live[at], np.minimum(b.order[y:z], np.arange(z - y)))
+                g, loss = gradients(w, t, b.came[at], b.goes[at], b.live[at], np.minimum(b.order[y:z], np.arange(z - y)))
                 self.loss += loss
                 total = {k: total[k] + x for k, x in g.items()} if total else g
             n = int(b.live[a * BLOCK : stop * BLOCK].sum())
@@ -451,21 +520,20 @@ class Trainer:
             self.w[k] -= np.float32(self.rate * fix) * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-6))
 
 
-def train(ids: DataFrame, begin: int, end: int, model_tables: dict, rounds=ROUNDS) -> dict:
+def train(ids: DataFrame, begin: int, end: int, counted: dict, shared: Broadcast, rounds=ROUNDS) -> dict:
     """Attention weights from all training texts (columns part, ids); each round's average is all that the driver receives.
 
-    A text is in the round of its part, and all its ids are learnt from.
+    A text is in the round of its part, and all its ids are learnt from. shared: counted, broadcast.
     """
-    shared = ids.sparkSession.sparkContext.broadcast(model_tables)
     sizes = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
-    weights = start_weights(model_tables["share"])
+    weights = start_weights(counted["share"])
 
     def one_round(start: dict, rate: float):
         def run(batches):
-            own = Trainer(start, rate)
+            own, t = Trainer(start, rate), built(shared.value)
             for big in batches:
                 for batch in slices(big):
-                    own.learn(shared.value, Blocks(*flat(batch.column(0)), shared.value, begin, end))
+                    own.learn(t, Blocks(*flat(batch.column(0)), t, begin, end))
             if own.seen:
                 cut = np.array_split(np.concatenate([own.w[k].reshape(-1) for k in SHAPES]), PIECES)
                 yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([own.seen] * PIECES, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["piece", "seen", "weights"])
@@ -527,16 +595,17 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     n = np.zeros(coder.size)
     n[single["key"].to_numpy(np.int64)] = single["n"].to_numpy(np.float64)
     texts = int(n[end])
-    t = tables(training.select("ids"), n, begin, end)
-    weights = train(training, begin, end, t)
+    counted_tables = tables(training.select("ids"), n, begin, end)
+    shared = spark.sparkContext.broadcast(counted_tables)
+    weights = train(training, begin, end, counted_tables, shared)
 
     row = words.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
     n_all, unlike = int(row["words"]) + texts, int(row["kinds"]) + (texts > 0)
     common = words.orderBy(F.desc("n"), "key").limit(common_words).toPandas()
-    model = spark.sparkContext.broadcast((t, ready(weights), common["key"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)))
+    model = spark.sparkContext.broadcast((ready(weights), common["key"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)))
 
     def run(batches):
-        t, weights, keys, logs = model.value
+        t, (weights, keys, logs) = built(shared.value), model.value
         lookup = Lookup(keys, logs)
         for big in batches:
             for batch in slices(big):
@@ -548,7 +617,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
                 rare = np.flatnonzero(value == 0)
                 columns = [
                     *batch.columns[:4], pa.array(np.diff(first).astype(np.int64) + 1), pa.array(np.bincount(of, value > 0, batch.num_rows).astype(np.int64)),
-                    pa.array(np.bincount(of, value, batch.num_rows)), pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(hashes[rare].view(np.int64))), pa.array(score),
+                    pa.array(np.bincount(of, value, batch.num_rows).astype(np.float64)), pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(hashes[rare].view(np.int64))), pa.array(score),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "id", "hash", "held_out", "n_tokens", "common", "common_log", "rare", "score"])
 

@@ -66,7 +66,9 @@ class Words:
         #: first[r]:first[r + 1] are the words of row r
         self.first = np.searchsorted(self.start, borders)
         self.row = np.repeat(np.arange(self.rows), np.diff(self.first))
-        self.hash = spans(_LOWER[raw] if lower else raw, self.start, self.end)
+        #: the bytes that are hashed
+        self.text = _LOWER[raw] if lower else raw
+        self.hash = spans(self.text, self.start, self.end)
 
 
 def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
