@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved, shared_folder
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["components", "documents", "key_filter", "may_hold", "saved", "saved_parts", "saved_with", "unused"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where none is set (tests) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir()
-        if not folder:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            folder = context.getCheckpointDir()
-    return folder
+def unused(name: str, columns: list[str]) -> str:
+    """name, or a longer one that isn't among columns (upper and lower case alike)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """The same rows, read from a table written to the shared folder: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def saved_parts(df: DataFrame, column: str, compression: str = "snappy") -> DataFrame:
@@ -73,8 +64,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
 
     def least(pairs: DataFrame) -> DataFrame:
-        m = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return pairs.join(m, "u")
+        # written, so that both sides of the join are dealt anew and a hub's rows can be split
+        return pairs.join(saved(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "u")
 
     state = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))}
     # an edge is kept as (larger, smaller)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, saved, unused
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1024) -> DataFrame:
@@ -87,10 +87,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     own = identities(docs, id_col, text_col)
     # one (id, hash) for each identity, so that ids that repeat with other texts and null ids stay apart
-    keep = own.groupBy("level", "name").agg(F.max("id").alias("_kept_id"), F.min("hash").alias("_kept_hash")).select("_kept_id", "_kept_hash")
-    own_hash = F.xxhash64(text(docs[text_col]).cast("binary"))
-    left = docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept_id")) & (own_hash == F.col("_kept_hash")), "left_semi")
-    return left.withColumn("_own_hash", F.xxhash64(text(F.col(text_col)).cast("binary"))).dropDuplicates([id_col, "_own_hash"]).drop("_own_hash")
+    kept_id, kept_hash, own_hash = (unused(x, docs.columns) for x in ("_kept_id", "_kept_hash", "_own_hash"))
+    keep = own.groupBy("level", "name").agg(F.max("id").alias(kept_id), F.min("hash").alias(kept_hash)).select(kept_id, kept_hash)
+    hashed = docs.withColumn(own_hash, F.xxhash64(text(F.col(text_col)).cast("binary")))
+    left = hashed.join(keep, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi")
+    return left.dropDuplicates([id_col, own_hash]).drop(own_hash)
 
 
 def op6_exact_dedup(spark, sf_dir):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import components, documents, key_filter, may_hold, saved
+from .common import components, documents, key_filter, may_hold, saved, unused
 from .textnum import Words, distinct, mix, runs
 
 _U = np.uint64
@@ -278,10 +278,11 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that repeat its id and text stay with it. Rows with a null id stay only
     if nothing with an id is in their component.
     """
-    least = similar_classes(docs, id_col, text_col, shingle, percent, "_kept_hash")
-    keep = least.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id"), "_kept_hash").distinct()
-    own = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept_id")) & (own == F.col("_kept_hash")), "left_semi")
+    kept_id, kept_hash = (unused(x, docs.columns) for x in ("_kept_id", "_kept_hash"))
+    least = similar_classes(docs, id_col, text_col, shingle, percent, kept_hash)
+    keep = least.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(kept_id), kept_hash).distinct()
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(kept_id)) & (own == F.col(kept_hash)), "left_semi")
 
 
 def op5_jaccard(spark, sf_dir):

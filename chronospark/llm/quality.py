@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import documents
+from .common import documents, unused
 from .labelled import held_out, sample
 from .textnum import Words, distinct, utf8
 
@@ -163,7 +163,8 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "sco
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs whose quality is at least least, all columns as they were."""
-    return score(docs, train(docs, labels, text_col=text_col), text_col, "_quality").where(F.col("_quality") >= least).drop("_quality")
+    name = unused("_quality", docs.columns)
+    return score(docs, train(docs, labels, text_col=text_col), text_col, name).where(F.col(name) >= least).drop(name)
 
 
 def op9_quality(spark, sf_dir):

@@ -96,7 +96,11 @@ def lzw_decode(data: bytes) -> bytes:
             before, width = None, 9
             continue
         if before is None:
+            if code > 255:
+                raise ValueError("an LZW code comes before its entry")
             found = table[code]
+        elif code > len(table) or len(table) > 4095:
+            raise ValueError("an LZW code comes before its entry")
         else:
             found = table[code] if code < len(table) else before + before[:1]
             table.append(before + found[:1])
@@ -146,6 +150,8 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 _UNPACK = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, DEFLATE_OLD: zlib.decompress, PACKBITS: unpack_bits}
+#: How many bytes one compressed byte can stand for at most.
+_GROWTH = {NONE: 1, LZW: 2731, DEFLATE: 1032, DEFLATE_OLD: 1032, PACKBITS: 64}
 _PACK = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda data: zlib.compress(data, 1), PACKBITS: pack_bits}
 
 
@@ -225,6 +231,12 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
     step = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     kind = np.dtype(f"{order}u{bits // 8}")
+    if min(width, height, samples, *step) < 1:
+        raise ValueError("a page or its parts have no size")
+    if -(-height // step[1]) * -(-width // step[0]) > min(len(offsets), len(counts)):
+        raise ValueError("parts of the page are missing")
+    if width * height * samples * kind.itemsize > _GROWTH[compression] * sum(counts) or sum(counts) > len(data) * len(counts):
+        raise ValueError("the data can't hold so many pixels")
     pixels, part = np.zeros((height, width, samples), kind.newbyteorder("=")), 0
     for y in range(0, height, max(1, step[1])):
         for x in range(0, width, max(1, step[0])):
@@ -276,7 +288,7 @@ def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
                             values = (n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), feature(p), None)
                             rows.append(i)
                             [c.append(v) for c, v in zip(columns, values, strict=True)]
-                    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                    except (ValueError, KeyError, IndexError, MemoryError, OverflowError, struct.error, zlib.error) as e:
                         rows.append(i)
                         [c.append(v) for c, v in zip(columns, (*[None] * 10, str(e)), strict=True)]
                 kinds = (pa.int32(),) * 5 + (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string(), pa.string())

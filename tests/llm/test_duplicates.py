@@ -306,6 +306,95 @@ def test_licences(spark, edges, empty):
     assert licenses.licenses(edges).count() == edges.count() and licenses.licenses(empty).count() == 0
 
 
+def licence_of(text):
+    """By aligning every template with the whole text: the longest common subsequence of words instead of anchors."""
+    words, out = licenses.hashes([text])[0], []
+    for name, template, needed in licenses.TEMPLATES:
+        t, need = licenses.hashes([template])[0], set(licenses.hashes([needed])[0])
+        for first in range(len(words)):
+            for last in range(first + 1, min(len(words), first + int(len(t) / 0.8) + 1) + 1):
+                if words[first] not in t or words[last - 1] not in t:
+                    continue
+                table = [0] * (last - first + 1)
+                for w in t:
+                    before = 0
+                    for j, v in enumerate(words[first:last], 1):
+                        before, table[j] = table[j], before + 1 if v == w else max(table[j], table[j - 1])
+                common = table[-1]
+                if common / (len(t) + last - first - common) >= 0.8 and need <= set(words[first:last]):
+                    out.append((common / (len(t) + last - first - common), name))
+    return {name for c, name in out if c == max(x for x, _ in out)}
+
+
+NEAR = [
+    ("Released under the BSD License.", "LicenseRef-BSD"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("Released under the new MIT License.", "MIT"),
+    ("Released under the Boost License.", None),
+    ("Licensed under the Apache License, Version 1.1.", None),
+]
+
+
+def test_near_misses_keep_their_names(spark):
+    full = {name: text for name, text, _ in licenses.TEMPLATES if len(text) > 600}
+    texts = [(t, want) for t, want in NEAR] + [(f"some words before {t} and words after it", name) for name, t in full.items()]
+    texts += [(t.replace("copyright", "copyrite", 1), name) for name, t in full.items()]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.licenses(rows).collect()}
+    assert [(t[:70], got[i]) for i, (t, _) in enumerate(texts)] == [(t[:70], want) for t, want in texts]
+
+
+def test_licences_by_brute_force(spark):
+    rng, short = random.Random(9), [t for _, t, _ in licenses.TEMPLATES if len(t) < 90]
+    texts = []
+    for _ in range(60):
+        words = rng.choice(short).split()
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(words))
+            words[i : i + rng.randrange(2)] = rng.sample(["odd", "stray", "words"], rng.randrange(2))
+            words = words or ["x"]
+        texts.append("aa bb " + " ".join(words) + " cc dd")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.licenses(rows).collect()}
+    for i, t in enumerate(texts):
+        want = licence_of(t)
+        assert (got[i] is None and not want) or got[i] in want, (t, got[i], want)
+
+
+def test_linked_sets_share_a_signature():
+    """At the thresholds, sets of equal and of unlike sizes in all schemes."""
+    rng = np.random.default_rng(10)
+    for percent in (80, 90):
+        bands = jaccard.Bands(percent)
+        for size in (5, 12, 40, 63, 64, 100, 200, 255, 256, 500, 1500):
+            for unequal in (False, True):
+                for _ in range(30):
+                    one = rng.integers(1, 1 << 62, size).astype(np.uint64)
+                    if unequal:  # the smaller is a subset
+                        other = one[: -(-size * percent // 100)]
+                    else:
+                        away = size * (100 - percent) // (100 + percent)
+                        other = np.concatenate([one[away:], rng.integers(1, 1 << 62, away).astype(np.uint64)])
+                    common = len(np.intersect1d(one, other))
+                    assert 100 * common >= percent * (len(one) + len(other) - common)
+                    values = [np.unique(one), np.unique(other)]
+                    row, signature = jaccard.signatures(np.concatenate(values), np.append(0, np.cumsum([len(v) for v in values])), bands)
+                    equal = len(values[0]) == len(values[1]) == common
+                    assert equal or np.intersect1d(signature[row == 0], signature[row == 1]).size, (percent, size, unequal)
+
+
+def test_a_hub_of_links(spark):
+    """One node with very many links, and a chain: each component's least node."""
+    edges = spark.createDataFrame([(5, 10 + i) for i in range(400)] + [(1000 + i, 1001 + i) for i in range(50)], "a long, b long")
+    got = {r["node"]: r["component"] for r in common.components(edges).collect()}
+    assert all(got[10 + i] == 5 for i in range(400)) and all(got[1000 + i] == 1000 for i in range(51))
+
+
 def test_distinct_rows():
     values, borders = distinct(np.array([5, 5, 1, 2, 2, 9], np.uint64), np.array([0, 3, 3, 6]))
     assert values.tolist() == [1, 5, 2, 9] and borders.tolist() == [0, 2, 2, 4]

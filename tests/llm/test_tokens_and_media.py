@@ -12,7 +12,6 @@ import pytest
 from support import DATA
 
 from chronospark.llm import bpe, packing, tiff
-from chronospark.llm.lm import Subwords
 from chronospark.llm.textnum import Words, alike, distinct, pieces, runs, utf8
 
 
@@ -70,11 +69,6 @@ def test_bpe_edges(edges, empty, path):
     assert bpe.encode_decode(empty, path).count() == 0
 
 
-def test_subwords_equal_plain_encoding(path):
-    coder, texts = Subwords(path), [t for t in odd_texts() if "endoftext" not in t]
-    assert all(a.tolist() == coder.one(t).tolist() for a, t in zip(coder.encode(pa.array(texts)), texts, strict=True))
-
-
 def test_words_and_runs():
     texts = ["A b  c", None, "", "b c a B C A", "x"]
     w = Words(pa.array(texts))
@@ -208,3 +202,30 @@ def test_tiff_query(spark, edges, empty):
     out = tiff.tiff_pages(tiff.as_tiff(edges)).collect()
     assert len(out) == edges.count() and not any(r["error"] for r in out)
     assert tiff.tiff_pages(tiff.as_tiff(empty)).count() == 0
+
+
+def test_broken_media_never_end_a_job(spark):
+    """Bytes changed or cut anywhere, huge sizes and bad codes give an error row or pages, nothing else."""
+    rng = random.Random(11)
+    good = [tiff.write([np.arange(40 * 30, dtype=np.uint16).astype(np.uint8).reshape(30, 40)], c) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS)]
+    media = []
+    for data in good:
+        for _ in range(80):
+            odd = bytearray(data)
+            for _ in range(rng.randint(1, 6)):
+                odd[rng.randrange(len(odd))] = rng.randrange(256)
+            media.append(bytes(odd[: rng.randint(8, len(odd))]))
+        for tag in (tiff.WIDTH, tiff.HEIGHT, tiff.SAMPLES, tiff.ROWS_PER_STRIP):
+            at = data.index(struct.pack("<H", tag), struct.unpack_from("<I", data, 4)[0])
+            media += [data[: at + 8] + struct.pack("<I", n) + data[at + 12 :] for n in (0, 60_000, 0xFFFFFFF0)]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(media)], "id long, media binary")
+    out = tiff.tiff_pages(rows).select("id", "page", "error").collect()
+    assert {r["id"] for r in out} == set(range(len(media)))
+    assert all((r["page"] is None) != (r["error"] is None) for r in out)
+
+
+def test_lzw_refuses_codes_without_entry():
+    bits = "".join(f"{c:09b}" for c in (256, 65, 400, 257))
+    data = int(bits.ljust(40, "0"), 2).to_bytes(5, "big")
+    with pytest.raises(ValueError):
+        tiff.lzw_decode(data)
