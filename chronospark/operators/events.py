@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rows as rows_of
 from ..functions.rows import TOP, before_block, block_window, blocked
 from ..functions.windows import absolute_max_weight, forward
 
@@ -75,6 +76,8 @@ class WeightByMax:
 
     def weigh(self, df: DataFrame, value: str, name: str, n: int) -> DataFrame:
         rows = self.rows(n)
+        if rows is not None and rows > rows_of.BLOCK_ROWS:
+            return self._wide(df, value, name, rows)
         if rows is not None:
             dealt = blocked(df, rows - 1, 0)
             return dealt.withColumn(name, absolute_max_weight(F.col(value), block_window(), rows)).where("NOT _halo").drop("_block", "_halo")
@@ -87,6 +90,25 @@ class WeightByMax:
         return out.withColumn(name, F.abs(value) / F.nullif(F.greatest(so_far, "_before"), F.lit(0.0))).drop("_block", "_before")
 
 
+    def _wide(self, df: DataFrame, value: str, name: str, rows: int) -> DataFrame:
+        """For windows of several blocks: the greatest of the own block so far, of whole blocks, and of the end of the window's first block.
+
+        df has every rid from its first to its last.
+        """
+        size, q, x = rows_of.BLOCK_ROWS, rows // rows_of.BLOCK_ROWS, F.abs(value)
+        whole = block_window()
+        dealt = df.withColumn("_block", F.floor(F.col("rid") / size))
+        dealt = dealt.withColumns({"_so_far": F.max(x).over(whole.rowsBetween(Window.unboundedPreceding, 0)), "_to_end": F.max(x).over(whole.rowsBetween(0, Window.unboundedFollowing))})
+        order = Window.orderBy("_block")  # a row a block
+        over = lambda k: F.max("_top").over(order.rangeBetween(-k, -1)) if k else F.lit(None).cast("double")
+        middle = dealt.groupBy("_block").agg(F.max(x).alias("_top")).select("_block", over(q).alias("_more"), over(q - 1).alias("_less"))
+        ends = dealt.select((F.col("rid") + rows - 1).alias("rid"), F.col("_to_end").alias("_rest"))
+        between = F.col("_block") - F.floor((F.col("rid") - rows + 1) / size) - 1
+        out = dealt.join(middle, "_block").join(ends, "rid", "left")
+        top = F.greatest("_so_far", F.when(between >= q, F.col("_more")).otherwise(F.col("_less")), "_rest")
+        return out.withColumn(name, x / F.nullif(top, F.lit(0.0))).drop("_block", "_so_far", "_to_end", "_more", "_less", "_rest")
+
+
 @dataclass(frozen=True)
 class WeightByMaxWithLookahead:
     """|value| by the greatest value of all rows; 0 where unknown."""

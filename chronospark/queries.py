@@ -333,6 +333,11 @@ def weight_by_max(spark, d):
     return _with_events(spark, d, _forward(weighting_strategy=ev.WeightByMax(100))).where("event_label IS NOT NULL").select("rid", F.round("event_sample_weights", 6).alias("weight"))
 
 
+@query("weight_by_max_fraction", f"WITH {E}, {_FORWARD}, g AS (SELECT *, (SELECT CAST(floor(0.2::DOUBLE * count(*)) AS BIGINT) FROM b) AS k FROM fw WHERE f IS NOT NULL) SELECT a.rid, round(abs(any_value(a.f)) / max(abs(z.f)), 6) AS weight FROM g a JOIN g z ON z.rid > a.rid - a.k AND z.rid <= a.rid GROUP BY 1")
+def weight_by_max_fraction(spark, d):
+    return _with_events(spark, d, _forward(weighting_strategy=ev.WeightByMax(0.2))).where("event_label IS NOT NULL").select("rid", F.round("event_sample_weights", 6).alias("weight"))
+
+
 @query("weight_by_max_expanding", f"WITH {E}, {_FORWARD}, g AS (SELECT * FROM fw WHERE f IS NOT NULL) SELECT rid, round(abs(f) / max(abs(f)) OVER (ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS weight FROM g")
 def weight_by_max_expanding(spark, d):
     return _with_events(spark, d, _forward(weighting_strategy=ev.WeightByMax(None))).where("event_label IS NOT NULL").select("rid", F.round("event_sample_weights", 6).alias("weight"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.names import c
 from ..functions.rows import block_window, blocked
 from ..functions.scalar import nan_to_null
+from .tables import saved
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -26,18 +28,16 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> No
 def with_rid(df: DataFrame, order: list[str], name: str = "rid") -> DataFrame:
     """df with row numbers from 0 in the order of the columns, which must be a total one.
 
-    Rows are dealt by ranges and numbered within them; only the ranges' sizes
-    reach the driver. The dealt rows are kept, as sampling fixes the ranges.
+    Rows are dealt by ranges and numbered within them; only the ranges' sizes,
+    a row a partition, reach the driver. The dealt rows are written, as sampling
+    fixes the ranges.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, {}
-    for k in range(max(sizes, default=-1) + 1):
-        offsets[k] = before
-        before += sizes.get(k, 0)
-    offset = F.element_at(F.array(*[F.lit(offsets[k]).cast("long") for k in sorted(offsets)]), F.col("_range") + 1) if offsets else F.lit(0).cast("long")
-    return dealt.withColumn(name, F.col("_at") + offset).drop("_range", "_at")
+    dealt = saved(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before = [0, *itertools.accumulate(n for _, n in sizes)]
+    offsets = df.sparkSession.createDataFrame([(k, b) for (k, _), b in zip(sizes, before)], "_range int, _before long")
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
 
 
 def clean(df: DataFrame) -> DataFrame:
