@@ -8,7 +8,9 @@ text. Two texts get the same (level, name) exactly when they are identical.
 Only names travel after the first level: occurrences find their block's name by
 a 96-bit key of its content. For every key the least and the greatest block are
 compared when names are given, so a key that two blocks share is seen, and the
-naming starts over with other keys. Hence no identity rests on a hash.
+naming starts over with other keys. Hence no identity rests on a hash; a row finds
+its identity by its id and a 64-bit hash of its text, which only matters where an
+id repeats with other texts.
 """
 
 from __future__ import annotations

@@ -138,24 +138,28 @@ def _group_packer(names: list[str], capacity: int, exchange: float, r: int, last
     return run
 
 
-def pack(items: DataFrame, capacity: int, group_rows: int = 4096, least_groups: int = 64, rounds: int = 4, exchange: float = 4.0) -> DataFrame:
+def pack(items: DataFrame, capacity: int, group_rows: int = 4096, least_groups: int = 64, gain: float = 0.8, exchange: float = 4.0) -> DataFrame:
     """items (with a column length, 1 to capacity) and sequence_id, place (its offset); each row is packed once, whatever repeats.
 
     A group whose sequences meet its bound keeps them all; another gives up its
     least filled ones, with exchange times as much room as it has too much. The
-    rounds end when nothing is given up or one group packs the rest.
+    rounds end when nothing is given up, when one group packs the rest, or when a
+    round had more than gain times as many rows as the one before.
     """
     fields = items.schema
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, place long, done boolean"
     names, done, left = fields.names, [], items
-    for r in range(rounds):
+    before = 0
+    for r in range(32):  # gain under 1 ends them much earlier
         n = left.count()
         if r and not n:
             break
         groups = max(1, -(-n // group_rows), 0 if r else min(least_groups, -(-n // 256)))
-        last = r == rounds - 1 or (r > 0 and groups == 1)
+        last = r > 0 and (groups == 1 or n > gain * before or r == 31)
+        before = n
 
-        dealt = left.withColumn("_group", F.pmod(F.xxhash64(*names, F.lit(r)), F.lit(groups)))
+        # a row's place in the table sends equal rows to unlike groups
+        dealt = left.withColumn("_group", F.pmod(F.xxhash64(*names, F.monotonically_increasing_id(), F.lit(r)), F.lit(groups)))
         packed = saved(dealt.groupBy("_group").applyInPandas(_group_packer(names, capacity, exchange, r, last), out_schema))
         done.append(packed.where("done").drop("done"))
         left = packed.where("NOT done").select(*names)
