@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .bpe import WORD, byte_characters, slices
 from .common import documents, saved, saved_parts
 from .labelled import held_out
-from .textnum import Words, flat_polynomials, mix, runs_by_bytes
+from .textnum import Words, mix, sequence_hash
 
 BLOCK, GROUP, BACK, DIM, TOPICS = 32, 8, 2, 16, 8
 KEYS = BLOCK // GROUP
@@ -69,10 +69,10 @@ class Subwords:
         own = [b""] * self.size
         for t, i in ranks.items():
             own[i] = t
-        #: of each id: whether it begins a word; its bytes but for that space, as a polynomial; how many these are
-        self.opens = np.array([t[:1] == b" " for t in own])
-        own = [t[1:] if t[:1] == b" " else t for t in own]
-        self.value, self.bytes = flat_polynomials(own), np.array([len(t) for t in own])
+        #: of each id: whether it begins a word, and a number to hash words by
+        self.opens, self.value = np.array([t[:1] == b" " for t in own]), mix(np.arange(self.size, dtype=np.uint64))
+        #: how ids are stored
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.key, self.ids, self.size_of = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, INLINE), "<u4"), np.zeros(SLOTS, np.uint8)
 
     def apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +123,10 @@ class Subwords:
         return out, place[words.first]
 
     def words(self, ids: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the words that ids spell, and the texts' borders in them."""
+        """The hashes of the words that ids spell, and the texts' borders in them. Each word is encoded on its own, so its ids name it."""
         start = np.flatnonzero(self.opens[ids])
         end = np.append(start[1:], len(ids))[: len(start)]
-        return runs_by_bytes(self.value[ids], self.bytes[ids], start, end), np.searchsorted(start, borders)
+        return sequence_hash(np.take(self.value, ids), start, end, mixed=True), np.searchsorted(start, borders)
 
 
 @functools.lru_cache(maxsize=2)
@@ -191,26 +191,28 @@ class Lookup:
 
 
 def encoded(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """rows (id, hash, held_out, part, text) with ids, as bytes of 32-bit integers, in place of the text; written to be read several times, by part."""
+    """rows (id, hash, held_out, part, text) with ids, as bytes of small integers, in place of the text; written to be read several times, by part."""
 
     def run(batches):
         coder = subwords(vocabulary)
         for big in batches:
             for batch in slices(big):
                 ids, borders = coder.encode(batch.column(4))
-                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((4 * borders).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+                ids = ids.astype(coder.kind)
+                at = pa.py_buffer((ids.itemsize * borders).astype(np.int64).tobytes())
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, at, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids], ["id", "hash", "held_out", "part", "ids"])
 
     return saved_parts(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, held_out boolean, part int, ids binary"), "part", "zstd")
 
 
-def flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a column of texts in a row, and each text's borders in them."""
-    column = column.cast(pa.large_binary())
+def flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of texts in a row, and each text's borders in them; kind: how they are stored."""
+    column, size = column.cast(pa.large_binary()), np.dtype(kind).itemsize
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
-    ids = np.frombuffer(data, "<u4", (at[-1] - at[0]) // 4, at[0]) if at[-1] > at[0] else np.empty(0, "<u4")
-    return ids.astype(np.int64), (at - at[0]) // 4
+    ids = np.frombuffer(data, kind, (at[-1] - at[0]) // size, at[0]) if at[-1] > at[0] else np.empty(0, kind)
+    return ids.astype(np.int64), (at - at[0]) // size
 
 
 class Blocks:
@@ -266,7 +268,7 @@ def count_words(ids: DataFrame, vocabulary: str) -> DataFrame:
 
         for big in batches:
             for batch in slices(big):
-                own, borders = flat(batch.column(0))
+                own, borders = flat(batch.column(0), coder.kind)
                 single += np.bincount(own, minlength=coder.size)
                 single[coder.end] += batch.num_rows
                 words.add(coder.words(own, borders)[0])
@@ -303,24 +305,24 @@ def kinds(far: np.ndarray, rounds: int = 60) -> np.ndarray:
     return 0.98 * share + 0.02 * base
 
 
-def tables(ids: DataFrame, n: np.ndarray, begin: int, end: int) -> dict:
+def tables(ids: DataFrame, n: np.ndarray, begin: int, end: int, stored: str) -> dict:
     """Classes, kinds, and how often classes follow each other by kind, from all texts (a column ids); n: how often each id occurs."""
     far_of = classes(n, begin)
 
     def apart(column):
-        own, borders = flat(column)
+        own, borders = flat(column, stored)
         kind, text = far_of[own], np.repeat(np.arange(len(borders) - 1), np.diff(borders))
         return np.concatenate([(kind[:-lag] * CLASSES + kind[lag:])[text[:-lag] == text[lag:]] for lag in LAGS])
 
     log_share = np.log(kinds(summed(ids, apart, CLASSES * CLASSES).reshape(CLASSES, CLASSES))).T.astype(np.float32)
 
     def steps(column):
-        b = Blocks(*flat(column), {"of": far_of}, begin, end)
+        b = Blocks(*flat(column, stored), {"of": far_of}, begin, end)
         return ((b.came * CLASSES + b.goes) * TOPICS + np.repeat(fits(log_share, b), BLOCK))[b.live]
 
     counts = summed(ids, steps, CLASSES * CLASSES * TOPICS)
     some = np.flatnonzero(counts)
-    return {"of": far_of, "n": n, "share": log_share, "keys": some.astype(np.int32), "times": counts[some], "begin": begin, "name": uuid.uuid4().hex}
+    return {"of": far_of, "n": n, "share": log_share, "keys": some.astype(np.int32), "times": counts[some], "begin": begin, "stored": stored, "name": uuid.uuid4().hex}
 
 
 _BUILT: dict[str, dict] = {}
@@ -526,14 +528,14 @@ def train(ids: DataFrame, begin: int, end: int, counted: dict, shared: Broadcast
     A text is in the round of its part, and all its ids are learnt from. shared: counted, broadcast.
     """
     sizes = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
-    weights = start_weights(counted["share"])
+    weights, stored = start_weights(counted["share"]), counted["stored"]
 
     def one_round(start: dict, rate: float):
         def run(batches):
             own, t = Trainer(start, rate), built(shared.value)
             for big in batches:
                 for batch in slices(big):
-                    own.learn(t, Blocks(*flat(batch.column(0)), t, begin, end))
+                    own.learn(t, Blocks(*flat(batch.column(0), stored), t, begin, end))
             if own.seen:
                 cut = np.array_split(np.concatenate([own.w[k].reshape(-1) for k in SHAPES]), PIECES)
                 yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([own.seen] * PIECES, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], ["piece", "seen", "weights"])
@@ -595,7 +597,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     n = np.zeros(coder.size)
     n[single["key"].to_numpy(np.int64)] = single["n"].to_numpy(np.float64)
     texts = int(n[end])
-    counted_tables = tables(training.select("ids"), n, begin, end)
+    counted_tables = tables(training.select("ids"), n, begin, end, coder.kind)
     shared = spark.sparkContext.broadcast(counted_tables)
     weights = train(training, begin, end, counted_tables, shared)
 
@@ -605,11 +607,12 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     model = spark.sparkContext.broadcast((ready(weights), common["key"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)))
 
     def run(batches):
-        t, (weights, keys, logs) = built(shared.value), model.value
+        # the worker's own coder: the driver's would travel with its table
+        coder, t, (weights, keys, logs) = subwords(vocabulary), built(shared.value), model.value
         lookup = Lookup(keys, logs)
         for big in batches:
             for batch in slices(big):
-                own, borders = flat(batch.column(4))
+                own, borders = flat(batch.column(4), coder.kind)
                 b = Blocks(own, borders, t, begin, end)
                 score = np.add.reduceat(log_probabilities(weights, t, b), b.edge[:-1] * BLOCK) / np.log(10)
                 hashes, first = coder.words(own, borders)

@@ -241,29 +241,9 @@ class PieceTable:
         return ids, upto[np.searchsorted(start, borders)]
 
 
-def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each run start:end of 64-bit values, in order."""
+def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, mixed: bool = False) -> np.ndarray:
+    """A hash of each run start:end of 64-bit values, in order; mixed: the values have been scrambled before."""
     up, down = _powers(_BASE, len(values)), _powers(_INVERSE, len(values))
     total = np.zeros(len(values) + 1, _U)
-    np.cumsum(mix(values) * up[:-1], out=total[1:])
+    np.cumsum((values if mixed else mix(values)) * up[:-1], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
-
-
-def flat_polynomials(parts: list[bytes]) -> np.ndarray:
-    """The polynomial of each part's bytes that spans makes of them, from its first byte on."""
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum([0, *map(len, parts)])
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum((raw.astype(_U) + _U(1)) * _powers(_BASE, len(raw))[:-1], out=total[1:])
-    return (total[ends[1:]] - total[ends[:-1]]) * _powers(_INVERSE, len(raw))[ends[:-1]]
-
-
-def runs_by_bytes(value: np.ndarray, size: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hashes that spans gives to the bytes of runs start:end of parts, from the parts' polynomials and sizes."""
-    if not len(start):
-        return np.empty(0, _U)
-    at = np.append(0, np.cumsum(size))
-    up, down = _powers(_BASE, int(at[-1])), _powers(_INVERSE, int(at[-1]))
-    total = np.zeros(len(value) + 1, _U)
-    np.cumsum(value * up[at[:-1]], out=total[1:])
-    return mix((total[end] - total[start]) * down[at[start]] + (at[end] - at[start]).astype(_U))
