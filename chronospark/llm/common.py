@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import saved, shared_folder
 
-__all__ = ["components", "documents", "key_filter", "may_hold", "saved", "saved_parts", "saved_with", "unused"]
+__all__ = ["components", "documents", "key_filter", "may_hold", "ranked", "saved", "saved_parts", "saved_with", "unused"]
 
 
 def unused(name: str, columns: list[str]) -> str:
@@ -40,6 +40,23 @@ def saved_with(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+def ranked(df: DataFrame, group: str, order: list[str], rank: str, size: str) -> DataFrame:
+    """df with each row's number in its group, from 0 in the order of the columns, and the group's number of rows.
+
+    Rows are dealt by ranges of group and order, so a large group is spread over
+    many tasks; what a group's window orders is one row for each range it has.
+    group and order must be a total order, and group has no nulls.
+    """
+    span, at, first, n = (unused(x, [*df.columns, rank, size]) for x in ("_range", "_at", "_first", "_n"))
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    dealt = saved(dealt.withColumn(span, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    parts = dealt.groupBy(group, span).agg(F.min(at).alias(first), F.count("*").alias(n))
+    own = Window.partitionBy(group)
+    before = F.coalesce(F.sum(n).over(own.orderBy(span).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(group, span, (before - F.col(first)).alias(rank), F.sum(n).over(own).alias(size))
+    return dealt.join(parts, [group, span]).withColumn(rank, F.col(rank) + F.col(at)).drop(span, at)
+
+
 def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     """A filter of so many bits that says of a 64-bit key whether it may be among keys (a column key); its size is fixed."""
     bit = F.pmod(F.col("key"), F.lit(bits))

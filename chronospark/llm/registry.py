@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, licenses, lm, packing, quality, substring_dedup, tiff, toxicity
+from . import bpe, exact_dedup, jaccard, licenses, lm, merkle, packing, quality, sharding, substring_dedup, tiff, toxicity, vector_codes
 
 QUERIES = {
     "op4_licenses": licenses.op4_licenses,
@@ -15,6 +15,9 @@ QUERIES = {
     "op7_tiff": tiff.op7_tiff,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_sharding": sharding.op13_sharding,
 }
 
-ORACLE_SQL = {**exact_dedup.ORACLE, **jaccard.ORACLE}
+ORACLE_SQL = {**exact_dedup.ORACLE, **jaccard.ORACLE, **vector_codes.ORACLE}
