@@ -10,7 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import PREDICTION, PROBABILITY, c, prediction
-from ..plans.blocks import Block, Frame, Run, as_block, chosen, traverse
+from ..plans.blocks import Block, Frame, Run, as_block, chosen, reach_of, traverse
+
+
+class Composite(Block):
+    """A block that learns if one of its children does."""
+
+    @property
+    def learns(self):
+        return any(b.learns for b in self.children())
 
 
 def branch(frame: Frame, children: list, run: Run, path: str, inputs: list[list[str]] | None = None) -> tuple[Frame, list[dict[str, str]]]:
@@ -33,7 +41,7 @@ def gather(frame: Frame, columns: dict[str, Column], carry: tuple[str, ...]) ->
 
 
 @dataclass(frozen=True)
-class Concat(Block):
+class Concat(Composite):
     """All children's columns: those that one child has, then those that several have, of the first or last, or merged by a function of columns."""
 
     pipelines: tuple
@@ -79,7 +87,7 @@ def mean_correlation(outs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class TransformColumn(Block):
+class TransformColumn(Composite):
     """A pipeline on some columns; the others stay."""
 
     columns: object
@@ -97,7 +105,7 @@ class TransformColumn(Block):
 
 
 @dataclass(frozen=True)
-class TransformEachColumn(Block):
+class TransformEachColumn(Composite):
     pipeline: object
     name: str = "each column"
 
@@ -132,7 +140,7 @@ def averaged(outs: list[dict[str, str]], label: str, rebuild: bool) -> dict[str,
 
 
 @dataclass(frozen=True)
-class Ensemble(Block):
+class Ensemble(Composite):
     pipelines: tuple
     reconstruct_predictions_from_probabilities: bool = False
     name: str = "Ensemble"
@@ -147,7 +155,7 @@ class Ensemble(Block):
 
 
 @dataclass(frozen=True)
-class EnsembleEachColumn(Block):
+class EnsembleEachColumn(Composite):
     pipeline: object
     name: str = "EnsembleEachColumn"
 
@@ -216,7 +224,7 @@ class MetaLabeling(Block):
 
 
 @dataclass(frozen=True)
-class StrategyMetaLabeling(Block):
+class StrategyMetaLabeling(Composite):
     """The event's strategy label times the meta pipeline's prediction."""
 
     meta: object
@@ -250,7 +258,7 @@ class TransformTarget(Block):
 
     @property
     def reach(self):
-        return sum(as_block(s).reach for s in self.y_pipeline)
+        return sum(reach_of(s) for s in self.y_pipeline)
 
     @property
     def unbounded(self):
@@ -273,7 +281,7 @@ class TransformTarget(Block):
 
 
 @dataclass(frozen=True)
-class SkipNA(Block):
+class SkipNA(Composite):
     """The pipeline sees only rows without a null feature; the others' results are null.
 
     Where the pipeline looks back, known rows may lie any number of rows apart,
@@ -347,7 +355,7 @@ class OverSampler:
 
 
 @dataclass(frozen=True)
-class Sample(Block):
+class Sample(Composite):
     """The pipeline is fitted on sampled train rows and then applied to all rows."""
 
     sampler: object
@@ -374,7 +382,7 @@ class Sample(Block):
 
 
 @dataclass(frozen=True)
-class SelectBest(Block):
+class SelectBest(Composite):
     """One of several pipelines, by name; tuning sets it."""
 
     choose_from: tuple
@@ -387,10 +395,13 @@ class SelectBest(Block):
     def tunable(self):
         return {"selected": [as_block(p).name for p in self.choose_from]}
 
-    def process(self, frame, run, path):
+    def found(self) -> Block:
         found = next((p for p in self.children() if p.name == self.selected), None)
         if found is None:
             raise ValueError("nothing is selected: tune first")
-        return found.process(frame, run, path + "b")
+        return found
+
+    def process(self, frame, run, path):
+        return self.found().process(frame, run, path + "b")
 
 

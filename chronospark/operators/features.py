@@ -31,6 +31,7 @@ class AddLagsX(Block):
     keep_original: bool = True
     output_dtype: str | None = None
     name: str = "lags"
+    learns = False
 
     def _pairs(self):
         return self.columns_and_lags if isinstance(self.columns_and_lags, list) else [self.columns_and_lags]
@@ -67,6 +68,7 @@ class AddWindowFeatures(Block):
     keep_original: bool = True
     output_dtype: str | None = None
     name: str = "windows"
+    learns = False
 
     def _triples(self):
         return self.column_window_fn if isinstance(self.column_window_fn, list) else [self.column_window_fn]
@@ -75,6 +77,10 @@ class AddWindowFeatures(Block):
     def memory(self):
         return max(w or 0 for _, w, _ in self._triples())
 
+    @property
+    def so_far(self) -> bool:
+        return any(w is None for _, w, _ in self._triples())
+
     @property
     def unbounded(self):
         return any(w is None and not (isinstance(fn, str) and fn in SO_FAR) for _, w, fn in self._triples())
@@ -116,6 +122,7 @@ class AddRollingCorrelation(Block):
     fillna: bool = False
     keep_original: bool = True
     name: str = "rolling correlation"
+    learns = False
 
     @property
     def memory(self):
@@ -152,11 +159,16 @@ class Difference(Block):
     fill_0_with_last: bool = False
     rows_of_memory: int = 0
     name: str = "difference"
+    learns = False
 
     @property
     def memory(self):
         return self.rows_of_memory
 
+    @property
+    def so_far(self) -> bool:
+        return self.fill_0_with_last
+
     @property
     def reach(self):
         return max(1, self.rows_of_memory)
@@ -181,6 +193,7 @@ class Difference(Block):
 class TakeLog(Block):
     base: str = "e"
     name: str = "log"
+    learns = False
 
     def process(self, frame, run, path):
         return frame.add({f: scalar.log(c(f), self.base) for f in frame.features})
@@ -193,6 +206,7 @@ class TakeLog(Block):
 class MultiplyBy(Block):
     constant: float
     name: str = "multiply"
+    learns = False
 
     def process(self, frame, run, path):
         return frame.add({f: c(f) * self.constant for f in frame.features})
@@ -209,6 +223,7 @@ class AddFeatures(Block):
     past_window_size: int = 0
     keep_original: bool = True
     name: str = "functions"
+    learns = False
 
     @property
     def memory(self):
@@ -234,6 +249,7 @@ class ApplyFunction(Block):
     past_window_size: int = 0
     fillna: bool = False
     name: str = "function"
+    learns = False
 
     @property
     def memory(self):
@@ -252,6 +268,7 @@ class AddDateTimeFeatures(Block):
     features: tuple
     keep_original: bool = True
     name: str = "date parts"
+    learns = False
 
     def process(self, frame, run, path):
         made = {f"datetime~{p}": scalar.DATE_PARTS[p](F.col("ts")) for p in self.features}
@@ -272,6 +289,7 @@ class AddHolidayFeatures(Block):
     labeling: str = "weekday_weekend_holiday"
     keep_original: bool = True
     name: str = "holidays"
+    learns = False
 
     def process(self, frame, run, path):
         df, made = frame.df.withColumn("_day", F.to_date("ts")), {}

@@ -30,6 +30,7 @@ def weight_of(frame: Frame) -> Column:
 class DummyRegressor(Block):
     predicted_value: float
     name: str = "DummyRegressor"
+    learns = False
 
     def process(self, frame, run, path):
         return frame.add({PREDICTION + self.name: F.lit(float(self.predicted_value))}, [])
@@ -41,6 +42,7 @@ class DummyClassifier(Block):
     all_classes: tuple
     predicted_probabilities: tuple
     name: str = "DummyClassifier"
+    learns = False
 
     def process(self, frame, run, path):
         made = {PREDICTION + self.name: F.lit(float(self.predicted_value))}
@@ -62,6 +64,7 @@ class RandomClassifier(Block):
     probability_mean: float = 0.5
     seed: int = 1
     name: str = "RandomClassifier"
+    learns = False
 
     def process(self, frame, run, path):
         n = len(self.all_classes)
@@ -187,42 +190,54 @@ class FromMl(Block):
     class_weights: str = "none"
     name: str = ""
 
-    def process(self, frame, run, path):
+    def _ready(self, frame: Frame) -> tuple[list[str], DataFrame]:
         from pyspark.ml.feature import VectorAssembler
 
-        label = self.name or type(self.estimator).__name__
-        classifier = "Classifier" in type(self.estimator).__name__ or "LogisticRegression" in type(self.estimator).__name__
         safe = [f"_f{i}" for i in range(len(frame.features))]
         key = list(dict.fromkeys(["split_id", *frame.by, "rid"]))
         plain = frame.df.select(*key, "train", "y", weight_of(frame).alias("_w"), *[c(f).cast("double").alias(s) for f, s in zip(frame.features, safe, strict=True)]).dropna(subset=safe)
-        ready = VectorAssembler(inputCols=safe, outputCol="_x").transform(plain)
+        return key, VectorAssembler(inputCols=safe, outputCol="_x").transform(plain)
+
+    @property
+    def _classifies(self) -> bool:
+        return "Classifier" in type(self.estimator).__name__ or "LogisticRegression" in type(self.estimator).__name__
+
+    def fit(self, frame, run, path):
+        run.models[path] = {}
+        rows = saved(self._ready(frame)[1].where("train AND y IS NOT NULL"))  # every split's fit reads them again and again
+        counts = rows.groupBy("split_id").agg(F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("one"), F.count("*").alias("n")).orderBy("split_id").collect()
+        for count in counts:
+            own_rows = rows.where(F.col("split_id") == count["split_id"])
+            if self._classifies and self.class_weights != "none":
+                heavier = CLASS_WEIGHTS[self.class_weights](F.lit(count["one"]), F.lit(count["n"] - count["one"]))
+                own_rows = own_rows.withColumn("_w", F.col("_w") * F.when(F.col("y") == 1, heavier).otherwise(1.0))
+            own = self.estimator.copy({self.estimator.featuresCol: "_x", self.estimator.labelCol: "y", self.estimator.predictionCol: "_p"})
+            own = own.copy({own.weightCol: "_w"}) if own.hasParam("weightCol") else own
+            run.models[path][count["split_id"]] = own.fit(own_rows)
+        linear = {s: _linear_state(m) for s, m in run.models[path].items()}
+        if all(linear.values()):
+            spark = frame.df.sparkSession
+            run.state(path, lambda: spark.createDataFrame(list(linear.items()), "split_id long, _rows array<array<double>>"))
+
+    def process(self, frame, run, path):
+        label = self.name or type(self.estimator).__name__
         if run.fitting:
-            run.models[path] = {}
-            rows = ready.where("train AND y IS NOT NULL")
-            counts = rows.groupBy("split_id").agg(F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("one"), F.count("*").alias("n")).orderBy("split_id").collect()
-            for count in counts:
-                own_rows = rows.where(F.col("split_id") == count["split_id"])
-                if classifier and self.class_weights != "none":
-                    heavier = CLASS_WEIGHTS[self.class_weights](F.lit(count["one"]), F.lit(count["n"] - count["one"]))
-                    own_rows = own_rows.withColumn("_w", F.col("_w") * F.when(F.col("y") == 1, heavier).otherwise(1.0))
-                own = self.estimator.copy({self.estimator.featuresCol: "_x", self.estimator.labelCol: "y", self.estimator.predictionCol: "_p"})
-                own = own.copy({own.weightCol: "_w"}) if own.hasParam("weightCol") else own
-                run.models[path][count["split_id"]] = own.fit(own_rows)
+            self.fit(frame, run, path)
         models = run.models[path]
         linear = {s: _linear_state(m) for s, m in models.items()}
         if all(linear.values()):
-            return self._by_coefficients(frame, run, path, label, classifier, linear)
-        return self._by_transform(frame, ready, key, label, classifier, models)
+            return self._by_coefficients(frame, run, path, label, linear)
+        key, ready = self._ready(frame)
+        return self._by_transform(frame, ready, key, label, models)
 
-    def _by_coefficients(self, frame, run, path, label, classifier, linear):
-        spark = frame.df.sparkSession
-        df = run.joined(path, frame, lambda: spark.createDataFrame(list(linear.items()), "split_id long, _rows array<array<double>>"))
+    def _by_coefficients(self, frame, run, path, label, linear):
+        df = frame.df.join(F.broadcast(run.states[path]), "split_id", "left")  # a row a split
         x = [c(f).cast("double") for f in frame.features]
         known = reduce(lambda a, b: a & b, [v.isNotNull() for v in x])
         scores = F.transform("_rows", lambda r: reduce(lambda a, b: a + b, [r[i + 1] * v for i, v in enumerate(x)], r[0]))
         frame = frame.on(df.withColumn("_scores", F.when(known, scores)))
         first = F.col("_scores")[0]
-        if not classifier:
+        if not self._classifies:
             return frame.add({PREDICTION + label: first}, [])
         n = max(len(v) for v in linear.values())
         if n == 1:
@@ -233,17 +248,17 @@ class FromMl(Block):
         made = {PREDICTION + label: (F.array_position("_scores", top) - 1).cast("double")}
         return frame.add(made | {f"{PROBABILITY}{label}_{k}": F.exp(F.col("_scores")[k] - top) / total for k in range(n)}, [])
 
-    def _by_transform(self, frame, ready, key, label, classifier, models):
+    def _by_transform(self, frame, ready, key, label, models):
         from pyspark.ml.functions import vector_to_array
 
         found = []
         for split_id, model in models.items():
             out = model.transform(ready.where(F.col("split_id") == split_id))
-            extra = [vector_to_array(F.col(model.getProbabilityCol())).alias("_pp")] if classifier else []
+            extra = [vector_to_array(F.col(model.getProbabilityCol())).alias("_pp")] if self._classifies else []
             found.append(saved(out.select(*key, "_p", *extra)))
         joined = frame.df.join(reduce(DataFrame.union, found), key, "left")
         made = {PREDICTION + label: F.col("_p")}
-        if classifier:
+        if self._classifies:
             made |= {f"{PROBABILITY}{label}_{k}": F.col("_pp")[k] for k in range(next(iter(models.values())).numClasses)}
         return frame.on(joined).add(made, [])
 

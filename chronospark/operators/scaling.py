@@ -32,6 +32,13 @@ class StandardScaler(Block):
     def state_schema(self, k: int) -> str:
         return ", ".join(f"_m_{i} double, _d_{i} double" for i in range(k))
 
+    by_deviation = True
+
+    def affine(self, state: tuple, i: int):
+        """(factor, shift) of column i by a split's state; None where it is null throughout, False where it isn't affine."""
+        mean, deviation = state[2 * i : 2 * i + 2]
+        return None if mean is None else (1 / (deviation or 1.0), -mean / (deviation or 1.0))
+
     def process(self, frame, run, path):
         fit = lambda: _per_split(frame, {f"_{s}_{i}": fn(c(f)) for i, f in enumerate(frame.features) for s, fn in (("m", F.avg), ("d", F.stddev_pop))})
         df = run.joined(path, frame, fit)
@@ -58,6 +65,16 @@ class MinMaxScaler(Block):
     def state_schema(self, k: int) -> str:
         return ", ".join(f"_l_{i} double, _h_{i} double" for i in range(k))
 
+    by_deviation = False
+
+    def affine(self, state: tuple, i: int):
+        a, z = state[2 * i : 2 * i + 2]
+        if self.clip or a is None:
+            return False if self.clip else None
+        low, high = map(float, self.feature_range)
+        factor = (high - low) / ((z - a) or 1.0)
+        return factor, low - a * factor
+
     def process(self, frame, run, path):
         low, high = map(float, self.feature_range)
         fit = lambda: _per_split(frame, {f"_{s}_{i}": fn(c(f)) for i, f in enumerate(frame.features) for s, fn in (("l", F.min), ("h", F.max))})
@@ -88,6 +105,11 @@ class TurnPositive(Block):
     def state_schema(self, k: int) -> str:
         return ", ".join(f"_low_{i} double" for i in range(k))
 
+    by_deviation = False
+
+    def affine(self, state: tuple, i: int):
+        return None if state[i] is None else (1.0, abs(state[i]) + 1 if state[i] <= 0 else 0.0)
+
     def process(self, frame, run, path):
         fit = lambda: _per_split(frame, {f"_low_{i}": F.min(c(f)) for i, f in enumerate(frame.features)})
         df = run.joined(path, frame, fit)

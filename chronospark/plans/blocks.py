@@ -2,8 +2,8 @@
 
 A frame's rows carry split_id and train (whether the row is one to learn from).
 A block turns into a grouped aggregate over train rows, whose result has one row
-a split and is broadcast, and into a projection. Nothing runs until the caller
-acts, and the number of jobs doesn't depend on the number of splits.
+a split and is broadcast, and into a projection. A state is
+fetched as soon as it is fitted; the number of jobs doesn't depend on the number of splits.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..functions.names import c, select
 from ..functions.rows import blocked
 
 #: Columns of a frame that aren't features.
-KEYS = ("split_id", "train", "halo", "rid", "ts", "y", "weight", "raw_y", "_role", "_block", "_halo")
+KEYS = ("split_id", "train", "halo", "rid", "ts", "y", "weight", "raw_y", "_role", "_run", "_block", "_halo", "_place")
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,8 @@ class Frame:
         return self.on(self.df.withColumns(columns))
 
     def train_rows(self) -> DataFrame:
-        return self.df.where("train")
+        # _role is what windows are parted by, so this filter goes below them
+        return self.df.where("_role AND train" if "_role" in self.df.columns else "train")
 
 
 class Run:
@@ -98,7 +99,8 @@ class Run:
 class Block:
     """A step of a pipeline.
 
-    memory: rows of context before a test window that its values need. reach:
+    learns: whether it needs train rows. parallel: whether its children see the same
+    rows, not one what the other made. memory: rows of context before a test window that its values need. reach:
     rows that its windows look back inside a window. unbounded: whether they
     look back without a bound and can't be put together from blocks of rows.
     windowed: whether they look back at all.
@@ -106,6 +108,8 @@ class Block:
 
     memory = 0
     unbounded = False
+    learns = True
+    parallel = True
     name = ""
 
     @property
@@ -119,6 +123,10 @@ class Block:
     def process(self, frame: Frame, run: Run, path: str) -> Frame:
         raise NotImplementedError
 
+    def fit(self, frame: Frame, run: Run, path: str) -> None:
+        """Leaves the block's states in run; no more is needed of the rows."""
+        self.process(frame, run, path)
+
     def children(self) -> list:
         return []
 
@@ -133,6 +141,7 @@ class Project(Block):
     fn: Callable[[Frame], Frame]
     memory: int = 0
     name: str = "project"
+    learns = False
 
     def process(self, frame, run, path):
         return self.fn(frame)
@@ -141,6 +150,7 @@ class Project(Block):
 @dataclass(frozen=True)
 class Identity(Block):
     name: str = "identity"
+    learns = False
 
     def process(self, frame, run, path):
         return frame
@@ -169,6 +179,11 @@ def as_block(item) -> Block:
 class Sequence(Block):
     steps: tuple
     name: str = "sequence"
+    parallel = False
+
+    @property
+    def learns(self):
+        return any(b.learns for b in self.children())
 
     def process(self, frame, run, path):
         for i, step in enumerate(self.steps):
@@ -193,6 +208,13 @@ def walk(block: Block, path: str) -> Iterator[tuple[str, Block]]:
             yield from walk(as_block(step), f"{path}/{i}")
 
 
+def reach_of(pipeline) -> int:
+    """Rows that a pipeline's windows look back inside a window: steps on steps add up, of blocks side by side the longest counts."""
+    block = as_block(pipeline)
+    below = [reach_of(b) for b in block.children()]
+    return block.reach + (max(below, default=0) if block.parallel else sum(below))
+
+
 def memory_of(pipeline) -> int:
     """The most rows of context any block needs: the greatest, not the sum, so chained windows are cut at a test window's edge."""
     return max(b.memory for b in traverse(as_block(pipeline)))
@@ -203,7 +225,12 @@ def cut(df: DataFrame, pipeline, place: str = "rid") -> DataFrame:
     blocks = list(traverse(as_block(pipeline)))
     if any(b.unbounded for b in blocks) or not any(b.windowed for b in blocks):
         return df.withColumns({"_block": F.lit(0).cast("long"), "_halo": F.lit(False)})
-    return blocked(df, sum(b.reach for b in blocks), 0, place=place)
+    return blocked(df, reach_of(pipeline), 0, place=place)
+
+
+def bounded(pipeline) -> bool:
+    """Whether all windows of a pipeline look back a stated number of rows."""
+    return all(not b.unbounded and (b.reach > 0 or not b.windowed) and not getattr(b, "so_far", False) for b in traverse(as_block(pipeline)))
 
 
 def names_of(pipeline) -> str:

@@ -1,8 +1,9 @@
 """Training, backtesting, inference and scores.
 
-All windows are trained and tested in one plan: train rows are tagged by split,
-test rows come with their context, and a pipeline turns them into predictions.
-A job runs when the caller acts on a result.
+All windows are trained and tested in one plan: what a pipeline learns comes from
+moments of stretches or from train rows tagged by split, test rows come with their
+context, and the pipeline turns them into predictions. States are fetched as soon
+as they are fitted, a row a split; the result's job runs when the caller acts on it.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import c, prediction
-from ..functions.rows import numbered
+from ..functions.rows import blocked, numbered
 from ..operators.events import EVENT_COLUMNS, create_events
-from .blocks import Frame, Run, Sequence, as_block, cut, memory_of, walk
-from .segments import fit_lean, lean_steps
-from .splits import plan_splits, tag_test_rows, tag_train_rows
+from ..sources.tables import saved
+from . import segments
+from .blocks import Block, Frame, Run, Sequence, as_block, bounded, cut, memory_of, reach_of, traverse, walk
+from .splits import plan_splits, tag_last_train_rows, tag_test_rows, tag_train_rows
 
 
 @dataclass(frozen=True)
@@ -41,9 +43,11 @@ class Trained:
     outputs: tuple[str, ...]
     run: Run
     preprocessing: Run | None
-    rows: DataFrame  # all rows of the frame after the pipeline, train and test
+    rows: DataFrame  # test rows after the pipeline, and their context
     splits: list
     spine: DataFrame
+    train: DataFrame | None = None  # train rows after the pipeline, if asked for
+    once: bool = False  # each train row is there once, with the last split that covers it
 
 
 def as_card(x) -> PipelineCard:
@@ -120,8 +124,9 @@ def train(card, df: DataFrame, splitter, features=(), events: DataFrame | None =
     """Fits a pipeline on every split of df (rid, ts, y, features); for_deployment: on the last only.
 
     events: (rid, event columns), or made by the card's labeler. n, the number
-    of rows, is counted if not given. Without need_in_sample, no train row is
-    repeated for several splits where the pipeline allows it (see segments).
+    of rows, is counted if not given. Where the pipeline learns nothing, or from
+    moments (see segments), no train row is repeated for several splits; without
+    need_in_sample train rows are only read for what learns.
     """
     card = as_card(card)
     spine, features = _series(df, features)
@@ -139,36 +144,85 @@ def train(card, df: DataFrame, splitter, features=(), events: DataFrame | None =
     splits = plan_splits(splitter, n, gap_before=card.forward_horizon, place=_place(spine))
     if for_deployment:
         splits = splits[-1:]
-    steps = None if need_in_sample or "event_label" in rows.columns else lean_steps(card.pipeline, splits)
-    if steps:
-        path = lambda i: f"main/{i}" if len(steps) > 1 or isinstance(as_block(card.pipeline), Sequence) else "main"
-        return _all_rows(card, rows, spine, splits, features, fit_lean(steps, rows, features, splits, path), pre)
-    return _all_rows(card, rows, spine, splits, features, Run(), pre)
+    return _all_rows(card, rows, spine, splits, features, pre, need_in_sample)
 
 
-def _all_rows(card, rows, spine, splits, features, run, pre) -> Trained:
-    has_events = "event_label" in rows.columns
-    memory = memory_of(card.pipeline)
-    rows = rows.withColumn("raw_y", F.col("y"))
+def _all_rows(card, rows, spine, splits, features, pre, need_in_sample) -> Trained:
+    block, has_events = as_block(card.pipeline), "event_label" in rows.columns
+    rows, place = rows.withColumn("raw_y", F.col("y")), "rid"
     if has_events:
         # only rows with an event are seen, so windows count events; context is measured in rows before that
         known = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in EVENT_COLUMNS])
-        rows = numbered(rows, known, "_place").withColumns({"y": F.col("event_label"), "weight": F.col("event_sample_weights")})
-    flag = lambda d, is_train: d.withColumns({"_role": F.lit(is_train), **({"halo": F.lit(False)} if is_train else {})})
-    both = flag(tag_test_rows(rows, splits, memory), False)
-    if run.fitting:
-        both = flag(tag_train_rows(rows, splits), True).unionByName(both)
-    # a block's context rows are neither learnt from nor results
-    both = cut(both, card.pipeline, "_place" if has_events else "rid")
-    both = both.withColumns({"train": F.col("_role") & ~F.col("_halo"), "halo": F.col("halo") | F.col("_halo")})
-    out = as_block(card.pipeline).process(Frame(both, features, by=("split_id", "_role", "_block")), run, "main")
-    return Trained(card, features, out.features, run, pre, out.df, splits, spine)
+        place = "_place"
+        rows = numbered(rows, known, place).withColumns({"y": F.col("event_label"), "weight": F.col("event_sample_weights")})
+    fitted = segments.fitted(block, rows, features, splits, place)
+    run = fitted or Run()
+    test = _flagged(tag_test_rows(rows, splits, memory_of(block)), False)
+    train = None
+    once = need_in_sample and bounded(block) and (fitted is not None or not block.learns)
+    if once:
+        # what is learnt is known, so a train row is only needed once
+        rows_once = _flagged(tag_last_train_rows(rows, splits, reach_of(block)), True)
+        train = block.process(_framed(rows_once, features, block, place, ("split_id", "_role", "_run", "_block")), run, "main").df
+    elif run.fitting and (block.learns or need_in_sample):
+        train = _fit(rows, features, block, splits, place, run, need_in_sample)
+    use = Run(run.states)
+    use.models = run.models
+    out = block.process(_framed(test, features, block, place), use, "main")
+    return Trained(card, features, out.features, run, pre, out.df, splits, spine, train, once)
+
+
+def _flagged(rows: DataFrame, is_train: bool) -> DataFrame:
+    return rows.withColumns({"_role": F.lit(is_train), "halo": F.col("halo") if "halo" in rows.columns else F.lit(False)})
+
+
+def _framed(rows: DataFrame, features, pipeline, place: str, by=("split_id", "_role", "_block")) -> Frame:
+    """Tagged rows as a frame in blocks; a block's context rows are neither learnt from nor results."""
+    dealt = cut(rows, pipeline, place)
+    dealt = dealt.withColumns({"train": F.col("_role") & ~F.col("_halo") & ~F.col("halo"), "halo": F.col("halo") | F.col("_halo")})
+    return Frame(dealt, tuple(features), by=by)
+
+
+def _fit(rows: DataFrame, features, block: Block, splits: list, place: str, run: Run, to_end: bool) -> DataFrame | None:
+    """Fits the pipeline on train rows of each split; to_end: their rows after the whole pipeline.
+
+    First steps that see a row and a few before it give the same in every split whose
+    window begins at one place: they are taken once, before rows are repeated for the
+    splits. With several learners the repeated rows are written, as each learner reads
+    them. What follows the last learner is only done to_end.
+    """
+    steps = block.children() if isinstance(block, Sequence) else [block]
+    path = (lambda i: f"main/{i}") if isinstance(block, Sequence) else (lambda i: "main")
+    one_start, early = len({b.start for s in splits for b in s.train}) == 1, []
+    for s in steps:
+        if not segments.is_local(s) or reach_of(s) and not one_start:
+            break
+        early.append(s)
+    frame = Frame(rows, tuple(features))
+    if early:
+        start, end = min(b.start for s in splits for b in s.train), max(b.end for s in splits for b in s.train)
+        inside = rows.where((F.col("rid") >= start) & (F.col("rid") < end))
+        dealt = blocked(inside, sum(map(reach_of, early)), 0, place=place).withColumns({"split_id": F.lit(0).cast("long"), "train": ~F.col("_halo"), "halo": F.col("_halo")})
+        frame = Frame(dealt, tuple(features), ("_block", "_halo"), ("_block",))
+        for i, s in enumerate(early):
+            frame = s.process(frame, run, path(i))
+        frame = frame.on(frame.df.where("NOT _halo").drop("_block", "_halo", "split_id", "train", "halo"))
+    late = _framed(_flagged(tag_train_rows(frame.df, splits), True), frame.features, Sequence(tuple(steps[len(early) :])), place)
+    if sum(1 for b in traverse(block) if b.learns and not b.children()) > 1:
+        late = late.on(saved(late.df))
+    last = max((i for i, s in enumerate(steps) if s.learns), default=-1)
+    for i, s in enumerate(steps[len(early) :], len(early)):
+        if i == last and not to_end:
+            s.fit(late, run, path(i))
+            return None
+        late = s.process(late, run, path(i))
+    return late.df
 
 
 def backtest(trained: Trained) -> DataFrame:
     """(split_id, rid, ts, y, predictions and probabilities) of all test rows; with events, null in rows without one."""
     outputs = [c(f) for f in trained.outputs]
-    made = trained.rows.where("NOT train AND NOT halo")
+    made = trained.rows.where("NOT halo")
     if "event_label" in trained.spine.columns:
         every = tag_test_rows(trained.spine.select("rid", "ts", "y"), trained.splits).drop("halo")
         return every.join(made.select("split_id", "rid", *outputs), ["split_id", "rid"], "left").select("split_id", "rid", "ts", "y", *outputs)
@@ -198,9 +252,12 @@ def artifacts(trained: Trained) -> DataFrame:
 
 
 def in_sample(trained: Trained) -> DataFrame:
-    """Predictions of train rows; where splits overlap, the last split's."""
-    whole = F.struct(*[c(f) for f in trained.outputs])
-    best = trained.rows.where("train").groupBy("rid").agg(F.max_by(whole, "split_id").alias("_row"), F.max("split_id").alias("split_id"), F.any_value("ts").alias("ts"), F.any_value("raw_y").alias("y"))
+    """Predictions of train rows; where splits overlap, the last split's. Only of what was trained with need_in_sample."""
+    outputs = [c(f) for f in trained.outputs]
+    if trained.once:
+        return trained.train.where("train").select("rid", "split_id", *outputs, "ts", F.col("raw_y").alias("y"))
+    whole = F.struct(*outputs)
+    best = trained.train.where("train").groupBy("rid").agg(F.max_by(whole, "split_id").alias("_row"), F.max("split_id").alias("split_id"), F.any_value("ts").alias("ts"), F.any_value("raw_y").alias("y"))
     return best.select("split_id", "rid", "_row.*", "ts", "y")
 
 

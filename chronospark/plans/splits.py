@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,6 +177,53 @@ def even_step(splits: list[Split]) -> int | None:
     return sizes.pop() if len(sizes) == 1 else None
 
 
+def stretches(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, lo, hi): of each stretch between neighbouring borders of ranges (id, start, end), the ids that cover it as runs lo to hi."""
+    ranges = [r for r in ranges if r[1] < r[2]]
+    if not ranges:
+        return []
+    least = min(r[0] for r in ranges)
+    borders = sorted({x for _, a, b in ranges for x in (a, b)})
+    place = {x: i for i, x in enumerate(borders)}
+    change = [[] for _ in borders]
+    for k, a, b in ranges:
+        change[place[a]].append((k - least, 1))
+        change[place[b]].append((k - least, -1))
+    cover, out = np.zeros(max(r[0] for r in ranges) - least + 1, np.int64), []
+    for i, (a, b) in enumerate(zip(borders, borders[1:])):
+        for k, by in change[i]:
+            cover[k] += by
+        edge = np.flatnonzero(np.diff(cover > 0, prepend=False, append=False))
+        out += [(a, b, int(lo) + least, int(hi) - 1 + least) for lo, hi in edge.reshape(-1, 2)]
+    return out
+
+
+def located(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
+    """rows beside those of a table (start, end, ...) planned on the driver whose range holds their rid: an equality join by a part of the rid.
+
+    The parts are as wide as a stretch is on the average, so a row meets few candidates, and the table stays in proportion to its rows.
+    """
+    first, end = min(t[0] for t in table), max(t[1] for t in table)
+    width = max(1, -(-(end - first) // max(1, len({t[0] for t in table}))))
+    parts = [(k, *t) for t in table for k in range(t[0] // width, (t[1] - 1) // width + 1)]
+    small = rows.sparkSession.createDataFrame(parts, f"_part long, _start long, _end long, {schema}")
+    inside = (F.col("rid") >= F.col("_start")) & (F.col("rid") < F.col("_end"))
+    cut = rows.withColumn("_own", F.expr(f"rid div {width}"))
+    return cut.join(F.broadcast(small), (F.col("_own") == F.col("_part")) & inside).drop("_own", "_part", "_start", "_end")
+
+
+def dealt(rows: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFrame:
+    """rows once for each range (id, start, end) that holds their rid, with split_id.
+
+    Ranges are turned into stretches of one set of ids, and these into runs of ids, so
+    the table that rows meet has a row a stretch and run, not one a range.
+    """
+    table = stretches(ranges)
+    if not table:
+        return rows.where("false").withColumn("split_id", F.lit(None).cast("long"))
+    return located(rows, table, "_lo long, _hi long").withColumn("split_id", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+
+
 def tag_test_rows(rows: DataFrame, splits: list[Split], memory: int = 0) -> DataFrame:
     """rows with split_id and halo: each split's test rows, and before them memory rows of context (halo is true there).
 
@@ -195,12 +243,35 @@ def tag_test_rows(rows: DataFrame, splits: list[Split], memory: int = 0) -> Data
         if ids != list(range(len(ids))):
             both = both.withColumn("split_id", F.element_at(F.array(*[F.lit(i).cast("long") for i in ids]), (F.col("split_id") + 1).cast("int")))
         return both
-    table = F.broadcast(splits_table(rows.sparkSession, splits).select("split_id", "te_start", "te_end").distinct())
-    inside = (F.col("rid") >= F.greatest(F.col("te_start") - memory, F.lit(0))) & (F.col("rid") < F.col("te_end"))
-    return rows.join(table, inside).withColumn("halo", F.col("rid") < F.col("te_start")).drop("te_start", "te_end")
+    return _pieces(rows, [(s.split_id, max(t.start - memory, 0), t.start, t.end) for s in splits for t in s.test]).drop("_run")
+
+
+def _pieces(rows: DataFrame, pieces: list[tuple[int, int, int, int]]) -> DataFrame:
+    """rows of each piece (split_id, context, start, end) with split_id, halo (from context to start) and the piece's number _run."""
+    tagged = dealt(rows, [(k, context, end) for k, (_, context, _, end) in enumerate(pieces)]).withColumnRenamed("split_id", "_run")
+    small = rows.sparkSession.createDataFrame([(k, x, start) for k, (x, _, start, _) in enumerate(pieces)], "_run long, split_id long, _first long")  # a row a piece
+    return tagged.join(F.broadcast(small), "_run").withColumn("halo", F.col("rid") < F.col("_first")).drop("_first")
 
 
 def tag_train_rows(rows: DataFrame, splits: list[Split]) -> DataFrame:
     """rows once for each split that trains on them."""
-    table = F.broadcast(splits_table(rows.sparkSession, splits).select("split_id", "tr_start", "tr_end").distinct())
-    return rows.join(table, (F.col("rid") >= F.col("tr_start")) & (F.col("rid") < F.col("tr_end"))).drop("tr_start", "tr_end")
+    return dealt(rows, [(s.split_id, b.start, b.end) for s in splits for b in s.train])
+
+
+def tag_last_train_rows(rows: DataFrame, splits: list[Split], context: int) -> DataFrame:
+    """rows once each, with the last split that trains on them; before each run of one such split, context rows (halo) inside its train window."""
+    windows = {s.split_id: s.train for s in splits}
+    runs: list[list[int]] = []
+    for a, b, _, k in sorted(stretches([(s.split_id, t.start, t.end) for s in splits for t in s.train])):
+        if runs and runs[-1][1:] == [a, b]:
+            runs[-1][0] = max(runs[-1][0], k)
+        else:
+            runs.append([k, a, b])
+    joined: list[list[int]] = []
+    for k, a, b in runs:
+        if joined and joined[-1][0] == k and joined[-1][2] == a:
+            joined[-1][2] = b
+        else:
+            joined.append([k, a, b])
+    start = lambda k, a: max(t.start for t in windows[k] if t.start <= a)
+    return _pieces(rows, [(k, max(start(k, a), a - context), a, b) for k, a, b in joined])

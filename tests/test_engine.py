@@ -194,33 +194,6 @@ def test_sources(spark, tmp_path):
     assert [r["rid"] for r in series.with_rid(df.repartition(3), ["t", "i"]).orderBy("t", "i").collect()] == [0, 1, 2]
 
 
-@pytest.mark.parametrize("last", [mod.LinearRegression(), sc.StandardScaler(), sc.MinMaxScaler(), sc.TurnPositive()])
-def test_fitting_by_stretches_equals_fitting_by_splits(sine, last):
-    from chronospark.plans.segments import lean_steps
-    from chronospark.plans.splits import plan_splits
-
-    df = sine.withColumns({"flat": F.lit(2.0), "hole": F.when(F.col("rid") % 13 != 0, F.cos("rid"))})
-    pipeline = [feat.AddLagsX(("x", [1, 2])), feat.AddWindowFeatures(("x", 5, "mean")), last]
-    assert lean_steps(pipeline, plan_splits(SPLITTER, 1000))
-    features = ("x", "flat", "hole") if last.needs_target is False else ("x", "hole")
-    lean = engine.train_backtest(pipeline, df, SPLITTER, features).orderBy("rid").toPandas()
-    whole = engine.backtest(engine.train(pipeline, df, SPLITTER, features)).orderBy("rid").toPandas()
-    assert list(lean.columns) == list(whole.columns) and len(lean) == len(whole)
-    for name in lean.columns[4:]:
-        assert (lean[name].isna() == whole[name].isna()).all() and not (lean[name] - whole[name]).abs().max() > 1e-8, name
-
-
-def test_pipelines_that_need_train_rows_are_not_lean(sine):
-    from chronospark.plans.segments import lean_steps
-    from chronospark.plans.splits import SlidingWindowSplitter, plan_splits
-
-    splits, sliding = plan_splits(SPLITTER, 1000), plan_splits(SlidingWindowSplitter(300, 200), 1000)
-    assert lean_steps([sc.StandardScaler(), mod.LinearRegression()], splits) is None
-    assert lean_steps([feat.AddWindowFeatures(("x", None, "mean")), mod.LinearRegression()], splits) is None
-    assert lean_steps([feat.AddLagsX(("x", 1)), mod.LinearRegression()], sliding) is None
-    assert lean_steps([mod.LinearRegression()], sliding)
-
-
 def test_splitters_take_timestamps(sine):
     ts = sine.where("rid = 300").first()["ts"]
     out = engine.train_backtest([Identity()], sine, ExpandingWindowSplitter(100, 300, start=ts), ("x",))
