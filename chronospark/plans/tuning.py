@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, is_dataclass, replace
 from functools import reduce
 
@@ -10,17 +12,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import c, nested, prediction
-from .blocks import Block, Frame, Identity, Run, Sequence, as_block, cut, memory_of, traverse
+from ..sources.tables import saved
+from .blocks import Block, Frame, Identity, Run, Sequence, as_block, cut, memory_of, renamed
 from .engine import as_card, score, train_backtest
 from .splits import plan_splits
 
 MARK = "¦"
 
 
+def _tunable(block: Block) -> Iterator[Block]:
+    """The blocks that a search from outside may set; an Optimizer searches for itself."""
+    yield block
+    if not isinstance(block, Optimizer):
+        for child in block.children():
+            yield from _tunable(child)
+
+
 def grid(pipeline) -> list[dict]:
     """All combinations of {name¦param: value} that the blocks of a pipeline ask to try; passthrough may also be one."""
     wanted: dict[str, list] = {}
-    for b in traverse(as_block(pipeline)):
+    for b in _tunable(as_block(pipeline)):
         for param, values in b.tunable().items():
             key = f"{b.name}{MARK}{param}"
             if key in wanted:
@@ -37,6 +48,8 @@ def apply(pipeline, params: dict) -> Block:
         own = dict(by_name.get(block.name, {}))
         if own.pop("passthrough", False):
             return Identity()
+        if isinstance(block, Optimizer):
+            return block
         if isinstance(block, Sequence):
             return Sequence(tuple(rebuilt(as_block(s)) for s in block.steps))
         changes: dict = {}
@@ -73,53 +86,106 @@ LOSSES = {"rmse": lambda p, y: F.sqrt(F.avg((p - y) * (p - y))), "mae": lambda p
 _INNER = 1 << 20
 
 
+@dataclass(frozen=True)
+class Grid:
+    """All candidates at once, on all inner windows.
+
+    A search says what to try next, for each split by itself: next(n, rounds), of
+    n candidates and the rounds so far as (share, {candidate: loss}), gives the
+    candidates and the share of inner windows, latest first, of another round, or
+    None when it is done. The best of the last round is the choice.
+    """
+
+    def next(self, n: int, rounds: list[tuple[float, dict]]) -> tuple[list[int], float] | None:
+        return None if rounds else (list(range(n)), 1.0)
+
+
+@dataclass(frozen=True)
+class Halving:
+    """Successive halving: all candidates on the latest share of inner windows, then of each round the best factor-th on factor times as many."""
+
+    first: float = 0.25
+    factor: int = 2
+
+    def next(self, n: int, rounds: list[tuple[float, dict]]) -> tuple[list[int], float] | None:
+        if not rounds:
+            return list(range(n)), min(1.0, self.first)
+        share, losses = rounds[-1]
+        kept = _in_order(losses)[: -(-len(losses) // self.factor)]
+        return None if len(kept) <= 1 else (sorted(kept), min(1.0, share * self.factor))
+
+
+def _in_order(losses: dict[int, float | None]) -> list[int]:
+    """Candidates by loss, unknown ones last; of equal ones the first."""
+    return sorted(losses, key=lambda k: (losses[k] is None, losses[k] if losses[k] is not None else 0.0, k))
+
+
 @dataclass(frozen=True)
 class Optimizer(Block):
     """The pipeline with the parameters that did best inside each split's own train window.
 
     splitter cuts every train window again; the candidates, or all combinations
-    that the pipeline's blocks ask to try, are fitted and scored on these windows,
-    all splits in one plan a candidate. A split's choice is its state. Test rows
-    have no part in it.
+    that the pipeline's blocks ask to try, are fitted and scored on these windows, in
+    the rounds that search asks for. The tagged rows of all inner windows are written
+    once and shared by all candidates and rounds; a round's scores, a row a split and
+    candidate, reach the driver. Context covers the candidate that looks back
+    furthest. A split's choice is its state; test rows have no part in it.
     """
 
     pipeline: object
     splitter: object
     candidates: tuple | None = None
     loss: str = "rmse"
+    search: object = Grid()
     name: str = "optimizer"
 
     def children(self):
-        return [as_block(self.pipeline)]
+        return self.tried()
 
     def tried(self) -> list[Block]:
         params = grid(self.pipeline) if self.candidates is None else self.candidates
         return [apply(self.pipeline, p) for p in params]
 
-    def _inner(self, frame: Frame) -> Frame:
-        """Train rows as rows of the windows within their split's window."""
+    def _inner(self, frame: Frame) -> tuple[Frame, dict[int, list[int]]]:
+        """Train rows as rows of the windows within their split's window; the windows of each split."""
         rows = frame.train_rows()
         ends = rows.groupBy("split_id").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).collect()  # a row a split
         plan = [(r["split_id"], r["split_id"] * _INNER + s.split_id, *(r["a"] + x for x in (s.train[0].start, s.train[-1].end, s.test[0].start, s.test[-1].end))) for r in ends for s in plan_splits(self.splitter, r["z"] - r["a"] + 1)]
+        windows: dict[int, list[int]] = {}
+        for split, own, *_ in plan:
+            windows.setdefault(split, []).append(own)
         table = frame.df.sparkSession.createDataFrame(plan, "split_id long, _own long, _tr0 long, _tr1 long, _te0 long, _te1 long")
         # a row a window, a number planned on the driver
-        wide = rows.drop("train", "halo", "_role", "_block", "_halo").join(F.broadcast(table), "split_id").withColumn("split_id", F.col("_own"))
-        memory, rid = memory_of(self.pipeline), F.col("rid")
-        learn = wide.where((rid >= F.col("_tr0")) & (rid < F.col("_tr1"))).withColumns({"_role": F.lit(True), "halo": F.lit(False)})
-        test = wide.where((rid >= F.col("_te0") - memory) & (rid < F.col("_te1"))).withColumns({"_role": F.lit(False), "halo": rid < F.col("_te0")})
-        both = cut(learn.unionByName(test).drop("_own", "_tr0", "_tr1", "_te0", "_te1"), self.pipeline)
+        wide = rows.drop("train", "halo", "_role", "_run", "_block", "_halo").join(F.broadcast(table), "split_id").withColumn("split_id", F.col("_own"))
+        memory, rid = memory_of(self), F.col("rid")
+        role = F.when((rid >= F.col("_tr0")) & (rid < F.col("_tr1")), True)
+        tested = F.when((rid >= F.col("_te0") - memory) & (rid < F.col("_te1")), False)
+        both = wide.withColumn("_role", F.explode(F.array_compact(F.array(role, tested)))).withColumn("halo", ~F.col("_role") & (rid < F.col("_te0")))
+        both = cut(both.drop("_own", "_tr0", "_tr1", "_te0", "_te1"), self)
         both = both.withColumns({"train": F.col("_role") & ~F.col("_halo"), "halo": F.col("halo") | F.col("_halo")})
-        return Frame(both, frame.features, frame.carry, ("split_id", "_role", "_block"))
+        return Frame(saved(both), frame.features, frame.carry, ("split_id", "_role", "_block")), windows
 
     def _choice(self, frame: Frame) -> DataFrame:
-        inner, scores = self._inner(frame), []
-        for i, block in enumerate(self.tried()):
-            out = block.process(inner, Run(), "inner")
-            p, y = c(prediction(list(out.features))).cast("double"), F.col("y").cast("double")
-            tested = out.df.where("NOT train AND NOT halo").where(p.isNotNull() & y.isNotNull())
-            scores.append(tested.groupBy(F.floor(F.col("split_id") / _INNER).cast("long").alias("split_id")).agg(LOSSES[self.loss](p, y).alias("loss")).withColumn("candidate", F.lit(i)))
-        table = reduce(DataFrame.union, scores)
-        return table.groupBy("split_id").agg(F.min_by("candidate", F.struct("loss", "candidate")).alias("chosen"))
+        (inner, windows), tried = self._inner(frame), self.tried()
+        rounds: dict[int, list] = {s: [] for s in windows}
+        while True:
+            plans = {s: self.search.next(len(tried), rounds[s]) for s in windows}
+            plans = {s: p for s, p in plans.items() if p}
+            if not plans:
+                break
+            scores = []
+            for i in sorted({i for some, _ in plans.values() for i in some}):
+                own = [(w,) for s, (some, share) in plans.items() if i in some for w in windows[s][-math.ceil(share * len(windows[s])) :]]
+                used = inner.on(inner.df.join(F.broadcast(inner.df.sparkSession.createDataFrame(own, "split_id long")), "split_id", "left_semi"))  # a row a window
+                out = tried[i].process(used, Run(), "inner")
+                p, y = c(prediction(list(out.features))).cast("double"), F.col("y").cast("double")
+                tested = out.df.where("NOT _role AND NOT halo").where(p.isNotNull() & y.isNotNull())
+                scores.append(tested.groupBy(F.floor(F.col("split_id") / _INNER).cast("long").alias("split_id")).agg(LOSSES[self.loss](p, y).alias("loss")).withColumn("candidate", F.lit(i)))
+            found = {(r["split_id"], r["candidate"]): r["loss"] for r in reduce(DataFrame.union, scores).collect()}  # a row a split and candidate
+            for s, (some, share) in plans.items():
+                rounds[s].append((share, {i: found.get((s, i)) for i in some}))
+        chosen = [(s, _in_order(r[-1][1])[0]) for s, r in rounds.items()]
+        return frame.df.sparkSession.createDataFrame(chosen, "split_id long, chosen int")
 
     def process(self, frame, run, path):
         chosen = run.state(path, lambda: self._choice(frame))
@@ -131,4 +197,7 @@ class Optimizer(Block):
                 outs.append(block.process(frame.on(frame.df.where(F.col("split_id").isin(own))), run, f"{path}o{i}"))
         if not outs:
             raise ValueError("no split has a choice")
-        return outs[0].on(reduce(lambda a, b: a.unionByName(b), [o.df.select(*outs[0].df.columns) for o in outs]))
+        # columns that a candidate names after its parameters go by the first choice's names
+        names = outs[0].features
+        outs = [o if o.features == names else renamed(o, dict(zip(o.features, names, strict=True))) for o in outs]
+        return outs[0].on(reduce(lambda a, b: a.unionByName(b), [o.df.select(*[c(x) for x in outs[0].df.columns]) for o in outs]))

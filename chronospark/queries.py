@@ -604,6 +604,37 @@ def optimizer_in_window(spark, d):
     return engine.train_backtest([block], events_series(spark, d), EXPANDING, ("value",)).select("split_id", "rid", F.col("predictions_m").alias("p"))
 
 
+_LAGS, _WIDTHS = (1, 3, 24), (2, 8, 32, 128)
+_CANDIDATES = lambda xs: "candidates AS (" + " UNION ALL ".join(f"SELECT rid, y, {k} AS k, {x} AS x FROM b" for k, x in xs.items()) + ")"
+_FITTED = "SELECT s.split_id, b.rid, round(o.i + o.s * c.x, 6) AS p FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN best USING (split_id) JOIN candidates c ON c.rid = b.rid AND c.k = best.k JOIN outside o ON o.split_id = s.split_id"
+_OUTSIDE = "outside AS (SELECT s.split_id, regr_slope(c.y, c.x) AS s, regr_intercept(c.y, c.x) AS i FROM splits s JOIN best USING (split_id) JOIN candidates c ON c.k = best.k AND c.rid >= s.tr0 AND c.rid < s.tr1 GROUP BY 1)"
+
+
+@query("optimizer_lags", f"""WITH {E}, {SPLITS}, {_INNER}, {_CANDIDATES({k: f"lag(value, {k}) OVER (ORDER BY rid)" for k in _LAGS})},
+inside AS (SELECT f.split_id, c.k, regr_slope(c.y, c.x) AS s, regr_intercept(c.y, c.x) AS i FROM first f JOIN candidates c ON c.rid < f.at GROUP BY ALL),
+best AS (SELECT split_id, arg_min(k, e) AS k FROM (SELECT f.split_id, c.k, avg(power(c.y - i - s * c.x, 2)) AS e FROM first f JOIN candidates c ON c.rid >= f.at AND c.rid < f.tr1 JOIN inside n ON n.split_id = f.split_id AND n.k = c.k GROUP BY ALL) GROUP BY 1),
+{_OUTSIDE} {_FITTED}""")
+def optimizer_lags(spark, d):
+    pipeline = [feat.AddLagsX(("value", 1), keep_original=False, name="lags"), mod.LinearRegression()]
+    block = tuning.Optimizer(pipeline, sp.ForwardSingleWindowSplitter(0.5), tuple({"lags¦columns_and_lags": ("value", k)} for k in _LAGS))
+    return engine.train_backtest([block], events_series(spark, d), EXPANDING, ("value",)).select("split_id", "rid", F.round("predictions_LinearRegression", 6).alias("p"))
+
+
+@query("optimizer_halving", f"""WITH {E}, {SPLITS}, {_CANDIDATES({k: f"avg(value) OVER (ORDER BY rid ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in _WIDTHS})},
+sizes AS (SELECT split_id, tr0, tr1, CAST(floor(0.5::DOUBLE * (tr1 - tr0)) AS BIGINT) AS f, CAST(floor(0.125::DOUBLE * (tr1 - tr0)) AS BIGINT) AS st FROM splits),
+windows AS (SELECT split_id, j, tr0, tr0 + f + j * st AS te0, CASE WHEN j = 3 THEN tr1 ELSE tr0 + f + (j + 1) * st END AS te1 FROM sizes, (SELECT unnest(range(0, 4)) AS j)),
+inside AS (SELECT w.split_id, w.j, c.k, regr_slope(c.y, c.x) AS s, regr_intercept(c.y, c.x) AS i FROM windows w JOIN candidates c ON c.rid >= w.tr0 AND c.rid < w.te0 GROUP BY ALL),
+errors AS (SELECT w.split_id, w.j, c.k, power(c.y - n.i - n.s * c.x, 2) AS e FROM windows w JOIN candidates c ON c.rid >= w.te0 AND c.rid < w.te1 JOIN inside n ON n.split_id = w.split_id AND n.j = w.j AND n.k = c.k),
+half AS (SELECT split_id, k FROM (SELECT split_id, k, row_number() OVER (PARTITION BY split_id ORDER BY avg(e), k) AS place FROM errors WHERE j >= 2 GROUP BY 1, 2) WHERE place <= 2),
+best AS (SELECT split_id, arg_min(k, e) AS k FROM (SELECT split_id, k, avg(e) AS e FROM errors JOIN half USING (split_id, k) GROUP BY 1, 2) GROUP BY 1),
+{_OUTSIDE} {_FITTED}""")
+def optimizer_halving(spark, d):
+    pipeline = [feat.AddWindowFeatures(("value", 2, "mean"), keep_original=False, name="windows"), mod.LinearRegression()]
+    tries = tuple({"windows¦column_window_fn": ("value", k, "mean")} for k in _WIDTHS)
+    block = tuning.Optimizer(pipeline, sp.ExpandingWindowSplitter(0.5, 0.125), tries, search=tuning.Halving(0.5))
+    return engine.train_backtest([block], events_series(spark, d), EXPANDING, ("value",)).select("split_id", "rid", F.round("predictions_LinearRegression", 6).alias("p"))
+
+
 @query("artifacts_selected", f"WITH {E}, {SPLITS} {TRAIN}, k AS (SELECT split_id, CASE WHEN coalesce(power(corr(value, y), 2), -1) >= coalesce(power(corr(cls, y), 2), -1) THEN 'value' ELSE 'cls' END AS best FROM train GROUP BY 1) SELECT s.split_id, s.tr1 - 1 AS rid, 'selected_features_k best' AS artifact, k.best FROM splits s JOIN k ON s.split_id = k.split_id")
 def artifacts_selected(spark, d):
     _, made = engine.train_backtest([sc.SelectKBest(1), mod.DummyRegressor(1)], events_series(spark, d), EXPANDING, ("value", "cls"), return_artifacts=True)
