@@ -376,6 +376,7 @@ class Sample(Composite):
             child.process(self.sampler.sample(frame), fitted, path + "s")
             run.states |= fitted.states
             run.models |= fitted.models
+            run.labels |= fitted.labels
         use = Run(run.states)
         use.models = run.models
         return child.process(frame, use, path + "s")

@@ -297,6 +297,7 @@ class FromMlTransformation(Block):
         models = run.models[path]
         if all(hasattr(m, "selectedFeatures") for m in models.values()):
             rows = [(s, [frame.features[i] for i in sorted(m.selectedFeatures)]) for s, m in models.items()]
+            run.labels[path] = f"selected_features_{label}"
             return keep_selected(frame, run.state(path, lambda: frame.df.sparkSession.createDataFrame(rows, "split_id long, selected array<string>")))
         found = [saved(m.transform(ready.where(F.col("split_id") == s)).select(*key, vector_to_array("_o").alias("_o"))) for s, m in models.items()]
         outputs = reduce(DataFrame.union, found)

@@ -135,6 +135,7 @@ class RemoveLowVariance(Block):
     def selected(self, frame, run, path) -> DataFrame:
         spread = lambda f: F.least(F.var_pop(c(f)), F.max(c(f)) - F.min(c(f))) if self.threshold == 0 else F.var_pop(c(f))
         names = lambda: F.array_compact(F.array(*[F.when(spread(f) > self.threshold, F.lit(f)) for f in frame.features]))
+        run.labels[path] = f"selected_features_{self.name}"
         return run.state(path, lambda: _per_split(frame, {"selected": names()}))
 
     def process(self, frame, run, path):
@@ -155,6 +156,7 @@ class SelectKBest(Block):
             return F.pow(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), 2)
 
         ranked = lambda: F.slice(F.sort_array(F.array(*[F.struct(F.coalesce(squared(f), F.lit(-1.0)).alias("score"), F.lit(-i).alias("place"), F.lit(f).alias("name")) for i, f in enumerate(frame.features)]), False), 1, self.k)
+        run.labels[path] = f"selected_features_{self.name}"
         return run.state(path, lambda: _per_split(frame, {"selected": F.transform(ranked(), lambda s: s["name"])}))
 
     def process(self, frame, run, path):

@@ -76,12 +76,14 @@ class Frame:
 class Run:
     """One pass over a pipeline: fits and keeps states, or uses kept ones.
 
-    states maps a block's place in the pipeline to a table of one row a split.
+    states maps a block's place in the pipeline to a table of one row a split; labels
+    names those that say something to a reader, wherever in the pipeline they are.
     """
 
     def __init__(self, states: dict[str, DataFrame] | None = None):
         self.fitting = states is None
         self.models: dict[str, dict] = {}
+        self.labels: dict[str, str] = {}
         self.states: dict[str, DataFrame] = {} if states is None else states
 
     def state(self, path: str, fit: Callable[[], DataFrame]) -> DataFrame:
@@ -200,14 +202,6 @@ def traverse(block: Block) -> Iterator[Block]:
         yield from traverse(child)
 
 
-def walk(block: Block, path: str) -> Iterator[tuple[str, Block]]:
-    """The blocks of a sequence and its steps, with the paths their states have."""
-    yield path, block
-    if isinstance(block, Sequence):
-        for i, step in enumerate(block.steps):
-            yield from walk(as_block(step), f"{path}/{i}")
-
-
 def reach_of(pipeline) -> int:
     """Rows that a pipeline's windows look back inside a window: steps on steps add up, of blocks side by side the longest counts."""
     block = as_block(pipeline)

@@ -20,7 +20,7 @@ from ..functions.rows import blocked, numbered
 from ..operators.events import EVENT_COLUMNS, create_events
 from ..sources.tables import saved
 from . import segments
-from .blocks import Block, Frame, Run, Sequence, as_block, bounded, cut, memory_of, reach_of, traverse, walk
+from .blocks import Block, Frame, Run, Sequence, as_block, bounded, cut, memory_of, reach_of, traverse
 from .splits import plan_splits, tag_last_train_rows, tag_test_rows, tag_train_rows
 
 
@@ -230,25 +230,31 @@ def backtest(trained: Trained) -> DataFrame:
 
 
 def artifacts(trained: Trained) -> DataFrame:
-    """What was made along the way, by row: (split_id, rid, artifact, value array<string>, event columns if there are events).
+    """What was made along the way, by row: (split_id, rid, artifact, value array<string>, numbers array<double>, event columns if there are events).
 
-    A feature selector's columns are at the last row of each split's train
-    window, as selected_features_name; other rows, of split null, hold events only.
+    A feature selector's columns are at the last row of each split's train window,
+    as selected_features_name, and so are a tree model's features, greatest gain first,
+    with their gains as numbers, as name_feature_importances: wherever in the pipeline
+    the block is. Other rows, of split null, hold events only.
     """
     last = [(s.split_id, s.train[-1].end - 1) for s in trained.splits]
     spark = trained.spine.sparkSession
     ends = F.broadcast(spark.createDataFrame(last, "split_id long, rid long"))  # a row a split
     found = []
-    for path, block in walk(as_block(trained.card.pipeline), "main"):
-        state = trained.run.states.get(path)
-        if state is not None and "selected" in state.columns:
-            found.append(state.join(ends, "split_id").select("split_id", "rid", F.lit(f"selected_features_{block.name}").alias("artifact"), F.col("selected").alias("value")))
-    kinds = "split_id long, rid long, artifact string, value array<string>"
+    for path, label in sorted(trained.run.labels.items()):
+        state = trained.run.states[path].join(ends, "split_id")
+        numbers = F.lit(None).cast("array<double>")
+        if "selected" in state.columns:
+            value = F.col("selected")
+        else:
+            value, numbers = F.col("_importances.feature"), F.col("_importances.gain")
+        found.append(state.select("split_id", "rid", F.lit(label).alias("artifact"), value.alias("value"), numbers.alias("numbers")))
+    kinds = "split_id long, rid long, artifact string, value array<string>, numbers array<double>"
     made = reduce(DataFrame.union, found) if found else spark.createDataFrame([], kinds)
     if "event_label" not in trained.spine.columns:
         return made
     events = trained.spine.where("event_label IS NOT NULL").select("rid", *[x for x in trained.spine.columns if x.startswith("event_")])
-    return events.join(made, "rid", "full_outer").select("split_id", "rid", "artifact", "value", *[x for x in events.columns if x != "rid"])
+    return events.join(made, "rid", "full_outer").select("split_id", "rid", "artifact", "value", "numbers", *[x for x in events.columns if x != "rid"])
 
 
 def in_sample(trained: Trained) -> DataFrame:

@@ -22,6 +22,7 @@ from .operators import events as ev
 from .operators import features as feat
 from .operators import models as mod
 from .operators import scaling as sc
+from .operators.trees import BoostedTrees
 from .plans import engine
 from .plans import splits as sp
 from .plans import tuning
@@ -409,6 +410,44 @@ def random_binary_classifier(spark, d):
     return out.groupBy("split_id").agg(F.count("*").alias("n"), F.round(F.avg(one), 1).alias("center"), consistent.alias("consistent"))
 
 
+# one tree of one cut: the greatest gain among all values of two features of few values
+_STUMP = """st AS (SELECT split_id, avg(y) AS base, count(*) AS n FROM train GROUP BY 1),
+long AS (SELECT t.split_id, f.f, CASE WHEN f.f = 0 THEN t.cls ELSE t.tens END AS x, t.y - s.base AS r FROM (SELECT *, least(floor(value / 20), 9) AS tens FROM train) t JOIN st s ON t.split_id = s.split_id, (VALUES (0), (1)) f(f)),
+sums AS (SELECT split_id, f, x, sum(r) AS r, count(*) AS n FROM long GROUP BY ALL),
+cuts AS (SELECT split_id, f, x, sum(r) OVER w AS rl, sum(n) OVER w AS nl, sum(r) OVER (PARTITION BY split_id, f) - sum(r) OVER w AS rr, sum(n) OVER (PARTITION BY split_id, f) - sum(n) OVER w AS nr FROM sums WINDOW w AS (PARTITION BY split_id, f ORDER BY x)),
+best AS (SELECT split_id, arg_max({'f': f, 'x': x, 'l': rl / nl, 'r': rr / nr, 'gain': (rl * rl / nl + rr * rr / nr) / 2}, (round((rl * rl / nl + rr * rr / nr) / 2, 9), -f, -x)) AS c FROM cuts WHERE nl >= 1 AND nr >= 1 GROUP BY 1)"""
+
+
+def _stump_series(spark, d):
+    return events_series(spark, d).withColumn("tens", F.least(F.floor(F.col("value") / 20), F.lit(9)).cast("double"))
+
+
+@query("boosted_stump", f"""WITH {E}, {SPLITS} {TRAIN}, {_STUMP}
+SELECT s.split_id, b.rid, round(st.base + CASE WHEN (CASE WHEN best.c.f = 0 THEN b.cls ELSE least(floor(b.value / 20), 9) END) <= best.c.x THEN best.c.l ELSE best.c.r END, 6) AS p
+FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN st ON st.split_id = s.split_id JOIN best ON best.split_id = s.split_id""")
+def boosted_stump(spark, d):
+    out = engine.train_backtest([BoostedTrees(1, 1, 1.0, l2=0.0)], _stump_series(spark, d), EXPANDING, ("cls", "tens"))
+    return out.select("split_id", "rid", F.round("predictions_BoostedTrees", 6).alias("p"))
+
+
+@query("boosted_importances", f"WITH {E}, {SPLITS} {TRAIN}, {_STUMP} SELECT s.split_id, s.tr1 - 1 AS rid, CASE WHEN best.c.f = 0 THEN 'cls' ELSE 'tens' END AS feature, round(best.c.gain, 4) AS gain FROM splits s JOIN best ON best.split_id = s.split_id")
+def boosted_importances(spark, d):
+    """Importances of a model inside an ensemble, as artifacts."""
+    block = comp.Ensemble(([BoostedTrees(1, 1, 1.0, l2=0.0)], [mod.DummyRegressor(50)]))
+    _, made = engine.train_backtest([block], _stump_series(spark, d), EXPANDING, ("cls", "tens"), return_artifacts=True)
+    return made.select("split_id", "rid", F.col("value")[0].alias("feature"), F.round(F.col("numbers")[0], 4).alias("gain"))
+
+
+# a perfect cut: whatever is under the threshold is 0, and the trees come closer by a fixed factor each
+@query("boosted_classifier", f"""WITH {E}, {SPLITS} {TRAIN}, st AS (SELECT split_id, count(*) FILTER (value > 60) AS one, count(*) FILTER (value <= 60) AS zero FROM train GROUP BY 1)
+SELECT s.split_id, b.rid, CAST(b.value > 60 AS BIGINT) AS p, CAST(b.value > 60 AS BIGINT) AS likely FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN st ON st.split_id = s.split_id WHERE st.one > 0 AND st.zero > 0""")
+def boosted_classifier(spark, d):
+    """Whether a value's floor is over 60, from the floor and a class of no use: trees must find the threshold, with balanced classes."""
+    df = events_series(spark, d).withColumns({"whole": F.ceil(F.col("value") / 20).cast("double"), "y": F.when(F.col("value") > 60, 1.0).otherwise(0.0)})
+    out = engine.train_backtest([BoostedTrees(5, 2, objective="classification", class_weights="balanced")], df, EXPANDING, ("cls", "whole"))
+    return out.select("split_id", "rid", F.col("predictions_BoostedTrees").cast("long").alias("p"), (F.col("probabilities_BoostedTrees_1") > 0.8).cast("long").alias("likely"))
+
+
 @query("gbt", f"WITH {D}, {splits_sql(0.6, 0.3)} {TRAIN}, st AS (SELECT split_id, min(y) AS lo, max(y) AS hi FROM train GROUP BY 1) SELECT s.split_id, count(*) AS n, TRUE AS in_range FROM b JOIN splits s ON b.rid >= s.te0 AND b.rid < s.te1 JOIN st ON s.split_id = st.split_id GROUP BY 1")
 def gbt(spark, d):
     """Boosted trees predict within a margin around their train targets (SQL states the rows and that this holds)."""
