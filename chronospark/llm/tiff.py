@@ -41,10 +41,12 @@ class Page:
     pixels: np.ndarray  # height x width x samples
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(data):
+def unpack_bits(data: bytes, most: int) -> bytes:
+    """The bytes that data stands for; decoding stops once there are over most. So do the other decoders."""
+    out, at, size = [], 0, 0
+    while at < len(data) and size <= most:
         n = data[at]
+        size += n + 1 if n < 128 else 257 - n if n > 128 else 0
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
             at += 2 + n
@@ -80,10 +82,20 @@ def pack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def inflate(data: bytes, most: int) -> bytes:
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, most + 1)
+    if len(out) <= most and not stream.eof:
+        raise ValueError("a deflate stream ends early")
+    return out
+
+
+def lzw_decode(data: bytes, most: int) -> bytes:
     table = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, before, width, held, bits = [], None, 9, 0, 0
+    out, total, before, width, held, bits = [], 0, None, 9, 0, 0
     for byte in data:
+        if total > most:
+            break
         held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
         if bits < width:
             continue
@@ -105,6 +117,7 @@ def lzw_decode(data: bytes) -> bytes:
             found = table[code] if code < len(table) else before + before[:1]
             table.append(before + found[:1])
         out.append(found)
+        total += len(found)
         before = found
         size = len(table) + 1  # codes grow one entry early
         width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
@@ -149,7 +162,11 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-_UNPACK = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, DEFLATE_OLD: zlib.decompress, PACKBITS: unpack_bits}
+_UNPACK = {NONE: lambda data, most: data, LZW: lzw_decode, DEFLATE: inflate, DEFLATE_OLD: inflate, PACKBITS: unpack_bits}
+#: Bytes of a page's samples, at most; larger pages are errors.
+LARGEST = 1 << 29
+#: Bytes of pages that one batch of rows holds before it is passed on.
+HELD = 1 << 25
 #: How many bytes one compressed byte can stand for at most.
 _GROWTH = {NONE: 1, LZW: 2731, DEFLATE: 1032, DEFLATE_OLD: 1032, PACKBITS: 64}
 _PACK = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda data: zlib.compress(data, 1), PACKBITS: pack_bits}
@@ -235,14 +252,21 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
         raise ValueError("a page or its parts have no size")
     if -(-height // step[1]) * -(-width // step[0]) > min(len(offsets), len(counts)):
         raise ValueError("parts of the page are missing")
+    if width * height * samples * kind.itemsize > LARGEST or step[0] * step[1] * samples * kind.itemsize > LARGEST:
+        raise ValueError("a page is too large")
     if width * height * samples * kind.itemsize > _GROWTH[compression] * sum(counts) or sum(counts) > len(data) * len(counts):
         raise ValueError("the data can't hold so many pixels")
-    pixels, part = np.zeros((height, width, samples), kind.newbyteorder("=")), 0
+    pixels, part = None, 0
     for y in range(0, height, max(1, step[1])):
         for x in range(0, width, max(1, step[0])):
             rows = step[1] if tiled else min(step[1], height - y)
-            raw = _UNPACK[compression](data[offsets[part] : offsets[part] + counts[part]])
-            block = np.frombuffer(raw, kind, rows * step[0] * samples).reshape(rows, step[0], samples)
+            wanted = rows * step[0] * samples * kind.itemsize
+            raw = _UNPACK[compression](data[offsets[part] : offsets[part] + counts[part]], wanted)
+            if len(raw) != wanted:
+                raise ValueError("a part holds another number of bytes than its pixels take")
+            if pixels is None:  # not before a part was decoded
+                pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
+            block = np.frombuffer(raw, kind).reshape(rows, step[0], samples)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=pixels.dtype)
             pixels[y : y + rows, x : x + step[0]] = block[: height - y, : width - x]
@@ -266,6 +290,8 @@ def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page of each row's TIFF: media's columns, then page, width, height, samples, bits, compression, predictor, tiled, pixels, feature, error.
 
     pixels are the page's samples in reading order, 16-bit ones little-endian.
+    A part that decodes to more or fewer bytes than its pixels take, and a page of more
+    than LARGEST bytes, are errors; decoding stops as soon as a part is too long.
     Null media, and media that can't be read to the end, give one row whose page
     and pixels are null and whose error says why, after the pages read so far.
     Each row stands alone, so repeated rows and null ids stay as they are.
@@ -276,25 +302,37 @@ def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     if clash:
         raise ValueError(f"rename first: {sorted(clash)}")
 
+    kinds = (pa.int32(),) * 5 + (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string(), pa.string())
+
+    def values(data: bytes | None) -> Iterator[tuple]:
+        try:
+            if data is None:
+                raise ValueError("null")
+            for n, p in enumerate(read(data)):
+                yield n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), feature(p), None
+        except (ValueError, KeyError, IndexError, MemoryError, OverflowError, struct.error, zlib.error) as e:
+            yield *[None] * 10, str(e)
+
     def run(batches):
         for big in batches:
             for batch in slices(big, 64):
-                rows, columns = [], [[] for _ in range(11)]
+                rows, made, held = [], [], 0
+
+                def put(rows, made, batch=batch):
+                    kept = batch.take(pa.array(rows, pa.int64()))
+                    columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
+                    return pa.RecordBatch.from_arrays([*kept.columns, *columns], [*batch.schema.names, *(x.split(" ")[0] for x in new.split(", "))])
+
                 for i, data in enumerate(batch.column(media_col).to_pylist()):
-                    try:
-                        if data is None:
-                            raise ValueError("null")
-                        for n, p in enumerate(read(data)):
-                            values = (n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), feature(p), None)
-                            rows.append(i)
-                            [c.append(v) for c, v in zip(columns, values, strict=True)]
-                    except (ValueError, KeyError, IndexError, MemoryError, OverflowError, struct.error, zlib.error) as e:
+                    for page in values(data):
                         rows.append(i)
-                        [c.append(v) for c, v in zip(columns, (*[None] * 10, str(e)), strict=True)]
-                kinds = (pa.int32(),) * 5 + (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string(), pa.string())
-                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                kept = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*batch.schema.names, *(x.split(" ")[0] for x in new.split(", "))])
+                        made.append(page)
+                        held += len(page[8] or b"")
+                        if held > HELD:
+                            yield put(rows, made)
+                            rows, made, held = [], [], 0
+                if rows:
+                    yield put(rows, made)
 
     return media.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + ", " + new)
 

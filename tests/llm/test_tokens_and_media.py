@@ -171,7 +171,7 @@ def test_tiff_round_trip(compression, predictor, tile, kind):
 
 def test_lzw_over_many_codes():
     data = np.random.default_rng(5).integers(0, 256, 60_000, np.uint8).tobytes()
-    assert tiff.lzw_decode(tiff.lzw_encode(data)) == data and tiff.lzw_decode(tiff.lzw_encode(b"")) == b""
+    assert tiff.lzw_decode(tiff.lzw_encode(data), len(data)) == data and tiff.lzw_decode(tiff.lzw_encode(b""), 0) == b""
 
 
 def test_big_endian_page():
@@ -228,4 +228,35 @@ def test_lzw_refuses_codes_without_entry():
     bits = "".join(f"{c:09b}" for c in (256, 65, 400, 257))
     data = int(bits.ljust(40, "0"), 2).to_bytes(5, "big")
     with pytest.raises(ValueError):
-        tiff.lzw_decode(data)
+        tiff.lzw_decode(data, 1 << 20)
+
+
+@pytest.mark.parametrize("compression", [tiff.DEFLATE, tiff.LZW, tiff.PACKBITS, tiff.NONE])
+def test_parts_that_are_too_long_or_short_are_errors(compression):
+    """A strip that stands for far more than its page is stopped early; so is one that ends early."""
+    import tracemalloc
+
+    page = np.zeros((1, 1), np.uint8)
+    long = np.zeros((1, 1 if compression == tiff.NONE else 3_000_000 if compression != tiff.DEFLATE else 100_000_000), np.uint8)
+    bomb = tiff.write([long if long.size > 1 else np.zeros((1, 5000), np.uint8)], compression, 1)
+    at = bomb.index(struct.pack("<HHI", tiff.WIDTH, 4, 1)) + 8
+    bomb = bomb[:at] + struct.pack("<I", 1) + bomb[at + 4 :]
+    tracemalloc.start()
+    with pytest.raises(ValueError):
+        list(tiff.read(bomb))
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000 + 2 * len(bomb)
+    tracemalloc.stop()
+    short = tiff.write([page], compression, 1)
+    at = short.index(struct.pack("<HHI", tiff.HEIGHT, 4, 1)) + 8
+    with pytest.raises(ValueError):
+        list(tiff.read(short[:at] + struct.pack("<I", 2) + short[at + 4 :]))
+    assert next(tiff.read(tiff.write([page], compression, 1))).pixels.tolist() == [[[0]]]
+
+
+def test_large_pages_leave_in_batches_of_their_own(spark, monkeypatch):
+    pages = [np.full((40, 50), i, np.uint8) for i in range(5)]
+    df = spark.createDataFrame([(1, tiff.write(pages)), (2, b"no"), (3, tiff.write(pages[:1]))], "id long, media binary").coalesce(1)
+    monkeypatch.setattr(tiff, "HELD", 3000)
+    got = tiff.tiff_pages(df).orderBy("id", "page").collect()
+    assert [(r["id"], r["page"]) for r in got] == [(1, k) for k in range(5)] + [(2, None), (3, 0)]
+    assert all(bytes(r["pixels"]) == pages[r["page"]].tobytes() for r in got if r["page"] is not None)
