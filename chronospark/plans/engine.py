@@ -287,6 +287,22 @@ def infer(trained: Trained, df: DataFrame, features=()) -> DataFrame:
     return out.df.where("NOT _halo").select("rid", "ts", *[c(f) for f in out.features])
 
 
+def update(trained: Trained, df: DataFrame, features=()) -> Trained:
+    """The last split's pipeline after learning from the rows of df (rid, y, features) that follow its train window.
+
+    What it has learnt is kept as moments, which are saved and loaded with the
+    states, so old rows aren't read again: df needs the new rows and, before them,
+    as many as the pipeline looks back. Rows that it has learnt from are passed
+    over. ValueError for pipelines that don't learn from moments, and with events.
+    """
+    if segments.MOMENTS not in trained.run.states or trained.card.labeler is not None or "event_label" in trained.spine.columns:
+        raise ValueError("only pipelines that learn from moments of rows can be updated")
+    df, own = _series(df, features)
+    if trained.card.preprocessing is not None:
+        df, own = preprocess(df, own, trained.card.preprocessing, Run(trained.preprocessing.states))
+    return replace(trained, run=segments.updated(trained.card.pipeline, trained.run, trained.splits[-1].split_id, df.withColumn("raw_y", F.col("y")), own))
+
+
 METRICS = ("n", "rmse", "mse", "mae", "mape", "smape", "r2", "accuracy", "residual_mean", "residual_sd")
 
 

@@ -317,6 +317,43 @@ def _by_split(splits: list[Split], borders: list[int], found: dict[int, Moments]
     return out
 
 
+#: Where a run keeps the moments that its states follow from.
+MOMENTS = "_moments"
+_KEPT = "split_id long, request int, upto long, n array<double>, mean array<double>, spread array<array<double>>, low array<double>, high array<double>"
+
+
+def _named(block: Block, rows: DataFrame, features: tuple[str, ...], place: str, inside: Column) -> tuple[Fit, dict[str, Col]]:
+    """The pipeline followed by names over the rows inside."""
+    dealt = blocked(rows.where(inside), reach_of(block), 0, place=place).withColumns({"split_id": F.lit(0).cast("long"), "train": ~F.col("_halo"), "halo": F.col("_halo")})
+    frame, given = Frame(dealt, features, ("_block", "_halo"), ("_block",)).hide("base")
+    fit = Fit(frame, "weight" in rows.columns)
+    columns = {n: Col(weights={h: 1.0}, needs=frozenset({h})) for n, h in given.items()}
+    follow(block, columns, "main", fit, 0)
+    return fit, columns
+
+
+def _of_stretches(fit: Fit, stretches: list[tuple[int, int]]) -> dict[int, list[Moments]]:
+    """All moments asked for, of each stretch that has rows."""
+    weight = F.coalesce(F.col("weight"), F.lit(1.0)) if fit.weighted else F.lit(1.0)
+    own = located(fit.frame.df.where("NOT _halo"), [(a, b, i) for i, (a, b) in enumerate(stretches)], "_stretch long")
+    seen = own.groupBy("_stretch").agg(F.count("*").alias("rows"), *_aggregates(list(fit.requests), weight)).collect()
+    return {r["_stretch"]: [_moments(r, q, len(bases)) for q, (bases, _, _) in enumerate(fit.requests)] for r in seen}
+
+
+def _with_numbers(block: Block, columns: dict[str, Col], fit: Fit, known: dict[int, list[Moments]], upto: dict[int, int], spark) -> Run:
+    """A run with the states that each split's moments give, and the moments."""
+    number = {r: q for q, r in enumerate(fit.requests)}
+    by_number = Fit(None, fit.weighted)
+    by_number.made = fit.made
+    kept = []
+    for split, moments in known.items():
+        by_number.moments = lambda r, moments=moments: moments[number[r]]
+        follow(block, columns, "main", by_number, split)
+        kept += [(split, q, upto[split], *[x.tolist() for x in (m.n, m.mean, m.spread, m.low, m.high)]) for q, m in enumerate(moments)]
+    states = {path: spark.createDataFrame(by_number.states.get(path, []), f"split_id long, {schema}") for path, schema in fit.schemas.items()}
+    return Run(states | {MOMENTS: spark.createDataFrame(kept, _KEPT)})
+
+
 def fitted(pipeline, rows: DataFrame, features: tuple[str, ...], splits: list[Split], place: str = "rid") -> Run | None:
     """A run with every learner's state, from one pass over the rows; None if the pipeline can't be followed.
 
@@ -330,32 +367,35 @@ def fitted(pipeline, rows: DataFrame, features: tuple[str, ...], splits: list[Sp
         return None
     splits = [replace(s, train=tuple(b for b in s.train if len(b))) for s in splits]
     borders = sorted({x for s in splits for b in s.train for x in (b.start, b.end)})
-    inside = rows.where((F.col("rid") >= borders[0]) & (F.col("rid") < borders[-1]))
-    dealt = blocked(inside, reach_of(block), 0, place=place).withColumns({"split_id": F.lit(0).cast("long"), "train": ~F.col("_halo"), "halo": F.col("_halo")})
-    frame, given = Frame(dealt, features, ("_block", "_halo"), ("_block",)).hide("base")
-    weighted = "weight" in rows.columns
-    fit = Fit(frame, weighted)
-    columns = {n: Col(weights={h: 1.0}, needs=frozenset({h})) for n, h in given.items()}
     try:
-        follow(block, columns, "main", fit, 0)
+        fit, columns = _named(block, rows, features, place, (F.col("rid") >= borders[0]) & (F.col("rid") < borders[-1]))
+        found = _of_stretches(fit, list(zip(borders, borders[1:])))
+        by_request = [_by_split(splits, borders, {i: moments[q] for i, moments in found.items()}) for q in range(len(fit.requests))]
+        known = {s.split_id: [of[s.split_id] for of in by_request] for s in splits if s.train and all(of[s.split_id] is not None for of in by_request)}
+        return _with_numbers(block, columns, fit, known, {s.split_id: max(b.end for b in s.train) for s in splits if s.train}, rows.sparkSession)
     except Unfollowed:
         return None
-    requests = list(fit.requests)
-    weight = F.coalesce(F.col("weight"), F.lit(1.0)) if weighted else F.lit(1.0)
-    own = located(fit.frame.df.where("NOT _halo"), [(a, b, i) for i, (a, b) in enumerate(zip(borders, borders[1:]))], "_stretch long")
-    seen = own.groupBy("_stretch").agg(F.count("*").alias("rows"), *_aggregates(requests, weight)).collect()
-    parts = [_by_split(splits, borders, {r["_stretch"]: _moments(r, q, len(bases)) for r in seen}) for q, (bases, _, _) in enumerate(requests)]
-    number = {r: q for q, r in enumerate(requests)}
-    by_number = Fit(None, weighted)
-    by_number.made = fit.made
-    for s in splits:
-        own_moments = lambda r, s=s: parts[number[r]][s.split_id]
-        if all(own_moments(r) is None for r in requests):
-            continue
-        by_number.moments = own_moments
-        try:
-            follow(block, columns, "main", by_number, s.split_id)
-        except Unfollowed:  # a split without known values of a column
-            return None
-    spark = rows.sparkSession
-    return Run({path: spark.createDataFrame(by_number.states.get(path, []), f"split_id long, {schema}") for path, schema in fit.schemas.items()})
+
+
+def updated(pipeline, run: Run, split: int, rows: DataFrame, features: tuple[str, ...]) -> Run:
+    """The run of one split after learning from the rows that follow those it has learnt; before them, rows as context.
+
+    Only the new rows are read to learn from: their moments are merged with those kept.
+    """
+    kept = run.states[MOMENTS].where(F.col("split_id") == split).orderBy("request").collect()  # a row a request
+    if not kept:
+        raise ValueError("the split has no moments to go on from")
+    block, upto = as_block(pipeline), kept[0]["upto"]
+    end = rows.agg(F.max("rid")).first()[0]
+    if end is None or end < upto:
+        return Run({k: v.where(F.col("split_id") == split) for k, v in run.states.items()})
+    fit, columns = _named(block, rows, features, "rid", F.col("rid") >= upto - reach_of(block))
+    before = [Moments(*[np.array(r[x], float) for x in ("n", "mean", "spread", "low", "high")]) for r in kept]
+    more = _of_stretches(fit, [(upto, end + 1)]).get(0)
+    moments = [_shaped(a, b).merged(b) for a, b in zip(before, more, strict=True)] if more else before
+    return _with_numbers(block, columns, fit, {split: moments}, {split: end + 1}, rows.sparkSession)
+
+
+def _shaped(a: Moments, b: Moments) -> Moments:
+    """a with b's shapes: of no columns, a table keeps no rows of spreads."""
+    return Moments(a.n.reshape(b.n.shape), a.mean.reshape(b.mean.shape), a.spread.reshape(b.spread.shape), a.low.reshape(b.low.shape), a.high.reshape(b.high.shape))

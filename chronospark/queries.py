@@ -649,6 +649,20 @@ _FITTED = "SELECT s.split_id, b.rid, round(o.i + o.s * c.x, 6) AS p FROM b JOIN
 _OUTSIDE = "outside AS (SELECT s.split_id, regr_slope(c.y, c.x) AS s, regr_intercept(c.y, c.x) AS i FROM splits s JOIN best USING (split_id) JOIN candidates c ON c.k = best.k AND c.rid >= s.tr0 AND c.rid < s.tr1 GROUP BY 1)"
 
 
+@query("incremental_fit", f"""WITH {E}, x AS (SELECT rid, y, lag(value, 2) OVER (ORDER BY rid) AS x FROM b), f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM x)
+SELECT rid, round(i + s * x, 6) AS p FROM x, f""")
+def incremental_fit(spark, d):
+    """Fitted on six tenths of the rows, then updated with two tenths at a time; old rows are only read as context."""
+    df = events_series(spark, d)
+    n = df.count()
+    pipeline = [feat.AddLagsX(("value", 2), keep_original=False), sc.StandardScaler(), mod.LinearRegression()]
+    k = n * 6 // 10
+    trained = engine.train(pipeline, df.where(F.col("rid") < k), sp.WholeWindowSplitter(1), ("value",), n=k, need_in_sample=False)
+    for end in (n * 8 // 10, n):
+        trained, k = engine.update(trained, df.where((F.col("rid") >= k - 2) & (F.col("rid") < end)), ("value",)), end
+    return engine.infer(trained, df, ("value",)).select("rid", F.round("predictions_LinearRegression", 6).alias("p"))
+
+
 @query("optimizer_lags", f"""WITH {E}, {SPLITS}, {_INNER}, {_CANDIDATES({k: f"lag(value, {k}) OVER (ORDER BY rid)" for k in _LAGS})},
 inside AS (SELECT f.split_id, c.k, regr_slope(c.y, c.x) AS s, regr_intercept(c.y, c.x) AS i FROM first f JOIN candidates c ON c.rid < f.at GROUP BY ALL),
 best AS (SELECT split_id, arg_min(k, e) AS k FROM (SELECT f.split_id, c.k, avg(power(c.y - i - s * c.x, 2)) AS e FROM first f JOIN candidates c ON c.rid >= f.at AND c.rid < f.tr1 JOIN inside n ON n.split_id = f.split_id AND n.k = c.k GROUP BY ALL) GROUP BY 1),

@@ -142,3 +142,27 @@ def test_reach_adds_up_in_sequences_only():
     side = comp.Concat(([feat.AddLagsX(("x", 3))], [feat.AddLagsX(("x", 9)), feat.AddWindowFeatures(("x", 4, "mean"))]))
     assert reach_of(side) == 13 and reach_of([side, feat.AddLagsX(("x", 2))]) == 15
     assert as_block([Identity()]).learns is False and Sequence((LR(),)).learns is True
+
+
+@pytest.mark.parametrize("name", ["windows", "two scalers", "ensemble", "residuals", "target scaled", "known rows", "columns"])
+def test_a_state_that_is_updated_equals_one_fitted_on_all(spark, rows, name, tmp_path):
+    from chronospark.plans.splits import WholeWindowSplitter
+
+    pipeline, features = PIPELINES[name], ("x", "hole", "flat")
+    back = reach_of(pipeline)
+    whole = engine.train(pipeline, rows, WholeWindowSplitter(1), features, n=1000, need_in_sample=False)
+    part = engine.train(pipeline, rows.where("rid < 500"), WholeWindowSplitter(1), features, n=500, need_in_sample=False)
+    part = engine.update(part, rows.where(f"rid >= {500 - back} AND rid < 730"), features)
+    engine.save_states(part, str(tmp_path))
+    part = engine.with_states(part, engine.load_states(spark, str(tmp_path), len(part.run.states)))
+    part = engine.update(part, rows.where(f"rid >= {730 - back}"), features)
+    again = engine.update(part, rows.where("rid > 900"), features)  # nothing new
+    want = engine.infer(whole, rows, features).withColumn("split_id", F.lit(0))
+    same(engine.infer(part, rows, features).withColumn("split_id", F.lit(0)), want)
+    same(engine.infer(again, rows, features).withColumn("split_id", F.lit(0)), want)
+
+
+def test_what_cannot_be_updated(rows):
+    trained = engine.train([sc.SelectKBest(1)], rows, EXPANDING, ("x", "flat"), need_in_sample=False)
+    with pytest.raises(ValueError):
+        engine.update(trained, rows, ("x", "flat"))
