@@ -46,9 +46,9 @@ class AddLagsX(Block):
         return frame.add(_cast(kept | made, self.output_dtype), [])
 
 
-#: Aggregates over all rows so far that are put together from blocks of rows, and what they need of each block.
-SO_FAR = {"sum": ("sum",), "mean": ("sum", "n"), "min": ("min",), "max": ("max",)}
-_TOTALS = {"sum": (F.sum, ADD), "n": (F.count, ADD), "min": (F.min, LOW), "max": (F.max, TOP)}
+#: Aggregates over all rows so far that are put together from blocks of rows, and what they need of each block; p1 to p4 are sums of powers.
+SO_FAR = {"sum": ("sum",), "mean": ("sum", "n"), "min": ("min",), "max": ("max",), "var": ("n", "p1", "p2"), "std": ("n", "p1", "p2"), "sem": ("n", "p1", "p2"), "skew": ("n", "p1", "p2", "p3"), "kurt": ("n", "p1", "p2", "p3", "p4")}
+_TOTALS = {"sum": (F.sum, ADD), "n": (F.count, ADD), "min": (F.min, LOW), "max": (F.max, TOP)} | {f"p{k}": (F.sum, ADD) for k in (1, 2, 3, 4)}
 
 
 def with_earlier(frame: Frame, totals: dict[str, tuple[Column, tuple]]) -> Frame:
@@ -59,6 +59,45 @@ def with_earlier(frame: Frame, totals: dict[str, tuple[Column, tuple]]) -> Frame
     return frame.on(frame.df.join(earlier, by, "left"))
 
 
+def with_shifts(frame: Frame, shifts: dict[str, Column]) -> Frame:
+    """The frame with a number near each column's values, by which powers of them lose no digits: the mean in the first block of a group that knows any.
+
+    Nothing behind a row's block has a part in it, but in the first block's rows.
+    """
+    groups = [k for k in frame.by if k != "_block"]
+    means = frame.df.where("NOT _halo").groupBy(*frame.by).agg(*[F.avg(x).alias(k) for k, x in shifts.items()])
+    found = means.groupBy(*groups).agg(*[F.min_by(k, F.when(F.col(k).isNotNull(), F.col("_block"))).alias(k) for k in shifts])
+    # a row a split, or one
+    return frame.on(frame.df.join(F.broadcast(found), groups, "left") if groups else frame.df.crossJoin(F.broadcast(found)))
+
+
+def _so_far(own: Column, earlier: Column, fn, join, every) -> Column:
+    """An aggregate over all rows so far, of a block's rows up to this one and of the blocks before."""
+    own = fn(F.when(~F.col("_halo"), own)).over(every)
+    return F.when(earlier.isNull(), own).when(own.isNull(), earlier).otherwise(join(earlier, own))
+
+
+def _squares(n: Column, p1: Column, p2: Column) -> Column:
+    """Squared deviations from the mean, from sums of powers; what is under the digits of these is 0."""
+    m2 = p2 - p1 * p1 / n
+    return F.when(m2 > 1e-13 * p2, m2).otherwise(0.0)
+
+
+def moment(fn: str, n: Column, p: list[Column]) -> Column:
+    """var, std, sem, skew or kurt from a count and sums of powers about any number, in pandas' meaning."""
+    m2, d = _squares(n, p[0], p[1]), p[0] / n
+    less = lambda k: F.nullif(n - k, F.lit(0))
+    var = F.when(n > 1, m2 / less(1))
+    if fn in ("var", "std", "sem"):
+        return {"var": var, "std": F.sqrt(var), "sem": F.sqrt(var) / F.sqrt(less(1))}[fn]
+    spread = F.nullif(m2 / n, F.lit(0.0))
+    if fn == "skew":
+        third = (p[2] - 3 * d * p[1] + 2 * n * d * d * d) / n
+        return F.when(n >= 3, third / F.pow(spread, 1.5) * F.sqrt(n * (n - 1)) / less(2))
+    fourth = (p[3] - 4 * d * p[2] + 6 * d * d * p[1] - 3 * n * F.pow(d, 4)) / n
+    return F.when(n >= 4, ((n + 1) * (fourth / (spread * spread) - 3) + 6) * (n - 1) / (less(2) * less(3)))
+
+
 @dataclass(frozen=True)
 class AddWindowFeatures(Block):
     """Aggregates over the last rows, as column~fn_window, or over all so far (window None), as column~fn_expanding."""
@@ -92,24 +131,29 @@ class AddWindowFeatures(Block):
         every = frame.window.rowsBetween(Window.unboundedPreceding, 0)
         so_far = sorted({(x, part) for patterns, w, fn in self._triples() if w is None and not self.unbounded for x in chosen(frame, patterns) for part in SO_FAR[fn]})
         names = {k: f"_t_{i}" for i, k in enumerate(so_far)}
+        shift = {x: f"_s_{i}" for i, x in enumerate(dict.fromkeys(x for x, part in so_far if part.startswith("p")))}
+        value = lambda x, part: F.pow(c(x) - F.col(shift[x]), int(part[1])) if part.startswith("p") else c(x)
+        if shift:
+            frame = with_shifts(frame, {k: c(x) for x, k in shift.items()})
         if names:
-            frame = with_earlier(frame, {names[x, part]: (_TOTALS[part][0](c(x)), _TOTALS[part][1]) for x, part in so_far})
+            frame = with_earlier(frame, {names[x, part]: (_TOTALS[part][0](value(x, part)), _TOTALS[part][1]) for x, part in so_far})
 
-        def total(x: str, part: str) -> Column:
-            fn, (_, join) = _TOTALS[part]
-            own, earlier = fn(F.when(~F.col("_halo"), c(x))).over(every), F.col(names[x, part])
-            return F.when(earlier.isNull(), own).when(own.isNull(), earlier).otherwise(join(earlier, own))
+        # columns of their own, as every mention of a window would be a window
+        frame = frame.set(**{f"_u{k}": _so_far(value(x, part), F.col(k), _TOTALS[part][0], _TOTALS[part][1][1], every) for (x, part), k in names.items()}) if names else frame
+        total = lambda x, part: F.col(f"_u{names[x, part]}")
 
         for patterns, window, fn in self._triples():
             label = fn if isinstance(fn, str) else "transformed" if fn.__name__ == "<lambda>" else fn.__name__
             for x in chosen(frame, patterns):
                 if window is not None or self.unbounded:
-                    value = aggregate(fn, c(x), every if window is None else frame.window.rowsBetween(1 - window, 0))
+                    made_of = aggregate(fn, c(x), every if window is None else frame.window.rowsBetween(1 - window, 0))
                 elif fn == "mean":
-                    value = total(x, "sum") / F.nullif(total(x, "n"), F.lit(0))
+                    made_of = total(x, "sum") / F.nullif(total(x, "n"), F.lit(0))
+                elif x in shift and fn not in ("sum", "min", "max"):
+                    made_of = moment(fn, F.nullif(total(x, "n"), F.lit(0)), [total(x, part) for part in SO_FAR[fn][1:]])
                 else:
-                    value = total(x, fn)
-                made[f"{x}~{label}_{'expanding' if window is None else window}"] = value
+                    made_of = total(x, fn)
+                made[f"{x}~{label}_{'expanding' if window is None else window}"] = made_of
         if self.fillna:
             made = {k: F.coalesce(v, F.lit(0.0)) for k, v in made.items()}
         return frame.add(_cast(made, self.output_dtype), [])
@@ -117,25 +161,57 @@ class AddWindowFeatures(Block):
 
 @dataclass(frozen=True)
 class AddRollingCorrelation(Block):
+    """Correlations of two columns over the last rows, as a_b~rolling_corr_window, or over all so far (window None), as a_b~corr_expanding."""
+
     pairs: object  # (a, b) or a list of such
-    window: int = 10
+    window: int | None = 10
     fillna: bool = False
     keep_original: bool = True
     name: str = "rolling correlation"
     learns = False
+    windowed = True
 
     @property
     def memory(self):
-        return self.window
+        return self.window or 0
+
+    @property
+    def so_far(self) -> bool:
+        return self.window is None
 
     def process(self, frame, run, path):
-        rows = frame.window.rowsBetween(1 - self.window, 0)
         pairs = self.pairs if isinstance(self.pairs, list) else [self.pairs]
-        made = {f"{a}_{b}~rolling_corr_{self.window}": correlation(c(a), c(b), rows) for a, b in pairs}
+        if self.window is None:
+            frame, made = self._so_far(frame, pairs)
+        else:
+            rows = frame.window.rowsBetween(1 - self.window, 0)
+            made = {f"{a}_{b}~rolling_corr_{self.window}": correlation(c(a), c(b), rows) for a, b in pairs}
         if self.fillna:
             made = {k: F.coalesce(v, F.lit(0.0)) for k, v in made.items()}
         return frame.add(made, None if self.keep_original else [])
 
+    def _so_far(self, frame: Frame, pairs: list) -> tuple[Frame, dict[str, Column]]:
+        """From counts and sums of products of the blocks before and of the own one."""
+        every = frame.window.rowsBetween(Window.unboundedPreceding, 0)
+        known = {i: c(a).isNotNull() & c(b).isNotNull() for i, (a, b) in enumerate(pairs)}
+        frame = with_shifts(frame, {f"_s_{i}_{j}": F.when(known[i], c(x)) for i, pair in enumerate(pairs) for j, x in enumerate(pair)})
+        centred = lambda i, j: F.when(known[i], c(pairs[i][j]) - F.col(f"_s_{i}_{j}"))
+        sums = {}
+        for i in known:
+            x, y = centred(i, 0), centred(i, 1)
+            sums |= {(i, k): v for k, v in {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}.items()}
+        names = {k: f"_t_{k[0]}_{k[1]}" for k in sums} | {(i, "n"): f"_t_{i}_n" for i in known}
+        frame = with_earlier(frame, {names[k]: (F.count(sums[k[0], "x"]) if k[1] == "n" else F.sum(sums[k]), ADD) for k in names})
+        # columns of their own, as every mention of a window would be a window
+        frame = frame.set(**{f"_u{name}": _so_far(sums[i, "x" if k == "n" else k], F.col(name), F.count if k == "n" else F.sum, ADD[1], every) for (i, k), name in names.items()})
+        total = lambda i, k: F.col(f"_u{names[i, k]}")
+        made = {}
+        for i, (a, b) in enumerate(pairs):
+            n, x, y = F.nullif(total(i, "n"), F.lit(0)), total(i, "x"), total(i, "y")
+            spread = F.sqrt(_squares(n, x, total(i, "xx")) * _squares(n, y, total(i, "yy")))
+            made[f"{a}_{b}~corr_expanding"] = (total(i, "xy") - x * y / n) / F.nullif(spread, F.lit(0.0))
+        return frame, made
+
 
 def _capped(x: Column, before: Column) -> Column:
     # near zero a return says little: the difference then

@@ -62,12 +62,14 @@ class Moments:
 
 
 #: Blocks whose value in a row depends on that row and so many rows before it alone.
-_LOCAL = (feat.AddLagsX, feat.AddRollingCorrelation, feat.TakeLog, feat.MultiplyBy, feat.AddFeatures, feat.AddDateTimeFeatures, feat.AddHolidayFeatures, cols.Choice, Identity)
+_LOCAL = (feat.AddLagsX, feat.TakeLog, feat.MultiplyBy, feat.AddFeatures, feat.AddDateTimeFeatures, feat.AddHolidayFeatures, cols.Choice, Identity)
 
 
 def is_local(block: Block) -> bool:
     if isinstance(block, feat.AddWindowFeatures):
         return all(w is not None for _, w, _ in block._triples())
+    if isinstance(block, feat.AddRollingCorrelation):
+        return block.window is not None
     return isinstance(block, _LOCAL) or isinstance(block, feat.Difference) and not block.fill_0_with_last
 
 
