@@ -47,8 +47,10 @@ TOP = (F.max, F.greatest)
 LOW = (F.min, F.least)
 
 
-def numbered(df: DataFrame, keep: Column, name: str) -> DataFrame:
-    """The rows of df that keep chooses, numbered from 0 in the order of rid; a block's rows meet, never all."""
+def numbered(df: DataFrame, keep: Column, name: str, by: list[str] | None = None) -> DataFrame:
+    """The rows of df that keep chooses, numbered from 0 in the order of rid (in each group of by); a block's rows meet, never all."""
+    by = by or []
     kept = df.where(keep).withColumn("_block", F.floor(F.col("rid") / BLOCK_ROWS))
-    counts = kept.groupBy("_block").agg(F.count("*").alias("_n"))
-    return kept.join(before_block(counts, {"_n": ADD}, []), "_block").withColumn(name, F.coalesce("_n", F.lit(0)) + F.row_number().over(block_window()) - 1).drop("_block", "_n")
+    counts = kept.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*by, "_block").orderBy("rid"))
+    return kept.join(before_block(counts, {"_n": ADD}, by), [*by, "_block"]).withColumn(name, F.coalesce("_n", F.lit(0)) + place - 1).drop("_block", "_n")

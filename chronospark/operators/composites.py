@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import PREDICTION, PROBABILITY, c, prediction
-from ..plans.blocks import Block, Frame, Run, as_block, chosen, reach_of, traverse
+from ..functions.rows import numbered
+from ..plans.blocks import Block, Frame, Run, as_block, chosen, cut, reach_of, traverse
 
 
 class Composite(Block):
@@ -284,8 +285,9 @@ class TransformTarget(Block):
 class SkipNA(Composite):
     """The pipeline sees only rows without a null feature; the others' results are null.
 
-    Where the pipeline looks back, known rows may lie any number of rows apart,
-    so a split's window isn't cut into blocks.
+    Where the pipeline looks back, known rows may lie any number of rows apart: they
+    are numbered in each split by counts of the blocks before, and dealt into blocks
+    by that number, with as many known rows as context as the pipeline needs.
     """
 
     pipeline: object
@@ -294,16 +296,19 @@ class SkipNA(Composite):
     def children(self):
         return [as_block(self.pipeline)]
 
-    @property
-    def unbounded(self):
-        return any(b.windowed for b in traverse(as_block(self.pipeline)))
-
     def process(self, frame, run, path):
         known = reduce(lambda a, b: a & b, [c(f).isNotNull() for f in frame.features])
-        out = as_block(self.pipeline).process(frame.on(frame.df.where(known)), run, path + "s")
-        key = [*frame.by, "rid"]
-        result = out.df.select(*key, *[c(f).alias(f"_r{i}") for i, f in enumerate(out.features)])
-        df = frame.df.join(result, key, "left")
+        child, key = as_block(self.pipeline), [k for k in frame.by if k != "_block"]
+        if not any(b.windowed for b in traverse(child)):
+            out, key = child.process(frame.on(frame.df.where(known)), run, path + "s"), list(frame.by)
+            rows = out.df
+        else:
+            own = numbered(frame.df.where("NOT _halo").drop("_halo"), known, "_skipped", [k for k in key if k != "_halo"])
+            dealt = cut(own, child, "_skipped").withColumns({"train": F.col("train") & ~F.col("_halo"), "halo": F.col("halo") | F.col("_halo")})
+            out = child.process(replace(frame, df=dealt, by=(*[k for k in key if k != "_halo"], "_block")), run, path + "s")
+            rows, key = out.df.where("NOT _halo"), [k for k in key if k != "_halo"]
+        result = rows.select(*key, "rid", *[c(f).alias(f"_r{i}") for i, f in enumerate(out.features)])
+        df = frame.df.join(result, [*key, "rid"], "left")
         return frame.on(df).add({f: F.col(f"_r{i}") for i, f in enumerate(out.features)}, [])
 
 

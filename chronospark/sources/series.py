@@ -56,12 +56,17 @@ def deduplicate(df: DataFrame, ts: str, tie: str, keep: str = "first") -> DataFr
 def resample_last(df: DataFrame, ts: str, tie: str, every: str) -> DataFrame:
     """A regular grid of every (an interval such as "1 hour"): each bucket's last known value of each column, null in empty buckets."""
     values = [x for x in df.columns if x not in (ts, tie)]
-    bucket = F.window(c(ts), every)["start"]
+    window = F.window(c(ts), every)
     order = F.struct(c(ts), c(tie))
     last = [F.max_by(c(x), F.when(c(x).isNotNull(), order)).alias(x) for x in values]
-    found = df.groupBy(bucket.alias("_bucket")).agg(*last)
-    ends = df.agg(F.min(bucket).alias("a"), F.max(bucket).alias("b"))
-    grid = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {every}"))).alias("_bucket"))
+    found = df.groupBy(window["start"].alias("_bucket")).agg(*last)
+    micros = lambda x: F.unix_micros(x.cast("timestamp"))
+    start = window["start"]
+    ends = df.agg(F.min(start).alias("_first"), F.min(micros(start)).alias("a"), F.max(micros(start)).alias("b"), F.min(micros(window["end"]) - micros(start)).alias("step"))
+    a, b, step = ends.select("a", "b", "step").first()  # one row
+    # the grid's places come from a range, dealt over tasks, not from one row's array
+    places = df.sparkSession.range(0 if a is None else (b - a) // step + 1)
+    grid = places.crossJoin(F.broadcast(ends)).select(F.expr("timestampadd(MICROSECOND, id * step, _first)").cast(df.schema[ts].dataType).alias("_bucket"))
     return grid.join(found, "_bucket", "left").select(F.col("_bucket").alias(ts), *[c(x) for x in values])
 
 

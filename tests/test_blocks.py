@@ -112,3 +112,27 @@ def test_multinomial_logistic_by_coefficients(spark):
     out = engine.train_backtest([models.FromMl(LogisticRegression(maxIter=50), name="m")], df, splits.ForwardSingleWindowSplitter(0.5), ("x",)).toPandas()
     assert (out["predictions_m"] == out["y"]).mean() > 0.95
     assert np.allclose(out[[f"probabilities_m_{k}" for k in range(3)]].sum(axis=1), 1)
+
+
+@pytest.mark.parametrize("rows_a_block", [16, 1 << 16])
+def test_known_rows_are_counted_across_blocks(spark, monkeypatch, rows_a_block):
+    """Windows of SkipNA count known rows, though unknown ones fill whole blocks between them."""
+    monkeypatch.setattr(rows, "BLOCK_ROWS", rows_a_block)
+    known = lambda i: i % 3 != 0 and not 60 <= i < 130
+    df = spark.createDataFrame([(i, float(i * i % 37) if known(i) else None, float(i)) for i in range(300)], "rid long, x double, y double")
+    block = composites.SkipNA([features.AddLagsX(("x", 2)), features.AddWindowFeatures(("x~lag_2", 4, "sum"), keep_original=False)])
+    splitter = splits.ForwardSingleWindowSplitter(0.1)
+    out = engine.train_backtest([block], df, splitter, ("x",)).orderBy("rid").toPandas()
+    x = pd.Series({i: float(i * i % 37) for i in range(300) if known(i)})
+    # context before the test window is counted in rows, known or not
+    x = x[x.index >= 30 - 4]
+    want = x.shift(2).rolling(4, min_periods=1).sum().reindex(range(30, 300))
+    assert (out["x~lag_2~sum_4"].isna().to_numpy() == want.isna().to_numpy()).all()
+    assert (out["x~lag_2~sum_4"] - want.to_numpy()).abs().max() < 1e-9
+
+
+def test_a_grid_of_an_empty_table_is_empty(spark):
+    from chronospark.sources import series
+
+    none = spark.createDataFrame([], "ts timestamp_ntz, tie long, v double")
+    assert series.resample_last(none, "ts", "tie", "1 hour").count() == 0
