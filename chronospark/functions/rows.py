@@ -54,3 +54,28 @@ def numbered(df: DataFrame, keep: Column, name: str, by: list[str] | None = None
     counts = kept.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
     place = F.row_number().over(Window.partitionBy(*by, "_block").orderBy("rid"))
     return kept.join(before_block(counts, {"_n": ADD}, by), [*by, "_block"]).withColumn(name, F.coalesce("_n", F.lit(0)) + place - 1).drop("_block", "_n")
+
+
+def over_windows(df: DataFrame, parts: dict[str, tuple[Column, Callable, tuple]], window: int, piece: int, by: list[str]) -> DataFrame:
+    """(by, rid, each part's aggregate over the last window rows of its group), for windows of more rows than a piece.
+
+    parts: {name: (value, aggregate, ADD, TOP or LOW)}. A window is the end of one piece,
+    whole pieces, and the beginning of the row's own piece: aggregates from each row to
+    both ends of its piece, and of runs of pieces, are enough, whatever the window. Two
+    equality joins put them together; no task has more than a piece's rows, or the totals of
+    a window's pieces.
+    """
+    placed = numbered(df.select(*by, "rid", *[x.alias(k) for k, (x, _, _) in parts.items()]), F.lit(True), "_q", by).withColumn("_g", F.floor(F.col("_q") / piece))
+    # to the end of a piece: in reverse order, as frames without an upper end are aggregated anew for each row
+    inside = lambda order: Window.partitionBy(*by, "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.select(*by, "rid", "_q", "_g", *[fn(k).over(inside(F.col("_q"))).alias(f"_a_{k}") for k, (_, fn, _) in parts.items()], *[fn(k).over(inside(F.col("_q").desc())).alias(f"_z_{k}") for k, (_, fn, _) in parts.items()])
+    whole, rest = divmod(window - 1, piece)
+    totals = blocked(placed.groupBy(*by, "_g").agg(*[fn(k).alias(k) for k, (_, fn, _) in parts.items()]), whole, 0, GATHERED, "_g")
+    run = Window.partitionBy(*by, "_block").orderBy("_g")
+    less = lambda merge, k: merge(k).over(run.rowsBetween(1 - whole, -1)) if whole > 1 else F.lit(None)
+    runs = totals.select(*by, "_g", "_halo", *[merge(k).over(run.rowsBetween(-whole, -1)).alias(f"_m_{k}") for k, (_, _, (merge, _)) in parts.items()], *[less(merge, k).alias(f"_l_{k}") for k, (_, _, (merge, _)) in parts.items()]).where("NOT _halo").drop("_halo")
+    first = ends.select(*by, (F.col("_q") + (window - 1)).alias("_q"), *[f"_z_{k}" for k in parts])
+    out = ends.drop(*[f"_z_{k}" for k in parts]).join(first, [*by, "_q"], "left").join(runs, [*by, "_g"], "left")
+    known = lambda join, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(join(a, b))
+    middle = lambda k: F.when(F.col("_q") % piece >= rest, F.col(f"_l_{k}")).otherwise(F.col(f"_m_{k}"))
+    return out.select(*by, "rid", *[known(join, known(join, F.col(f"_z_{k}"), middle(k)), F.col(f"_a_{k}")).alias(k) for k, (_, _, (_, join)) in parts.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import PREDICTION, PROBABILITY, c, prediction
 from ..functions.rows import numbered
-from ..plans.blocks import Block, Frame, Run, as_block, chosen, cut, reach_of, traverse
+from ..plans.blocks import Block, Frame, Run, as_block, chosen, cut, in_turn, reach_of, traverse
 
 
 class Composite(Block):
@@ -271,8 +271,7 @@ class TransformTarget(Block):
         frame, own = frame.hide("y" + tag, ["y"])
         frame, hidden = frame.hide("x" + tag)
         frame = frame.add({"_target": F.col("y")}, [])
-        for i, s in enumerate(steps):
-            frame = s.process(frame, run, f"{path}y{i}")
+        frame = in_turn(frame, steps, lambda i, s, frame: s.process(frame, run, f"{path}y{i}"))
         frame = frame.set(y=c(frame.features[0])).restore(hidden)
         frame = as_block(self.wrapped_pipeline).process(frame, run, path + "w").set(y=c(own["y"]))
         if self.invert_wrapped_output:
@@ -305,7 +304,7 @@ class SkipNA(Composite):
         else:
             own = numbered(frame.df.where("NOT _halo").drop("_halo"), known, "_skipped", [k for k in key if k != "_halo"])
             dealt = cut(own, child, "_skipped").withColumns({"train": F.col("train") & ~F.col("_halo"), "halo": F.col("halo") | F.col("_halo")})
-            out = child.process(replace(frame, df=dealt, by=(*[k for k in key if k != "_halo"], "_block")), run, path + "s")
+            out = child.process(replace(frame, df=dealt, by=(*[k for k in key if k != "_halo"], "_block"), ahead=0), run, path + "s")
             rows, key = out.df.where("NOT _halo"), [k for k in key if k != "_halo"]
         result = rows.select(*key, "rid", *[c(f).alias(f"_r{i}") for i, f in enumerate(out.features)])
         df = frame.df.join(result, [*key, "rid"], "left")

@@ -98,7 +98,9 @@ class WeightByMax:
         size, q, x = rows_of.BLOCK_ROWS, rows // rows_of.BLOCK_ROWS, F.abs(value)
         whole = block_window()
         dealt = df.withColumn("_block", F.floor(F.col("rid") / size))
-        dealt = dealt.withColumns({"_so_far": F.max(x).over(whole.rowsBetween(Window.unboundedPreceding, 0)), "_to_end": F.max(x).over(whole.rowsBetween(0, Window.unboundedFollowing))})
+        # in reverse order, as a frame without an upper end is aggregated anew for each row
+        back = Window.partitionBy("_block").orderBy(F.col("rid").desc())
+        dealt = dealt.withColumns({"_so_far": F.max(x).over(whole.rowsBetween(Window.unboundedPreceding, 0)), "_to_end": F.max(x).over(back.rowsBetween(Window.unboundedPreceding, 0))})
         order = Window.orderBy("_block")  # a row a block
         over = lambda k: F.max("_top").over(order.rangeBetween(-k, -1)) if k else F.lit(None).cast("double")
         middle = dealt.groupBy("_block").agg(F.max(x).alias("_top")).select("_block", over(q).alias("_more"), over(q - 1).alias("_less"))

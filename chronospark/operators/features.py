@@ -8,9 +8,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rows as rows_of
 from ..functions import scalar
 from ..functions.names import c
-from ..functions.rows import ADD, LOW, TOP, before_block
+from ..functions.rows import ADD, LOW, TOP, before_block, over_windows
 from ..functions.windows import aggregate, correlation, last_known
 from ..plans.blocks import Block, Frame, chosen
 
@@ -59,6 +60,16 @@ def with_earlier(frame: Frame, totals: dict[str, tuple[Column, tuple]]) -> Frame
     return frame.on(frame.df.join(earlier, by, "left"))
 
 
+def on_context(frame: Frame, columns: list[str]) -> Frame:
+    """The frame with columns of all rows so far right in context rows too, as later windows read them there: from the rows' own blocks."""
+    if not frame.ahead:
+        return frame
+    keys = [*[k for k in frame.by if k != "_block"], "rid"]
+    own = frame.df.where("NOT _halo")
+    context = frame.df.where("_halo").drop(*columns).join(own.select(*keys, *[c(x) for x in columns]), keys, "left")
+    return frame.on(own.unionByName(context))
+
+
 def with_shifts(frame: Frame, shifts: dict[str, Column]) -> Frame:
     """The frame with a number near each column's values, by which powers of them lose no digits: the mean in the first block of a group that knows any.
 
@@ -100,25 +111,41 @@ def moment(fn: str, n: Column, p: list[Column]) -> Column:
 
 @dataclass(frozen=True)
 class AddWindowFeatures(Block):
-    """Aggregates over the last rows, as column~fn_window, or over all so far (window None), as column~fn_expanding."""
+    """Aggregates over the last rows, as column~fn_window, or over all so far (window None), as column~fn_expanding.
+
+    A window of more rows than wide (a block's if None) is put together from pieces of at
+    most that many rows, so it needs no context in its block; medians and own functions aren't,
+    and make blocks as wide.
+    """
 
     column_window_fn: object  # (columns, window, fn) or a list of such
     fillna: bool = False
     keep_original: bool = True
     output_dtype: str | None = None
+    wide: int | None = None
     name: str = "windows"
     learns = False
 
     def _triples(self):
         return self.column_window_fn if isinstance(self.column_window_fn, list) else [self.column_window_fn]
 
+    def _piece(self) -> int:
+        return min(self.wide or rows_of.BLOCK_ROWS, rows_of.BLOCK_ROWS)
+
+    def _is_wide(self, window, fn) -> bool:
+        return window is not None and window > self._piece() and isinstance(fn, str) and fn in SO_FAR
+
     @property
     def memory(self):
         return max(w or 0 for _, w, _ in self._triples())
 
+    @property
+    def reach(self):
+        return max((w for _, w, fn in self._triples() if w is not None and not self._is_wide(w, fn)), default=0)
+
     @property
     def so_far(self) -> bool:
-        return any(w is None for _, w, _ in self._triples())
+        return any(w is None or self._is_wide(w, fn) for _, w, fn in self._triples())
 
     @property
     def unbounded(self):
@@ -129,34 +156,46 @@ class AddWindowFeatures(Block):
     def process(self, frame, run, path):
         made = {f: c(f) for f in frame.features} if self.keep_original else {}
         every = frame.window.rowsBetween(Window.unboundedPreceding, 0)
-        so_far = sorted({(x, part) for patterns, w, fn in self._triples() if w is None and not self.unbounded for x in chosen(frame, patterns) for part in SO_FAR[fn]})
-        names = {k: f"_t_{i}" for i, k in enumerate(so_far)}
-        shift = {x: f"_s_{i}" for i, x in enumerate(dict.fromkeys(x for x, part in so_far if part.startswith("p")))}
+        pieced = lambda w, fn: (w is None and not self.unbounded) or self._is_wide(w, fn)
+        parts = sorted({(x, part, w or 0) for patterns, w, fn in self._triples() if pieced(w, fn) for x in chosen(frame, patterns) for part in SO_FAR[fn]})
+        names = {k: f"_t_{i}" for i, k in enumerate(parts)}
+        so_far = {k: name for k, name in names.items() if not k[2]}
+        shift = {x: f"_s_{i}" for i, x in enumerate(dict.fromkeys(x for x, part, _ in parts if part.startswith("p")))}
         value = lambda x, part: F.pow(c(x) - F.col(shift[x]), int(part[1])) if part.startswith("p") else c(x)
         if shift:
             frame = with_shifts(frame, {k: c(x) for x, k in shift.items()})
-        if names:
-            frame = with_earlier(frame, {names[x, part]: (_TOTALS[part][0](value(x, part)), _TOTALS[part][1]) for x, part in so_far})
-
-        # columns of their own, as every mention of a window would be a window
-        frame = frame.set(**{f"_u{k}": _so_far(value(x, part), F.col(k), _TOTALS[part][0], _TOTALS[part][1][1], every) for (x, part), k in names.items()}) if names else frame
-        total = lambda x, part: F.col(f"_u{names[x, part]}")
-
+        own_rows = frame.df.where("NOT _halo")
+        for window in sorted({w for _, _, w in parts if w}):
+            groups = [k for k in frame.by if k != "_block"]
+            own = {names[x, part, w]: (value(x, part), *_TOTALS[part]) for x, part, w in parts if w == window}
+            found = over_windows(own_rows, own, window, self._piece(), groups)
+            frame = frame.on(frame.df.join(found, [*groups, "rid"], "left"))
+        if so_far:
+            frame = with_earlier(frame, {name: (_TOTALS[part][0](value(x, part)), _TOTALS[part][1]) for (x, part, _), name in so_far.items()})
+            # columns of their own, as every mention of a window would be a window
+            frame = frame.set(**{f"_u{k}": _so_far(value(x, part), F.col(k), _TOTALS[part][0], _TOTALS[part][1][1], every) for (x, part, _), k in so_far.items()})
+
+        behind = []
         for patterns, window, fn in self._triples():
             label = fn if isinstance(fn, str) else "transformed" if fn.__name__ == "<lambda>" else fn.__name__
             for x in chosen(frame, patterns):
-                if window is not None or self.unbounded:
+                key = f"{x}~{label}_{'expanding' if window is None else window}"
+                total = lambda part, x=x, w=window or 0: F.col(names[x, part, w] if w else f"_u{names[x, part, w]}")
+                if not pieced(window, fn):
                     made_of = aggregate(fn, c(x), every if window is None else frame.window.rowsBetween(1 - window, 0))
                 elif fn == "mean":
-                    made_of = total(x, "sum") / F.nullif(total(x, "n"), F.lit(0))
-                elif x in shift and fn not in ("sum", "min", "max"):
-                    made_of = moment(fn, F.nullif(total(x, "n"), F.lit(0)), [total(x, part) for part in SO_FAR[fn][1:]])
+                    made_of = total("sum") / F.nullif(total("n"), F.lit(0))
+                elif fn not in ("sum", "min", "max"):
+                    made_of = moment(fn, F.nullif(total("n"), F.lit(0)), [total(part) for part in SO_FAR[fn][1:]])
                 else:
-                    made_of = total(x, fn)
-                made[f"{x}~{label}_{'expanding' if window is None else window}"] = made_of
+                    made_of = total(fn)
+                if window is None:
+                    behind.append(key)
+                made[key] = made_of
         if self.fillna:
             made = {k: F.coalesce(v, F.lit(0.0)) for k, v in made.items()}
-        return frame.add(_cast(made, self.output_dtype), [])
+        frame = frame.add(_cast(made, self.output_dtype), [])
+        return on_context(frame, behind) if so_far else frame
 
 
 @dataclass(frozen=True)
@@ -188,7 +227,8 @@ class AddRollingCorrelation(Block):
             made = {f"{a}_{b}~rolling_corr_{self.window}": correlation(c(a), c(b), rows) for a, b in pairs}
         if self.fillna:
             made = {k: F.coalesce(v, F.lit(0.0)) for k, v in made.items()}
-        return frame.add(made, None if self.keep_original else [])
+        frame = frame.add(made, None if self.keep_original else [])
+        return on_context(frame, list(made)) if self.window is None else frame
 
     def _so_far(self, frame: Frame, pairs: list) -> tuple[Frame, dict[str, Column]]:
         """From counts and sums of products of the blocks before and of the own one."""
@@ -261,7 +301,8 @@ class Difference(Block):
             # the last change of a block before stands in where the own block has none so far
             change = {f: F.nullif(c(f), F.lit(0.0)) for f in frame.features}
             frame = with_earlier(frame, {f"_t_{i}": (F.max(F.when(x.isNotNull(), F.struct("rid", x.alias("x")))), TOP) for i, x in enumerate(change.values())})
-            frame = frame.add({f: F.when(c(f).isNotNull(), F.coalesce(last_known(x, frame.window), F.col(f"_t_{i}.x"))) for i, (f, x) in enumerate(change.items())})
+            frame = frame.add({f: F.when(c(f).isNotNull(), F.coalesce(last_known(F.when(~F.col("_halo"), x), frame.window), F.col(f"_t_{i}.x"))) for i, (f, x) in enumerate(change.items())})
+            frame = on_context(frame, list(frame.features))
         return frame
 
 

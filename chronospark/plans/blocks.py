@@ -24,12 +24,13 @@ KEYS = ("split_id", "train", "halo", "rid", "ts", "y", "weight", "raw_y", "_role
 
 @dataclass(frozen=True)
 class Frame:
-    """Rows, the columns that are features, hidden columns that blocks pass on, and what window partitions are."""
+    """Rows, the columns that are features, hidden columns that blocks pass on, what window partitions are, and rows that later steps look back."""
 
     df: DataFrame
     features: tuple[str, ...]
     carry: tuple[str, ...] = ()
     by: tuple[str, ...] = ("split_id", "_role")
+    ahead: int = 0
 
     @property
     def window(self) -> WindowSpec:
@@ -188,14 +189,20 @@ class Sequence(Block):
         return any(b.learns for b in self.children())
 
     def process(self, frame, run, path):
-        for i, step in enumerate(self.steps):
-            frame = as_block(step).process(frame, run, f"{path}/{i}")
-        return frame
+        return in_turn(frame, self.children(), lambda i, step, frame: step.process(frame, run, f"{path}/{i}"))
 
     def children(self):
         return [as_block(s) for s in self.steps]
 
 
+def in_turn(frame: Frame, steps: list[Block], apply: Callable[[int, Block, Frame], Frame]) -> Frame:
+    """The frame after steps, each of which is told how far those behind it look back."""
+    outer = frame.ahead
+    for i, step in enumerate(steps):
+        frame = apply(i, step, replace(frame, ahead=outer + sum(map(reach_of, steps[i + 1 :]))))
+    return replace(frame, ahead=outer)
+
+
 def traverse(block: Block) -> Iterator[Block]:
     yield block
     for child in block.children():

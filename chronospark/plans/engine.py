@@ -215,7 +215,7 @@ def _fit(rows: DataFrame, features, block: Block, splits: list, place: str, run:
         if i == last and not to_end:
             s.fit(late, run, path(i))
             return None
-        late = s.process(late, run, path(i))
+        late = s.process(replace(late, ahead=sum(map(reach_of, steps[i + 1 :]))), run, path(i))
     return late.df
 
 

@@ -67,7 +67,7 @@ _LOCAL = (feat.AddLagsX, feat.TakeLog, feat.MultiplyBy, feat.AddFeatures, feat.A
 
 def is_local(block: Block) -> bool:
     if isinstance(block, feat.AddWindowFeatures):
-        return all(w is not None for _, w, _ in block._triples())
+        return not block.so_far
     if isinstance(block, feat.AddRollingCorrelation):
         return block.window is not None
     return isinstance(block, _LOCAL) or isinstance(block, feat.Difference) and not block.fill_0_with_last

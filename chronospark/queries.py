@@ -197,6 +197,10 @@ _ALL = "OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN UNBOUNDED PREC
 _SO_FAR = {"std": "stddev_samp", "var": "var_samp", "skew": "skewness", "kurt": "kurtosis"}
 feature("expanding_moments", [feat.AddWindowFeatures([("value", None, fn) for fn in (*_SO_FAR, "sem")])], {f"value~{fn}_expanding": fn for fn in (*_SO_FAR, "sem")}, {fn: f"{sql}(value) {_ALL}" for fn, sql in _SO_FAR.items()} | {"sem": f"CASE WHEN count(value) {_ALL} > 1 THEN stddev_samp(value) {_ALL} / sqrt(count(value) {_ALL} - 1) END"}, digits=6)
 feature("expanding_corr", [feat.AddRollingCorrelation([("value", "cls"), ("value", "const"), ("value_n", "value2")], None)], {"value_cls~corr_expanding": "r", "value_const~corr_expanding": "none", "value_n_value2~corr_expanding": "one"}, {"r": f"CASE WHEN stddev_pop(value) {_ALL} > 0 AND stddev_pop(cls) {_ALL} > 0 THEN corr(value, cls) {_ALL} END", "none": "NULL::DOUBLE", "one": f"CASE WHEN stddev_pop(value_n) {_ALL} > 0 THEN 1.0 END"}, features=("value", "cls", "const", "value_n", "value2"))
+# windows of more rows than a piece, for the query 64 rows, at any size of the table
+_LAST = "OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+feature("wide_windows", [feat.AddWindowFeatures([("value", 300, "sum"), ("value", 300, "max"), ("value_n", 200, "min"), ("value", 129, "std")], wide=64)], {"value~sum_300": "total", "value~max_300": "hi", "value_n~min_200": "lo", "value~std_129": "sd"}, {"total": f"sum(value) {_LAST.format(299)}", "hi": f"max(value) {_LAST.format(299)}", "lo": f"min(value_n) {_LAST.format(199)}", "sd": f"stddev_samp(value) {_LAST.format(128)}"}, 300, 4, features=("value", "value_n"))
+feature("lags_of_expanding", [feat.AddWindowFeatures(("value", None, "max"), keep_original=False), feat.AddLagsX(("all", [2, 7]), keep_original=False)], {"value~max_expanding~lag_2": "two", "value~max_expanding~lag_7": "seven"}, {"two": "lag(m, 2) OVER w", "seven": "lag(m, 7) OVER w"}, 7, extra=", b2 AS (SELECT s.split_id, b.rid, max(b.value) OVER (PARTITION BY s.split_id ORDER BY b.rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM b JOIN splits s ON b.rid >= greatest(s.te0 - 7, 0) AND b.rid < s.te1)", joins="JOIN b2 ON t.split_id = b2.split_id AND t.rid = b2.rid", features=("value",))
 feature("windows_chained", [feat.AddWindowFeatures(("value", 5, "mean"), keep_original=False), feat.AddLagsX(("all", 2), keep_original=False)], {"value~mean_5~lag_2": "r"}, {"r": "lag(m, 2) OVER w"}, 5, extra=", b2 AS (SELECT s.split_id, b.rid, avg(b.value) OVER (PARTITION BY s.split_id ORDER BY b.rid ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM b JOIN splits s ON b.rid >= greatest(s.te0 - 5, 0) AND b.rid < s.te1)", joins="JOIN b2 ON t.split_id = b2.split_id AND t.rid = b2.rid")
 feature("rolling_corr", [feat.AddRollingCorrelation(("value", "cls"), 20)], {"value_cls~rolling_corr_20": "r"}, {"r": "CASE WHEN stddev_pop(value) OVER f > 0 AND stddev_pop(cls) OVER f > 0 THEN corr(value, cls) OVER f END".replace("OVER f", "OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")}, 20, 4, features=("value", "cls"))
 _B = "lag(value, 1) OVER w"

@@ -11,7 +11,7 @@ from chronospark.plans import engine, splits, tuning
 from chronospark.plans.blocks import as_block
 from chronospark.queries import EXPANDING, ORACLE_SQL, QUERIES, events_series
 
-WINDOWED = ["lags", "rolling_mean", "rolling_corr", "expanding_mean", "expanding_extremes", "expanding_moments", "expanding_corr", "windows_chained", "difference", "clip", "clip_and_ffill", "event_lags", "skip_na", "weight_by_max_expanding", "weight_by_max_fraction", "ols_on_lag", "infer_last_split", "preprocessing_lags", "model_residuals", "transform_target_log", "insample_dedup", "optimizer_in_window"]
+WINDOWED = ["lags", "rolling_mean", "rolling_corr", "expanding_mean", "expanding_extremes", "expanding_moments", "expanding_corr", "windows_chained", "lags_of_expanding", "wide_windows", "difference", "clip", "clip_and_ffill", "event_lags", "skip_na", "weight_by_max_expanding", "weight_by_max_fraction", "ols_on_lag", "infer_last_split", "preprocessing_lags", "model_residuals", "transform_target_log", "insample_dedup", "optimizer_in_window"]
 
 
 @pytest.fixture
@@ -136,3 +136,47 @@ def test_a_grid_of_an_empty_table_is_empty(spark):
 
     none = spark.createDataFrame([], "ts timestamp_ntz, tie long, v double")
     assert series.resample_last(none, "ts", "tie", "1 hour").count() == 0
+
+
+def close(got, want):
+    """Whether two results hold the same rows, numbers but for their last digits."""
+    a, b = (x.sort_values(["split_id", "rid"]).reset_index(drop=True) for x in (got, want))
+    assert list(a.columns) == list(b.columns)
+    for k in a.columns:
+        if a[k].dtype.kind == "f":
+            np.testing.assert_allclose(a[k], b[k], rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=k)
+        else:
+            assert (a[k] == b[k]).all()
+
+
+@pytest.mark.parametrize("second", [features.AddWindowFeatures(("value~mean_expanding", 9, "sum")), features.AddWindowFeatures(("value~max_expanding", 20, "mean"))])
+def test_windows_over_columns_of_all_rows_so_far(spark, monkeypatch, second):
+    """Context rows of a block hold what all rows up to them give, not all rows before the block."""
+    pipeline = [features.AddWindowFeatures([("value", None, "mean"), ("value", None, "max")]), second]
+    df = events_series(spark, DATA)
+    whole = engine.train_backtest(pipeline, df, EXPANDING, ("value",)).toPandas()
+    monkeypatch.setattr(rows, "BLOCK_ROWS", 32)
+    close(engine.train_backtest(pipeline, df, EXPANDING, ("value",)).toPandas(), whole)
+
+
+def test_filled_changes_under_windows(spark, monkeypatch):
+    pipeline = [features.Difference(fill_0_with_last=True), features.AddWindowFeatures(("cls", 9, "sum"))]
+    df = events_series(spark, DATA)
+    whole = engine.train_backtest(pipeline, df, EXPANDING, ("cls",)).toPandas()
+    monkeypatch.setattr(rows, "BLOCK_ROWS", 32)
+    close(engine.train_backtest(pipeline, df, EXPANDING, ("cls",)).toPandas(), whole)
+
+
+_WIDE = [("value", w, fn) for w in (65, 400) for fn in ("sum", "max")] + [("value_n", 129, fn) for fn in ("mean", "std", "skew")]
+
+
+@pytest.mark.parametrize("more", [[], [features.AddLagsX(("value~sum_400", [3, 70]))]])
+def test_wide_windows(spark, monkeypatch, more):
+    """Windows of more rows than a piece give what windows inside one block give, over block borders and under later windows."""
+    df = events_series(spark, DATA)
+    want = engine.train_backtest([features.AddWindowFeatures(_WIDE), *more], df, EXPANDING, ("value", "value_n")).toPandas()
+    monkeypatch.setattr(rows, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(rows, "GATHERED", 2)
+    block = features.AddWindowFeatures(_WIDE)
+    assert block.reach == 0 and block.memory == 400
+    close(engine.train_backtest([block, *more], df, EXPANDING, ("value", "value_n")).toPandas(), want)
