@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rows as rows_of
 from .functions import scalar
 from .functions.names import c
+from .operators import arrays as arr
 from .operators import columns as col_ops
 from .operators import composites as comp
 from .operators import events as ev
@@ -197,6 +199,24 @@ _ALL = "OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN UNBOUNDED PREC
 _SO_FAR = {"std": "stddev_samp", "var": "var_samp", "skew": "skewness", "kurt": "kurtosis"}
 feature("expanding_moments", [feat.AddWindowFeatures([("value", None, fn) for fn in (*_SO_FAR, "sem")])], {f"value~{fn}_expanding": fn for fn in (*_SO_FAR, "sem")}, {fn: f"{sql}(value) {_ALL}" for fn, sql in _SO_FAR.items()} | {"sem": f"CASE WHEN count(value) {_ALL} > 1 THEN stddev_samp(value) {_ALL} / sqrt(count(value) {_ALL} - 1) END"}, digits=6)
 feature("expanding_corr", [feat.AddRollingCorrelation([("value", "cls"), ("value", "const"), ("value_n", "value2")], None)], {"value_cls~corr_expanding": "r", "value_const~corr_expanding": "none", "value_n_value2~corr_expanding": "one"}, {"r": f"CASE WHEN stddev_pop(value) {_ALL} > 0 AND stddev_pop(cls) {_ALL} > 0 THEN corr(value, cls) {_ALL} END", "none": "NULL::DOUBLE", "one": f"CASE WHEN stddev_pop(value_n) {_ALL} > 0 THEN 1.0 END"}, features=("value", "cls", "const", "value_n", "value2"))
+
+
+def _weighed(values):
+    """Half of each row, 0.3 of the row before and 0.2 of the one before that."""
+    out = 0.5 * values
+    out[1:] += 0.3 * values[:-1]
+    out[2:] += 0.2 * values[:-2]
+    return out
+
+
+def _trimmed_sum(windows):
+    """The sum without the least and the greatest."""
+    return np.sort(windows, axis=1)[:, 1:-1].sum(axis=1)
+
+
+feature("arrays_of_blocks", [arr.ApplyArrays(_weighed, 2, batch_columns=1)], {"value": "a", "cls": "b"}, {"a": "0.5 * value + 0.3 * lag(value, 1) OVER w + 0.2 * lag(value, 2) OVER w", "b": "0.5 * cls + 0.3 * lag(cls, 1) OVER w + 0.2 * lag(cls, 2) OVER w"}, 2, 4, features=("value", "cls"))
+_TEN = "list_sort(list(value) OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"
+feature("arrays_of_windows", [arr.RollingArrays(_trimmed_sum, 10, "value", "trimmed")], {"value~trimmed_10": "r"}, {"r": f"list_sum({_TEN}[2:9])"}, 10, 4)
 # windows of more rows than a piece, for the query 64 rows, at any size of the table
 _LAST = "OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 feature("wide_windows", [feat.AddWindowFeatures([("value", 300, "sum"), ("value", 300, "max"), ("value_n", 200, "min"), ("value", 129, "std")], wide=64)], {"value~sum_300": "total", "value~max_300": "hi", "value_n~min_200": "lo", "value~std_129": "sd"}, {"total": f"sum(value) {_LAST.format(299)}", "hi": f"max(value) {_LAST.format(299)}", "lo": f"min(value_n) {_LAST.format(199)}", "sd": f"stddev_samp(value) {_LAST.format(128)}"}, 300, 4, features=("value", "value_n"))

@@ -11,7 +11,7 @@ from chronospark.plans import engine, splits, tuning
 from chronospark.plans.blocks import as_block
 from chronospark.queries import EXPANDING, ORACLE_SQL, QUERIES, events_series
 
-WINDOWED = ["lags", "rolling_mean", "rolling_corr", "expanding_mean", "expanding_extremes", "expanding_moments", "expanding_corr", "windows_chained", "lags_of_expanding", "wide_windows", "difference", "clip", "clip_and_ffill", "event_lags", "skip_na", "weight_by_max_expanding", "weight_by_max_fraction", "ols_on_lag", "infer_last_split", "preprocessing_lags", "model_residuals", "transform_target_log", "insample_dedup", "optimizer_in_window"]
+WINDOWED = ["lags", "rolling_mean", "rolling_corr", "expanding_mean", "expanding_extremes", "expanding_moments", "expanding_corr", "windows_chained", "lags_of_expanding", "wide_windows", "arrays_of_blocks", "arrays_of_windows", "difference", "clip", "clip_and_ffill", "event_lags", "skip_na", "weight_by_max_expanding", "weight_by_max_fraction", "ols_on_lag", "infer_last_split", "preprocessing_lags", "model_residuals", "transform_target_log", "insample_dedup", "optimizer_in_window"]
 
 
 @pytest.fixture
