@@ -25,7 +25,7 @@ from .operators import features as feat
 from .operators import models as mod
 from .operators import scaling as sc
 from .operators.trees import BoostedTrees
-from .plans import engine
+from .plans import engine, panel
 from .plans import splits as sp
 from .plans import tuning
 from .sources import calendars
@@ -783,3 +783,35 @@ def backtest_from_timestamp(spark, d):
     start = df.where("rid = 100").first()["ts"]
     splitter = sp.ExpandingWindowSplitter(200, 300, start=str(start))
     return engine.train_backtest([mod.DummyRegressor(1)], df, splitter, ("rev",)).select("split_id", "rid", F.col("predictions_DummyRegressor").alias("p"))
+
+
+# --- many series in one table: each user's events
+
+
+def _users(spark, d):
+    df = _table(spark, d, "events").select(F.col("user_id").alias("unique_id"), F.col("ts").alias("ds"), "event_id", "value")
+    return panel.with_next(df, "value", order=("ds", "event_id"))
+
+
+def _panel_sql(sliding: bool, columns: str, joins: str = "") -> str:
+    return f"""WITH e AS (SELECT user_id AS unique_id, ts AS ds, event_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS y FROM events),
+b AS (SELECT *, row_number() OVER o - 1 AS rid, count(*) OVER (PARTITION BY unique_id) AS n, avg(value) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m, lag(value, 2) OVER o AS l FROM e WHERE y IS NOT NULL WINDOW o AS (PARTITION BY unique_id ORDER BY ds, event_id)),
+cfg AS (SELECT DISTINCT unique_id, n, CAST(floor(0.4::DOUBLE * n) AS BIGINT) AS w, greatest(CAST(floor(0.1::DOUBLE * n) AS BIGINT), 1) AS s FROM b),
+raw AS (SELECT *, w + k * s AS te0, least(n, w + (k + 1) * s) AS te1, max(k) OVER (PARTITION BY unique_id) AS kk FROM cfg, (SELECT unnest(range(0, 200)) AS k) WHERE w + k * s < n),
+lastk AS (SELECT unique_id, kk > 0 AND te1 - te0 <= floor(0.1::DOUBLE * n) AS merged FROM raw WHERE k = kk),
+splits AS (SELECT unique_id, k AS split, {"greatest(te0 - w, 0)" if sliding else "0"} AS tr0, te0, CASE WHEN merged AND k = kk - 1 THEN n ELSE te1 END AS te1 FROM raw JOIN lastk USING (unique_id) WHERE NOT (merged AND k = kk)),
+fit AS (SELECT s.unique_id, s.split, CASE WHEN max(m) > min(m) THEN regr_slope(y, m) ELSE 0 END AS slope, avg(m) AS mx, avg(y) AS my FROM splits s JOIN b ON b.unique_id = s.unique_id AND b.rid >= s.tr0 AND b.rid < s.te0 GROUP BY ALL)
+SELECT s.unique_id, s.split, b.rid, {columns} FROM splits s JOIN b ON b.unique_id = s.unique_id AND b.rid >= s.te0 AND b.rid < s.te1 {joins}"""
+
+
+@query("panel_lags", _panel_sql(False, "l AS lagged"))
+def panel_lags(spark, d):
+    out = panel.backtest([feat.AddLagsX(("value", 2))], _users(spark, d), EXPANDING, ("value",), ("ds", "event_id"))
+    return out.select("unique_id", "split", "rid", c("value~lag_2").alias("lagged"))
+
+
+@query("panel_ols", _panel_sql(False, "round(my + slope * (m - mx), 3) + 0::DOUBLE AS p", "LEFT JOIN fit f ON f.unique_id = s.unique_id AND f.split = s.split"))
+def panel_ols(spark, d):
+    steps = [feat.AddWindowFeatures(("value", 3, "mean"), keep_original=False), sc.StandardScaler(), mod.LinearRegression()]
+    out = panel.backtest(steps, _users(spark, d), EXPANDING, ("value",), ("ds", "event_id"))
+    return out.select("unique_id", "split", "rid", F.round("predictions_LinearRegression", 3).alias("p"))
