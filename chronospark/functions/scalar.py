@@ -18,9 +18,10 @@ def exponential(x: Column, base: str = "e") -> Column:
     return F.exp(x) if str(base) == "e" else F.pow(F.lit(float(base)), x)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """a / b with signed infinity where b is 0 and a isn't."""
-    return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when((b == 0) & (a > 0), F.lit(INFINITY)).when((b == 0) & (a < 0), F.lit(-INFINITY))
+def ratio(a: Column, b: Column, undefined: float | None = None) -> Column:
+    """a / b with signed infinity where b is 0 and a isn't, and undefined where both are."""
+    signed = F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when((b == 0) & (a > 0), F.lit(INFINITY)).when((b == 0) & (a < 0), F.lit(-INFINITY))
+    return signed if undefined is None else signed.when((a == 0) & (b == 0), F.lit(undefined))
 
 
 def fill_na_inf(x: Column) -> Column:

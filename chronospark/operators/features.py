@@ -253,28 +253,33 @@ class AddRollingCorrelation(Block):
         return frame, made
 
 
-def _capped(x: Column, before: Column) -> Column:
+def _capped(x: Column, before: Column, undefined: float | None) -> Column:
     # near zero a return says little: the difference then
     return F.when((before > -1) & (before < 1), x - before).otherwise(x / F.nullif(before, F.lit(0.0)) - 1)
 
 
-DIFFERENCES: dict[str, Callable[[Column, Column], Column]] = {
-    "diff": lambda x, before: x - before,
-    "returns": lambda x, before: scalar.ratio(x, before) - 1,
-    "log_returns": lambda x, before: scalar.log(scalar.ratio(x, before)),
+DIFFERENCES: dict[str, Callable[[Column, Column, float | None], Column]] = {
+    "diff": lambda x, before, undefined: x - before,
+    "returns": lambda x, before, undefined: scalar.ratio(x, before, undefined) - 1,
+    "log_returns": lambda x, before, undefined: scalar.log(scalar.ratio(x, before, undefined)),
     "capped_returns": _capped,
 }
 
 
 @dataclass(frozen=True)
 class Difference(Block):
-    """Change against the row before; without memory (the default) the first row of each test window is null."""
+    """Change against the row before; without memory (the default) the first row of each test window is null.
+
+    undefined: the return from 0 to 0. Null counts as missing in whatever follows; NaN
+    tells it from a row that has none before it.
+    """
 
     method: str = "diff"
     clip_threshold: float | None = None
     fill_0_with_last: bool = False
     rows_of_memory: int = 0
     name: str = "difference"
+    undefined: float | None = None
     learns = False
 
     @property
@@ -292,14 +297,14 @@ class Difference(Block):
     def process(self, frame, run, path):
         made = {}
         for f in frame.features:
-            x = DIFFERENCES[self.method](c(f), F.lag(c(f), 1).over(frame.window))
+            x = DIFFERENCES[self.method](c(f), F.lag(c(f), 1).over(frame.window), self.undefined)
             if self.clip_threshold is not None:
-                x = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(self.clip_threshold))), F.lit(-float(self.clip_threshold))))
+                x = F.when(F.isnan(x), x).when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(self.clip_threshold))), F.lit(-float(self.clip_threshold))))
             made[f] = x
         frame = frame.add(made)
         if self.fill_0_with_last:
             # the last change of a block before stands in where the own block has none so far
-            change = {f: F.nullif(c(f), F.lit(0.0)) for f in frame.features}
+            change = {f: F.nullif(scalar.nan_to_null(c(f)), F.lit(0.0)) for f in frame.features}
             frame = with_earlier(frame, {f"_t_{i}": (F.max(F.when(x.isNotNull(), F.struct("rid", x.alias("x")))), TOP) for i, x in enumerate(change.values())})
             frame = frame.add({f: F.when(c(f).isNotNull(), F.coalesce(last_known(F.when(~F.col("_halo"), x), frame.window), F.col(f"_t_{i}.x"))) for i, (f, x) in enumerate(change.items())})
             frame = on_context(frame, list(frame.features))

@@ -225,8 +225,9 @@ feature("windows_chained", [feat.AddWindowFeatures(("value", 5, "mean"), keep_or
 feature("rolling_corr", [feat.AddRollingCorrelation(("value", "cls"), 20)], {"value_cls~rolling_corr_20": "r"}, {"r": "CASE WHEN stddev_pop(value) OVER f > 0 AND stddev_pop(cls) OVER f > 0 THEN corr(value, cls) OVER f END".replace("OVER f", "OVER (PARTITION BY t.split_id ORDER BY t.rid ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")}, 20, 4, features=("value", "cls"))
 _B = "lag(value, 1) OVER w"
 feature("difference", [feat.Difference("diff")], {"value": "r"}, {"r": f"value - {_B}"})
+# SQL tells 0 / 0 (NaN) from no row before (null)
 feature("returns", [feat.Difference("returns")], {"value": "r"}, {"r": f"value / {_B} - 1"})
-feature("log_returns", [feat.Difference("log_returns")], {"value": "r"}, {"r": f"ln(value / {_B})"}, features=("value",))
+feature("log_returns", [feat.Difference("log_returns", undefined=float("nan"))], {"value": "r"}, {"r": f"ln(value / {_B})"}, features=("value",))
 feature("capped_returns", [feat.Difference("capped_returns")], {"value2": "r"}, {"r": "CASE WHEN lag(value2, 1) OVER w > -1 AND lag(value2, 1) OVER w < 1 THEN value2 - lag(value2, 1) OVER w ELSE value2 / lag(value2, 1) OVER w - 1 END"})
 feature("clip", [feat.Difference("diff", clip_threshold=20, rows_of_memory=1)], {"value": "r"}, {"r": "greatest(least(value - lag(value, 1) OVER w, 20), -20)"}, 1, features=("value",))
 feature("clip_and_ffill", [feat.Difference("diff", clip_threshold=20, fill_0_with_last=True, rows_of_memory=1)], {"cls": "r"}, {"r": "last_value(CASE WHEN cd = 0 THEN NULL ELSE cd END IGNORE NULLS) OVER w"}, 1, features=("cls",), extra=", b2 AS (SELECT s.split_id, b.rid, cls - lag(cls, 1) OVER (PARTITION BY s.split_id ORDER BY b.rid) AS cd FROM b JOIN splits s ON b.rid >= greatest(s.te0 - 1, 0) AND b.rid < s.te1)", joins="JOIN b2 ON t.split_id = b2.split_id AND t.rid = b2.rid")

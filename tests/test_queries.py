@@ -15,6 +15,26 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+@pytest.mark.parametrize("name", ["log_returns", "take_log"])
+def test_zeros_against_sql(spark, tmp_path, name):
+    """Nulls and NaN are unlike here: 0 after 0 is NaN in SQL, a row without one before is null."""
+    import duckdb
+
+    values = [0.0, 0.0, 0.0, 2.5, 0.0, 6.0, 9.0, 50.0, 0.0, 0.0]
+    rows = [(i, i, values[i % 10]) for i in range(100)]
+    df = spark.createDataFrame(rows, "event_id long, at long, value double").selectExpr("event_id", "CAST(timestamp_seconds(at) AS timestamp_ntz) AS ts", "value", "'view' AS event_type")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    QUERIES[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/got")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    con.execute(f"CREATE TABLE want AS {ORACLE_SQL[name]}")
+    columns = ", ".join(con.execute("SELECT * FROM want LIMIT 0").fetchdf().columns)
+    con.execute(f"CREATE TABLE got AS SELECT {columns} FROM '{tmp_path}/got/*.parquet'")
+    assert len(con.execute("SELECT * FROM want").fetchall()) == 60
+    assert not con.execute("SELECT * FROM got EXCEPT ALL SELECT * FROM want").fetchall()
+    assert not con.execute("SELECT * FROM want EXCEPT ALL SELECT * FROM got").fetchall()
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
