@@ -24,6 +24,12 @@ def ratio(a: Column, b: Column, undefined: float | None = None) -> Column:
     return signed if undefined is None else signed.when((a == 0) & (b == 0), F.lit(undefined))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded as SQL engines in C do, by the power of ten times x: Spark's round takes x's shortest decimal form, and a quotient just under a tie may differ."""
+    power = float(10**digits)
+    return F.round(x * power) / power
+
+
 def fill_na_inf(x: Column) -> Column:
     """0.0 for null, NaN and infinities."""
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == INFINITY), F.lit(0.0)).otherwise(x)

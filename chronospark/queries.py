@@ -72,8 +72,9 @@ splits AS (SELECT split_id, tr0, tr1, te0, CASE WHEN kk > 0 AND len <= m AND spl
 SPLITS = splits_sql(0.4, 0.1)
 
 
-def _rounded(columns: dict, digits: int):
-    return [(F.round(x, digits) if digits is not None else x).alias(k) for k, x in columns.items()]
+def _rounded(df: DataFrame, columns: dict, digits: int | None):
+    kinds = dict(df.select(*[x.alias(k) for k, x in columns.items()]).dtypes)
+    return [(x if digits is None else scalar.rounded(x, digits) if kinds[k] == "double" else F.round(x, digits)).alias(k) for k, x in columns.items()]
 
 
 def feature(name: str, pipeline, outputs: dict[str, str], exprs: dict[str, str], memory: int = 0, digits: int | None = 6, series=events_series, base: str = E, features=("value", "value2", "const"), splitter=EXPANDING, splits: str = SPLITS, extra: str = "", joins: str = "", cast: str | None = None) -> None:
@@ -83,7 +84,7 @@ def feature(name: str, pipeline, outputs: dict[str, str], exprs: dict[str, str],
         steps = pipeline(spark, d) if callable(pipeline) else pipeline
         df = engine.train_backtest(steps, series(spark, d), splitter, features)
         value = lambda k: c(k).cast(cast) if cast else c(k)
-        return df.select("split_id", "rid", *_rounded({v: value(k) for k, v in outputs.items()}, digits))
+        return df.select("split_id", "rid", *_rounded(df, {v: value(k) for k, v in outputs.items()}, digits))
 
     QUERIES[name] = query
     # adding 0 turns -0.0 into 0.0
@@ -226,7 +227,7 @@ feature("rolling_corr", [feat.AddRollingCorrelation(("value", "cls"), 20)], {"va
 _B = "lag(value, 1) OVER w"
 feature("difference", [feat.Difference("diff")], {"value": "r"}, {"r": f"value - {_B}"})
 # SQL tells 0 / 0 (NaN) from no row before (null)
-feature("returns", [feat.Difference("returns")], {"value": "r"}, {"r": f"value / {_B} - 1"})
+feature("returns", [feat.Difference("returns", undefined=float("nan"))], {"value": "r"}, {"r": f"value / {_B} - 1"})
 feature("log_returns", [feat.Difference("log_returns", undefined=float("nan"))], {"value": "r"}, {"r": f"ln(value / {_B})"}, features=("value",))
 feature("capped_returns", [feat.Difference("capped_returns")], {"value2": "r"}, {"r": "CASE WHEN lag(value2, 1) OVER w > -1 AND lag(value2, 1) OVER w < 1 THEN value2 - lag(value2, 1) OVER w ELSE value2 / lag(value2, 1) OVER w - 1 END"})
 feature("clip", [feat.Difference("diff", clip_threshold=20, rows_of_memory=1)], {"value": "r"}, {"r": "greatest(least(value - lag(value, 1) OVER w, 20), -20)"}, 1, features=("value",))
