@@ -130,6 +130,10 @@ class Block:
         """Leaves the block's states in run; no more is needed of the rows."""
         self.process(frame, run, path)
 
+    def fit_at_once(self, rows: DataFrame, features: tuple[str, ...], splits: list, run: Run, path: str) -> bool:
+        """Leaves the block's states of all splits in run, from rows that aren't repeated by split; False if it can't."""
+        return False
+
     def children(self) -> list:
         return []
 

@@ -189,7 +189,8 @@ def _fit(rows: DataFrame, features, block: Block, splits: list, place: str, run:
     First steps that see a row and a few before it give the same in every split whose
     window begins at one place: they are taken once, before rows are repeated for the
     splits. With several learners the repeated rows are written, as each learner reads
-    them. What follows the last learner is only done to_end.
+    them. What follows the last learner is only done to_end. A last block that can
+    learns from rows that aren't repeated.
     """
     steps = block.children() if isinstance(block, Sequence) else [block]
     path = (lambda i: f"main/{i}") if isinstance(block, Sequence) else (lambda i: "main")
@@ -207,11 +208,17 @@ def _fit(rows: DataFrame, features, block: Block, splits: list, place: str, run:
         for i, s in enumerate(early):
             frame = s.process(frame, run, path(i))
         frame = frame.on(frame.df.where("NOT _halo").drop("_block", "_halo", "split_id", "train", "halo"))
-    late = _framed(_flagged(tag_train_rows(frame.df, splits), True), frame.features, Sequence(tuple(steps[len(early) :])), place)
+    rest = steps[len(early) :]
+    at_once = len(rest) == 1 and place == "rid" and rest[0].fit_at_once(frame.df, frame.features, splits, run, path(len(early)))
+    if at_once and not to_end:
+        return None
+    late = _framed(_flagged(tag_train_rows(frame.df, splits), True), frame.features, Sequence(tuple(rest)), place)
+    if at_once:
+        return rest[0].process(late, Run(run.states), path(len(early))).df
     if sum(1 for b in traverse(block) if b.learns and not b.children()) > 1:
         late = late.on(saved(late.df))
     last = max((i for i, s in enumerate(steps) if s.learns), default=-1)
-    for i, s in enumerate(steps[len(early) :], len(early)):
+    for i, s in enumerate(rest, len(early)):
         if i == last and not to_end:
             s.fit(late, run, path(i))
             return None

@@ -326,14 +326,18 @@ _KEPT = "split_id long, request int, upto long, n array<double>, mean array<doub
 
 def _named(block: Block, rows: DataFrame, features: tuple[str, ...], place: str, inside: Column) -> tuple[Fit, dict[str, Col]]:
     """The pipeline followed by names over the rows inside."""
-    dealt = blocked(rows.where(inside), reach_of(block), 0, place=place).withColumns({"split_id": F.lit(0).cast("long"), "train": ~F.col("_halo"), "halo": F.col("_halo")})
-    frame, given = Frame(dealt, features, ("_block", "_halo"), ("_block",)).hide("base")
-    fit = Fit(frame, "weight" in rows.columns)
-    columns = {n: Col(weights={h: 1.0}, needs=frozenset({h})) for n, h in given.items()}
+    fit, columns = _begun(reach_of(block), rows, features, place, inside)
     follow(block, columns, "main", fit, 0)
     return fit, columns
 
 
+def _begun(reach: int, rows: DataFrame, features: tuple[str, ...], place: str, inside: Column) -> tuple[Fit, dict[str, Col]]:
+    """The rows inside, in blocks for windows that look back reach rows, before anything is followed."""
+    dealt = blocked(rows.where(inside), reach, 0, place=place).withColumns({"split_id": F.lit(0).cast("long"), "train": ~F.col("_halo"), "halo": F.col("_halo")})
+    frame, given = Frame(dealt, features, ("_block", "_halo"), ("_block",)).hide("base")
+    return Fit(frame, "weight" in rows.columns), {n: Col(weights={h: 1.0}, needs=frozenset({h})) for n, h in given.items()}
+
+
 def _of_stretches(fit: Fit, stretches: list[tuple[int, int]]) -> dict[int, list[Moments]]:
     """All moments asked for, of each stretch that has rows."""
     weight = F.coalesce(F.col("weight"), F.lit(1.0)) if fit.weighted else F.lit(1.0)
@@ -379,6 +383,63 @@ def fitted(pipeline, rows: DataFrame, features: tuple[str, ...], splits: list[Sp
         return None
 
 
+#: Of each block's place, the schema of its state and the state of each window.
+States = dict[str, tuple[str, dict[int, tuple]]]
+
+
+def compared(candidates: dict[str, Block], rows: DataFrame, features: tuple[str, ...], windows: list[Split]) -> tuple[States, dict[tuple[int, str], tuple[float, float]]] | None:
+    """(states of all candidates in all windows, {(window, candidate): (test rows, mean squared error)}) from one pass over the rows; None if a candidate can't be followed.
+
+    candidates: by their places. A residual is affine in base columns too, so its mean
+    square over test rows follows from their moments. Test rows' context must hold all
+    that candidates look back at, so that their features are those of train rows; train
+    windows must begin at one place, or nothing may look back.
+    """
+    reach = max(map(reach_of, candidates.values()))
+    if reach and len({b.start for s in windows for b in s.train}) > 1:
+        return None
+    ranges = [b for s in windows for b in (*s.train, *s.test) if len(b)]
+    borders = sorted({x for b in ranges for x in (b.start, b.end)})
+
+    def errors(fit: Fit, split: int) -> dict[str, Col]:
+        out = {}
+        for path, block in candidates.items():
+            made = follow(block, columns, path, fit, split)
+            p = made[prediction(list(made))]
+            if not p.affine:
+                raise Unfollowed(f"{block.name}: the loss of a prediction that isn't affine")
+            out[path] = fit.y.plus(p.times(-1.0))
+        return out
+
+    try:
+        fit, columns = _begun(reach, rows, features, "rid", (F.col("rid") >= borders[0]) & (F.col("rid") < borders[-1]))
+        for error in errors(fit, 0).values():
+            fit.of([error], error.needs)
+        found = _of_stretches(fit, list(zip(borders, borders[1:])))
+        number = {r: q for q, r in enumerate(fit.requests)}
+        joined = lambda every: [_by_split(every, borders, {i: moments[q] for i, moments in found.items()}) for q in range(len(fit.requests))]
+        learnt, tested = joined(windows), joined([replace(s, train=s.test) for s in windows])
+        by_number = Fit(None, False)
+        by_number.made = fit.made
+        losses = {}
+        for s in windows:
+            if any(of[s.split_id] is None for of in learnt):
+                continue
+            by_number.moments = lambda r, s=s: learnt[number[r]][s.split_id]
+            residuals = errors(by_number, s.split_id)
+            if any(of[s.split_id] is None for of in tested):
+                continue
+            by_number.moments = lambda r, s=s: tested[number[r]][s.split_id]
+            for path, error in residuals.items():
+                if error.known:
+                    m = by_number.of([error], error.needs)
+                    if m.n[0]:
+                        losses[s.split_id, path] = (float(m.n[0]), max(float(m.spread[0, 0] / m.n[0]), 0.0) + float(m.mean[0]) ** 2)
+    except Unfollowed:
+        return None
+    return {path: (schema, {state[0]: state[1:] for state in by_number.states.get(path, [])}) for path, schema in fit.schemas.items()}, losses
+
+
 def updated(pipeline, run: Run, split: int, rows: DataFrame, features: tuple[str, ...]) -> Run:
     """The run of one split after learning from the rows that follow those it has learnt; before them, rows as context.
 

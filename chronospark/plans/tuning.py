@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import c, nested, prediction
 from ..sources.tables import saved
-from .blocks import Block, Frame, Identity, Run, Sequence, as_block, cut, memory_of, renamed
+from . import segments
+from .blocks import Block, Frame, Identity, Run, Sequence, as_block, cut, memory_of, reach_of, renamed
 from .engine import as_card, score, train_backtest
-from .splits import plan_splits
+from .splits import Bounds, Split, plan_splits
 
 MARK = "¦"
 
@@ -82,6 +83,7 @@ def tune(card, df: DataFrame, splitter, features=(), metric: str = "rmse", candi
 
 #: Lower is better; of predictions p and truths y.
 LOSSES = {"rmse": lambda p, y: F.sqrt(F.avg((p - y) * (p - y))), "mae": lambda p, y: F.avg(F.abs(p - y)), "error rate": lambda p, y: F.avg(F.when(p == y, 0.0).otherwise(1.0))}
+_CHOSEN = "split_id long, chosen int"
 #: More than the windows of an inner splitter, so that windows within windows have numbers of their own.
 _INNER = 1 << 20
 
@@ -115,6 +117,10 @@ class Halving:
         return None if len(kept) <= 1 else (sorted(kept), min(1.0, share * self.factor))
 
 
+def _latest(windows: list[int], share: float) -> list[int]:
+    return windows[-math.ceil(share * len(windows)) :]
+
+
 def _in_order(losses: dict[int, float | None]) -> list[int]:
     """Candidates by loss, unknown ones last; of equal ones the first."""
     return sorted(losses, key=lambda k: (losses[k] is None, losses[k] if losses[k] is not None else 0.0, k))
@@ -126,9 +132,11 @@ class Optimizer(Block):
 
     splitter cuts every train window again; the candidates, or all combinations
     that the pipeline's blocks ask to try, are fitted and scored on these windows, in
-    the rounds that search asks for. The tagged rows of all inner windows are written
-    once and shared by all candidates and rounds; a round's scores, a row a split and
-    candidate, reach the driver. Context covers the candidate that looks back
+    the rounds that search asks for. Where candidates learn from moments and make affine
+    predictions, states and losses (rmse) of all windows come from one pass over rows
+    that aren't repeated (segments.compared). Else the tagged rows of all inner windows
+    are written once and shared by all candidates and rounds; a round's scores, a row a
+    split and candidate, reach the driver. Context covers the candidate that looks back
     furthest. A split's choice is its state; test rows have no part in it.
     """
 
@@ -167,25 +175,76 @@ class Optimizer(Block):
 
     def _choice(self, frame: Frame) -> DataFrame:
         (inner, windows), tried = self._inner(frame), self.tried()
-        rounds: dict[int, list] = {s: [] for s in windows}
-        while True:
-            plans = {s: self.search.next(len(tried), rounds[s]) for s in windows}
-            plans = {s: p for s, p in plans.items() if p}
-            if not plans:
-                break
+
+        def losses(plans: dict) -> dict:
             scores = []
             for i in sorted({i for some, _ in plans.values() for i in some}):
-                own = [(w,) for s, (some, share) in plans.items() if i in some for w in windows[s][-math.ceil(share * len(windows[s])) :]]
+                own = [(w,) for s, (some, share) in plans.items() if i in some for w in _latest(windows[s], share)]
                 used = inner.on(inner.df.join(F.broadcast(inner.df.sparkSession.createDataFrame(own, "split_id long")), "split_id", "left_semi"))  # a row a window
                 out = tried[i].process(used, Run(), "inner")
                 p, y = c(prediction(list(out.features))).cast("double"), F.col("y").cast("double")
                 tested = out.df.where("NOT _role AND NOT halo").where(p.isNotNull() & y.isNotNull())
                 scores.append(tested.groupBy(F.floor(F.col("split_id") / _INNER).cast("long").alias("split_id")).agg(LOSSES[self.loss](p, y).alias("loss")).withColumn("candidate", F.lit(i)))
-            found = {(r["split_id"], r["candidate"]): r["loss"] for r in reduce(DataFrame.union, scores).collect()}  # a row a split and candidate
+            return {(r["split_id"], r["candidate"]): r["loss"] for r in reduce(DataFrame.union, scores).collect()}  # a row a split and candidate
+
+        return frame.df.sparkSession.createDataFrame(self._searched(windows, len(tried), losses), _CHOSEN)
+
+    def _searched(self, windows: dict[int, list[int]], n: int, losses) -> list[tuple[int, int]]:
+        """Each split's choice after all rounds; losses: {(split, candidate): loss} of {split: (candidates, share)}."""
+        rounds: dict[int, list] = {s: [] for s in windows}
+        while True:
+            plans = {s: self.search.next(n, rounds[s]) for s in windows}
+            plans = {s: p for s, p in plans.items() if p}
+            if not plans:
+                break
+            found = losses(plans)
             for s, (some, share) in plans.items():
                 rounds[s].append((share, {i: found.get((s, i)) for i in some}))
-        chosen = [(s, _in_order(r[-1][1])[0]) for s, r in rounds.items()]
-        return frame.df.sparkSession.createDataFrame(chosen, "split_id long, chosen int")
+        return [(s, _in_order(r[-1][1])[0]) for s, r in rounds.items()]
+
+    def fit_at_once(self, rows, features, splits, run, path):
+        tried = {f"{path}o{i}": b for i, b in enumerate(self.tried())}
+        # a test row's context must hold what its features look back at
+        if self.loss != "rmse" or "weight" in rows.columns or any(len(s.train) != 1 for s in splits) or any(reach_of(b) > memory_of(self) for b in tried.values()):
+            return False
+        seen = rows.agg(F.min("rid").alias("a"), F.max("rid").alias("z"), F.count("*").alias("n"), F.avg(F.col("y") * F.col("y")).alias("yy")).first()
+        if not seen["n"] or seen["z"] - seen["a"] + 1 != seen["n"]:
+            return False
+        every, windows = [], {}
+        for s in splits:
+            a, z = max(s.train[0].start, seen["a"]), min(s.train[0].end, seen["z"] + 1)
+            if a >= z:
+                continue
+            for w in plan_splits(self.splitter, z - a):
+                own = s.split_id * _INNER + w.split_id
+                windows.setdefault(s.split_id, []).append(own)
+                every.append(Split(own, (Bounds(a + w.train[0].start, a + w.train[-1].end),), (Bounds(a + w.test[0].start, a + w.test[-1].end),)))
+            every.append(Split(-1 - s.split_id, (Bounds(a, z),), ()))  # the split's own window
+        made = segments.compared(tried, rows, features, every) if every else None
+        if made is None:
+            return False
+        states, errors = made
+        # squares of what fits all but exactly are lost in rounding: rows tell such candidates apart
+        exact = [w for (w, _), (_, square) in errors.items() if square <= 1e-9 * (seen["yy"] or 0.0)]
+        if len(exact) > len(set(exact)):
+            return False
+
+        def losses(plans: dict) -> dict:
+            found = {}
+            for s, (some, share) in plans.items():
+                for i in some:
+                    of = [errors[w, f"{path}o{i}"] for w in _latest(windows[s], share) if (w, f"{path}o{i}") in errors]
+                    if of:
+                        found[s, i] = math.sqrt(sum(n * square for n, square in of) / sum(n for n, _ in of))
+            return found
+
+        spark, chosen = rows.sparkSession, self._searched(windows, len(tried), losses)
+        run.states[path] = spark.createDataFrame(chosen, _CHOSEN)
+        for i in sorted({k for _, k in chosen}):
+            for at, (schema, of) in states.items():
+                if at.startswith(f"{path}o{i}") and not at[len(f"{path}o{i}") :][:1].isdigit():
+                    run.states[at] = spark.createDataFrame([(s, *of[-1 - s]) for s, k in chosen if k == i and -1 - s in of], f"split_id long, {schema}")
+        return True
 
     def process(self, frame, run, path):
         chosen = run.state(path, lambda: self._choice(frame))

@@ -64,3 +64,21 @@ def test_candidates_with_names_of_their_own_and_an_outer_search(rows):
     assert (out["x~lag_50"].to_numpy() == x.shift(50).iloc[400:].to_numpy()).all()
     best, _ = tuning.tune([inner, comp.SelectBest((mod.LinearRegression(name="near"), mod.DummyRegressor(9.0, name="far")))], rows, SPLITTER, ("x",))
     assert best == {"SelectBest¦selected": "near"}
+
+
+@pytest.mark.parametrize("search", [tuning.Grid(), tuning.Halving(0.5)])
+def test_losses_of_moments_choose_as_losses_of_rows(rows, search, monkeypatch):
+    """One pass over rows that aren't repeated; tagged rows, which cost a row a window, aren't made."""
+    noisy = rows.withColumn("y", F.col("y") + F.pmod(F.xxhash64(F.col("rid") + 5), F.lit(1000)) / 500)
+    pipeline = [feat.AddWindowFeatures(("x", 2, "mean"), keep_original=False, name="windows"), mod.LinearRegression()]
+    block = tuning.Optimizer(pipeline, ExpandingWindowSplitter(0.5, 0.125), tuple({"windows¦column_window_fn": ("x", k, "mean")} for k in (2, 3, 8, 60)), search=search)
+    with monkeypatch.context() as m:
+        m.setattr(tuning.Optimizer, "_inner", lambda *a: pytest.fail("rows were repeated for inner windows"))
+        once = engine.train([block], noisy, SPLITTER, ("x",), need_in_sample=False)
+    monkeypatch.setattr(tuning.Optimizer, "fit_at_once", lambda *a: False)
+    tagged = engine.train([block], noisy, SPLITTER, ("x",), need_in_sample=False)
+    choice = lambda t: sorted(map(tuple, t.run.states["main/0"].collect()))
+    assert choice(once) == choice(tagged) and set(once.run.states) == set(tagged.run.states)
+    a, b = sorted_rows(engine.backtest(once)), sorted_rows(engine.backtest(tagged))
+    name = "predictions_LinearRegression"
+    assert len(a) == len(b) and (a[name] - b[name]).abs().max() < 1e-9
