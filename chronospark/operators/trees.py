@@ -4,7 +4,9 @@ Trees of all splits grow together. A level is one job: rows find their node by a
 expression over their split's unfinished tree, gradients are summed by split, node,
 feature and bin, and of each node the best cut is picked from running sums over its
 bins; only that, a row a node, reaches the driver. So the number of jobs depends on
-trees and depth, not on splits or rows. A split's state is an array of trees,
+trees and depth, not on splits or rows. Where bins have few combinations, rows of one
+split and the same bins are put together first: they have one prediction, so sums of their
+gradients follow from their count and mean target. A split's state is an array of trees,
 which are arrays of nodes, and scores rows by an expression.
 """
 
@@ -25,6 +27,8 @@ _NODE = "struct<feature:int,bin:int,cut:double,value:double,gain:double>"
 _TREES = f"array<array<{_NODE}>>"
 #: Trees after which rows are written with their predictions so far.
 WRITTEN = 8
+#: Rows that a combination of bins must have, on the average, for rows to be put together.
+ALIKE = 8
 
 
 def _at(tree: Column, goes_left, depth: int) -> Column:
@@ -75,7 +79,7 @@ class BoostedTrees(Block):
         cuts = [F.array_distinct(F.percentile_approx(F.col("x")[i], marks, 10_000)).alias(f"c{i}") for i in range(len(names))]
         one = F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0))
         heavier = CLASS_WEIGHTS[self.class_weights](one, F.count("*") - one) if self.objective == "classification" else F.lit(1.0)
-        seen = rows.groupBy("split_id").agg(heavier.alias("heavier"), F.sum("w").alias("all"), F.sum(F.col("w") * F.col("y")).alias("sum"), *cuts).collect()  # a row a split
+        seen = rows.groupBy("split_id").agg(heavier.alias("heavier"), F.count("*").alias("rows"), F.sum("w").alias("all"), F.sum(F.col("w") * F.col("y")).alias("sum"), *cuts).collect()  # a row a split
         heavy = {r["split_id"]: float(r["heavier"] or 1.0) for r in seen}
         base = {r["split_id"]: self._start(r["sum"], r["all"], heavy[r["split_id"]]) for r in seen}
         cut = {r["split_id"]: [list(r[f"c{i}"] or []) for i in range(len(names))] for r in seen}
@@ -83,7 +87,11 @@ class BoostedTrees(Block):
         # a value's bin is the number of cuts under it
         binned = F.transform("x", lambda v, i: F.when(v.isNull(), F.lit(self.bins)).otherwise(F.size(F.filter(F.get("cuts", i), lambda b: b < v))).cast("short"))
         weight = F.when(F.col("y") == 1, F.col("w") * F.col("heavier")).otherwise(F.col("w")) if self.objective == "classification" else F.col("w")
-        rows = saved(rows.join(F.broadcast(start), "split_id").select("split_id", "y", weight.alias("w"), binned.alias("bins"), "at"))
+        rows = rows.join(F.broadcast(start), "split_id").select("split_id", "y", weight.alias("w"), binned.alias("bins"), "at")
+        # bins of a feature: one more than its cuts, and that of nulls
+        if ALIKE * sum(math.prod(len(x) + 2 for x in own) for own in cut.values()) <= sum(r["rows"] for r in seen):
+            rows = self._together(rows)
+        rows = saved(rows)
         grown = {s: [] for s in base}
         done = 0
         for k in range(self.trees):
@@ -99,6 +107,13 @@ class BoostedTrees(Block):
             out.append((s, base[s], grown[s], [(names[i], gains[i]) for i in order]))
         return spark.createDataFrame(out, f"split_id long, _base double, _trees {_TREES}, _importances array<struct<feature:string,gain:double>>")
 
+    def _together(self, rows: DataFrame) -> DataFrame:
+        """A row for each split's rows of the same bins (and class), with their weight and mean target."""
+        key = F.struct("bins", "y") if self.objective == "classification" else F.struct("bins")
+        total = F.sum("w")
+        sums = rows.groupBy("split_id", key.alias("key")).agg(F.coalesce(F.sum(F.col("w") * F.col("y")) / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("mean"), total.alias("w"), F.any_value("at").alias("at"))
+        return sums.select("split_id", (F.col("key.y") if self.objective == "classification" else F.col("mean")).alias("y"), "w", F.col("key.bins").alias("bins"), "at")
+
     def _start(self, total: float, weight: float, heavier: float) -> float:
         if self.objective == "regression":
             return total / weight if weight else 0.0

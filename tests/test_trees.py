@@ -10,9 +10,11 @@ from chronospark.operators import composites as comp
 from chronospark.operators import features as feat
 from chronospark.operators import models as mod
 from chronospark.operators import scaling as sc
+from chronospark.operators import trees
 from chronospark.operators.trees import BoostedTrees
 from chronospark.plans import engine
 from chronospark.plans.splits import ExpandingWindowSplitter, plan_splits
+from chronospark.sources.tables import saved
 
 SPLITTER = ExpandingWindowSplitter(200, 100)
 
@@ -114,3 +116,18 @@ def test_artifacts_from_inside_composites(rows):
     found = engine.artifacts(engine.train(pipeline, rows, SPLITTER, ("a", "b", "noise"), need_in_sample=False)).collect()
     assert {(r["split_id"], r["artifact"], r["rid"]) for r in found} == {(k, x, 199 + 100 * k) for k in range(3) for x in ("selected_features_varying", "selected_features_best", "stump_feature_importances")}
     assert all(r["numbers"][0] > 0 and r["value"][0] == "a" for r in found if r["artifact"] == "stump_feature_importances")
+
+
+@pytest.mark.parametrize("block, target", [(BoostedTrees(3, 2, 0.5), "y"), (BoostedTrees(2, 3, 0.4, objective="classification", class_weights="balanced"), "cls")])
+def test_rows_of_the_same_bins_are_put_together(rows, block, target, monkeypatch):
+    """Levels of trees read a row a combination of bins, not one a row, and grow the same trees."""
+    df = rows.withColumn("y", F.col(target))
+    written = []
+    monkeypatch.setattr(trees, "saved", lambda df, *a: written.append(df.count()) or saved(df, *a))
+    results = []
+    for alike in (0, 1 << 40):
+        monkeypatch.setattr(trees, "ALIKE", alike, raising=False)
+        trained = engine.train([block], df, SPLITTER, ("b", "noise"), need_in_sample=False)
+        results.append(engine.backtest(trained).orderBy("split_id", "rid").toPandas()["predictions_BoostedTrees"])
+    assert written[0] <= 3 * 7 * 5 * 2 < written[1]
+    assert len(results[0]) == 300 and (results[0] - results[1]).abs().max() < 1e-9
