@@ -44,8 +44,8 @@ WIDE = (BACK + 1) * KEYS
 OWN, SHARED = 991, 32
 CLASSES = OWN + SHARED + 1  # the last is a text's begin
 LAGS = (23, 41)  # ids apart: too far for anything but the kind of text to tell
-SPAN = 32  # blocks at a time: their arrays stay in the cache
-STEP = 8 * SPAN  # blocks in a step of training
+SPAN, SCORED = 64, 128  # blocks at a time in training and scoring: their arrays stay in the cache
+STEP = 256  # blocks in a step of training
 ROUNDS = ((1, 0.01), (2, 0.006), (4, 0.004), (9, 0.002))  # sixteenths of the documents, and the rate, of each round
 SLOTS, INLINE = 1 << 20, 6  # words whose ids a worker keeps, and the most ids of such a word
 PIECES = 64  # pieces of the weights that are averaged side by side
@@ -377,14 +377,18 @@ def probabilities(of: np.ndarray, n: np.ndarray, counts: np.ndarray, begin: int)
 
 SHAPES = {"e": (CLASSES, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "r": (WIDE,), "out": (DIM, TOPICS), "own": (DIM, TOPICS), "bias": (TOPICS,)}
 SCALE = np.float32(DIM**-0.5)
+#: how much is summed by class, and the places of each class's pairs of numbers in it
+_EACH = 2 * DIM + TOPICS
+_PAIRS = np.arange(CLASSES * _EACH // 2).reshape(CLASSES, -1)
 _PLACE, _KEY = np.arange(BLOCK), np.arange(WIDE)
 #: the last place of each group of a window, from the block's begin on
 _LAST = (_KEY + 1) * GROUP - 1 - BACK * BLOCK
 #: how many groups back each key is from each place, and which keys a place may see
 _AGO = np.clip((_PLACE[:, None] - _LAST[None, :]) // GROUP, 0, WIDE - 1)
 _SEEN = np.where(_LAST[None, :] <= _PLACE[:, None], 0.0, -1e9).astype(np.float32)
+#: sums along rows, as wide as what they scale: rows of a few numbers are slow to broadcast along
+_SUM, _OVER, _ACROSS = (np.ones(s, np.float32) for s in ((TOPICS, TOPICS), (WIDE, DIM), (DIM, WIDE)))
 #: which keys a text's first blocks lack
-_SUM, _OVER, _ACROSS = (np.ones((k, 1), np.float32) for k in (TOPICS, WIDE, DIM))
 _LACK = np.array([np.where(_KEY < (BACK - order) * KEYS, -1e9, 0.0) for order in range(BACK)], np.float32)[:, None, :]
 
 
@@ -399,93 +403,124 @@ def start_weights(log_share: np.ndarray) -> dict:
 
 
 def ready(w: dict) -> dict:
-    """Weights as attend uses them: a group's key and value come from its ids' mean."""
-    kv = np.tile(np.concatenate([w["k"], w["v"]], axis=1) / GROUP, (GROUP, 1))
-    return w | {"kv": kv, "scaled": w["q"] * SCALE, "mask": w["r"][_AGO] + _SEEN}
+    """Weights as attend uses them: what depends on a place's class alone is a table by class."""
+    scaled = w["q"] * SCALE
+    return w | {
+        "asks": w["e"] @ scaled, "says": w["e"] @ w["own"] + w["bias"], "kv": np.concatenate([w["k"], w["v"]], axis=1) / GROUP,
+        "scaled": scaled, "mask": w["r"][_AGO] + _SEEN,
+    }
 
 
 def attend(w: dict, came: np.ndarray, order: np.ndarray) -> tuple:
     """The kinds' weights at each place of blocks that follow each other (and what led there); order: each block's number in its text."""
     n = len(order)
     x = np.take(w["e"], came, axis=0)
-    q = (x @ w["scaled"]).reshape(n, BLOCK, DIM)
-    own = (x.reshape(-1, GROUP * DIM) @ w["kv"]).reshape(n, KEYS, 2 * DIM)
-    before = [np.concatenate([np.zeros_like(own[:b]), own[:-b]])[:n] for b in range(BACK, 0, -1)]
-    kv = np.concatenate([*before, own], axis=1)
+    q = np.take(w["asks"], came, axis=0).reshape(n, BLOCK, DIM)
+    # a group's key and value come from its ids' mean
+    group = x.reshape(-1, GROUP * DIM)
+    while group.shape[1] > DIM:
+        half = group.shape[1] // 2
+        group = group[:, :half] + group[:, half:]
+    own = np.zeros((n + BACK, KEYS, 2 * DIM), x.dtype)
+    np.matmul(group, w["kv"], out=own[BACK:].reshape(-1, 2 * DIM))
+    # a block's keys lie behind those of the blocks before it, so windows overlap and needn't be copied
+    kv = np.ndarray((n, WIDE, 2 * DIM), own.dtype, own, 0, own.strides)
     k, v = kv[:, :, :DIM], kv[:, :, DIM:]
     s = q @ k.transpose(0, 2, 1)
     s += w["mask"]
-    for early in range(BACK):
-        s[order == early] += _LACK[early]
+    early = np.flatnonzero(order < BACK)
+    s[early] += _LACK[order[early]]
     np.minimum(s, 30, out=s)
     np.exp(s, out=s)
     # a place that sees no group yet gathers nothing: 1 stands for that
-    inverse = 1 / (1 + s.reshape(-1, WIDE) @ _OVER)
+    inverse = s.reshape(-1, WIDE) @ _OVER
+    inverse += 1
+    np.divide(1, inverse, out=inverse)
     c = (s @ v).reshape(-1, DIM)
     c *= inverse
     p = c @ w["out"]
-    p += x @ w["own"]
-    p += w["bias"]
+    p += np.take(w["says"], came, axis=0)
     np.minimum(p, 60, out=p)
     np.exp(p, out=p)
     p /= p @ _SUM
-    return x, q, k, v, s, inverse, c, p
+    return q, group, k, v, s, inverse, c, p
 
 
 def log_probabilities(w: dict, t: dict, b: Blocks) -> np.ndarray:
     """The natural log probability of the id at each place; w: ready weights."""
     out = np.zeros(len(b) * BLOCK)
-    for a in range(0, len(b), SPAN):
-        z, lead = min(len(b), a + SPAN), min(a, BACK)
+    for a in range(0, len(b), SCORED):
+        z, lead = min(len(b), a + SCORED), min(a, BACK)
         order = np.minimum(b.order[a - lead : z], np.arange(z - a + lead) + (BACK if lead == BACK else 0))
         p = attend(w, b.came[(a - lead) * BLOCK : z * BLOCK], order)[-1][lead * BLOCK :]
         at = slice(a * BLOCK, z * BLOCK)
         p *= np.take(t["step"], b.came[at] * CLASSES + b.goes[at], axis=0)
-        out[at] = np.log(p @ _SUM)[:, 0]
+        out[at] = np.log(p @ _SUM[:, 0])
     out += t["within"][b.id]
     out[~b.live] = 0
     return out
 
 
+class Gradients:
+    """Of the loss summed over the live places of blocks, gathered part by part. w: ready weights.
+
+    What depends on a place's class alone is summed by class: what comes to its
+    query, to its share of its group's key and value, and to its own say.
+    """
+
+    def __init__(self, w: dict, t: dict):
+        self.w, self.t, self.loss, kind = w, t, 0.0, w["e"].dtype
+        self.by_class, self.kv, self.out, self.ago = (np.zeros(s, kind) for s in ((CLASSES, _EACH), (DIM, 2 * DIM), (DIM, TOPICS), BLOCK * WIDE))
+
+    def add(self, came: np.ndarray, goes: np.ndarray, live: np.ndarray, order: np.ndarray) -> None:
+        """Blocks that follow each other."""
+        n, w = len(order), self.w
+        q, group, k, v, s, inverse, c, p = attend(w, came, order)
+        right = np.take(self.t["step"], came * CLASSES + goes, axis=0) * p
+        total = right @ _SUM
+        self.loss -= float(np.log(total[:, 0]) @ live)
+        right /= total
+        d = np.empty((len(p), _EACH), p.dtype)
+        dp = np.subtract(p, right, out=d[:, 2 * DIM :])
+        dp[~live] = 0
+        dc = dp @ w["out"].T
+        dc *= inverse
+        meet = (dc * c) @ _ACROSS
+        dc = dc.reshape(n, BLOCK, DIM)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= meet.reshape(n, BLOCK, WIDE)
+        ds *= s
+        np.matmul(ds, k, out=d.reshape(n, BLOCK, _EACH)[:, :, :DIM])
+        wide = np.empty((n, WIDE, 2 * DIM), d.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=wide[:, :, :DIM])
+        np.matmul(s.transpose(0, 2, 1), dc, out=wide[:, :, DIM:])
+        own = wide[:, BACK * KEYS :].copy()
+        for back in range(1, min(BACK, n - 1) + 1):
+            own[:-back] += wide[back:, (BACK - back) * KEYS : (BACK - back + 1) * KEYS]
+        own = own.reshape(-1, 2 * DIM)
+        # every id of a group has the same share in its key and value
+        d.reshape(-1, GROUP, _EACH)[:, :, DIM : 2 * DIM] = (own @ w["kv"].T)[:, None, :]
+        # two numbers at a time, as one complex number
+        pair = np.result_type(d, np.complex64)
+        np.add.at(self.by_class.view(pair).reshape(-1), np.take(_PAIRS, came, axis=0).reshape(-1), d.view(pair).reshape(-1))
+        self.kv += group.T @ own
+        self.out += c.T @ dp
+        self.ago += np.ones(n, ds.dtype) @ ds.reshape(n, -1)
+
+    def take(self) -> dict:
+        w, (q, x, own) = self.w, np.split(self.by_class, [DIM, 2 * DIM], axis=1)
+        kv = self.kv / GROUP
+        return {
+            "e": q @ w["scaled"].T + x + own @ w["own"].T, "q": w["e"].T @ q * SCALE, "k": kv[:, :DIM], "v": kv[:, DIM:],
+            "r": np.bincount(_AGO.reshape(-1), self.ago, WIDE), "out": self.out, "own": w["e"].T @ own, "bias": own.sum(axis=0),
+        }
+
+
 def gradients(w: dict, t: dict, came: np.ndarray, goes: np.ndarray, live: np.ndarray, order: np.ndarray) -> tuple[dict, float]:
     """Of the loss summed over the live places of blocks that follow each other; w: ready weights."""
-    n = len(order)
-    x, q, k, v, s, inverse, c, p = attend(w, came, order)
-    right = np.take(t["step"], came * CLASSES + goes, axis=0) * p
-    total = right @ _SUM
-    loss = -float(np.log(total[live]).sum())
-    right /= total
-    dp = p
-    dp -= right
-    dp *= live[:, None]
-    g = {"out": c.T @ dp, "own": x.T @ dp, "bias": np.ones(len(dp), dp.dtype) @ dp}
-    dx, dc = dp @ w["own"].T, dp @ w["out"].T
-    meet = ((dc * c) @ _ACROSS).reshape(n, BLOCK, 1)
-    dc = dc.reshape(n, BLOCK, DIM)
-    s *= inverse.reshape(n, BLOCK, 1)
-    dv = s.transpose(0, 2, 1) @ dc
-    ds = dc @ v.transpose(0, 2, 1)
-    ds -= meet
-    ds *= s
-    g["r"] = np.bincount(_AGO.reshape(-1), np.ones(n, ds.dtype) @ ds.reshape(n, -1), WIDE)
-    dq = (ds @ k).reshape(-1, DIM)
-    dq *= SCALE
-    wide = np.concatenate([ds.transpose(0, 2, 1) @ q, dv], axis=2)
-    own = wide[:, BACK * KEYS :].copy()
-    for back in range(1, min(BACK, n - 1) + 1):
-        own[:-back] += wide[back:, (BACK - back) * KEYS : (BACK - back + 1) * KEYS]
-    own = own.reshape(-1, 2 * DIM)
-    # every id of a group has the same share in its key and value
-    both = (x.reshape(-1, GROUP * DIM).T @ own).reshape(GROUP, DIM, 2 * DIM).sum(axis=0) / GROUP
-    g["q"], g["k"], g["v"] = x.T @ dq, both[:, :DIM], both[:, DIM:]
-    dx += dq @ w["q"].T
-    dx += (own @ w["kv"].T).reshape(-1, DIM)
-    at = np.argsort(came.astype(np.uint16), kind="stable")
-    kind = came[at]
-    first = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
-    g["e"] = np.zeros((CLASSES, DIM), dx.dtype)
-    g["e"][kind[first]] = np.add.reduceat(np.take(dx, at, axis=0), first, axis=0)
-    return g, loss
+    own = Gradients(w, t)
+    own.add(came, goes, live, order)
+    return own.take(), own.loss
 
 
 class Trainer:
@@ -499,18 +534,17 @@ class Trainer:
 
     def learn(self, t: dict, b: Blocks) -> None:
         for a in range(0, len(b), STEP):
-            total: dict = {}
-            stop, w = min(len(b), a + STEP), ready(self.w)
+            stop = min(len(b), a + STEP)
+            total = Gradients(ready(self.w), t)
             for y in range(a, stop, SPAN):
                 z = min(stop, y + SPAN)
                 at = slice(y * BLOCK, z * BLOCK)
                 # what lies before this part of the blocks isn't seen here
-                g, loss = gradients(w, t, b.came[at], b.goes[at], b.live[at], np.minimum(b.order[y:z], np.arange(z - y)))
-                self.loss += loss
-                total = {k: total[k] + x for k, x in g.items()} if total else g
+                total.add(b.came[at], b.goes[at], b.live[at], np.minimum(b.order[y:z], np.arange(z - y)))
             n = int(b.live[a * BLOCK : stop * BLOCK].sum())
+            self.loss += total.loss
             self.seen += n
-            self.step({k: x / n for k, x in total.items()})
+            self.step({k: x / n for k, x in total.take().items()})
 
     def step(self, g: dict) -> None:
         self.steps += 1

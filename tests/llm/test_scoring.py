@@ -190,6 +190,28 @@ def test_gradients():
         assert abs((up - down) / 2e-4 - g[k].reshape(-1)[i]) < 1e-3 * max(1, abs(g[k].reshape(-1)[i]))
 
 
+def test_gradients_are_gathered_by_class_and_windows_not_copied():
+    """Parts added one by one give the sum of the parts' own gradients; a block's keys are those that the next blocks read."""
+    t, w, (begin, end, _) = small_model()
+    rng = np.random.default_rng(7)
+    b, ready = blocks_of([rng.integers(0, 58, n) for n in (400, 0, 33, 90)], t, begin, end), lm.ready(w)
+    parts, whole = [], lm.Gradients(ready, t)
+    for a in range(0, len(b), 5):
+        z = min(len(b), a + 5)
+        at, order = slice(a * lm.BLOCK, z * lm.BLOCK), np.minimum(b.order[a:z], np.arange(z - a))
+        parts.append(lm.gradients(ready, t, b.came[at], b.goes[at], b.live[at], order))
+        whole.add(b.came[at], b.goes[at], b.live[at], order)
+    g = whole.take()
+    assert set(g) == set(lm.SHAPES) and abs(whole.loss - sum(x for _, x in parts)) < 1e-3 * whole.loss
+    for k, shape in lm.SHAPES.items():
+        assert g[k].shape == shape and np.allclose(g[k], sum(x[k] for x, _ in parts), rtol=1e-3, atol=1e-3)
+    k = lm.attend(ready, b.came, b.order)[2]
+    assert k.shape == (len(b), lm.WIDE, lm.DIM) and np.shares_memory(k[0], k[1])
+    # the place of a dead id says nothing
+    none = lm.gradients(ready, t, b.came, b.goes, np.zeros_like(b.live), b.order)
+    assert none[1] == 0 and not any(x.any() for x in none[0].values())
+
+
 def test_training_lowers_the_loss_and_takes_every_id():
     t, w, (begin, end, _) = small_model()
     b = blocks_of([np.tile([1, 2, 3, 4], 200)] * 3, t, begin, end)
