@@ -157,6 +157,49 @@ def test_linked_counts_exactly():
     assert {tuple(p) for p in jaccard.linked(sets, 60, 15).tolist()} == {(i, j) for i in range(15) for j in range(15, 40) if close(sets[i], sets[j])}
 
 
+def connections(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_many_sets_are_connected_as_by_all_links(percent):
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        base, common = [rng.integers(0, 1 << 62, rng.integers(1, 120)) for _ in range(6)], rng.integers(0, 1 << 62, 10)
+        sets = []
+        for _ in range(150):
+            x = base[rng.integers(6)].copy()
+            other = rng.integers(0, len(x), rng.integers(0, len(x) // 4 + 1))
+            x[other] = rng.integers(0, 1 << 62 if seed % 2 else 30, len(other))
+            sets.append(np.unique(np.append(x, common[: rng.integers(11)])).astype(np.uint64))
+        for first in (None, 60):
+            assert connections(150, jaccard.connected(sets, percent, first)) == connections(150, jaccard.linked(sets, percent, first).tolist())
+
+
+def test_a_chained_family_travels_once_or_twice(spark, monkeypatch):
+    """Each set but the last is near enough to some, all are one family of many blocks."""
+    rng, frames = random.Random(3), []
+    monkeypatch.setattr(jaccard, "saved", lambda df: frames.append(common.saved(df)) or frames[-1])
+    common_words = [f"c{i}" for i in range(7)]
+    rows = [(i, " ".join([*common_words, *(f"x{rng.randrange(10**9)}" for _ in range(i % 5))])) for i in range(1500)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), percent=70).collect()}
+    want = brute(rows[:300], 3, 70)
+    assert [(str(i), str(got[i])) for i in range(300)] == sorted([(d, c) for d, _, c in want], key=lambda x: int(x[0]))
+    placed = next(f for f in frames if "band" in f.columns)
+    sets = placed.select("set").distinct().count()
+    assert sets > 5 * jaccard.BLOCK and placed.count() <= 3 * sets
+
+
 def sentence(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)).capitalize() + "."
 
@@ -398,3 +441,17 @@ def test_a_hub_of_links(spark):
 def test_distinct_rows():
     values, borders = distinct(np.array([5, 5, 1, 2, 2, 9], np.uint64), np.array([0, 3, 3, 6]))
     assert values.tolist() == [1, 5, 2, 9] and borders.tolist() == [0, 2, 2, 4]
+
+
+def test_no_shuffle_file_stays_behind_a_written_table(spark):
+    import time
+    from pathlib import Path
+
+    def files():
+        return {str(p) for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    before, until = files(), time.time() + 20
+    made = common.saved(spark.range(10_000).selectExpr("id % 97 AS k").groupBy("k").count())
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and len(made.collect()) == 97
