@@ -268,6 +268,18 @@ def test_alike_paragraphs_among_many_unlike_ones(spark):
     assert len(alike) > 100 and len(missed) <= 0.02 * len(alike), (len(missed), len(alike))
 
 
+def test_unlike_paragraphs_of_a_value_travel_once(spark, monkeypatch):
+    """Paragraphs of one phrase and other words; they were sent as often as they filled blocks of 96."""
+    rng, frames = random.Random(8), []
+    monkeypatch.setattr(substring_dedup, "saved", lambda df: frames.append(common.saved(df)) or frames[-1])
+    phrase = "zeta eta theta iota kappa lambda mu nu xi omikron pi rho"
+    rows = [(i, f"{phrase} {sentence(rng, 3)}") for i in range(1200)] + [(5000, rows_5 := f"{phrase} {sentence(rng, 3)}"), (5001, rows_5)]
+    found = {r["id"] for r in substring_dedup.repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 5001 in found
+    blocks = [f for f in frames if "blocks" in f.columns]
+    assert blocks and sum(f.count() for f in blocks) and max(r["blocks"] for f in blocks for r in f.select("blocks").where("blocks IS NOT NULL").distinct().collect()) == 1
+
+
 def test_winnowed_runs_of_shared_words():
     rng = random.Random(12)
     g = substring_dedup.GRAM
